@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 PRICE_COLUMNS = {
     "open", "high", "low", "close", "volume", "fwd_price_1d", "last", "prev",
     "close_lag_1", "close_lag_2", "close_lag_3", "close_lag_5",
-    "period_high", "period_low", "highest", "lowest", "max_volume", "price", "v",
+    "period_high", "period_low", "diff", "change", "highest", "lowest", "max_volume", "price", "v",
 }
 
 

@@ -40,7 +40,7 @@ def chart_series(df: DataFrame) -> DataFrame:
     long = df.select("symbol", "dt", *[F.col(c).cast("double") for c in cols]).unpivot(
         ["symbol", "dt"], cols, "series", "value")
     w = Window.partitionBy("symbol", "series")
-    return long.where(F.count("value").over(w) > 0)
+    return long.withColumn("_c", F.count("value").over(w)).where(F.col("_c") > 0).drop("_c")
 
 
 def sort_bars(df: DataFrame) -> DataFrame:

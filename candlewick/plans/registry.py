@@ -31,5 +31,5 @@ def register(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from candlewick.plans import q_features, q_sources, q_stats  # noqa: F401
+    from candlewick.plans import q_features, q_sources, q_stats, q_supervised  # noqa: F401
     from candlewick.plans import q_models, q_forecast, q_explain  # noqa: F401

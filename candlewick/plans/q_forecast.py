@@ -1 +1,64 @@
-"""Registered queries."""
+"""Forecast queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from candlewick.operators import forecast as fc
+from candlewick.operators import models as M
+from candlewick.operators import supervised as sv
+from candlewick.operators.windows import indicator_table
+from candlewick.plans.present import rounded
+from candlewick.plans.q_supervised import HOLD, sup_cte
+from candlewick.plans.registry import register
+from candlewick.plans.sqlkit import base_ctes
+from candlewick.sources.trades import lineitem_bars
+
+
+def _setup(spark, sf):
+    bars = lineitem_bars(spark, sf)
+    ind = indicator_table(bars)
+    sup = sv.supervised(ind)
+    return bars, ind, sup
+
+
+@register("one_step")
+def q_one_step(spark, sf):
+    """P1 + P5: per-symbol ridge (fitted on the first 80 %, as the reference)
+    predicts the next return from the newest bar; price, change and signal."""
+    bars, ind, sup = _setup(spark, sf)
+    _, _, model = M.backtest("ridge", sup)
+    live = indicator_table(bars, drop_incomplete=False)
+    return rounded(fc.one_step(live, sup, model))
+
+
+@register("iterative")
+def q_iterative(spark, sf):
+    """P2 + P3: 7-day iterative forecast of per-symbol ridge from the raw bars."""
+    bars, ind, sup = _setup(spark, sf)
+    model = M.fit("ridge", sup)
+    return rounded(fc.iterative_forecast(bars, model, 7))
+
+
+@register("iterative_forest")
+def q_iterative_forest(spark, sf):
+    """P2 with the pooled random forest (panel scope), 5 days."""
+    bars, ind, sup = _setup(spark, sf)
+    model = M.fit("random_forest", sup)
+    return rounded(fc.iterative_forecast(bars, model, 5))
+
+
+@register("price_path", f"""WITH {base_ctes()}, {sup_cte()},
+t AS (SELECT * FROM (SELECT *, {HOLD} AS role FROM sup) h WHERE role = 'test'),
+b AS (SELECT symbol, arg_min(close, dt) AS base_price FROM t GROUP BY symbol)
+SELECT symbol, dt, round(CASE WHEN sum(CASE WHEN label > -100 THEN 0 ELSE 1 END) OVER w = 0
+  THEN base_price * exp(sum(CASE WHEN label > -100 THEN ln(1.0 + label / 100.0) END) OVER w) END, 4) AS path_price
+FROM t JOIN b USING (symbol)
+WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def q_price_path(spark, sf):
+    """Compounding each hold-out row's next return onto the first hold-out close."""
+    _, _, sup = _setup(spark, sf)
+    t = sv.holdout(sup).where(F.col("role") == "test")
+    base = t.groupBy("symbol").agg(F.min_by("close", "dt").alias("base_price"))
+    p = fc.price_path(t.select("symbol", "dt", "label"), base, ret_col="label", order="dt")
+    return rounded(p.select("symbol", "dt", "path_price"))

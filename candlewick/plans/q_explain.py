@@ -1 +1,133 @@
-"""Registered queries."""
+"""Explanation queries.
+
+The one-feature ridge (``price_change``) has a closed form, so its
+importance and contributions are checked against SQL; the 22-feature and
+tree versions are row-checked here and tested against numpy/additivity.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from candlewick.operators import explain as X
+from candlewick.operators import models as M
+from candlewick.operators import supervised as sv
+from candlewick.operators.windows import indicator_table
+from candlewick.plans.present import rounded
+from candlewick.plans.q_supervised import sup_cte
+from candlewick.plans.registry import register
+from candlewick.plans.sqlkit import base_ctes
+from candlewick.sources.trades import lineitem_bars
+
+
+def _sup(spark, sf):
+    return sv.supervised(indicator_table(lineitem_bars(spark, sf)))
+
+
+ONE = f"""WITH {base_ctes()}, {sup_cte()},
+co AS (SELECT symbol, mu, sd, ybar, sum((price_change - mu) / sd * (label - ybar)) / (cnt + 1.0) AS w
+       FROM sup JOIN (SELECT symbol, count(*) AS cnt, avg(price_change) AS mu, stddev_pop(price_change) AS sd,
+                             avg(label) AS ybar FROM sup GROUP BY symbol) s USING (symbol)
+       GROUP BY symbol, cnt, mu, sd, ybar),
+pred AS (SELECT symbol, dt, i, label, price_change AS v, ybar + w * (price_change - mu) / sd AS bp, w / sd AS c
+         FROM sup JOIN co USING (symbol))"""
+
+
+def _r2(src: str, keys: str, pred: str) -> str:
+    return f"""SELECT {keys}, CASE WHEN count(*) < 2 THEN NULL
+  WHEN var_pop(label) * count(*) = 0 THEN CASE WHEN sum((label - {pred}) ^ 2) = 0 THEN 1.0 ELSE 0.0 END
+  ELSE 1.0 - sum((label - {pred}) ^ 2) / (var_pop(label) * count(*)) END AS r2 FROM {src} GROUP BY {keys}"""
+
+
+@register("importance_linear", ONE + f""",
+reps AS (SELECT *, CAST(r AS INTEGER) AS rep FROM pred, range(0, 10) t(r)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol, rep ORDER BY
+  md5(concat_ws('|', '42', CAST(rep AS VARCHAR), 'price_change', symbol, CAST(dt AS VARCHAR))), dt) - 1 AS pr FROM reps),
+perm AS (SELECT a.symbol, a.rep, a.label, a.bp + a.c * (d.v - a.v) AS pp
+         FROM ranked a JOIN ranked d ON a.symbol = d.symbol AND a.rep = d.rep AND a.i = d.pr),
+pr2 AS ({_r2("perm", "symbol, rep", "pp")}),
+br2 AS ({_r2("pred", "symbol", "bp")})
+SELECT symbol, 'price_change' AS feature, round(max(br2.r2) - avg(pr2.r2), 4) AS importance,
+  round(stddev_pop(pr2.r2), 4) AS importance_std, CAST(1 AS INTEGER) AS rank
+FROM pr2 JOIN br2 USING (symbol) GROUP BY symbol""")
+def q_importance_linear(spark, sf):
+    """X1 + L3: permutation importance (10 repeats, seed 42) of the one-feature ridge."""
+    sup = _sup(spark, sf)
+    m = M.fit("ridge", sup, features=["price_change"])
+    return rounded(X.rank_importance(X.permutation_importance(m, sup)))
+
+
+@register("importance_ridge")
+def q_importance_ridge(spark, sf):
+    """X1 + L3: permutation importance of the 22-feature per-symbol ridge, ranked."""
+    sup = _sup(spark, sf)
+    return rounded(X.rank_importance(X.permutation_importance(M.fit("ridge", sup), sup)))
+
+
+@register("importance_forest")
+def q_importance_forest(spark, sf):
+    """X1 + L3: permutation importance of the pooled random forest (all rows, as the reference)."""
+    sup = _sup(spark, sf)
+    return rounded(X.rank_importance(X.permutation_importance(M.fit("random_forest", sup), sup)))
+
+
+@register("contributions_linear", ONE + """,
+bg AS (SELECT symbol, avg(v) AS bgv FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY
+         md5(concat_ws('|', '42', symbol, CAST(dt AS VARCHAR))), dt) AS rn FROM pred) a WHERE rn <= 200 GROUP BY symbol),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS rn FROM pred) a WHERE rn = 1)
+SELECT symbol, dt, 'price_change' AS feature, round(c * (v - bgv), 4) AS phi, CAST(1 AS INTEGER) AS rank
+FROM last JOIN bg USING (symbol)""")
+def q_contributions_linear(spark, sf):
+    """X2 + W13: linear contribution of the one-feature ridge for the latest row (background: 200-row sample)."""
+    sup = _sup(spark, sf)
+    m = M.fit("ridge", sup, features=["price_change"])
+    return rounded(X.linear_contributions(m, sup))
+
+
+@register("contributions_ridge")
+def q_contributions_ridge(spark, sf):
+    """X2 + W13: linear contributions of the 22-feature ridge, ranked by |phi|."""
+    sup = _sup(spark, sf)
+    return rounded(X.linear_contributions(M.fit("ridge", sup), sup))
+
+
+@register("shapley_forest")
+def q_shapley_forest(spark, sf):
+    """Sampled Shapley values of the pooled forest for the latest row per symbol."""
+    sup = _sup(spark, sf)
+    return rounded(X.sampled_shapley(M.fit("random_forest", sup), sup, orders=8))
+
+
+NARR = ONE + """,
+bg AS (SELECT symbol, avg(v) AS bgv FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY
+         md5(concat_ws('|', '42', symbol, CAST(dt AS VARCHAR))), dt) AS rn FROM pred) a WHERE rn <= 200 GROUP BY symbol),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS rn FROM pred) a WHERE rn = 1),
+ct AS (SELECT symbol, 'price_change' AS feature, c * (v - bgv) AS phi FROM last JOIN bg USING (symbol))"""
+
+
+@register("top5_narrative", NARR + """
+SELECT symbol, '- **' || feature || '** ' || CASE WHEN phi > 0 THEN 'increased' ELSE 'decreased' END
+  || ' the forecast by ~' || printf('%.2f', round(abs(phi), 2)) || '%' AS narrative FROM ct""")
+def q_top5_narrative(spark, sf):
+    """Narrative of the top contributions (one-feature ridge, return target)."""
+    sup = _sup(spark, sf)
+    m = M.fit("ridge", sup, features=["price_change"])
+    return X.narrative(X.linear_contributions(m, sup))
+
+
+@register("net_effect", NARR + """
+SELECT symbol, round(sum(phi), 4) AS net_effect, CASE WHEN sum(phi) > 0 THEN 'bullish' ELSE 'bearish' END AS bias
+FROM ct GROUP BY symbol""")
+def q_net_effect(spark, sf):
+    """Net effect and bias (one-feature ridge)."""
+    sup = _sup(spark, sf)
+    m = M.fit("ridge", sup, features=["price_change"])
+    return rounded(X.net_effect(X.linear_contributions(m, sup)))
+
+
+@register("narrative_ridge")
+def q_narrative_ridge(spark, sf):
+    """X4 + X5: top-5 narrative and net effect of the 22-feature ridge."""
+    sup = _sup(spark, sf)
+    c = X.linear_contributions(M.fit("ridge", sup), sup)
+    return rounded(X.narrative(c).join(X.net_effect(c), "symbol"))

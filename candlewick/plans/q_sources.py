@@ -1 +1,201 @@
-"""Registered queries."""
+"""Source, look-up and symbol/money function queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from candlewick.functions import money, symbols
+from candlewick.functions.dims import INSTRUMENTS, symbol_rows, values_sql
+from candlewick.operators import lookups, stats
+from candlewick.operators.windows import indicator_table
+from candlewick.plans.present import rounded, sql_round
+from candlewick.plans.registry import register
+from candlewick.plans.sqlkit import BARS, ORDER_BARS, base_ctes
+from candlewick.schema import BAR_COLUMNS, OHLCV
+from candlewick.session import ensure_checkpoint_dir
+from candlewick.sources import export, fallback, lookback, payload, wide
+from candlewick.sources.trades import lineitem_bars, order_bars
+
+
+def _bars_as(src: str) -> str:
+    return f"SELECT {sql_round(BAR_COLUMNS, doubles=OHLCV)} FROM (SELECT * EXCLUDE (source), '{src}' AS source FROM ({BARS}) b) x"
+
+
+@register("bars_wide", _bars_as("provider_a"))
+def q_bars_wide(spark, sf):
+    """S1 + N1-N3: bars landed as wide text (``Adj Close`` only) normalised back."""
+    b = lineitem_bars(spark, sf)
+    raw = b.select(F.col("symbol").alias("Symbol"), F.date_format("dt", "yyyy-MM-dd").alias("Date"),
+                   *[F.col(c).cast("string").alias(n) for c, n in
+                     (("open", "Open"), ("high", "High"), ("low", "Low"), ("close", "Adj Close"), ("volume", "Volume"))])
+    return rounded(wide.normalise_wide(raw, "Symbol", "provider_a"))
+
+
+@register("bars_json", _bars_as("provider_b"))
+def q_bars_json(spark, sf):
+    """Provider-B JSON documents (one per symbol and year) parsed into bars."""
+    docs = payload.payloads_from_bars(lineitem_bars(spark, sf))
+    return rounded(payload.parse_payload(docs, strict=True))
+
+
+@register("payload_status", f"""WITH bars AS ({BARS})
+SELECT symbol, 'ok' AS status, CAST(NULL AS VARCHAR) AS message FROM (SELECT DISTINCT symbol, year(dt) FROM bars) a""")
+def q_payload_status(spark, sf):
+    """S3: status of every landed provider-B document."""
+    return payload.payload_status(payload.payloads_from_bars(lineitem_bars(spark, sf)))
+
+
+TIERS_SQL = f"""a AS ({BARS}), b AS ({ORDER_BARS}),
+req AS (SELECT DISTINCT symbol FROM a UNION SELECT DISTINCT symbol FROM b),
+tagged AS (SELECT *, 0 AS tier, 'provider_a' AS src FROM a UNION ALL SELECT *, 1 AS tier, 'provider_b' AS src FROM b)"""
+
+
+def _tiers(spark, sf):
+    a, b = lineitem_bars(spark, sf), order_bars(spark, sf)
+    req = a.select("symbol").unionByName(b.select("symbol"))
+    return req, [("provider_a", a), ("provider_b", b)]
+
+
+@register("source_status", f"""WITH {TIERS_SQL}
+SELECT r.symbol, s.source, CAST(coalesce(c.rows, 0) AS BIGINT) AS rows,
+  CASE WHEN coalesce(c.rows, 0) > 0 THEN 'has rows' ELSE 'no data' END AS status
+FROM req r CROSS JOIN (VALUES ('provider_a'), ('provider_b')) s(source)
+LEFT JOIN (SELECT symbol, src, count(*) AS rows FROM tagged GROUP BY symbol, src) c ON c.symbol = r.symbol AND c.src = s.source""")
+def q_source_status(spark, sf):
+    """Rows per requested symbol and source."""
+    req, tiers = _tiers(spark, sf)
+    return fallback.source_status(req, tiers)
+
+
+@register("source_fallback", f"""WITH {TIERS_SQL},
+best AS (SELECT symbol, min(tier) AS tier FROM tagged GROUP BY symbol)
+SELECT {sql_round(BAR_COLUMNS, doubles=OHLCV)} FROM (
+  SELECT t.symbol, dt, open, high, low, close, volume, src AS source FROM tagged t JOIN best USING (symbol, tier)) x""")
+def q_source_fallback(spark, sf):
+    """Per symbol, the bars of the first source that has them."""
+    req, tiers = _tiers(spark, sf)
+    bars, _ = fallback.with_fallback(req, tiers)
+    return rounded(bars.select(*BAR_COLUMNS))
+
+
+@register("fallback_trace", f"""WITH {TIERS_SQL},
+best AS (SELECT symbol, min(tier) AS tier FROM tagged GROUP BY symbol),
+grid AS (SELECT r.symbol, s.tier, s.source FROM req r CROSS JOIN (VALUES (0, 'provider_a'), (1, 'provider_b')) s(tier, source))
+SELECT g.symbol, g.tier + 1 AS attempt, g.source, coalesce(g.tier = b.tier, false) AS ok
+FROM grid g LEFT JOIN best b USING (symbol) WHERE b.tier IS NULL OR g.tier <= b.tier""")
+def q_fallback_trace(spark, sf):
+    """The attempts made per symbol and which one succeeded."""
+    req, tiers = _tiers(spark, sf)
+    _, trace = fallback.with_fallback(req, tiers)
+    return trace
+
+
+@register("lookback", f"""WITH bars AS ({BARS})
+SELECT {sql_round(BAR_COLUMNS, doubles=OHLCV)} FROM bars WHERE dt >= (SELECT max(dt) FROM bars) - INTERVAL 365 DAY""")
+def q_lookback(spark, sf):
+    """S6 + S7: the last year (``1y`` = 365 days) before the latest bar date."""
+    b = lineitem_bars(spark, sf)
+    as_of = b.agg(F.max("dt").alias("_as_of"))
+    j = b.crossJoin(F.broadcast(as_of))      # one row: a proven size bound
+    return rounded(lookback.lookback(j, "1y", F.col("_as_of")).select(*BAR_COLUMNS))
+
+
+@register("csv_export")
+def q_csv_export(spark, sf):
+    """The processed table written as CSV per symbol under the session's
+    checkpoint folder, read back."""
+    import uuid
+
+    ind = indicator_table(lineitem_bars(spark, sf))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv_export_{uuid.uuid4().hex}"
+    export.write_csv(ind, path)
+    return spark.read.option("header", True).csv(path)
+
+
+# --- look-ups and symbol functions ---------------------------------------------
+
+MARKETS_SQL = "(VALUES ('US Stocks'), ('Indian Stocks'), ('Other')) m(market)"
+
+
+@register("symbol_lookup", f"""WITH bars AS ({BARS}), dim AS (SELECT * FROM {values_sql(symbol_rows(), ['market', 'label', 'ticker'])}),
+req AS (SELECT DISTINCT symbol AS label, market FROM bars CROSS JOIN {MARKETS_SQL})
+SELECT r.label, r.market, CASE WHEN r.market IN ('US Stocks', 'Indian Stocks') THEN d.ticker ELSE r.label END AS ticker
+FROM req r LEFT JOIN dim d ON d.market = r.market AND d.label = r.label""")
+def q_symbol_lookup(spark, sf):
+    """(market, label) -> ticker for every bar symbol in three markets."""
+    req = lineitem_bars(spark, sf).select(F.col("symbol").alias("label")).distinct().withColumn(
+        "market", F.explode(F.array(F.lit("US Stocks"), F.lit("Indian Stocks"), F.lit("Other"))))
+    return lookups.symbol_lookup(spark, req)
+
+
+@register("instrument_info", f"""WITH bars AS ({BARS}), dim AS (SELECT * FROM {values_sql(INSTRUMENTS, ['key', 'name', 'sector', 'industry', 'currency'])}),
+t AS (SELECT DISTINCT symbol AS ticker FROM bars)
+SELECT t.ticker, coalesce(f.name, b.name, t.ticker) AS name, coalesce(f.sector, b.sector, 'Unknown') AS sector,
+  coalesce(f.industry, b.industry, 'Unknown') AS industry, coalesce(f.currency, b.currency, 'USD') AS currency
+FROM t LEFT JOIN dim f ON f.key = upper(t.ticker) LEFT JOIN dim b ON b.key = upper(split_part(t.ticker, '.', 1))""")
+def q_instrument_info(spark, sf):
+    """Instrument details with defaults for every bar symbol."""
+    t = lineitem_bars(spark, sf).select(F.col("symbol").alias("ticker")).distinct()
+    return lookups.instrument_info(spark, t)
+
+
+@register("symbol_resolution", f"""WITH bars AS ({BARS}), have AS (SELECT DISTINCT symbol FROM bars),
+t AS (SELECT DISTINCT symbol AS ticker FROM bars),
+cand AS (SELECT ticker, r, upper(split_part(ticker, '.', 1)) || s AS candidate FROM t,
+         (VALUES (1, '.NS'), (2, '.BO'), (3, '')) c(r, s)),
+hit AS (SELECT ticker, arg_min(candidate, r) AS resolved FROM cand WHERE candidate IN (SELECT symbol FROM have) GROUP BY ticker)
+SELECT t.ticker, coalesce(h.resolved, upper(split_part(t.ticker, '.', 1)) || '.NS') AS resolved FROM t LEFT JOIN hit h USING (ticker)""")
+def q_symbol_resolution(spark, sf):
+    """Provider-A symbol resolution against the symbols that have bars."""
+    b = lineitem_bars(spark, sf)
+    t = b.select(F.col("symbol").alias("ticker")).distinct()
+    return lookups.resolve_provider_a(t, b)
+
+
+@register("symbol_functions", f"""WITH bars AS ({BARS}), t AS (SELECT DISTINCT symbol || s AS ticker FROM bars, (VALUES (''), ('.NS'), ('.nse')) x(s))
+SELECT ticker, upper(split_part(ticker, '.', 1)) AS base,
+  CASE WHEN ends_with(ticker, '.NSE') OR ends_with(ticker, '.NS') THEN upper(split_part(ticker, '.', 1)) || '.BSE'
+       ELSE upper(split_part(ticker, '.', 1)) END AS provider_b, upper(ticker) AS other FROM t""")
+def q_symbol_functions(spark, sf):
+    """F1-F3 on every bar symbol with exchange suffixes."""
+    t = lineitem_bars(spark, sf).select("symbol").distinct().select(
+        F.explode(F.array(*[F.concat("symbol", F.lit(s)) for s in ("", ".NS", ".nse")])).alias("ticker")).distinct()
+    return t.select("ticker", symbols.base_symbol(F.col("ticker")).alias("base"),
+                    symbols.provider_b_symbol(F.col("ticker")).alias("provider_b"),
+                    symbols.other_provider_symbol(F.col("ticker")).alias("other"))
+
+
+@register("money_text", f"""WITH {base_ctes()},
+s AS (SELECT symbol, sum(volume * close) AS turnover FROM ind GROUP BY symbol),
+c AS (SELECT * FROM (VALUES ('USD'), ('INR'), ('GBP'), ('CHF')) v(currency))
+SELECT symbol, currency, CASE WHEN turnover IS NOT NULL AND turnover <> 0
+  THEN (CASE currency WHEN 'USD' THEN '$' WHEN 'INR' THEN '₹' WHEN 'EUR' THEN '€' WHEN 'GBP' THEN '£' WHEN 'JPY' THEN '¥' ELSE '' END)
+       || format('{{:,.0f}}', turnover) ELSE 'N/A' END AS text,
+  CASE WHEN currency = 'USD' THEN '$' ELSE 'INR ' END AS parity_prefix FROM s, c""")
+def q_money_text(spark, sf):
+    """F4 + F8: each symbol's traded value as money text in four currencies."""
+    ind = indicator_table(lineitem_bars(spark, sf))
+    s = ind.groupBy("symbol").agg(F.sum(F.col("volume") * F.col("close")).alias("turnover"))
+    c = s.withColumn("currency", F.explode(F.array(*[F.lit(x) for x in ("USD", "INR", "GBP", "CHF")])))
+    return c.select("symbol", "currency", money.money_text(F.col("turnover"), F.col("currency")).alias("text"),
+                    money.display_currency(F.col("currency"), parity=True).alias("parity_prefix"))
+
+
+@register("market_cap", f"""WITH {base_ctes()},
+p AS (SELECT symbol, arg_max(close, dt) AS last_close, sum(volume) AS shares FROM ind GROUP BY symbol)
+SELECT symbol, round(CASE WHEN last_close * shares <> 0 THEN last_close * shares END, 2) AS market_cap,
+  CAST(round(last_close * shares, 0) AS BIGINT) AS cap_from_text,
+  CASE WHEN 'Unknown' = 'Commodity' THEN '—' ELSE 'N/A' END AS cap_display FROM p""")
+def q_market_cap(spark, sf):
+    """F5 + F6 + F15: market cap with no quick/profile value (falls back to
+    last close x shares, shares = traded volume), the digit-text parse of
+    the same value, and the display rule for sectors."""
+    ind = indicator_table(lineitem_bars(spark, sf))
+    p = ind.groupBy("symbol").agg(F.max_by("close", "dt").alias("last_close"), F.sum("volume").alias("shares"))
+    nul = F.lit(None).cast("double")
+    cap = money.market_cap(nul, nul, nul, F.col("shares"), F.col("last_close"))
+    text = F.format_string("%.0f", F.round(F.col("last_close") * F.col("shares"), 0))
+    info = lookups.instrument_info(spark, p.withColumnRenamed("symbol", "ticker")).withColumnRenamed("ticker", "symbol")
+    return info.select("symbol", F.round(cap, 2).alias("market_cap"),
+                       money.cap_from_text(text).alias("cap_from_text"),
+                       money.cap_display(F.col("sector"), F.lit("N/A")).alias("cap_display"))

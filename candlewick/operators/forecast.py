@@ -209,10 +209,13 @@ def price_path(preds: DataFrame, base: DataFrame, ret_col: str = "y_hat", order:
     """Compound percent returns onto a base price per symbol.
 
     ``price_k = base * prod_{j<=k} (1 + r_j/100)`` as ``exp`` of a running
-    sum of logs (requires r > -100, else NULL).
+    sum of logs (requires r > -100, else NULL).  The logs are summed as
+    DECIMAL(38,12): decimal addition is exact, so the path does not depend
+    on the order in which an engine or a partitioning adds the terms.
     """
     w = Window.partitionBy("symbol").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    g = F.when(F.col(ret_col) > -100, F.ln(F.lit(1.0) + F.col(ret_col) / F.lit(100.0)))
+    g = F.when(F.col(ret_col) > -100, F.ln(F.lit(1.0) + F.col(ret_col) / F.lit(100.0))).cast("decimal(38,12)")
     p = preds.join(base.select("symbol", "base_price"), "symbol")
     bad = F.sum(F.when(g.isNull(), 1).otherwise(0)).over(w)
-    return p.withColumn("path_price", F.when(bad == 0, F.col("base_price") * F.exp(F.sum(g).over(w))))
+    logsum = F.sum(g).over(w).cast("double")
+    return p.withColumn("path_price", F.when(bad == 0, F.col("base_price") * F.exp(logsum)))

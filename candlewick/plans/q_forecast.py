@@ -52,7 +52,7 @@ def q_iterative_forest(spark, sf):
 t AS (SELECT * FROM (SELECT *, {HOLD} AS role FROM sup) h WHERE role = 'test'),
 b AS (SELECT symbol, arg_min(close, dt) AS base_price FROM t GROUP BY symbol)
 SELECT symbol, dt, round(CASE WHEN sum(CASE WHEN label > -100 THEN 0 ELSE 1 END) OVER w = 0
-  THEN base_price * exp(sum(CASE WHEN label > -100 THEN ln(1.0 + label / 100.0) END) OVER w) END, 4) AS path_price
+  THEN base_price * exp(CAST(sum(CAST(CASE WHEN label > -100 THEN ln(1.0 + label / 100.0) END AS DECIMAL(38, 12))) OVER w AS DOUBLE)) END, 4) AS path_price
 FROM t JOIN b USING (symbol)
 WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def q_price_path(spark, sf):

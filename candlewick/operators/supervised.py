@@ -14,7 +14,8 @@ from candlewick.operators.windows import pct_change, series_window
 from candlewick.schema import FEATURES, present
 
 
-def supervised(ind: DataFrame, horizon: int = 1, target_type: str = "return") -> DataFrame:
+def supervised(ind: DataFrame, horizon: int = 1, target_type: str = "return",
+               segment_rows: int | None = None) -> DataFrame:
     """V1: symbol, dt, position ``i``, row count ``n``, the 22 features and ``label``.
 
     ``return``: the one-row percent change found ``horizon`` rows ahead
@@ -24,6 +25,8 @@ def supervised(ind: DataFrame, horizon: int = 1, target_type: str = "return") ->
     """
     if horizon < 1:
         raise ValueError("horizon must be >= 1")
+    if segment_rows:
+        return _supervised_segmented(ind, horizon, target_type, segment_rows)
     w = series_window()
     feats = present(ind, FEATURES)
     if target_type == "return":
@@ -71,3 +74,23 @@ def holdout(sup: DataFrame, test_size: float = 0.2) -> DataFrame:
 def fold_sizes(sup: DataFrame, k: int = 5) -> DataFrame:
     """Row counts per (symbol, fold, role), for reports and checks."""
     return folds(sup, k).groupBy("symbol", "fold", "role").agg(F.count(F.lit(1)).cast("long").alias("rows"))
+
+
+def _supervised_segmented(ind: DataFrame, horizon: int, target_type: str, segment_rows: int) -> DataFrame:
+    """V1 with positions from bucket counts and windows over bounded segments
+    (one row of look-back halo, ``horizon`` rows of look-ahead halo)."""
+    from candlewick.operators import segments as seg
+
+    feats = present(ind, FEATURES)
+    s = seg.segment(seg.with_positions(ind), segment_rows, back=1, fwd=horizon)
+    w = seg.segment_window()
+    if target_type == "return":
+        s = s.withColumn("_r", pct_change(F.col("close"), F.lag("close", 1).over(w)))
+        label = F.lead("_r", horizon).over(w) * F.lit(100.0)
+    elif target_type == "price":
+        label = F.lead("close", horizon).over(w)
+    else:
+        raise ValueError("target_type must be 'return' or 'price'")
+    out = s.withColumn("label", label).where(~F.col("_halo") & (F.col("_pos") < F.col("_n") - horizon))
+    return out.select("symbol", "dt", F.col("_pos").cast("int").alias("i"),
+                      (F.col("_n") - horizon).cast("int").alias("n"), "close", *feats, "label")

@@ -216,15 +216,24 @@ def complete_subset(columns: Sequence[str], drop_incomplete: bool = True, requir
 
 
 def indicator_table(bars: DataFrame, drop_incomplete: bool = True, require_volume: bool = True,
-                    w: WindowSpec | None = None) -> DataFrame:
+                    w: WindowSpec | None = None, segment_rows: int | None = None) -> DataFrame:
     """Bars + the 20 indicator columns, rows with a missing value dropped.
 
     ``drop_incomplete=True`` also drops the last bar (no forward target) as
     the reference does; ``False`` keeps it for inference.
     ``require_volume=False`` keeps symbols that have no volume.
+    ``segment_rows`` splits every symbol into tasks of at most that many
+    rows (plus a halo), for series too long for one task; results are equal.
     """
     base = bars.where(F.col("dt").isNotNull()).select("symbol", "dt", *OHLCV)
-    ind = indicator_columns(base, w)
+    if segment_rows:
+        from candlewick.operators import segments as seg
+
+        s = seg.segment(seg.with_positions(base), segment_rows)
+        ind = indicator_columns(s, seg.segment_window()).where(~F.col("_halo"))
+        ind = ind.select("symbol", "dt", *OHLCV, *INDICATORS)
+    else:
+        ind = indicator_columns(base, w)
     return ind.na.drop(subset=complete_subset(ind.columns, drop_incomplete, require_volume))
 
 

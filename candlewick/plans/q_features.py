@@ -151,3 +151,9 @@ SELECT symbol, dt, round(close, 8) AS close, round(ma_20, 4) AS ma_20, round(ma_
 FROM (SELECT *, lead(close) OVER (PARTITION BY symbol ORDER BY dt DESC) AS prev_close,
              row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS rn FROM ind_live) a
 WHERE rn = 1""")(flagship)
+
+
+@register("indicator_table_segmented", f"WITH {base_ctes()} SELECT {sql_round(IND_COLUMNS, doubles=IND_DOUBLES)} FROM ind")
+def q_indicator_table_segmented(spark, sf):
+    """W11 with every symbol split into 1,000-row segments plus halo (hot-symbol plan)."""
+    return rounded(win.indicator_table(lineitem_bars(spark, sf), segment_rows=1000))

@@ -144,3 +144,10 @@ WHERE rn <= 200""")
 def q_sample200(spark, sf):
     """L4: seeded sample of up to 200 supervised rows per symbol."""
     return seeded_sample(_sup(spark, sf), 200, 42).select("symbol", "dt", "i")
+
+
+@register("supervised_segmented", f"WITH {base_ctes()}, {sup_cte()} SELECT {sql_round(SUP_COLS, doubles=SUP_DOUBLES)} FROM sup")
+def q_supervised_segmented(spark, sf):
+    """V1 over 1,000-row segments: positions from bucket counts, no whole-symbol window."""
+    ind = indicator_table(lineitem_bars(spark, sf), segment_rows=1000)
+    return rounded(sv.supervised(ind, segment_rows=1000))

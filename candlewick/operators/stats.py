@@ -110,3 +110,23 @@ def table_stats(df: DataFrame) -> DataFrame:
 def has_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per symbol, whether each column has at least one value."""
     return df.groupBy("symbol").agg(*[(F.count(c) > 0).alias(f"has_{c}") for c in columns])
+
+
+# Rows a symbol needs before it can be modelled / forecast.
+MIN_PROCESSED_ROWS = 2          # the reference needs at least two supervised rows
+MIN_BARS_FOR_STATE = 52         # iterative forecast state
+
+
+def history_status(bars: DataFrame, ind: DataFrame, folds: int = 5) -> DataFrame:
+    """Per symbol, bars, processed rows and a status instead of a
+    failed job: ``insufficient_history`` (no processed rows), ``no_cv``
+    (fewer than ``folds+2`` supervised rows), ``no_forecast`` (fewer than 52
+    bars), else ``ok``."""
+    b = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"))
+    p = ind.groupBy("symbol").agg(F.count(F.lit(1)).alias("processed"))
+    j = b.join(p, "symbol", "left").na.fill({"processed": 0})
+    status = (F.when(F.col("processed") < MIN_PROCESSED_ROWS, F.lit("insufficient_history"))
+              .when(F.col("processed") - 1 < folds + 1, F.lit("no_cv"))
+              .when(F.col("bars") < MIN_BARS_FOR_STATE, F.lit("no_forecast"))
+              .otherwise(F.lit("ok")))
+    return j.select("symbol", "bars", "processed", status.alias("status"))

@@ -157,3 +157,56 @@ WHERE rn = 1""")(flagship)
 def q_indicator_table_segmented(spark, sf):
     """W11 with every symbol split into 1,000-row segments plus halo (hot-symbol plan)."""
     return rounded(win.indicator_table(lineitem_bars(spark, sf), segment_rows=1000))
+
+
+# --- normalisation and projections (N1-N5) -----------------------------------
+
+from candlewick.operators import projections as proj  # noqa: E402
+from candlewick.sources import wide  # noqa: E402
+
+
+def _raw_text(spark, sf):
+    b = lineitem_bars(spark, sf)
+    raw = b.select(F.col("symbol").alias("Symbol"), F.date_format("dt", "yyyy-MM-dd").alias("Date"),
+                   F.col("open").cast("string").alias("Open"), F.col("high").cast("string").alias("Open2"),
+                   F.col("high").cast("string").alias("High"), F.col("low").cast("string").alias("Low"),
+                   F.col("close").cast("string").alias("Close"), F.col("low").cast("string").alias("Adj Close"),
+                   F.format_number("volume", 1).alias("Volume"))
+    # the provider repeats a column name: the second "Open" must lose
+    return raw.toDF("Symbol", "Date", "Open", "Open", "High", "Low", "Close", "Adj Close", "Volume")
+
+
+@register("normalise", f"""WITH bars AS ({BARS})
+SELECT symbol, dt, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close,
+  round(CASE WHEN volume < 1000 THEN volume END, 8) AS volume, 'provider_a' AS source FROM bars""")
+def q_normalise(spark, sf):
+    """Wide text with a repeated ``Open``, both ``Close`` and ``Adj Close``,
+    and volumes written with thousands separators (unparseable -> NULL)."""
+    return rounded(wide.normalise_wide(_raw_text(spark, sf), "Symbol"))
+
+
+@register("coerce", f"""WITH bars AS ({BARS})
+SELECT symbol, count(*) AS rows, count(CASE WHEN volume < 1000 THEN volume END) AS volume_values,
+  count(dt) AS dates FROM bars GROUP BY symbol""")
+def q_coerce(spark, sf):
+    """Per symbol, how many dates and volumes survive coercion."""
+    n = wide.normalise_wide(_raw_text(spark, sf), "Symbol")
+    return n.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.count("volume").alias("volume_values"),
+                                   F.count("dt").alias("dates"))
+
+
+@register("drop_missing", f"""WITH bars AS ({BARS})
+SELECT {sql_round(BAR_COLUMNS, doubles=OHLCV)} FROM (SELECT * EXCLUDE (source), 'provider_a' AS source FROM bars) b
+WHERE volume < 1000""")
+def q_drop_missing(spark, sf):
+    """Rows with any missing value dropped after coercion."""
+    return rounded(proj.drop_missing(wide.normalise_wide(_raw_text(spark, sf), "Symbol")))
+
+
+_FEAT_COLS = ["symbol", "dt", *__import__("candlewick.schema", fromlist=["FEATURES"]).FEATURES]
+
+
+@register("feature_projection", f"WITH {base_ctes()} SELECT {sql_round(_FEAT_COLS, doubles=_FEAT_COLS[2:])} FROM ind")
+def q_feature_projection(spark, sf):
+    """Keys and the 22 model features of the processed table."""
+    return rounded(proj.feature_projection(win.indicator_table(lineitem_bars(spark, sf))))

@@ -170,3 +170,16 @@ def q_forecast_dates(spark, sf):
     last = _ind(spark, sf, drop_incomplete=False).groupBy("symbol").agg(F.max("dt").alias("last_dt"))
     steps = last.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(30))))
     return steps.select("symbol", "step", cal.business_days_after(F.col("last_dt"), F.col("step")).alias("dt"))
+
+
+@register("history_status", f"""WITH {base_ctes()},
+b AS (SELECT symbol, count(*) AS bars FROM bars GROUP BY symbol),
+p AS (SELECT symbol, count(*) AS processed FROM ind GROUP BY symbol)
+SELECT symbol, bars, coalesce(processed, 0) AS processed,
+  CASE WHEN coalesce(processed, 0) < 2 THEN 'insufficient_history' WHEN coalesce(processed, 0) - 1 < 6 THEN 'no_cv'
+       WHEN bars < 52 THEN 'no_forecast' ELSE 'ok' END AS status
+FROM b LEFT JOIN p USING (symbol)""")
+def q_history_status(spark, sf):
+    """Per-symbol history status of the trade bars."""
+    b = lineitem_bars(spark, sf)
+    return stats.history_status(b, indicator_table(b))

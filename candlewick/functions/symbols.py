@@ -28,10 +28,15 @@ PROVIDER_A_SUFFIXES = [".NS", ".BO", ""]
 PROVIDER_A_DEFAULT_SUFFIX = ".NS"
 
 
-def provider_a_candidates(ticker: Column) -> Column:
-    """Candidates in preference order as ``array<struct<rank, candidate>>``."""
+def provider_a_candidates(ticker: Column, market: str | None = None) -> Column:
+    """Candidates in preference order as ``array<struct<rank, candidate>>``.
+
+    By default every ticker tries the Indian suffixes first, as the
+    reference does (D34); ``market="US Stocks"`` tries the bare symbol only.
+    """
     base = base_symbol(ticker)
+    suffixes = [""] if market == "US Stocks" else PROVIDER_A_SUFFIXES
     return F.array(*[
         F.struct(F.lit(i + 1).alias("rank"), F.concat(base, F.lit(s)).alias("candidate"))
-        for i, s in enumerate(PROVIDER_A_SUFFIXES)
+        for i, s in enumerate(suffixes)
     ])

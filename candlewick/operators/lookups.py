@@ -44,17 +44,18 @@ def instrument_info(spark: SparkSession, tickers: DataFrame, col: str = "ticker"
     ])
 
 
-def resolve_provider_a(tickers: DataFrame, bars: DataFrame, col: str = "ticker") -> DataFrame:
+def resolve_provider_a(tickers: DataFrame, bars: DataFrame, col: str = "ticker", market: str | None = None) -> DataFrame:
     """First of ``BASE.NS``, ``BASE.BO``, ``BASE`` that has bars, else ``BASE.NS``.
 
     Candidates are matched against the distinct symbols of ``bars`` (an
     aggregation first, so the join side is one row per symbol).
     """
     have = bars.select(F.col("symbol").alias("candidate")).distinct()
-    cand = tickers.select(col, F.explode(provider_a_candidates(F.col(col))).alias("c")).select(
+    cand = tickers.select(col, F.explode(provider_a_candidates(F.col(col), market)).alias("c")).select(
         col, "c.rank", "c.candidate")
     hit = cand.join(have, "candidate", "left_semi")
     best = hit.groupBy(col).agg(F.min_by("candidate", "rank").alias("_hit"))
     out = tickers.join(best, col, "left")
-    return out.select(*tickers.columns, F.coalesce(
-        F.col("_hit"), F.concat(base_symbol(F.col(col)), F.lit(PROVIDER_A_DEFAULT_SUFFIX))).alias("resolved"))
+    default = base_symbol(F.col(col)) if market == "US Stocks" else F.concat(
+        base_symbol(F.col(col)), F.lit(PROVIDER_A_DEFAULT_SUFFIX))
+    return out.select(*tickers.columns, F.coalesce(F.col("_hit"), default).alias("resolved"))

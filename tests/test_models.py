@@ -91,7 +91,14 @@ def test_panel_ridge_matches_sklearn_scale(spark, sup):
     one = sup.where(F.col("symbol") == sup.select("symbol").first()[0]).select("symbol", "dt", "i", *FEATURES, "label")
     sym_pred = M.fit("ridge", one, scope="symbol").predict(one).orderBy("dt").toPandas().prediction
     pan_pred = M.fit("ridge", one, scope="panel").predict(one).orderBy("dt").toPandas().prediction
-    assert np.allclose(sym_pred, pan_pred, rtol=1e-4, atol=1e-4 * np.abs(sym_pred).max())
+    assert np.allclose(sym_pred, pan_pred, rtol=1e-6, atol=1e-6 * np.abs(sym_pred).max())
+
+
+def test_panel_lasso_close_to_symbol_lasso(spark, sup):
+    one = sup.where(F.col("symbol") == sup.select("symbol").first()[0]).select("symbol", "dt", "i", *FEATURES, "label")
+    a = M.fit("lasso", one, scope="symbol").predict(one).orderBy("dt").toPandas().prediction
+    b = M.fit("lasso", one, scope="panel").predict(one).orderBy("dt").toPandas().prediction
+    assert np.abs(a - b).max() <= 1e-3 * np.abs(a).max()
 
 
 def test_cv_and_backtest_shapes(spark, sup):

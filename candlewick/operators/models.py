@@ -18,6 +18,7 @@ import itertools
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -177,7 +178,13 @@ def fit(name: str, train: DataFrame, features: Sequence[str] = FEATURES, scope:
         return Fitted(name, scope, list(features), coefs=coefs, keys=list(keys))
     if spec.linear:
         params = panel_linear_params(name, params.get("alpha", spec.default_alpha), train)
-    model = make_pipeline(spec.factory(**params), features, impute).fit(train)
+    # Boosting re-reads its input every round: cache only the columns the fit
+    # uses for the duration of the fit (lost blocks are recomputed from lineage).
+    cached = train.select(*features, "label").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = make_pipeline(spec.factory(**params), features, impute).fit(cached)
+    finally:
+        cached.unpersist()
     return Fitted(name, "panel", list(features), model=model)
 
 

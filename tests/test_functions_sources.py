@@ -134,3 +134,13 @@ def test_lookback_days(spark, make_bars):
     got = lookback.lookback(b, "1mo", "2024-12-31")
     assert got.agg(F.min("dt")).first()[0] == dt.date(2024, 12, 1)
     assert got.count() == 65  # no upper bound: 31 days of December + the 34 bars after it
+
+
+def test_lookback_filter_reaches_parquet_scan(spark, make_bars):
+    import tempfile
+
+    d = tempfile.mkdtemp(prefix="cw-lb-")
+    make_bars([1.0] * 400).write.parquet(d + "/bars")
+    got = lookback.lookback(spark.read.parquet(d + "/bars"), "1y", "2024-12-31")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(dt" in plan

@@ -61,7 +61,8 @@ def diagnostics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     ac = (F.col("ret_autocorr_lag1") + F.lit(1.0)) / F.lit(2.0)
     noise = F.exp(F.lit(-5.0) * F.least(F.col("ret_var"), F.lit(0.02)))
     score = F.lit(50.0) * size + F.lit(30.0) * ac + F.lit(20.0) * noise
-    score = F.least(F.lit(100.0), F.greatest(F.lit(0.0), score))
+    # greatest/least skip NULLs: keep an undefined score NULL
+    score = F.when(score.isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(0.0), score)))
     warnings = F.filter(F.array(
         F.when(F.col("rows") < SHORT_ROWS, F.lit(WARN_SHORT)),
         F.when(F.col("missing_max_pct") > MISSING_LIMIT, F.lit(WARN_MISSING)),

@@ -41,8 +41,8 @@ agg AS (
     CASE WHEN count(*) > 5 AND count(_r) > 2 THEN {_CORR} ELSE 0.0 END AS ret_autocorr_lag1
   FROM ret GROUP BY symbol),
 scored AS (
-  SELECT *, least(100.0, greatest(0.0, 50.0 * least(1.0, rows / 250.0) + 30.0 * (ret_autocorr_lag1 + 1.0) / 2.0
-            + 20.0 * exp(-5.0 * least(ret_var, 0.02)))) AS predictability_score,
+  SELECT *, CASE WHEN ret_autocorr_lag1 IS NOT NULL THEN least(100.0, greatest(0.0, 50.0 * least(1.0, rows / 250.0)
+            + 30.0 * (ret_autocorr_lag1 + 1.0) / 2.0 + 20.0 * exp(-5.0 * least(ret_var, 0.02)))) END AS predictability_score,
     array_to_string(list_filter([
       CASE WHEN rows < 120 THEN '{stats.WARN_SHORT}' END,
       CASE WHEN missing_max_pct > 0.05 THEN '{stats.WARN_MISSING}' END,

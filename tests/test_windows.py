@@ -124,3 +124,58 @@ def test_plan_has_one_exchange(spark, make_bars):
 def test_latest_change(spark, make_bars):
     r = win.latest_change(make_bars([10.0, 12.0, 9.0])).first()
     assert r["last"] == 9.0 and r["prev"] == 12.0 and math.isclose(r["change_pct"], -25.0)
+
+
+def test_constant_close_diagnostics_null_score(spark, make_bars):
+    from candlewick.operators import stats
+
+    d = stats.diagnostics(make_bars([10.0] * 60)).first()
+    assert d.ret_autocorr_lag1 is None and d.predictability_score is None
+    assert stats.WARN_CONSTANT in d.warnings and d.ret_var == 0.0
+
+
+def test_diagnostics_short_series_defaults(spark, make_bars):
+    from candlewick.operators import stats
+
+    d = stats.diagnostics(make_bars([10.0, 11.0, 12.0, 11.0, 10.5])).first()
+    assert d.ret_autocorr_lag1 == 0.0 and d.rows == 5 and stats.WARN_SHORT in d.warnings
+
+
+def test_segmented_equals_plain_with_tiny_segments(spark, make_bars):
+    rng = np.random.default_rng(3)
+    a = make_bars(list(100 * np.exp(np.cumsum(rng.normal(0, 0.02, 400)))), "A")
+    b = make_bars(list(50 * np.exp(np.cumsum(rng.normal(0, 0.02, 130)))), "B")
+    bars = a.unionByName(b)
+    plain = win.indicator_table(bars).orderBy("symbol", "dt").toPandas()
+    seg = win.indicator_table(bars, segment_rows=60).orderBy("symbol", "dt").toPandas()
+    pd.testing.assert_frame_equal(plain, seg)
+    from candlewick.operators import supervised as sv
+
+    ind = win.indicator_table(bars)
+    p = sv.supervised(ind, 2).orderBy("symbol", "dt").toPandas()
+    s = sv.supervised(ind, 2, segment_rows=60).orderBy("symbol", "dt").toPandas()
+    pd.testing.assert_frame_equal(p, s)
+
+
+def test_segmented_positions_on_timestamps(spark):
+    import datetime as dt
+
+    from candlewick.operators import segments
+
+    rows = [("S", dt.datetime(2024, 1, 1) + dt.timedelta(hours=5 * i), float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "symbol string, dt timestamp_ntz, close double")
+    pos = segments.with_positions(df).orderBy("dt").toPandas()
+    assert list(pos._pos) == list(range(300)) and (pos._n == 300).all()
+    seg = segments.segment(segments.with_positions(df), 100, back=5, fwd=1)
+    counts = seg.groupBy("_seg").count().orderBy("_seg").toPandas()["count"].tolist()
+    assert counts == [101, 106, 105]
+
+
+def test_history_status(spark, make_bars):
+    from candlewick.operators import stats
+
+    short = make_bars([1.0 + (i % 3) for i in range(30)], "SHORT")
+    ok = make_bars([100.0 + (i % 7) for i in range(120)], "OK")
+    bars = short.unionByName(ok)
+    st = {r.symbol: r.status for r in stats.history_status(bars, win.indicator_table(bars)).collect()}
+    assert st == {"SHORT": "insufficient_history", "OK": "ok"}

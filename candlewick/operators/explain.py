@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,8 @@ SEED = 42
 
 
 def permutation_importance(model: Fitted, sup: DataFrame, features: Sequence[str] | None = None,
-                           repeats: int = 10, seed: int = SEED) -> DataFrame:
+                           repeats: int = 10, seed: int = SEED, split_ranks: bool = True,
+                           rank_prefix: int = 1) -> DataFrame:
     """Mean drop of R^2 per (symbol, feature) over ``repeats`` permutations.
 
     The exploded rows stay narrow -- (symbol, i, feature, repeat, value) --
@@ -36,9 +38,16 @@ def permutation_importance(model: Fitted, sup: DataFrame, features: Sequence[str
     position.  A per-symbol linear model scores a permuted row in closed
     form (base prediction + w_j/sd_j * (new - old)); any other model gets
     the full row back by a join on (symbol, i) and one ``transform``.
+
+    ``split_ranks`` ranks inside (symbol, feature, repeat, first
+    ``rank_prefix`` hex digits of the key) and adds per-prefix offsets, so no
+    task sorts a whole symbol (16**rank_prefix bounded sorts instead of
+    one); the ranks are identical.
     """
     feats = list(features or model.features)
-    x = sup.select("symbol", "dt", "i", *feats, "label")
+    # x feeds the base score, the exploded rows and (generic models) the row
+    # join: materialise it once instead of re-running the window lineage.
+    x = sup.select("symbol", "dt", "i", *feats, "label").persist(StorageLevel.MEMORY_AND_DISK)
     base_pred = model.predict(x)
     base = met.regression_metrics(base_pred, ["symbol"]).select("symbol", F.col("r2").alias("base_r2"))
     long = x.select("symbol", "dt", "i", F.explode(F.array(*[
@@ -47,8 +56,15 @@ def permutation_importance(model: Fitted, sup: DataFrame, features: Sequence[str
         "rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("feature"),
                             F.col("symbol"), F.col("dt").cast("string")))
-    w = Window.partitionBy("symbol", "feature", "rep").orderBy(key, "dt")
-    ranked = long.withColumn("_pr", F.row_number().over(w) - 1)
+    if split_ranks:
+        from candlewick.operators.segments import with_positions
+
+        keyed = long.withColumn("_key", key)
+        ranked = with_positions(keyed, ["symbol", "feature", "rep"], ["_key", "dt"],
+                                bucket=F.substring("_key", 1, rank_prefix)).withColumnRenamed("_pos", "_pr").drop("_n", "_key")
+    else:
+        w = Window.partitionBy("symbol", "feature", "rep").orderBy(key, "dt")
+        ranked = long.withColumn("_pr", F.row_number().over(w) - 1)
     donor = ranked.select("symbol", "feature", "rep", F.col("_pr").alias("i"), F.col("_val").alias("_perm"))
     pairs = ranked.select("symbol", "feature", "rep", "i", "_val").join(donor, ["symbol", "feature", "rep", "i"])
     if model.coefs is not None:

@@ -35,12 +35,13 @@ CHART_SERIES = ["close", "ma_20", "ma_50", "volume", "rsi"]
 
 def chart_series(df: DataFrame) -> DataFrame:
     """Long (symbol, dt, series, value) table; a series with no value at
-    all for a symbol is left out (count over the symbol's series)."""
+    all for a symbol is left out (an aggregation of the series that have
+    values, then a semi-join: no task holds a whole symbol)."""
     cols = present(df, CHART_SERIES)
     long = df.select("symbol", "dt", *[F.col(c).cast("double") for c in cols]).unpivot(
         ["symbol", "dt"], cols, "series", "value")
-    w = Window.partitionBy("symbol", "series")
-    return long.withColumn("_c", F.count("value").over(w)).where(F.col("_c") > 0).drop("_c")
+    have = long.where(F.col("value").isNotNull()).select("symbol", "series").distinct()
+    return long.join(have, ["symbol", "series"], "left_semi").select("symbol", "dt", "series", "value")
 
 
 def sort_bars(df: DataFrame) -> DataFrame:

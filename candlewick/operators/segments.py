@@ -40,17 +40,23 @@ def time_bucket(df: DataFrame, col: str = "dt") -> Column:
     return F.to_date(F.col(col)).cast("string")
 
 
-def with_positions(df: DataFrame, partition: Sequence[str] = ("symbol",), order: str = "dt") -> DataFrame:
-    """Adds ``_pos`` (0-based row position in the symbol by ``order``) and
-    ``_n`` (rows of the symbol) using only bucket-bounded windows."""
+def with_positions(df: DataFrame, partition: Sequence[str] = ("symbol",), order: str | Sequence[str] = "dt",
+                   bucket: Column | None = None) -> DataFrame:
+    """Adds ``_pos`` (0-based row position in the partition by ``order``) and
+    ``_n`` (rows of the partition) using only bucket-bounded windows.
+
+    ``bucket`` must be monotone in ``order`` (default: the time bucket of the
+    first order column); rows are ranked inside their bucket only.
+    """
     keys = list(partition)
-    b = df.withColumn("_bucket", time_bucket(df, order))
+    order = [order] if isinstance(order, str) else list(order)
+    b = df.withColumn("_bucket", bucket if bucket is not None else time_bucket(df, order[0]))
     counts = b.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
     wb = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = counts.select(*keys, "_bucket", (F.sum("_c").over(wb) - F.col("_c")).alias("_off"),
                             F.sum("_c").over(Window.partitionBy(*keys)).alias("_n"))
     j = b.join(offsets, [*keys, "_bucket"])
-    w = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    w = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return j.withColumn("_pos", F.col("_off") + F.row_number().over(w) - 1).drop("_bucket", "_off")
 
 

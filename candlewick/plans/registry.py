@@ -29,6 +29,36 @@ def register(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
     return deco
 
 
+def positive_zero(sql: str) -> str:
+    """Wrap every ``round(...)`` as ``(round(...) + 0.0)``.
+
+    Spark's ``round`` goes through BigDecimal and never returns -0.0;
+    DuckDB's can.  Adding 0.0 turns -0.0 into +0.0 and changes nothing else.
+    """
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while k < len(sql):
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = positive_zero(sql[j + 6:k])
+        out.append(sql[i:j] + "(round(" + inner + ") + 0.0)")
+        i = k + 1
+
+
 def load_all() -> None:
     """Import every module that registers queries."""
     from candlewick.plans import q_features, q_sources, q_stats, q_supervised  # noqa: F401

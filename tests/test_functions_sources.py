@@ -144,3 +144,25 @@ def test_lookback_filter_reaches_parquet_scan(spark, make_bars):
     got = lookback.lookback(spark.read.parquet(d + "/bars"), "1y", "2024-12-31")
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThanOrEqual(dt" in plan
+
+
+def test_profile_fields_defaults(spark):
+    df = spark.createDataFrame([('{"longName": "Acme", "sector": "Tech", "marketCap": 5, "currency": "EUR"}', "ACM"),
+                                ("{}", "ZZZ")], "payload string, ticker string")
+    r = df.select(money.profile_fields(F.col("payload"), F.col("ticker")).alias("p")).collect()
+    assert r[0].p.name == "Acme" and r[0].p.industry == "N/A" and r[0].p.currency == "EUR" and r[0].p.market_cap == "5"
+    assert r[1].p.name == "ZZZ" and r[1].p.sector == "N/A" and r[1].p.market_cap == "N/A" and r[1].p.currency == "USD"
+    assert df.select(money.cap_display(F.lit("Commodity"), F.lit("$5")).alias("c")).first().c == "—"
+
+
+def test_csv_export_partitioned_with_header(spark, make_bars):
+    import os
+    import tempfile
+
+    from candlewick.sources import export
+
+    d = tempfile.mkdtemp(prefix="cw-csv-") + "/out"
+    export.write_csv(make_bars([1.0, 2.0], "A").unionByName(make_bars([3.0], "B")), d)
+    assert sorted(x for x in os.listdir(d) if x.startswith("symbol=")) == ["symbol=A", "symbol=B"]
+    back = spark.read.option("header", True).csv(d)
+    assert back.count() == 3 and "close" in back.columns

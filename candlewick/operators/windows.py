@@ -24,7 +24,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from candlewick.schema import FEATURES, INDICATORS, LAGS, OHLCV
+from candlewick.schema import INDICATORS, LAGS, OHLCV
 
 PARTITION = ("symbol",)
 
@@ -78,15 +78,14 @@ def with_sma(df: DataFrame, k: int, col: str = "close", out: str | None = None,
     return df.withColumn(out or f"ma_{k}", full_window(F.avg, col, k, w))
 
 
-def rsi_columns(df: DataFrame, window: int = 14, col: str = "close", out: str = "rsi",
-                w: WindowSpec | None = None) -> DataFrame:
+def rsi_columns(df: DataFrame, col: str = "close", w: WindowSpec | None = None) -> DataFrame:
+    """Stage ``_gain``/``_loss``; a missing first difference counts as 0."""
     w = w or series_window()
     c = F.col(col)
     delta = c - F.lag(c, 1).over(w)
-    staged = df.withColumn("_gain", F.when(delta > 0, delta).otherwise(F.lit(0.0))).withColumn(
+    return df.withColumn("_gain", F.when(delta > 0, delta).otherwise(F.lit(0.0))).withColumn(
         "_loss", F.when(delta < 0, -delta).otherwise(F.lit(0.0))
     )
-    return staged
 
 
 def rsi_expr(window: int, w: WindowSpec) -> Column:
@@ -100,7 +99,7 @@ def with_rsi(df: DataFrame, window: int = 14, col: str = "close", out: str = "rs
              w: WindowSpec | None = None) -> DataFrame:
     """RSI with a plain rolling mean of gains and losses."""
     w = w or series_window()
-    staged = rsi_columns(df, window, col, out, w)
+    staged = rsi_columns(df, col, w)
     return staged.withColumn(out, rsi_expr(window, w)).drop("_gain", "_loss")
 
 
@@ -264,7 +263,7 @@ def top_k(df: DataFrame, partition: Sequence[str], order: Column, k: int, rank_c
 
 
 __all__ = [
-    "FEATURES", "series_window", "full_window", "with_diff", "with_pct_change", "with_log_return",
+    "series_window", "full_window", "with_diff", "with_pct_change", "with_log_return",
     "with_sma", "with_rsi", "with_rolling_vol", "with_momentum", "with_zscore", "with_volume_ma",
     "with_lags", "with_forward_targets", "indicator_columns", "indicator_table", "latest_change", "top_k",
 ]

@@ -7,7 +7,6 @@ tree versions are row-checked here and tested against numpy/additivity.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from candlewick.operators import explain as X
 from candlewick.operators import models as M

@@ -63,7 +63,7 @@ def _one(name: str, spark_fn, cols: list[str], sql_cols: str):
     return q
 
 
-from candlewick.plans.sqlkit import frame as _frame, full as _full, ln as _ln, pct as _pct  # noqa: E402
+from candlewick.plans.sqlkit import full as _full, ln as _ln, pct as _pct  # noqa: E402
 
 _one("diff", lambda b: win.with_diff(b), ["diff"], f"close - lag(close) OVER {W_SQL} AS diff")
 _one("pct_change", lambda b: win.with_pct_change(b, 1, out="pct_change_1"), ["pct_change_1"],

@@ -204,3 +204,15 @@ def test_narrative_and_net_effect(spark):
     assert n == "- **a** increased the forecast by ~1.23%\n- **b** decreased the forecast by ~0.50%"
     e = X.net_effect(c).first()
     assert abs(e.net_effect - 0.734) < 1e-12 and e.bias == "bullish"
+
+
+def test_analyse_end_to_end(spark):
+    from candlewick.plans.analysis import analyse
+
+    bars = lineitem_bars(spark, SF)
+    out = analyse(bars, model="ridge", cv=5, days=3, refit=True)
+    n_sym = bars.select("symbol").distinct().count()
+    assert out["metrics"].count() == n_sym
+    assert out["forecast"].count() == 3 * n_sym
+    assert out["narrative"].where(F.col("narrative").isNull()).count() == 0
+    assert set(out["cv_means"].columns) >= {"cv_rmse", "cv_mae", "cv_r2"}

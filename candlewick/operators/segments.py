@@ -64,13 +64,14 @@ def segment(df: DataFrame, seg_rows: int = DEFAULT_SEG_ROWS, back: int = MAX_BAC
     """Adds ``_seg`` and ``_halo`` and duplicates halo rows (needs ``_pos``)."""
     if seg_rows <= back + fwd:
         raise ValueError("seg_rows must exceed the halo")
+    fwd_ok = F.lit(fwd > 0)
     seg = F.floor(F.col("_pos") / F.lit(seg_rows)).cast("long")
     r = F.col("_pos") % F.lit(seg_rows)
     has_next = (seg + 1) * F.lit(seg_rows) < F.col("_n") if "_n" in df.columns else F.lit(True)
     entries = F.array(
         F.struct(seg.alias("s"), F.lit(False).alias("h")),
         F.when((r >= F.lit(seg_rows - back)) & has_next, F.struct((seg + 1).alias("s"), F.lit(True).alias("h"))),
-        F.when((r < F.lit(fwd)) & (seg > 0), F.struct((seg - 1).alias("s"), F.lit(True).alias("h"))),
+        F.when(fwd_ok & (r < F.lit(fwd)) & (seg > 0), F.struct((seg - 1).alias("s"), F.lit(True).alias("h"))),
     )
     x = df.withColumn("_e", F.explode(F.filter(entries, lambda e: e.isNotNull())))
     return x.withColumn("_seg", F.col("_e.s")).withColumn("_halo", F.col("_e.h")).drop("_e")

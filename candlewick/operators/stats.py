@@ -25,8 +25,20 @@ SHORT_ROWS, MISSING_LIMIT, WEAK_AC = 120, 0.05, 0.02
 ANNUALISE = 252
 
 
-def with_returns(df: DataFrame, col: str = "close") -> DataFrame:
-    """Adds ``_r`` (row-to-row percent change) and ``_r_prev`` (its lag)."""
+def with_returns(df: DataFrame, col: str = "close", segment_rows: int | None = None) -> DataFrame:
+    """Adds ``_r`` (row-to-row percent change) and ``_r_prev`` (its lag).
+
+    ``segment_rows`` computes the lags over bounded segments with a two-row
+    halo (see :mod:`candlewick.operators.segments`); results are equal.
+    """
+    if segment_rows:
+        from candlewick.operators import segments as seg
+
+        base = seg.segment(seg.with_positions(df), segment_rows, back=2, fwd=0)
+        w = seg.segment_window()
+        r = pct_change(F.col(col), F.lag(col, 1).over(w))
+        out = base.withColumn("_r", r).withColumn("_r_prev", F.lag("_r", 1).over(w))
+        return out.where(~F.col("_halo")).drop("_pos", "_n", "_seg", "_halo")
     w = series_window()
     r = pct_change(F.col(col), F.lag(col, 1).over(w))
     return df.withColumn("_r", r).withColumn("_r_prev", F.lag("_r", 1).over(w))
@@ -40,11 +52,11 @@ def safe_corr(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_samp(xx, yy), F.stddev_samp(xx) * F.stddev_samp(yy))
 
 
-def diagnostics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def diagnostics(df: DataFrame, columns: Sequence[str] | None = None, segment_rows: int | None = None) -> DataFrame:
     """Rows, date span, max missing share, return variance, lag-1
     autocorrelation, predictability score and warnings, one row per symbol."""
     cols = [c for c in (columns or df.columns) if c != "symbol"]
-    d = with_returns(df)
+    d = with_returns(df, segment_rows=segment_rows)
     n = F.count(F.lit(1))
     nr = F.count("_r")
     agg = d.groupBy("symbol").agg(
@@ -75,9 +87,9 @@ def diagnostics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     )
 
 
-def volatility(df: DataFrame) -> DataFrame:
+def volatility(df: DataFrame, segment_rows: int | None = None) -> DataFrame:
     """Annualised volatility ``stddev(returns) * sqrt(252)``; NULL for <= 2 rows."""
-    d = with_returns(df)
+    d = with_returns(df, segment_rows=segment_rows)
     return d.groupBy("symbol").agg(
         F.when(F.count(F.lit(1)) > 2, F.stddev_samp("_r") * F.lit(ANNUALISE ** 0.5)).alias("volatility")
     )
@@ -90,9 +102,9 @@ def key_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def table_stats(df: DataFrame) -> DataFrame:
+def table_stats(df: DataFrame, segment_rows: int | None = None) -> DataFrame:
     """The data-table statistics per symbol, NULL where a column has no value."""
-    d = with_returns(df)
+    d = with_returns(df, segment_rows=segment_rows)
     n = F.count(F.lit(1))
     return d.groupBy("symbol").agg(
         F.max("high").alias("highest"),

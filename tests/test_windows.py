@@ -179,3 +179,17 @@ def test_history_status(spark, make_bars):
     bars = short.unionByName(ok)
     st = {r.symbol: r.status for r in stats.history_status(bars, win.indicator_table(bars)).collect()}
     assert st == {"SHORT": "insufficient_history", "OK": "ok"}
+
+
+def test_segmented_statistics_equal_plain(spark, make_bars):
+    from candlewick.operators import stats
+
+    rng = np.random.default_rng(5)
+    a = make_bars(list(100 * np.exp(np.cumsum(rng.normal(0, 0.02, 300)))), "A")
+    b = make_bars(list(50 * np.exp(np.cumsum(rng.normal(0, 0.02, 90)))), "B")
+    bars = a.unionByName(b)
+    for fn in (stats.diagnostics, stats.volatility, stats.table_stats):
+        x = fn(bars).orderBy("symbol").toPandas()
+        y = fn(bars, segment_rows=40).orderBy("symbol").toPandas()
+        num = x.select_dtypes("number").columns
+        assert np.allclose(x[num].to_numpy(dtype=float), y[num].to_numpy(dtype=float), rtol=1e-12, equal_nan=True)

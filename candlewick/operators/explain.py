@@ -46,7 +46,8 @@ def permutation_importance(model: Fitted, sup: DataFrame, features: Sequence[str
     """
     feats = list(features or model.features)
     # x feeds the base score, the exploded rows and (generic models) the row
-    # join: materialise it once instead of re-running the window lineage.
+    # join: materialise it once instead of re-running the window lineage.  It
+    # stays cached (the result is lazy); spark.catalog.clearCache() frees it.
     x = sup.select("symbol", "dt", "i", *feats, "label").persist(StorageLevel.MEMORY_AND_DISK)
     base_pred = model.predict(x)
     base = met.regression_metrics(base_pred, ["symbol"]).select("symbol", F.col("r2").alias("base_r2"))

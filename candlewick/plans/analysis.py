@@ -23,21 +23,23 @@ from candlewick.operators.windows import indicator_table
 
 def analyse(bars: DataFrame, model: str = "random_forest", target_type: str = "return", cv: int | None = 5,
             days: int = 7, refit: bool = False, inference_row: str = "latest", explain: bool = True,
-            params: dict | None = None) -> dict[str, DataFrame]:
+            params: dict | None = None, segment_rows: int | None = None) -> dict[str, DataFrame]:
     """Features, diagnostics, CV (``cv=None`` skips it, D30), 80/20 back-test,
     one-step and ``days``-step forecasts and explanations for every symbol.
 
     ``refit=False`` forecasts with the back-test model fitted on the first
     80 % (the reference, D13); ``True`` refits on all rows first.
+    ``segment_rows`` runs the ordered windows over bounded segments (long
+    intraday series of a hot symbol); results are the same.
     """
     mem = StorageLevel.MEMORY_AND_DISK
-    ind = indicator_table(bars).persist(mem)
-    live = indicator_table(bars, drop_incomplete=False)
-    sup = sv.supervised(ind, 1, target_type).persist(mem)
+    ind = indicator_table(bars, segment_rows=segment_rows).persist(mem)
+    live = indicator_table(bars, drop_incomplete=False, segment_rows=segment_rows)
+    sup = sv.supervised(ind, 1, target_type, segment_rows=segment_rows).persist(mem)
     out: dict[str, DataFrame] = {
         "indicators": ind,
-        "diagnostics": stats.diagnostics(ind),
-        "volatility": stats.volatility(ind),
+        "diagnostics": stats.diagnostics(ind, segment_rows=segment_rows),
+        "volatility": stats.volatility(ind, segment_rows=segment_rows),
         "key_stats": stats.key_stats(ind),
         "history_status": stats.history_status(bars, ind, cv or 5),
     }

@@ -216,3 +216,8 @@ def test_analyse_end_to_end(spark):
     assert out["forecast"].count() == 3 * n_sym
     assert out["narrative"].where(F.col("narrative").isNull()).count() == 0
     assert set(out["cv_means"].columns) >= {"cv_rmse", "cv_mae", "cv_r2"}
+    seg = analyse(bars, model="ridge", cv=None, days=2, explain=False, segment_rows=300)
+    a = out["diagnostics"].orderBy("symbol").toPandas()
+    b = seg["diagnostics"].orderBy("symbol").toPandas()
+    assert np.allclose(a.predictability_score.to_numpy(dtype=float), b.predictability_score.to_numpy(dtype=float))
+    assert seg["forecast"].count() == 2 * n_sym

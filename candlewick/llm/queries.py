@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm import compression_quality
+from candlewick.llm import compression_quality, mixing, secret_scan
 from candlewick.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,16 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op1_mix_sources")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_secret_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op10_compression_quality")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,3 +25,12 @@ def cut(df: DataFrame) -> DataFrame:
 def crc_fold(col) -> F.Column:
     """crc32 of the id as text, modulo 4 (the fold that labels are split by)."""
     return F.crc32(col.cast("string").cast("binary")) % 4
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A compressed table in the shared checkpoint folder, read back: for
+    results that several later steps read."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

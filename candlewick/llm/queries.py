@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm import compression_quality, mixing, piece_sampling, secret_scan
+from candlewick.llm import compression_quality, jaccard_join, mixing, piece_sampling, secret_scan
 from candlewick.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op4_jaccard_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.component_table(table(spark, sf_dir, "documents"))
+
+
 @query("op10_compression_quality")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -151,3 +151,32 @@ def inside_rows(words: Words, k: int) -> np.ndarray:
     """Whether the k words from each position on are of one row."""
     n = len(words.row) - k + 1
     return words.row[:n] == words.row[k - 1:] if n > 0 else np.zeros(0, bool)
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted 64-bit values as compressed differences (byte planes, zstandard)."""
+    import zstandard
+
+    steps = np.diff(values, prepend=_U64(0)).astype("<u8")
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack_sorted(body: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def pack_counts(values: np.ndarray) -> bytes:
+    """Small numbers (below 2**32) as compressed byte planes."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack_counts(body: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm import compression_quality, jaccard_join, mixing, piece_sampling, secret_scan, substring_dedup
+from candlewick.llm import compression_quality, embedding_dedup, jaccard_join, mixing, piece_sampling, secret_scan, substring_dedup
 from candlewick.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
+@query("op8_embedding_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op10_compression_quality")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

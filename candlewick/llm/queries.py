@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm import compression_quality, embedding_dedup, jaccard_join, mixing, piece_sampling, secret_scan, substring_dedup
+from candlewick.llm import compression_quality, embedding_dedup, jaccard_join, mixing, piece_sampling, robust_outliers, secret_scan, substring_dedup
 from candlewick.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
+@query("op7_robust_outliers")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (robust_outliers.verdicts(table(spark, sf_dir, "documents"))
+            .select("doc_id", *robust_outliers.COUNTS[:5], "base_failed", "kept", "distance"))
+
+
 @query("op8_embedding_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm import compression_quality, embedding_dedup, jaccard_join, mixing, piece_sampling, robust_outliers, secret_scan, substring_dedup
+from candlewick.llm import compression_quality, embedding_dedup, jaccard_join, mixing, piece_sampling, robust_outliers, secret_scan, substring_dedup, warc_fixity
 from candlewick.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query("op9_warc_fixity", warc_fixity.ORACLE)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_fixity.audit(*warc_fixity.page_records(spark, sf_dir))
+
+
 @query("op10_compression_quality")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm import compression_quality, embedding_dedup, jaccard_join, mixing, piece_sampling, robust_outliers, secret_scan, substring_dedup, warc_fixity
+from candlewick.llm import compression_quality, embedding_dedup, jaccard_join, license_scan, mixing, piece_sampling, robust_outliers, secret_scan, substring_dedup, warc_fixity
 from candlewick.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
+@query("op6_license_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op7_robust_outliers")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (robust_outliers.verdicts(table(spark, sf_dir, "documents"))

@@ -60,14 +60,14 @@ def window_entropies(text: str, window: int = WINDOW) -> Iterator[float]:
     counts: dict[str, int] = {}
     total, top = 0.0, math.log2(window)
     for i, c in enumerate(text):
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        total += table[n + 1] - table[n]
         if i >= window:
             old = text[i - window]
             n = counts[old]
             counts[old] = n - 1
             total -= table[n] - table[n - 1]
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        total += table[n + 1] - table[n]
         if i >= window - 1:
             yield top - total / window
 

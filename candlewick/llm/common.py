@@ -22,6 +22,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB unless the session names a size: rows can
+    be long, and a batch is held by the JVM and a Python worker at once."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, "8m")
+
+
 def crc_fold(col) -> F.Column:
     """crc32 of the id as text, modulo 4 (the fold that labels are split by)."""
     return F.crc32(col.cast("string").cast("binary")) % 4

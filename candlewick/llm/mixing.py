@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import cut
+from candlewick.llm.common import bound_batches, cut
 from candlewick.llm.words import WORD
 
 MAX_SOURCES = 100_000
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 2_000
 BLOCK_WORDS = 128
 SHARD_SLOTS = 1024
 
@@ -203,6 +203,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_repeat: float = 3, block_words:
     """Plan and slots of the mix; ``weights`` go round the sources in code
     point order, null last."""
     spark = docs.sparkSession
+    bound_batches(spark)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sized = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text", "source").alias("_print"))
     same = Window.partitionBy("doc_id", "_print").orderBy(F.lit(0))
@@ -247,7 +248,8 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_repeat: float = 3, block_words:
     pieces = (rows.where("size > 0")
               .withColumn("block", F.explode(F.sequence(F.floor(F.col("_first") / b), F.floor((last - 1) / b))))
               .withColumn("_from", F.greatest("_first", F.col("block") * b)).withColumn("_to", F.least(last, (F.col("block") + 1) * b)))
-    takes = (pieces.join(slots, ["source_no", "block"])
+    # both sides grow with the corpus; the planner's size guess for slots is that of shard numbers
+    takes = (pieces.join(slots.hint("merge"), ["source_no", "block"])
              .withColumn("_to", F.least("_to", F.col("block") * b + F.col("take"))).where("_to > _from")
              .select(*KEY, "shard", "slot", (F.col("_from") - F.col("_first")).alias("word_from"), (F.col("_to") - F.col("_first")).alias("word_to")))
     return Mix(rows, slots, takes, p, sources)

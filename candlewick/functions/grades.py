@@ -11,8 +11,14 @@ SIGNAL_STRONG, SIGNAL_NEUTRAL_FLOOR = 2.0, -2.0
 R2_EXCELLENT, R2_GOOD, R2_MODERATE = 0.8, 0.6, 0.4
 
 
+def _number(c: Column) -> Column:
+    """NaN -> NULL: Spark orders NaN above every number, so it would grade as the top class."""
+    return F.when(~F.isnan(c), c)
+
+
 def rsi_state(rsi: Column) -> Column:
-    """overbought above 70, oversold below 30, else neutral (NULL stays NULL)."""
+    """overbought above 70, oversold below 30, else neutral (NULL and NaN give NULL)."""
+    rsi = _number(rsi)
     return (F.when(rsi.isNull(), F.lit(None).cast("string"))
             .when(rsi > RSI_OVERBOUGHT, F.lit("overbought"))
             .when(rsi < RSI_OVERSOLD, F.lit("oversold"))
@@ -20,7 +26,8 @@ def rsi_state(rsi: Column) -> Column:
 
 
 def signal(pct: Column) -> Column:
-    """strong bullish > 2 %, mild bullish > 0, neutral > -2 %, else bearish."""
+    """strong bullish > 2 %, mild bullish > 0, neutral > -2 %, else bearish (NULL and NaN give NULL)."""
+    pct = _number(pct)
     return (F.when(pct.isNull(), F.lit(None).cast("string"))
             .when(pct > SIGNAL_STRONG, F.lit("strong bullish"))
             .when(pct > 0, F.lit("mild bullish"))
@@ -29,7 +36,8 @@ def signal(pct: Column) -> Column:
 
 
 def r2_grade(r2: Column) -> Column:
-    """excellent > 0.8, good > 0.6, moderate > 0.4, else poor (NULL counts as poor)."""
+    """excellent > 0.8, good > 0.6, moderate > 0.4, else poor (NULL and NaN count as poor)."""
+    r2 = _number(r2)
     return (F.when(r2 > R2_EXCELLENT, F.lit("excellent"))
             .when(r2 > R2_GOOD, F.lit("good"))
             .when(r2 > R2_MODERATE, F.lit("moderate"))
@@ -42,5 +50,5 @@ def price_from_return(price: Column, ret_pct: Column) -> Column:
 
 
 def change_pct(new: Column, old: Column) -> Column:
-    """percent change, 0 when the old price is 0."""
-    return F.coalesce(F.try_divide(new - old, old) * F.lit(100.0), F.lit(0.0))
+    """percent change; 0 when the old price is 0, NULL when either price is missing."""
+    return F.when(new.isNotNull() & (old == 0), F.lit(0.0)).otherwise(F.try_divide(new - old, old) * F.lit(100.0))

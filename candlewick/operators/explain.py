@@ -17,13 +17,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.operators import metrics as met
 from candlewick.operators.models import Fitted
 from candlewick.operators.projections import seeded_sample
+from candlewick.session import ensure_checkpoint_dir
 
 SEED = 42
 
@@ -46,9 +46,10 @@ def permutation_importance(model: Fitted, sup: DataFrame, features: Sequence[str
     """
     feats = list(features or model.features)
     # x feeds the base score, the exploded rows and (generic models) the row
-    # join: materialise it once instead of re-running the window lineage.  It
-    # stays cached (the result is lazy); spark.catalog.clearCache() frees it.
-    x = sup.select("symbol", "dt", "i", *feats, "label").persist(StorageLevel.MEMORY_AND_DISK)
+    # join: materialise it once, as checkpoint files, instead of re-running the
+    # window lineage; nothing stays cached.
+    ensure_checkpoint_dir(sup.sparkSession)
+    x = sup.select("symbol", "dt", "i", *feats, "label").checkpoint(eager=True)
     base_pred = model.predict(x)
     base = met.regression_metrics(base_pred, ["symbol"]).select("symbol", F.col("r2").alias("base_r2"))
     long = x.select("symbol", "dt", "i", F.explode(F.array(*[

@@ -1,7 +1,8 @@
 """Forecasts: one step, iterative multi-step, dates, price path, signals.
 
-The iterative forecast keeps one state row per symbol -- the last 52
-closes and 12 volumes as arrays plus the last open/high/low -- and
+The iterative forecast keeps one state row per symbol -- the last 50 closes
+(two more for the reference's inference row) and 12 volumes of complete bars
+as arrays plus the last open/high/low -- and
 recomputes the 22 features from the arrays with Spark's higher-order
 functions.  One step is a narrow projection (plus ``model.transform`` for a
 panel model): no shuffle, and the lineage is cut with ``checkpoint()``
@@ -18,10 +19,10 @@ from candlewick.functions.calendar import business_days_after
 from candlewick.functions.grades import change_pct, price_from_return, signal
 from candlewick.operators.linear import linear_prediction
 from candlewick.operators.models import Fitted
-from candlewick.schema import FEATURES, LAGS
+from candlewick.schema import FEATURES, LAGS, OHLCV
 from candlewick.session import ensure_checkpoint_dir
 
-STATE_CLOSES = 52   # MA_50 needs 50; the reference inference row lags two more
+STATE_CLOSES = 50   # MA_50; the reference's inference row lags two more
 STATE_VOLUMES = 12
 # The placeholder bar appended after each predicted close.
 HIGH_FACTOR, LOW_FACTOR = 1.01, 0.99
@@ -95,22 +96,45 @@ def state_features(off: int = 0) -> list[Column]:
     return [feats[f].alias(f) for f in FEATURES]
 
 
-def initial_state(bars: DataFrame) -> DataFrame:
-    """One row per symbol from the raw bars: the last 52 closes and 12
-    volumes in date order, plus the last open/high/low and date.
-
-    ``row_number() <= 52`` lets Spark keep 52 rows per symbol and map task
-    before the shuffle (WindowGroupLimit); a symbol with fewer than 52
-    bars gets no state (status ``insufficient_history``).
+def complete_bar() -> Column:
+    """Whether a bar has its date and all five values."""
+    ok = F.col("dt").isNotNull()
+    for c in OHLCV:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(c)
+    return ok
+
+
+def forecast_status(bars: DataFrame, model: Fitted | None = None, inference_row: str = "latest") -> DataFrame:
+    """One row per symbol: bars, complete_bars and whether it can be forecast
+    (``ok``, ``insufficient history``, or ``no model`` where a per-symbol model
+    has no coefficients)."""
+    need = STATE_CLOSES + (0 if inference_row == "latest" else 2)
+    held = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.count(F.when(complete_bar(), 1)).alias("complete_bars"))
+    fitted = F.lit(True)
+    if model is not None and model.coefs is not None:
+        held = held.join(model.coefs.select("symbol", F.lit(True).alias("_fit")), "symbol", "left")
+        fitted = F.col("_fit").isNotNull()
+    status = F.when(F.col("complete_bars") < need, "insufficient history").when(~fitted, "no model").otherwise("ok")
+    return held.select("symbol", "bars", "complete_bars", status.alias("status"))
+
+
+def initial_state(bars: DataFrame, size: int = STATE_CLOSES) -> DataFrame:
+    """One row per symbol: the last ``size`` closes and 12 volumes of its
+    complete bars in date order, plus the last open/high/low and date.
+
+    Bars with a missing value are left out, as the reference forecasts from
+    rows without gaps.  ``row_number() <= size`` lets Spark keep that many rows
+    per symbol and map task before the shuffle (WindowGroupLimit); a symbol
+    with fewer complete bars has no state (see :func:`forecast_status`).
     """
     w = Window.partitionBy("symbol").orderBy(F.col("dt").desc())
-    tail = bars.where(F.col("dt").isNotNull()).select(
+    tail = bars.where(complete_bar()).select(
         "symbol", "dt", "open", "high", "low", "close", "volume", F.row_number().over(w).alias("_rn")
-    ).where(F.col("_rn") <= STATE_CLOSES)
+    ).where(F.col("_rn") <= size)
     g = tail.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("_n"),
         F.array_sort(F.collect_list(F.struct("dt", "close", "volume", "open", "high", "low"))).alias("_rows"),
-    ).where(F.col("_n") == STATE_CLOSES)
+    ).where(F.col("_n") == size)
     return g.select(
         "symbol",
         F.element_at("_rows", -1)["dt"].alias("last_dt"),
@@ -131,18 +155,20 @@ def _attach_linear(state: DataFrame, model: Fitted) -> DataFrame:
 
 def iterative_forecast(bars: DataFrame, model: Fitted, days: int = 7, target_type: str = "return",
                        inference_row: str = "latest", checkpoint_every: int = 3) -> DataFrame:
-    """P2 + P3: ``days`` (1-30) steps ahead for every symbol at once.
+    """P2 + P3: ``days`` (1-30) steps ahead for every symbol at once; a symbol
+    that cannot be forecast has its rows with NULL values and its status.
 
     Each step predicts from the features of the newest bar
     (``inference_row="latest"``; ``"reference"`` uses the bar two rows
     earlier, as the reference does), appends a bar with open = close,
     high/low = close x 1.01/0.99 and the volume carried, and moves the date
-    to the next business day.  Returns (symbol, step, dt, y_hat, price).
+    to the next business day.  Returns (symbol, step, dt, y_hat, price, status).
     """
     if not 1 <= days <= 30:
         raise ValueError("days must be between 1 and 30")
     off = 0 if inference_row == "latest" else 2
-    state = initial_state(bars)
+    size = STATE_CLOSES + off
+    state = initial_state(bars, size)
     linear_model = model.coefs is not None
     if linear_model:
         state = _attach_linear(state, model)
@@ -159,11 +185,11 @@ def iterative_forecast(bars: DataFrame, model: Fitted, days: int = 7, target_typ
                                            "preds", "prices")]
     next_cols = [
         *carried,
-        F.slice(F.concat("closes", F.array("_new")), 2, STATE_CLOSES).alias("closes"),
+        F.slice(F.concat("closes", F.array("_new")), 2, size).alias("closes"),
         F.slice(F.concat("volumes", F.array(F.element_at("volumes", -1))), 2, STATE_VOLUMES).alias("volumes"),
-        F.slice(F.concat("opens", F.array("_new")), 2, STATE_CLOSES).alias("opens"),
-        F.slice(F.concat("highs", F.array(F.col("_new") * HIGH_FACTOR)), 2, STATE_CLOSES).alias("highs"),
-        F.slice(F.concat("lows", F.array(F.col("_new") * LOW_FACTOR)), 2, STATE_CLOSES).alias("lows"),
+        F.slice(F.concat("opens", F.array("_new")), 2, size).alias("opens"),
+        F.slice(F.concat("highs", F.array(F.col("_new") * HIGH_FACTOR)), 2, size).alias("highs"),
+        F.slice(F.concat("lows", F.array(F.col("_new") * LOW_FACTOR)), 2, size).alias("lows"),
         F.col("_new").alias("_o"),
         (F.col("_new") * F.lit(HIGH_FACTOR)).alias("_h"),
         (F.col("_new") * F.lit(LOW_FACTOR)).alias("_l"),
@@ -178,23 +204,28 @@ def iterative_forecast(bars: DataFrame, model: Fitted, days: int = 7, target_typ
             state = state.checkpoint(eager=True)
     out = state.select("symbol", "last_dt", F.posexplode(F.arrays_zip("preds", "prices")).alias("_p", "_v"))
     step_col = (F.col("_p") + 1).cast("int")
-    return out.select("symbol", step_col.alias("step"), business_days_after(F.col("last_dt"), step_col).alias("dt"),
-                      F.col("_v")["preds"].alias("y_hat"), F.col("_v")["prices"].alias("price"))
+    steps = out.select("symbol", step_col.alias("step"), business_days_after(F.col("last_dt"), step_col).alias("dt"),
+                       F.col("_v")["preds"].alias("y_hat"), F.col("_v")["prices"].alias("price"))
+    asked = forecast_status(bars, model, inference_row).select(
+        "symbol", "status", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("step"))
+    return asked.join(steps, ["symbol", "step"], "left").select("symbol", "step", "dt", "y_hat", "price", "status")
 
 
 def one_step(ind_live: DataFrame, sup: DataFrame, model: Fitted, target_type: str = "return",
-             inference_row: str = "latest") -> DataFrame:
+             inference_row: str = "latest", processed: DataFrame | None = None) -> DataFrame:
     """P1 + P5: next-step prediction per symbol, price, change and signal.
 
     ``latest`` scores the newest bar of the processed table kept with
-    ``drop_incomplete=False``; ``reference`` scores the last supervised
-    row as the reference does.  Either way the result is applied to the
-    newest close.
+    ``drop_incomplete=False`` and starts from its close; ``reference`` scores
+    the last supervised row and starts from the last close of the processed
+    table (``processed``), one bar before the newest, as the reference does.
     """
+    if inference_row != "latest" and processed is None:
+        raise ValueError("inference_row='reference' needs the processed table")
     w = Window.partitionBy("symbol").orderBy(F.col("dt").desc())
     src = ind_live if inference_row == "latest" else sup
     row = src.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
-    current = ind_live.groupBy("symbol").agg(F.max_by("close", "dt").alias("current_price"))
+    current = (ind_live if inference_row == "latest" else processed).groupBy("symbol").agg(F.max_by("close", "dt").alias("current_price"))
     scored = model.predict(row.select("symbol", "dt", *FEATURES)).join(current, "symbol")
     y = F.col("prediction")
     nxt = price_from_return(F.col("current_price"), y) if target_type == "return" else y

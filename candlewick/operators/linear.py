@@ -74,6 +74,7 @@ def _solve_rows(pdf: pd.DataFrame, p: int, model: str, alpha_col: str | None, al
     G = C / (sd[:, :, None] * sd[:, None, :])
     b = sxy / sd
     a = pdf[alpha_col].to_numpy(dtype=float) if alpha_col else np.full(m, alpha)
+    steps = np.zeros(m, dtype=np.int64)
     if model == "ridge":
         w = np.linalg.solve(G + a[:, None, None] * np.eye(p)[None], b[:, :, None])[:, :, 0]
     else:
@@ -97,10 +98,13 @@ def _solve_rows(pdf: pd.DataFrame, p: int, model: str, alpha_col: str | None, al
                 delta = np.maximum(delta, np.abs(new - wa[:, j]))
                 wa[:, j] = new
             w[idx] = wa
+            steps[idx] += 1
             active[idx] = delta > tol * np.maximum(1.0, np.abs(wa).max(axis=1))
     res = pdf.drop(columns=["sxx", "sxy", "syy"]).copy()
     res["sd"] = list(sd)
     res["w"] = list(w)
+    res["iterations"] = steps
+    res["converged"] = ~active if model == "lasso" else np.ones(m, dtype=bool)
     return res
 
 
@@ -110,7 +114,8 @@ def fit_linear(train: DataFrame, keys: Sequence[str], features: Sequence[str], m
     """Fit ridge (``alpha`` default 1.0) or lasso (default 0.001) per group.
 
     Returns keys, n, mu[], sd[], ybar, w[] (coefficients on standardised
-    features).  ``alpha_col`` names a key column holding alpha per group
+    features), iterations and ``converged`` (false where lasso stopped at
+    ``max_iter``; ridge is solved directly).  ``alpha_col`` names a key column holding alpha per group
     (used by the grid search, where alpha is one of the keys).
     """
     if model not in ("ridge", "lasso"):
@@ -123,6 +128,7 @@ def fit_linear(train: DataFrame, keys: Sequence[str], features: Sequence[str], m
         T.StructField("n", T.LongType()), T.StructField("mu", T.ArrayType(T.DoubleType())),
         T.StructField("ybar", T.DoubleType()), T.StructField("sd", T.ArrayType(T.DoubleType())),
         T.StructField("w", T.ArrayType(T.DoubleType())),
+        T.StructField("iterations", T.LongType()), T.StructField("converged", T.BooleanType()),
     ])
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,5 +154,5 @@ def predict_linear(rows: DataFrame, coefs: DataFrame, keys: Sequence[str], featu
                    out: str = "prediction") -> DataFrame:
     """Score ``rows`` with the coefficients of their group (equi-join on ``keys``)."""
     c = coefs.select(*keys, "mu", "sd", "ybar", "w")
-    j = rows.join(c, list(keys), "inner")
+    j = rows.join(c, list(keys), "left")  # a group without coefficients keeps its rows, prediction NULL
     return j.withColumn(out, linear_prediction(features)).drop("mu", "sd", "ybar", "w")

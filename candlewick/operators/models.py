@@ -29,6 +29,7 @@ from candlewick.operators import linear
 from candlewick.operators import metrics as met
 from candlewick.operators import supervised as sv
 from candlewick.schema import FEATURES
+from candlewick.session import ensure_checkpoint_dir
 
 SEED = 42
 
@@ -95,7 +96,7 @@ MODELS: dict[str, ModelSpec] = {
 def select_model(name: str) -> ModelSpec:
     """M7: the model spec by name; an unknown name lists the choices."""
     if name not in MODELS:
-        raise ValueError(f"Model '{name}' not found. Available models: {list(MODELS)}")
+        raise ValueError(f"unknown model {name!r}; choose one of: {', '.join(MODELS)}")
     return MODELS[name]
 
 
@@ -173,6 +174,10 @@ def fit(name: str, train: DataFrame, features: Sequence[str] = FEATURES, scope:
     if scope == "symbol":
         if not spec.linear:
             raise ValueError(f"{name} has no per-symbol fit; use scope='panel'")
+        if "alpha_by_symbol" in params:  # (symbol, alpha): the penalty is one more group column
+            tuned = train.join(params["alpha_by_symbol"].select("symbol", "alpha"), "symbol")
+            coefs = linear.fit_linear(tuned, [*keys, "alpha"], list(features), name, alpha_col="alpha")
+            return Fitted(name, scope, list(features), coefs=coefs, keys=list(keys))
         alpha = params.get("alpha", spec.default_alpha)
         coefs = linear.fit_linear(train, list(keys), list(features), name, alpha=alpha)
         return Fitted(name, scope, list(features), coefs=coefs, keys=list(keys))
@@ -202,7 +207,9 @@ def cv_predictions(name: str, sup: DataFrame, k: int = 5, features: Sequence[str
         test = f.where(F.col("role") == "test").select(*cols)
         m = fit(name, train, features, "symbol", ("symbol", "fold"), params)
         return m.predict(test).select("symbol", "fold", "dt", "label", "prediction")
-    f = f.select(*cols, "role").persist()
+    # read by every fold's fit and by the lazy result: kept as checkpoint files, which outlive executors
+    ensure_checkpoint_dir(sup.sparkSession)
+    f = f.select(*cols, "role").checkpoint(eager=True)
     parts = []
     for fold in range(1, k + 1):
         train = f.where((F.col("fold") == fold) & (F.col("role") == "train"))
@@ -246,7 +253,12 @@ def train_model(name: str, sup: DataFrame, k: int = 5, tune: bool = False, tune_
     """
     params = None
     if tune:
-        params = random_search(name, sup, k, tune_iter, features=features, scope=scope)[0]
+        params, table = random_search(name, sup, k, tune_iter, features=features, scope=scope)
+        if (scope or ("symbol" if select_model(name).linear else "panel")) == "symbol":
+            best = table.where("best").select("symbol", "alpha")
+            pred = cv_predictions(name, sup, k, features, "symbol", {"alpha_by_symbol": best})
+            fm = met.regression_metrics(pred, ["symbol", "fold"])
+            return fit(name, sup, features, "symbol", params={"alpha_by_symbol": best}), fm, met.fold_means(fm)
     fm, means = cv_score(name, sup, k, features=features, scope=scope, params=params)
     return fit(name, sup, features, scope, params=params), fm, means
 

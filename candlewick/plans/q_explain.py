@@ -1,8 +1,9 @@
 """Explanation queries.
 
-The one-feature ridge (``price_change``) has a closed form, so its
-importance and contributions are checked against SQL; the 22-feature and
-tree versions are row-checked here and tested against numpy/additivity.
+Importance, contributions and narrative of the per-symbol ridge, with one and
+with all 22 features, are checked against SQL (``ridge_sql`` solves the normal
+equations in DuckDB); the tree versions are row-checked here and tested
+against additivity.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from candlewick.operators.windows import indicator_table
 from candlewick.plans.present import rounded
 from candlewick.plans.q_supervised import sup_cte
 from candlewick.plans.registry import register
+from candlewick.plans.ridge_sql import predicted, ridge_ctes
 from candlewick.plans.sqlkit import base_ctes
 from candlewick.sources.trades import lineitem_bars
 
@@ -56,7 +58,29 @@ def q_importance_linear(spark, sf):
     return rounded(X.rank_importance(X.permutation_importance(m, sup)))
 
 
-@register("importance_ridge")
+RIDGE = f"""WITH RECURSIVE {base_ctes()}, {sup_cte()}, {ridge_ctes("sup")}, {predicted("sup", "symbol, dt, i, label")}"""
+PHI = RIDGE + """,
+bgr AS (SELECT rid FROM (SELECT rid, row_number() OVER (PARTITION BY symbol ORDER BY md5(concat_ws('|', '42', symbol, CAST(dt AS VARCHAR))), dt) AS rn FROM te_n) a WHERE rn <= 200),
+bg AS (SELECT symbol, f, avg(v) AS bgv FROM te JOIN bgr USING (rid) GROUP BY symbol, f),
+lastr AS (SELECT symbol, arg_max(rid, dt) AS rid FROM te_n GROUP BY symbol),
+phis AS (SELECT te.symbol, te.dt, te.f AS feature, w / sd * (v - bgv) AS phi FROM te JOIN lastr USING (rid) JOIN bg ON bg.symbol = te.symbol AND bg.f = te.f
+         JOIN coef ON coef.symbol = te.symbol AND coef.idx = te.idx),
+ct AS (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY abs(phi) DESC, feature) AS INTEGER) AS rank FROM phis)"""
+
+
+@register("importance_ridge", RIDGE + f""",
+base AS (SELECT te.rid, te.symbol, te.dt, te.i, te.label, te.f, te.v, p.pred AS bp, w / sd AS c FROM te JOIN pred p USING (rid)
+         JOIN coef ON coef.symbol = te.symbol AND coef.idx = te.idx),
+reps AS (SELECT *, CAST(r AS INTEGER) AS rep FROM base, range(0, 10) t(r)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol, f, rep ORDER BY
+  md5(concat_ws('|', '42', CAST(rep AS VARCHAR), f, symbol, CAST(dt AS VARCHAR))), dt) - 1 AS pr FROM reps),
+perm AS (SELECT a.symbol, a.f, a.rep, a.label, a.bp + a.c * (d.v - a.v) AS pp
+         FROM ranked a JOIN ranked d ON a.symbol = d.symbol AND a.f = d.f AND a.rep = d.rep AND a.i = d.pr),
+pr2 AS ({_r2("perm", "symbol, f, rep", "pp")}),
+br2 AS ({_r2("pred", "symbol", "pred")}),
+imp AS (SELECT symbol, f AS feature, max(br2.r2) - avg(pr2.r2) AS importance, stddev_pop(pr2.r2) AS importance_std FROM pr2 JOIN br2 USING (symbol) GROUP BY symbol, f)
+SELECT symbol, feature, round(importance, 4) AS importance, round(importance_std, 4) AS importance_std,
+  CAST(row_number() OVER (PARTITION BY symbol ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM imp""")
 def q_importance_ridge(spark, sf):
     """X1 + L3: permutation importance of the 22-feature per-symbol ridge, ranked."""
     sup = _sup(spark, sf)
@@ -83,7 +107,7 @@ def q_contributions_linear(spark, sf):
     return rounded(X.linear_contributions(m, sup))
 
 
-@register("contributions_ridge")
+@register("contributions_ridge", PHI + " SELECT symbol, dt, feature, round(phi, 4) AS phi, rank FROM ct")
 def q_contributions_ridge(spark, sf):
     """X2 + W13: linear contributions of the 22-feature ridge, ranked by |phi|."""
     sup = _sup(spark, sf)
@@ -124,7 +148,11 @@ def q_net_effect(spark, sf):
     return rounded(X.net_effect(X.linear_contributions(m, sup)))
 
 
-@register("narrative_ridge")
+@register("narrative_ridge", PHI + """
+SELECT symbol, string_agg('- **' || feature || '** ' || CASE WHEN phi > 0 THEN 'increased' ELSE 'decreased' END
+  || ' the forecast by ~' || printf('%.2f', round(abs(phi), 2)) || '%', chr(10) ORDER BY rank) FILTER (WHERE rank <= 5) AS narrative,
+  round(sum(phi), 4) AS net_effect, CASE WHEN sum(phi) > 0 THEN 'bullish' ELSE 'bearish' END AS bias
+FROM ct GROUP BY symbol""")
 def q_narrative_ridge(spark, sf):
     """X4 + X5: top-5 narrative and net effect of the 22-feature ridge."""
     sup = _sup(spark, sf)

@@ -11,8 +11,9 @@ from candlewick.operators.windows import indicator_table
 from candlewick.plans.present import rounded
 from candlewick.plans.q_supervised import HOLD, sup_cte
 from candlewick.plans.registry import register
-from candlewick.plans.sqlkit import base_ctes
-from candlewick.sources.trades import lineitem_bars
+from candlewick.plans.ridge_sql import predicted, ridge_ctes
+from candlewick.plans.sqlkit import BARS, base_ctes
+from candlewick.sources.trades import bars_from_trades, lineitem_bars
 
 
 def _setup(spark, sf):
@@ -22,7 +23,15 @@ def _setup(spark, sf):
     return bars, ind, sup
 
 
-@register("one_step")
+@register("one_step", f"""WITH RECURSIVE {base_ctes()}, {sup_cte()}, trn AS (SELECT * FROM (SELECT *, {HOLD} AS role FROM sup) h WHERE role = 'train'),
+newest AS (SELECT * FROM (SELECT *, close AS current_price, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS rn FROM ind_live) a WHERE rn = 1),
+{ridge_ctes("trn")}, {predicted("newest", "symbol, dt, current_price")},
+nxt AS (SELECT symbol, dt, current_price, pred AS y_hat, current_price * (1.0 + pred / 100.0) AS next_price FROM pred),
+chg AS (SELECT *, next_price - current_price AS delta, CASE WHEN current_price = 0 THEN 0.0 ELSE (next_price - current_price) / current_price * 100.0 END AS pct FROM nxt)
+SELECT symbol, dt, round(current_price, 4) AS current_price, round(y_hat, 4) AS y_hat, round(next_price, 4) AS next_price,
+  round(delta, 4) AS delta, round(pct, 4) AS pct,
+  CASE WHEN pct > 2 THEN 'strong bullish' WHEN pct > 0 THEN 'mild bullish' WHEN pct > -2 THEN 'neutral' WHEN pct IS NOT NULL THEN 'bearish' END AS signal
+FROM chg""")
 def q_one_step(spark, sf):
     """P1 + P5: per-symbol ridge (fitted on the first 80 %, as the reference)
     predicts the next return from the newest bar; price, change and signal."""
@@ -34,10 +43,39 @@ def q_one_step(spark, sf):
 
 @register("iterative")
 def q_iterative(spark, sf):
-    """P2 + P3: 7-day iterative forecast of per-symbol ridge from the raw bars."""
+    """P2 + P3: 30-day iterative forecast of per-symbol ridge from the raw bars."""
     bars, ind, sup = _setup(spark, sf)
     model = M.fit("ridge", sup)
-    return rounded(fc.iterative_forecast(bars, model, 7))
+    return rounded(fc.iterative_forecast(bars, model, 30))
+
+
+# many symbols of about 50 trades each, some closes and some symbols' volumes missing by key
+GAPPY = BARS.replace("l_returnflag || l_linestatus AS symbol", "l_returnflag || l_linestatus || '-' || (l_partkey % 199) AS symbol")
+GAPPY_SQL = f"""SELECT symbol, dt, open, high, low,
+  CASE WHEN CAST(split_part(symbol, '-', 2) AS INTEGER) % 7 = 0 AND day(dt) = 13 THEN NULL ELSE close END AS close,
+  CASE WHEN CAST(split_part(symbol, '-', 2) AS INTEGER) % 11 = 0 THEN NULL ELSE volume END AS volume, source FROM ({GAPPY}) raw"""
+
+
+def gappy_bars(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    symbol = F.concat(li.l_returnflag, li.l_linestatus, F.lit("-"), (li.l_partkey % 199).cast("string"))
+    bars = bars_from_trades(li, symbol, li.l_shipdate, F.try_divide(li.l_extendedprice, li.l_quantity), li.l_quantity,
+                            [li.l_orderkey, li.l_linenumber, li.l_partkey, li.l_suppkey, li.l_extendedprice])
+    key = F.element_at(F.split("symbol", "-"), 2).cast("int")
+    return (bars.withColumn("close", F.when(~((key % 7 == 0) & (F.dayofmonth("dt") == 13)), F.col("close")))
+            .withColumn("volume", F.when(key % 11 != 0, F.col("volume"))))
+
+
+@register("forecast_status", f"""WITH {base_ctes(GAPPY_SQL)}, {sup_cte()},
+held AS (SELECT symbol, count(*) AS bars, count(CASE WHEN open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL AND volume IS NOT NULL THEN 1 END) AS complete_bars
+         FROM bars GROUP BY symbol)
+SELECT symbol, bars, complete_bars, CASE WHEN complete_bars < 50 THEN 'insufficient history'
+  WHEN symbol NOT IN (SELECT symbol FROM sup) THEN 'no model' ELSE 'ok' END AS status FROM held""")
+def q_forecast_status(spark, sf):
+    """P2 + D22: whether each of many symbols, some short or with gaps, can be forecast by its ridge."""
+    bars = gappy_bars(spark, sf)
+    model = M.fit("ridge", sv.supervised(indicator_table(bars)))
+    return fc.forecast_status(bars, model)
 
 
 @register("iterative_forest")

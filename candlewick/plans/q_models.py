@@ -1,8 +1,8 @@
 """Model queries (M1-M7, V4-V7): walk-forward CV, back-tests, training, search.
 
-Models are fitted with the reference's presets.  Only ``ridge_one_feature``
-has an exact SQL form (closed-form ridge on one standardised feature);
-the others are checked by row count here and against numpy in tests.
+Models are fitted with the reference's presets.  The ridge queries are checked
+against normal equations solved in DuckDB (``ridge_sql``); lasso and trees by
+row count here and against numpy and their optimality conditions in tests.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from candlewick.operators import models as M
 from candlewick.operators import supervised as sv
 from candlewick.operators.windows import indicator_table
 from candlewick.plans.present import rounded
-from candlewick.plans.q_supervised import sup_cte
+from candlewick.plans.q_supervised import HOLD, folds_cte, sup_cte
 from candlewick.plans.registry import register
+from candlewick.plans.ridge_sql import predicted, ridge_ctes, scores
 from candlewick.plans.sqlkit import base_ctes
 from candlewick.sources.trades import lineitem_bars
 
@@ -32,9 +33,17 @@ def _cv(name):
     return q
 
 
-register("cv_ridge")(_cv("ridge"))
+FOLD_SETS = f"""WITH RECURSIVE {base_ctes()}, {sup_cte()}, {folds_cte()},
+trn AS (SELECT * FROM folds WHERE role = 'train'), tst AS (SELECT * FROM folds WHERE role = 'test')"""
+FOLD_SCORES = f"""{FOLD_SETS}, {ridge_ctes("trn", "symbol, fold")}, {predicted("tst", "symbol, fold, label", "symbol, fold")},
+fm AS ({scores("pred", "symbol, fold")})"""
+HOLD_SETS = f"""WITH RECURSIVE {base_ctes()}, {sup_cte()}, hold AS (SELECT *, {HOLD} AS role FROM sup),
+trn AS (SELECT * FROM hold WHERE role = 'train'), tst AS (SELECT * FROM hold WHERE role = 'test')"""
+
+register("cv_ridge", f"{FOLD_SCORES} SELECT symbol, fold, n, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(r2, 4) AS r2 FROM fm")(_cv("ridge"))
 register("cv_lasso")(_cv("lasso"))
 register("cv_forest")(_cv("random_forest"))
+register("cv_gbt")(_cv("gbt"))
 
 
 def _bt(name):
@@ -46,7 +55,8 @@ def _bt(name):
     return q
 
 
-register("backtest")(_bt("ridge"))
+register("backtest", f"""{HOLD_SETS}, {ridge_ctes("trn")}, {predicted("tst", "symbol, dt, label")}
+SELECT symbol, dt, round(label, 4) AS actual, round(pred, 4) AS predicted FROM pred""")(_bt("ridge"))
 register("backtest_forest")(_bt("random_forest"))
 register("backtest_gbt")(_bt("gbt"))
 register("gbt_large")(_bt("gbt_large"))
@@ -61,7 +71,10 @@ def q_backtest_metrics_lasso(spark, sf):
     return rounded(m.withColumn("grade", r2_grade(F.col("r2"))))
 
 
-@register("train_model")
+@register("train_model", f"""{FOLD_SCORES},
+fin AS (SELECT symbol, count(*) AS final_rows FROM sup GROUP BY symbol)
+SELECT symbol, fold, n, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(r2, 4) AS r2, final_rows, CAST(22 AS INTEGER) AS features
+FROM fm JOIN fin USING (symbol)""")
 def q_train_model(spark, sf):
     """V6: ridge trained with its CV table, then fitted on all rows; returns
     the fold table joined with the final per-symbol coefficients' size."""
@@ -70,13 +83,39 @@ def q_train_model(spark, sf):
     return rounded(fm.join(final, "symbol"))
 
 
-@register("random_search")
+@register("random_search", f"""{FOLD_SETS}, {ridge_ctes("trn", "symbol, fold", "(VALUES (0.1), (1.0), (10.0))")},
+{predicted("tst", "symbol, fold, label", "symbol, fold")},
+fm AS ({scores("pred", "symbol, alpha, fold")}),
+sm AS (SELECT symbol, alpha, count(*) AS folds, avg(rmse) AS cv_rmse, avg(mae) AS cv_mae, avg(r2) AS cv_r2 FROM fm GROUP BY symbol, alpha)
+SELECT symbol, round(alpha, 4) AS alpha, folds, round(cv_rmse, 4) AS cv_rmse, round(cv_mae, 4) AS cv_mae, round(cv_r2, 4) AS cv_r2,
+  row_number() OVER (PARTITION BY symbol ORDER BY cv_rmse, alpha) = 1 AS best FROM sm""")
 def q_random_search(spark, sf):
     """V7: every alpha of the ridge grid scored by walk-forward RMSE per symbol; best flagged."""
     _, table = M.random_search("ridge", _sup(spark, sf), 5, 20)
     return rounded(table)
 
 
+@register("train_model_tuned", f"""{FOLD_SETS}, {ridge_ctes("trn", "symbol, fold", "(VALUES (0.1), (1.0), (10.0))")},
+{predicted("tst", "symbol, fold, label", "symbol, fold")},
+fm AS ({scores("pred", "symbol, alpha, fold")}),
+best AS (SELECT symbol, arg_min(alpha, (cv_rmse, alpha)) AS alpha FROM (SELECT symbol, alpha, avg(rmse) AS cv_rmse FROM fm GROUP BY symbol, alpha) s GROUP BY symbol),
+fin AS (SELECT symbol, count(*) AS final_rows FROM sup GROUP BY symbol)
+SELECT symbol, fold, alpha, n, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(r2, 4) AS r2, final_rows
+FROM fm JOIN best USING (symbol, alpha) JOIN fin USING (symbol)""")
+def q_train_model_tuned(spark, sf):
+    """V6 + V7: per-symbol best alpha by walk-forward search, its fold table, and the refit on all rows."""
+    fitted, fm, _ = M.train_model("ridge", _sup(spark, sf), tune=True)
+    final = fitted.coefs.select("symbol", "alpha", F.col("n").alias("final_rows"))
+    return rounded(fm.join(final, "symbol"))
+
+
+@register("search_lasso")
+def q_search_lasso(spark, sf):
+    """V7: every alpha of the lasso grid scored by walk-forward RMSE per symbol; best flagged."""
+    _, table = M.random_search("lasso", _sup(spark, sf), 5, 20)
+    return rounded(table)
+
+
 @register("ridge_one_feature", f"""WITH {base_ctes()}, {sup_cte()},
 st AS (SELECT symbol, count(*) AS cnt, avg(price_change) AS mu, stddev_pop(price_change) AS sd, avg(label) AS ybar
        FROM sup GROUP BY symbol)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candlewick.functions import money, symbols
 from candlewick.functions.dims import INSTRUMENTS, symbol_rows, values_sql
@@ -10,13 +11,16 @@ from candlewick.operators import lookups
 from candlewick.operators.windows import indicator_table
 from candlewick.plans.present import rounded, sql_round
 from candlewick.plans.registry import register
-from candlewick.plans.sqlkit import BARS, ORDER_BARS, base_ctes
-from candlewick.schema import BAR_COLUMNS, OHLCV
+from candlewick.plans.sqlkit import BARS, IND_COLUMNS, ORDER_BARS, base_ctes
+from candlewick.schema import BAR_COLUMNS, INDICATORS, OHLCV
 from candlewick.session import ensure_checkpoint_dir
 from candlewick.sources import export, fallback, lookback, payload, wide
 from candlewick.sources.trades import lineitem_bars, order_bars
 
 
+IND_DOUBLES = [*OHLCV, *INDICATORS]
+
+
 def _bars_as(src: str) -> str:
     return f"SELECT {sql_round(BAR_COLUMNS, doubles=OHLCV)} FROM (SELECT * EXCLUDE (source), '{src}' AS source FROM ({BARS}) b) x"
 
@@ -100,16 +104,18 @@ def q_lookback(spark, sf):
     return rounded(lookback.lookback(j, "1y", F.col("_as_of")).select(*BAR_COLUMNS))
 
 
-@register("csv_export")
+@register("csv_export", f"WITH {base_ctes()} SELECT {sql_round(IND_COLUMNS, doubles=IND_DOUBLES)} FROM ind")
 def q_csv_export(spark, sf):
     """The processed table written as CSV per symbol under the session's
-    checkpoint folder, read back."""
+    checkpoint folder, read back with its schema."""
     import uuid
 
-    ind = indicator_table(lineitem_bars(spark, sf))
+    ind = indicator_table(lineitem_bars(spark, sf)).select(*IND_COLUMNS)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv_export_{uuid.uuid4().hex}"
     export.write_csv(ind, path)
-    return spark.read.option("header", True).csv(path)
+    # the files hold the columns in their written order, the symbol is in the folder names
+    written = T.StructType([f for f in ind.schema.fields if f.name != "symbol"] + [ind.schema["symbol"]])
+    return rounded(spark.read.schema(written).option("header", True).csv(path).select(*IND_COLUMNS))
 
 
 # --- look-ups and symbol functions ---------------------------------------------

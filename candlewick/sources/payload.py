@@ -27,20 +27,18 @@ def parse_payload(df: DataFrame, strict: bool = False, source: str = "provider_b
     """Payload rows -> bars.  A bad number becomes NULL (its row is
     dropped later by N4); ``strict=True`` drops every row of a payload that
     has a bad number or an ``Error Message`` (the reference's behaviour)."""
-    p = df.select("symbol", F.xxhash64("symbol", "payload").alias("_doc"),
-                  F.from_json(F.col("payload"), _SCHEMA).alias("_j"))
-    e = p.select("symbol", "_doc", F.col("_j")["Error Message"].alias("_err"),
-                 F.explode(F.col("_j")[SERIES_KEY]).alias("_d", "_f"))
-    bars = e.select("symbol", "_doc", "_err", to_date(F.col("_d")).alias("dt"), *[
-        to_double(F.col("_f")[k]).alias(c) for c, k in FIELD_KEYS.items()],
-        *[F.col("_f")[k].alias(f"_t_{c}") for c, k in FIELD_KEYS.items()])
-    if strict:
-        bad = F.lit(False)
-        for c in FIELD_KEYS:
-            bad = bad | (F.col(c).isNull() & F.col(f"_t_{c}").isNotNull()) | F.col(f"_t_{c}").isNull()
-        flagged = bars.withColumn("_bad", bad | F.col("_err").isNotNull())
-        ok_docs = flagged.groupBy("_doc").agg(F.max(F.col("_bad").cast("int")).alias("_b")).where(F.col("_b") == 0)
-        bars = bars.join(ok_docs.select("_doc"), "_doc", "left_semi")
+    p = df.select("symbol", F.from_json(F.col("payload"), _SCHEMA).alias("_j"))
+    if strict:  # tested on the document's map before it is exploded: one narrow pass
+        def good(fields: Column) -> Column:
+            ok = F.lit(True)
+            for k in FIELD_KEYS.values():
+                ok = ok & to_double(fields[k]).isNotNull()
+            return ok
+
+        p = p.where(F.col("_j")["Error Message"].isNull() & F.forall(F.map_values(F.col("_j")[SERIES_KEY]), good))
+    e = p.select("symbol", F.explode(F.col("_j")[SERIES_KEY]).alias("_d", "_f"))
+    bars = e.select("symbol", to_date(F.col("_d")).alias("dt"), *[
+        to_double(F.col("_f")[k]).alias(c) for c, k in FIELD_KEYS.items()])
     return bars.withColumn("source", F.lit(source)).select(*BAR_COLUMNS)
 
 

@@ -3,9 +3,12 @@
 The reference refetches a symbol's whole history on demand and caches it
 for five minutes.  On Spark the same freshness is a file-source stream:
 new JSON-lines files of ``(symbol, payload)`` in a landing folder are
-parsed into bars (stateless: ``from_json`` + ``explode``), appended to a
-bars table partitioned by symbol, and the indicator table is rewritten
-only for the symbols a micro-batch touched (dynamic partition overwrite).
+parsed into bars (stateless: ``from_json`` + ``explode``) and written to a
+bars table partitioned by batch and symbol; a batch that runs again
+overwrites its own folder, so a retry lands nothing twice.  Of a date landed
+more than once the latest batch counts, so corrections win.  The indicator
+table is rewritten only for the symbols a micro-batch touched (dynamic
+partition overwrite; the join on the partition column prunes the read).
 Checkpoints live where the caller says -- on a cluster, a shared folder.
 """
 
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from candlewick.operators.windows import indicator_table
@@ -29,18 +33,19 @@ def payload_stream(spark: SparkSession, landing_dir: str, max_files: int = 1000)
 
 
 def refresh_indicators(spark: SparkSession, bars_dir: str, indicators_dir: str):
-    """``foreachBatch`` handler: append the batch's bars, then rebuild the
+    """``foreachBatch`` handler: write the batch's bars, then rebuild the
     indicator table of the touched symbols only."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.where(F.col("dt").isNotNull())
-        batch.write.mode("append").partitionBy("symbol").parquet(bars_dir)
-        touched = batch.select("symbol").distinct()
-        bars = spark.read.schema(BAR_SCHEMA).parquet(bars_dir).join(touched, "symbol", "left_semi")
-        # a date landed twice keeps one deterministic row (the largest value tuple)
-        cols = ("open", "high", "low", "close", "volume", "source")
+        folder = f"{bars_dir}/batch={batch_id}"
+        batch.where(F.col("dt").isNotNull()).write.mode("overwrite").partitionBy("symbol").parquet(folder)
+        stored = spark.read.schema(T.StructType([*BAR_SCHEMA.fields, T.StructField("batch", T.LongType())])).parquet(bars_dir)
+        touched = stored.where(F.col("batch") == batch_id).select("symbol").distinct()
+        bars = stored.where(F.col("batch") <= batch_id).join(touched, "symbol", "left_semi")
+        # of a date landed twice the latest batch counts; inside one batch the largest value tuple
+        cols = ("batch", "open", "high", "low", "close", "volume", "source")
         latest = bars.groupBy("symbol", "dt").agg(F.max(F.struct(*cols)).alias("_b")).select(
-            "symbol", "dt", *[F.col(f"_b.{c}").alias(c) for c in cols])
+            "symbol", "dt", *[F.col(f"_b.{c}").alias(c) for c in cols[1:]])
         ind = indicator_table(latest, drop_incomplete=False)
         (ind.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("symbol").parquet(indicators_dir))

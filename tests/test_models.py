@@ -112,7 +112,7 @@ def test_cv_and_backtest_shapes(spark, sup):
 
 
 def test_unknown_model_lists_choices():
-    with pytest.raises(ValueError, match="Available models"):
+    with pytest.raises(ValueError, match="choose one of"):
         M.select_model("nope")
 
 

@@ -127,13 +127,13 @@ def has_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # Rows a symbol needs before it can be modelled / forecast.
 MIN_PROCESSED_ROWS = 2          # the reference needs at least two supervised rows
-MIN_BARS_FOR_STATE = 52         # iterative forecast state
+MIN_BARS_FOR_STATE = 50         # iterative forecast state
 
 
 def history_status(bars: DataFrame, ind: DataFrame, folds: int = 5) -> DataFrame:
     """Per symbol, bars, processed rows and a status instead of a
     failed job: ``insufficient_history`` (no processed rows), ``no_cv``
-    (fewer than ``folds+2`` supervised rows), ``no_forecast`` (fewer than 52
+    (fewer than ``folds+2`` supervised rows), ``no_forecast`` (fewer than 50
     bars), else ``ok``."""
     b = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"))
     p = ind.groupBy("symbol").agg(F.count(F.lit(1)).alias("processed"))

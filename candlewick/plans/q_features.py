@@ -167,18 +167,20 @@ from candlewick.sources import wide  # noqa: E402
 
 def _raw_text(spark, sf):
     b = lineitem_bars(spark, sf)
-    raw = b.select(F.col("symbol").alias("Symbol"), F.date_format("dt", "yyyy-MM-dd").alias("Date"),
+    # dates of every 31st are unreadable; volumes are ten times the traded ones, so some need a separator
+    date = F.when(F.dayofmonth("dt") == 31, F.concat(F.lit("31st of "), F.date_format("dt", "MM/yyyy"))).otherwise(F.date_format("dt", "yyyy-MM-dd"))
+    raw = b.select(F.col("symbol").alias("Symbol"), date.alias("Date"),
                    F.col("open").cast("string").alias("Open"), F.col("high").cast("string").alias("Open2"),
                    F.col("high").cast("string").alias("High"), F.col("low").cast("string").alias("Low"),
                    F.col("close").cast("string").alias("Close"), F.col("low").cast("string").alias("Adj Close"),
-                   F.format_number("volume", 1).alias("Volume"))
+                   F.format_number(F.col("volume") * 10, 1).alias("Volume"))
     # the provider repeats a column name: the second "Open" must lose
     return raw.toDF("Symbol", "Date", "Open", "Open", "High", "Low", "Close", "Adj Close", "Volume")
 
 
 @register("normalise", f"""WITH bars AS ({BARS})
-SELECT symbol, dt, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close,
-  round(CASE WHEN volume < 1000 THEN volume END, 8) AS volume, 'provider_a' AS source FROM bars""")
+SELECT symbol, CASE WHEN day(dt) <> 31 THEN dt END AS dt, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close,
+  round(CASE WHEN volume * 10 < 1000 THEN volume * 10 END, 8) AS volume, 'provider_a' AS source FROM bars""")
 def q_normalise(spark, sf):
     """Wide text with a repeated ``Open``, both ``Close`` and ``Adj Close``,
     and volumes written with thousands separators (unparseable -> NULL)."""
@@ -186,8 +188,8 @@ def q_normalise(spark, sf):
 
 
 @register("coerce", f"""WITH bars AS ({BARS})
-SELECT symbol, count(*) AS rows, count(CASE WHEN volume < 1000 THEN volume END) AS volume_values,
-  count(dt) AS dates FROM bars GROUP BY symbol""")
+SELECT symbol, count(*) AS rows, count(CASE WHEN volume * 10 < 1000 THEN volume END) AS volume_values,
+  count(CASE WHEN day(dt) <> 31 THEN dt END) AS dates FROM bars GROUP BY symbol""")
 def q_coerce(spark, sf):
     """Per symbol, how many dates and volumes survive coercion."""
     n = wide.normalise_wide(_raw_text(spark, sf), "Symbol")
@@ -196,8 +198,8 @@ def q_coerce(spark, sf):
 
 
 @register("drop_missing", f"""WITH bars AS ({BARS})
-SELECT {sql_round(BAR_COLUMNS, doubles=OHLCV)} FROM (SELECT * EXCLUDE (source), 'provider_a' AS source FROM bars) b
-WHERE volume < 1000""")
+SELECT {sql_round(BAR_COLUMNS, doubles=OHLCV)} FROM (SELECT * EXCLUDE (source, volume), volume * 10 AS volume, 'provider_a' AS source FROM bars) b
+WHERE volume < 1000 AND day(dt) <> 31""")
 def q_drop_missing(spark, sf):
     """Rows with any missing value dropped after coercion."""
     return rounded(proj.drop_missing(wide.normalise_wide(_raw_text(spark, sf), "Symbol")))

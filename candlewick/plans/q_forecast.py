@@ -8,12 +8,13 @@ from candlewick.operators import forecast as fc
 from candlewick.operators import models as M
 from candlewick.operators import supervised as sv
 from candlewick.operators.windows import indicator_table
+from candlewick.plans.gappy import GAPPY_SQL, gappy_bars
 from candlewick.plans.present import rounded
 from candlewick.plans.q_supervised import HOLD, sup_cte
 from candlewick.plans.registry import register
 from candlewick.plans.ridge_sql import predicted, ridge_ctes
-from candlewick.plans.sqlkit import BARS, base_ctes
-from candlewick.sources.trades import bars_from_trades, lineitem_bars
+from candlewick.plans.sqlkit import base_ctes
+from candlewick.sources.trades import lineitem_bars
 
 
 def _setup(spark, sf):
@@ -49,23 +50,6 @@ def q_iterative(spark, sf):
     return rounded(fc.iterative_forecast(bars, model, 30))
 
 
-# many symbols of about 50 trades each, some closes and some symbols' volumes missing by key
-GAPPY = BARS.replace("l_returnflag || l_linestatus AS symbol", "l_returnflag || l_linestatus || '-' || (l_partkey % 199) AS symbol")
-GAPPY_SQL = f"""SELECT symbol, dt, open, high, low,
-  CASE WHEN CAST(split_part(symbol, '-', 2) AS INTEGER) % 7 = 0 AND day(dt) = 13 THEN NULL ELSE close END AS close,
-  CASE WHEN CAST(split_part(symbol, '-', 2) AS INTEGER) % 11 = 0 THEN NULL ELSE volume END AS volume, source FROM ({GAPPY}) raw"""
-
-
-def gappy_bars(spark, sf):
-    li = spark.read.parquet(f"{sf}/lineitem.parquet")
-    symbol = F.concat(li.l_returnflag, li.l_linestatus, F.lit("-"), (li.l_partkey % 199).cast("string"))
-    bars = bars_from_trades(li, symbol, li.l_shipdate, F.try_divide(li.l_extendedprice, li.l_quantity), li.l_quantity,
-                            [li.l_orderkey, li.l_linenumber, li.l_partkey, li.l_suppkey, li.l_extendedprice])
-    key = F.element_at(F.split("symbol", "-"), 2).cast("int")
-    return (bars.withColumn("close", F.when(~((key % 7 == 0) & (F.dayofmonth("dt") == 13)), F.col("close")))
-            .withColumn("volume", F.when(key % 11 != 0, F.col("volume"))))
-
-
 @register("forecast_status", f"""WITH {base_ctes(GAPPY_SQL)}, {sup_cte()},
 held AS (SELECT symbol, count(*) AS bars, count(CASE WHEN open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL AND volume IS NOT NULL THEN 1 END) AS complete_bars
          FROM bars GROUP BY symbol)

@@ -10,6 +10,7 @@ from candlewick.operators import projections as proj
 from candlewick.operators import stats
 from candlewick.operators.windows import indicator_table
 from candlewick.plans.present import rounded
+from candlewick.plans.gappy import GAPPY_SQL, gappy_bars
 from candlewick.plans.registry import register
 from candlewick.plans.sqlkit import IND_COLUMNS, base_ctes, pct
 from candlewick.schema import OHLCV
@@ -100,13 +101,13 @@ def q_table_stats(spark, sf):
 _SERIES = ["ma_20", "ma_50", "rsi", "volume_ma", "vol_20"]
 
 
-@register("has_values", f"""WITH {base_ctes()}
+@register("has_values", f"""WITH {base_ctes(GAPPY_SQL)}
 SELECT symbol, {", ".join(f"count({c}) > 0 AS has_{c}" for c in _SERIES)} FROM ind_all GROUP BY symbol""")
 def q_has_values(spark, sf):
     """Whether each indicator series has any value per symbol (before N4)."""
     from candlewick.operators.windows import indicator_columns
 
-    b = lineitem_bars(spark, sf).select("symbol", "dt", *OHLCV)
+    b = gappy_bars(spark, sf).select("symbol", "dt", *OHLCV)
     return stats.has_values(indicator_columns(b), _SERIES)
 
 
@@ -172,14 +173,14 @@ def q_forecast_dates(spark, sf):
     return steps.select("symbol", "step", cal.business_days_after(F.col("last_dt"), F.col("step")).alias("dt"))
 
 
-@register("history_status", f"""WITH {base_ctes()},
+@register("history_status", f"""WITH {base_ctes(GAPPY_SQL)},
 b AS (SELECT symbol, count(*) AS bars FROM bars GROUP BY symbol),
 p AS (SELECT symbol, count(*) AS processed FROM ind GROUP BY symbol)
 SELECT symbol, bars, coalesce(processed, 0) AS processed,
   CASE WHEN coalesce(processed, 0) < 2 THEN 'insufficient_history' WHEN coalesce(processed, 0) - 1 < 6 THEN 'no_cv'
-       WHEN bars < 52 THEN 'no_forecast' ELSE 'ok' END AS status
+       WHEN bars < 50 THEN 'no_forecast' ELSE 'ok' END AS status
 FROM b LEFT JOIN p USING (symbol)""")
 def q_history_status(spark, sf):
-    """Per-symbol history status of the trade bars."""
-    b = lineitem_bars(spark, sf)
+    """History status of many symbols, some short or with gaps."""
+    b = gappy_bars(spark, sf)
     return stats.history_status(b, indicator_table(b))

@@ -189,7 +189,7 @@ HAVE_SUFFIXES = [".NS", ".BO", ""]
 
 
 @register("symbol_resolution", f"""WITH have AS (SELECT DISTINCT upper(split_part({_LABEL_SQL}, '.', 1)) || {HAVE_SUFFIXES}[(c_custkey // 7) % 3 + 1] AS symbol
-          FROM customer WHERE c_custkey % 5 = 0),
+          FROM customer WHERE c_custkey % 23 = 0),
 t AS (SELECT DISTINCT {_LABEL_SQL} AS ticker FROM customer),
 cand AS (SELECT ticker, r, upper(split_part(ticker, '.', 1)) || s AS candidate FROM t,
          (VALUES (1, '.NS'), (2, '.BO'), (3, '')) c(r, s)),
@@ -197,8 +197,8 @@ hit AS (SELECT ticker, arg_min(candidate, r) AS resolved FROM cand WHERE candida
 SELECT t.ticker, coalesce(h.resolved, upper(split_part(t.ticker, '.', 1)) || '.NS') AS resolved FROM t LEFT JOIN hit h USING (ticker)""")
 def q_symbol_resolution(spark, sf):
     """Provider-A resolution of the customers' labels against the symbols
-    that a fifth of the customers stand for (each in one of three forms)."""
-    have = _suffixed(spark, sf, HAVE_SUFFIXES).where("c_custkey % 5 = 0")
+    that every 23rd customer stands for (each in one of three forms)."""
+    have = _suffixed(spark, sf, HAVE_SUFFIXES).where("c_custkey % 23 = 0")
     base = symbols.base_symbol(_label(F.col("c_custkey")))
     suffix = F.element_at(F.array(*map(F.lit, HAVE_SUFFIXES)), (F.floor(F.col("c_custkey") / 7) % 3 + 1).cast("int"))
     t = spark.read.parquet(f"{sf}/customer.parquet").select(_label(F.col("c_custkey")).alias("ticker")).distinct()

@@ -1,10 +1,9 @@
 """Explanations (X1-X5): permutation importance, contributions, narrative.
 
-* Permutation importance: rows x features x repeats by ``explode``; each
-  (symbol, feature, repeat) permutes the feature by ranking rows on
-  ``md5(seed|repeat|feature|symbol|dt)`` and joining the donor rank back to
-  the row position -- deterministic on any partitioning and in any engine.
-  One scoring pass for all permutations, R^2 per group, mean drop.
+* Permutation importance: rows x repeats ranked on
+  ``md5(seed|repeat|symbol|dt)`` and joined to the row position, one
+  permutation for all features -- deterministic on any partitioning and in any
+  engine.  Features fan out as a narrow step; R^2 per group, mean drop.
 * Linear contributions: ``w_j/sd_j * (x_j - mean_background(x_j))``.
 * Sampled Shapley values (any model): for every explained row, sampled
   feature order and background row, the chain of 23 inputs that switch
@@ -33,52 +32,48 @@ def permutation_importance(model: Fitted, sup: DataFrame, features: Sequence[str
                            rank_prefix: int = 1) -> DataFrame:
     """Mean drop of R^2 per (symbol, feature) over ``repeats`` permutations.
 
-    The exploded rows stay narrow -- (symbol, i, feature, repeat, value) --
-    and the permutation is one window rank plus one equi-join on the
-    position.  A per-symbol linear model scores a permuted row in closed
-    form (base prediction + w_j/sd_j * (new - old)); any other model gets
-    the full row back by a join on (symbol, i) and one ``transform``.
+    One permutation per (symbol, repeat) serves all features: rows are ranked
+    by a hash of their key, and row i takes its values from the row of rank i.
+    Rows x repeats are ranked and joined once, carrying all feature values; the
+    features fan out afterwards as a narrow step.  A per-symbol linear model
+    scores a permuted feature in closed form (base prediction + w_j/sd_j *
+    (new - old)); any other model gets the full row in one ``transform``.
 
-    ``split_ranks`` ranks inside (symbol, feature, repeat, first
-    ``rank_prefix`` hex digits of the key) and adds per-prefix offsets, so no
-    task sorts a whole symbol (16**rank_prefix bounded sorts instead of
-    one); the ranks are identical.
+    ``split_ranks`` ranks inside (symbol, repeat, first ``rank_prefix`` hex
+    digits of the key) and adds per-prefix offsets, so no task sorts a whole
+    symbol (16**rank_prefix sorts of a share each); the ranks are identical.
     """
     feats = list(features or model.features)
-    # x feeds the base score, the exploded rows and (generic models) the row
-    # join: materialise it once, as checkpoint files, instead of re-running the
-    # window lineage; nothing stays cached.
+    # x feeds the base score, the ranks and the donor join: materialise it
+    # once, as checkpoint files, instead of re-running the window lineage;
+    # nothing stays cached.
     ensure_checkpoint_dir(sup.sparkSession)
-    x = sup.select("symbol", "dt", "i", *feats, "label").checkpoint(eager=True)
+    x = sup.select("symbol", "dt", "i", *[F.col(f).cast("double").alias(f) for f in feats], "label").checkpoint(eager=True)
     base_pred = model.predict(x)
     base = met.regression_metrics(base_pred, ["symbol"]).select("symbol", F.col("r2").alias("base_r2"))
-    long = x.select("symbol", "dt", "i", F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("_val")) for f in feats])).alias("_s")
-    ).select("symbol", "dt", "i", "_s.feature", "_s._val").withColumn(
-        "rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("feature"),
-                            F.col("symbol"), F.col("dt").cast("string")))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("symbol"), F.col("dt").cast("string")))
+    new = F.array(*feats).alias("_new")
+    keyed = x.select("symbol", "dt", new, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep")).withColumn("_key", key)
     if split_ranks:
         from candlewick.operators.segments import with_positions
 
-        keyed = long.withColumn("_key", key)
-        ranked = with_positions(keyed, ["symbol", "feature", "rep"], ["_key", "dt"],
-                                bucket=F.substring("_key", 1, rank_prefix)).withColumnRenamed("_pos", "_pr").drop("_n", "_key")
+        donor = with_positions(keyed, ["symbol", "rep"], ["_key", "dt"], bucket=F.substring("_key", 1, rank_prefix))
+        donor = donor.select("symbol", "rep", F.col("_pos").alias("i"), "_new")
     else:
-        w = Window.partitionBy("symbol", "feature", "rep").orderBy(key, "dt")
-        ranked = long.withColumn("_pr", F.row_number().over(w) - 1)
-    donor = ranked.select("symbol", "feature", "rep", F.col("_pr").alias("i"), F.col("_val").alias("_perm"))
-    pairs = ranked.select("symbol", "feature", "rep", "i", "_val").join(donor, ["symbol", "feature", "rep", "i"])
+        w = Window.partitionBy("symbol", "rep").orderBy("_key", "dt")
+        donor = keyed.select("symbol", "rep", (F.row_number().over(w) - 1).alias("i"), "_new")
+    names = F.array(*[F.lit(f) for f in feats])
+    which = F.explode(F.sequence(F.lit(1), F.lit(len(feats)))).alias("_k")
     if model.coefs is not None:
-        names = F.array(*[F.lit(f) for f in feats])
-        slope = model.coefs.select("symbol", F.posexplode(F.zip_with("w", "sd", lambda a, b: a / b)).alias("_k", "_c"))
-        slope = slope.select("symbol", F.element_at(names, F.col("_k") + 1).alias("feature"), "_c")
-        bp = base_pred.select("symbol", "i", "label", F.col("prediction").alias("_bp"))
-        scored = pairs.join(slope, ["symbol", "feature"]).join(bp, ["symbol", "i"]).withColumn(
-            "prediction", F.col("_bp") + F.col("_c") * (F.col("_perm") - F.col("_val")))
+        slope = model.coefs.select("symbol", F.zip_with("w", "sd", lambda a, b: a / b).alias("_c"))
+        old = base_pred.select("symbol", "i", "label", F.col("prediction").alias("_bp"), F.array(*feats).alias("_old")).join(slope, "symbol")
+        long = old.join(donor, ["symbol", "i"]).select("symbol", "rep", "label", "_bp", "_old", "_new", "_c", which)
+        moved = F.element_at("_c", F.col("_k")) * (F.element_at("_new", F.col("_k")) - F.element_at("_old", F.col("_k")))
+        scored = long.select("symbol", "rep", "label", F.element_at(names, F.col("_k")).alias("feature"), (F.col("_bp") + moved).alias("prediction"))
     else:
-        full = pairs.join(x, ["symbol", "i"]).select("symbol", "feature", "rep", "dt", "label", *[
-            F.when(F.col("feature") == f, F.col("_perm")).otherwise(F.col(f)).alias(f) for f in feats])
+        long = x.join(donor, ["symbol", "i"]).select("symbol", "dt", "rep", "label", *feats, "_new", which)
+        full = long.select("symbol", "dt", "rep", "label", F.element_at(names, F.col("_k")).alias("feature"), *[
+            F.when(F.col("_k") == j + 1, F.element_at("_new", j + 1)).otherwise(F.col(f)).alias(f) for j, f in enumerate(feats)])
         scored = model.predict(full)
     r2 = met.regression_metrics(scored, ["symbol", "feature", "rep"])
     mean = r2.groupBy("symbol", "feature").agg(F.avg("r2").alias("_mr2"), F.stddev_pop("r2").alias("importance_std"))

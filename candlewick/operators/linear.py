@@ -2,19 +2,23 @@
 
 The reference fits one linear model per symbol on standardised features
 (population std, as scikit-learn's scaler).  Here every group is fitted at
-once:
-
-1. ``groupBy(keys)``: n, feature means, label mean (partial aggregation);
-2. join the means back, ``groupBy(keys)``: centred sums of squares and
-   cross products (22*23/2 + 22 + 1 sums) -- centring first keeps the
-   digits that uncentred sums of prices would lose;
-3. ``mapInPandas`` over the statistics rows (one row per group, no
-   shuffle): a 22x22 solve (ridge) or coordinate descent on the Gram
-   matrix (lasso).
-
-No group's rows are ever collected: the work per group after step 2 is a
-fixed-size matrix, so a symbol with a third of all rows costs the same
-solve as any other.
+once, in one pass over the rows:
+
+1. ``mapInPandas``: per Arrow batch and group, the count, the means and the
+   centred Gram matrix of features and label (about 300 numbers);
+2. one shuffle of these partial rows by group; parts of a group are merged with
+   the centred (pairwise) update, which keeps the digits that plain sums of
+   prices would lose;
+3. a 22x22 solve (ridge) or coordinate descent on the Gram matrix (lasso) for
+   the merged rows, vectorised over groups.
+
+Walk-forward folds reuse the parts: the training set of fold f is the running
+merge of the blocks before it, so no row is copied per fold, and the penalty
+enters on the merged rows only.
+
+No group's rows are ever collected: a symbol with a third of all rows ships one
+partial row per batch.  Rows with a missing feature or label are left out, so
+that every sum is over the same rows (see ``fill_missing`` for imputation).
 """
 
 from __future__ import annotations
@@ -27,33 +31,117 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+Part = tuple[float, np.ndarray, np.ndarray]  # rows, means, centred products
+
 
 def _pairs(p: int) -> list[tuple[int, int]]:
     return [(a, b) for a in range(p) for b in range(a, p)]
 
 
-def sufficient_stats(train: DataFrame, keys: Sequence[str], features: Sequence[str], label: str = "label") -> DataFrame:
-    """keys, n, mu[], ybar, sxx[] (upper triangle), sxy[], syy -- all centred."""
-    keys, feats = list(keys), list(features)
-    t = train.select(*keys, *[F.col(c).cast("double").alias(c) for c in feats], F.col(label).cast("double").alias("_y"))
-    means = t.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(c).alias(f"_m_{j}") for j, c in enumerate(feats)],
-        F.avg("_y").alias("ybar"),
-    )
-    c = t.join(means, keys, "inner")
-    d = [F.col(f) - F.col(f"_m_{j}") for j, f in enumerate(feats)]
-    dy = F.col("_y") - F.col("ybar")
-    p = len(feats)
-    sums = c.groupBy(*keys).agg(
-        F.first("n").alias("n"),
-        F.array(*[F.first(f"_m_{j}") for j in range(p)]).alias("mu"),
-        F.first("ybar").alias("ybar"),
-        F.array(*[F.sum(d[a] * d[b]) for a, b in _pairs(p)]).alias("sxx"),
-        F.array(*[F.sum(d[a] * dy) for a in range(p)]).alias("sxy"),
-        F.sum(dy * dy).alias("syy"),
-    )
-    return sums
+def merge_parts(x: Part, y: Part) -> Part:
+    """Centred products of two row sets together."""
+    n = x[0] + y[0]
+    d = y[1] - x[1]
+    return n, x[1] + d * (y[0] / n), x[2] + y[2] + np.outer(d, d) * (x[0] * y[0] / n)
+
+
+def partial_stats(train: DataFrame, keys: Sequence[str], features: Sequence[str], label: str = "label") -> DataFrame:
+    """keys, n, mean[], products[] (square, features then label) per group and batch."""
+    keys = list(keys)
+    columns = [*features, label]
+    t = train.select(*keys, *[F.col(c).cast("double").alias(f"_v{j}") for j, c in enumerate(columns)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = pdf[[f"_v{j}" for j in range(len(columns))]].to_numpy(dtype=float)
+            pdf, x = pdf.loc[good := ~np.isnan(x).any(axis=1), keys].reset_index(drop=True), x[good]
+            if not len(pdf):
+                continue
+            group = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(group, kind="stable")
+            cuts = np.searchsorted(group[order], np.arange(group.max() + 2))
+            rows = {"n": [], "mean": [], "products": []}
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                part = x[order[lo:hi]]
+                mean = part.mean(axis=0)
+                part = part - mean
+                rows["n"].append(hi - lo)
+                rows["mean"].append(mean)
+                rows["products"].append((part.T @ part).ravel())
+            yield pdf.iloc[order[cuts[:-1]]].assign(**rows)
+
+    schema = T.StructType([f for f in t.schema.fields if f.name in keys] + [
+        T.StructField("n", T.LongType()), T.StructField("mean", T.ArrayType(T.DoubleType())), T.StructField("products", T.ArrayType(T.DoubleType()))])
+    return t.mapInPandas(run, schema)
+
+
+def _merged_groups(frames: Iterator[pd.DataFrame], keys: list[str], block: str | None, folds: int) -> Iterator[pd.DataFrame]:
+    """Merged statistics of the groups of a partition sorted by key (and
+    block); with ``block``, one row per fold: the merge of the blocks before it."""
+    last, state, rows = None, None, []
+
+    def close() -> None:
+        if last is None:
+            return
+        if block is None:
+            rows.append((*last, state))
+        else:
+            for fold in range(1, folds + 1):
+                have = [state[b] for b in range(fold) if b in state]
+                if have:
+                    total = have[0]
+                    for part in have[1:]:
+                        total = merge_parts(total, part)
+                    rows.append((*last, fold, total))
+
+    def flush() -> pd.DataFrame:
+        names = [*keys, block] if block else keys
+        out = pd.DataFrame([r[:-1] for r in rows], columns=names)
+        parts = [r[-1] for r in rows]
+        p = len(parts[0][1]) - 1
+        upper = tuple(np.array(_pairs(p)).T)
+        out["n"] = [int(x[0]) for x in parts]
+        out["mu"] = [x[1][:p] for x in parts]
+        out["ybar"] = [x[1][p] for x in parts]
+        out["sxx"] = [x[2][:p, :p][upper] for x in parts]
+        out["sxy"] = [x[2][:p, p] for x in parts]
+        rows.clear()
+        return out
+
+    for frame in frames:
+        for values in frame[[*keys, *([block] if block else []), "n", "mean", "products"]].itertuples(index=False, name=None):
+            key, (n, mean, products) = values[:len(keys)], values[-3:]
+            part = (float(n), np.asarray(mean, float), np.asarray(products, float).reshape(len(mean), len(mean)))
+            if key != last:
+                close()
+                if len(rows) >= 500:
+                    yield flush()
+                last, state = key, ({} if block else None)
+            if block is None:
+                state = part if state is None else merge_parts(state, part)
+            else:
+                b = int(values[len(keys)])
+                state[b] = merge_parts(state[b], part) if b in state else part
+    close()
+    if rows:
+        yield flush()
+
+
+def fill_missing(rows: DataFrame, fills: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """Missing features take their group's fill value; a feature that its group
+    never has becomes 0 everywhere, so its coefficient is 0."""
+    names = [c for c in rows.columns]
+    j = rows.join(fills, list(keys), "left")
+    return j.select(*[F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.col(f"_fill_{c}"), F.lit(0.0)).alias(c)
+                      if c in features else F.col(c) for c in names])
+
+
+def fill_values(rows: DataFrame, keys: Sequence[str], features: Sequence[str], strategy: str = "median") -> DataFrame:
+    """keys, _fill_<feature>: the group's median or mean of each feature."""
+    if strategy not in ("median", "mean"):
+        raise ValueError("strategy must be 'median' or 'mean'")
+    fn = F.median if strategy == "median" else F.avg
+    return rows.groupBy(*keys).agg(*[fn(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))).alias(f"_fill_{c}") for c in features])
 
 
 def _solve_rows(pdf: pd.DataFrame, p: int, model: str, alpha_col: str | None, alpha: float,
@@ -100,7 +188,7 @@ def _solve_rows(pdf: pd.DataFrame, p: int, model: str, alpha_col: str | None, al
             w[idx] = wa
             steps[idx] += 1
             active[idx] = delta > tol * np.maximum(1.0, np.abs(wa).max(axis=1))
-    res = pdf.drop(columns=["sxx", "sxy", "syy"]).copy()
+    res = pdf.drop(columns=["sxx", "sxy"]).copy()
     res["sd"] = list(sd)
     res["w"] = list(w)
     res["iterations"] = steps
@@ -121,23 +209,42 @@ def fit_linear(train: DataFrame, keys: Sequence[str], features: Sequence[str], m
     if model not in ("ridge", "lasso"):
         raise ValueError("model must be 'ridge' or 'lasso'")
     a = alpha if alpha is not None else (1.0 if model == "ridge" else 0.001)
-    stats = sufficient_stats(train, keys, features, label)
-    p = len(features)
-    key_fields = [f for f in stats.schema.fields if f.name in keys]
-    schema = T.StructType(key_fields + [
+    return _solved(partial_stats(train, keys, features, label), list(keys), len(features), model, a, alpha_col, None, 0, None, max_iter, tol)
+
+
+def fit_walk_forward(blocks: DataFrame, keys: Sequence[str], features: Sequence[str], folds: int, model: str = "ridge",
+                     alphas: Sequence[float] | None = None, alpha_col: str | None = None, label: str = "label",
+                     max_iter: int = 1000, tol: float = 1e-10) -> DataFrame:
+    """Coefficients of every (keys, fold[, alpha]): fold f is trained on the
+    rows of blocks 0 to f - 1 (column ``fold`` of ``blocks`` is the block)."""
+    default = 1.0 if model == "ridge" else 0.001
+    return _solved(partial_stats(blocks, [*keys, "fold"], features, label), list(keys), len(features), model, default, alpha_col, "fold", folds,
+                   list(alphas) if alphas else None, max_iter, tol)
+
+
+def _solved(parts: DataFrame, keys: list[str], p: int, model: str, alpha: float, alpha_col: str | None, block: str | None, folds: int,
+            alphas: list[float] | None, max_iter: int, tol: float) -> DataFrame:
+    """Merge the parts of each group and solve; ``alphas`` fans out after the merge."""
+    fields = [f for f in parts.schema.fields if f.name in keys or f.name == block]
+    if alphas:
+        fields = fields + [T.StructField("alpha", T.DoubleType())]
+    schema = T.StructType(fields + [
         T.StructField("n", T.LongType()), T.StructField("mu", T.ArrayType(T.DoubleType())),
         T.StructField("ybar", T.DoubleType()), T.StructField("sd", T.ArrayType(T.DoubleType())),
         T.StructField("w", T.ArrayType(T.DoubleType())),
         T.StructField("iterations", T.LongType()), T.StructField("converged", T.BooleanType()),
     ])
+    names = [f.name for f in schema.fields]
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                res = _solve_rows(pdf, p, model, alpha_col, a, max_iter, tol)
-                yield res[[f.name for f in schema.fields]]
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for stats in _merged_groups(frames, keys, block, folds):
+            if alphas:
+                stats = stats.loc[np.repeat(np.arange(len(stats)), len(alphas))].reset_index(drop=True)
+                stats["alpha"] = np.tile(alphas, len(stats) // len(alphas))
+            yield _solve_rows(stats, p, model, "alpha" if alphas else alpha_col, alpha, max_iter, tol)[names]
 
-    return stats.mapInPandas(solve, schema)
+    order = [*keys, block] if block else keys
+    return parts.repartition(*keys).sortWithinPartitions(*order).mapInPandas(solve, schema)
 
 
 def linear_prediction(features: Sequence[str]) -> Column:
@@ -151,8 +258,9 @@ def linear_prediction(features: Sequence[str]) -> Column:
 
 
 def predict_linear(rows: DataFrame, coefs: DataFrame, keys: Sequence[str], features: Sequence[str],
-                   out: str = "prediction") -> DataFrame:
-    """Score ``rows`` with the coefficients of their group (equi-join on ``keys``)."""
-    c = coefs.select(*keys, "mu", "sd", "ybar", "w")
+                   out: str = "prediction", extra: Sequence[str] = ()) -> DataFrame:
+    """Score ``rows`` with the coefficients of their group (equi-join on
+    ``keys``); ``extra`` columns of the coefficients (an alpha) come along."""
+    c = coefs.select(*keys, *extra, "mu", "sd", "ybar", "w")
     j = rows.join(c, list(keys), "left")  # a group without coefficients keeps its rows, prediction NULL
     return j.withColumn(out, linear_prediction(features)).drop("mu", "sd", "ybar", "w")

@@ -155,9 +155,12 @@ class Fitted:
     coefs: DataFrame | None = None       # symbol scope: keys, mu, sd, ybar, w
     keys: list[str] = field(default_factory=lambda: ["symbol"])
     model: PipelineModel | None = None   # panel scope
+    fills: DataFrame | None = None       # symbol scope with imputation: keys, _fill_<feature>
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         if self.coefs is not None:
+            if self.fills is not None:
+                df = linear.fill_missing(df, self.fills, self.keys, self.features)
             return linear.predict_linear(df, self.coefs, self.keys, self.features, out)
         scored = self.model.transform(df)
         drop = [c for c in ("_raw", "features") + tuple(f"_imp_{c}" for c in self.features) if c in scored.columns]
@@ -179,8 +182,12 @@ def fit(name: str, train: DataFrame, features: Sequence[str] = FEATURES, scope:
             coefs = linear.fit_linear(tuned, [*keys, "alpha"], list(features), name, alpha_col="alpha")
             return Fitted(name, scope, list(features), coefs=coefs, keys=list(keys))
         alpha = params.get("alpha", spec.default_alpha)
+        fills = None
+        if impute:
+            fills = linear.fill_values(train, list(keys), list(features), impute)
+            train = linear.fill_missing(train, fills, list(keys), list(features))
         coefs = linear.fit_linear(train, list(keys), list(features), name, alpha=alpha)
-        return Fitted(name, scope, list(features), coefs=coefs, keys=list(keys))
+        return Fitted(name, scope, list(features), coefs=coefs, keys=list(keys), fills=fills)
     if spec.linear:
         params = panel_linear_params(name, params.get("alpha", spec.default_alpha), train)
     # Boosting re-reads its input every round: cache only the columns the fit
@@ -200,13 +207,19 @@ def cv_predictions(name: str, sup: DataFrame, k: int = 5, features: Sequence[str
     """V4: test-block predictions of every fold (symbol, fold, dt, label, prediction)."""
     spec = select_model(name)
     scope = scope or ("symbol" if spec.linear else "panel")
-    f = sv.folds(sup, k)
     cols = ["symbol", "fold", "dt", "i", *features, "label"]
     if scope == "symbol":
-        train = f.where(F.col("role") == "train").select(*cols)
-        test = f.where(F.col("role") == "test").select(*cols)
-        m = fit(name, train, features, "symbol", ("symbol", "fold"), params)
-        return m.predict(test).select("symbol", "fold", "dt", "label", "prediction")
+        params = dict(params or {})
+        rows = sv.blocks(sup, k)
+        keys, alpha_col = ["symbol"], None
+        if "alpha_by_symbol" in params:
+            rows = rows.join(params["alpha_by_symbol"].select("symbol", "alpha"), "symbol")
+            keys, alpha_col = ["symbol", "alpha"], "alpha"
+        alphas = None if alpha_col else [float(params.get("alpha", spec.default_alpha))]
+        coefs = linear.fit_walk_forward(rows, keys, list(features), k, name, alphas, alpha_col).drop("alpha")
+        test = rows.where(F.col("fold") > 0).select(*cols)
+        return linear.predict_linear(test, coefs, ["symbol", "fold"], list(features)).select("symbol", "fold", "dt", "label", "prediction")
+    f = sv.folds(sup, k)
     # read by every fold's fit and by the lazy result: kept as checkpoint files, which outlive executors
     ensure_checkpoint_dir(sup.sparkSession)
     f = f.select(*cols, "role").checkpoint(eager=True)
@@ -277,20 +290,18 @@ def random_search(name: str, sup: DataFrame, k: int = 5, n_iter: int = 10, featu
     """V7: score grid points by mean walk-forward RMSE; return the best point and the score table.
 
     Linear models in symbol scope score every alpha of the grid for every
-    symbol and fold in one plan (alpha is a group key) and pick the best
-    alpha per symbol.  Panel models loop over the sampled points.
+    symbol and fold in one plan (the statistics of a fold serve all alphas)
+    and pick the best alpha per symbol.  Panel models loop over the sampled points.
     """
     spec = select_model(name)
     scope = scope or ("symbol" if spec.linear else "panel")
     pts = grid_points(spec.grid, n_iter)
     if scope == "symbol":
         alphas = [p["alpha"] for p in pts]
-        f = sv.folds(sup, k).withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
-        cols = ["symbol", "fold", "alpha", "dt", *features, "label"]
-        train = f.where(F.col("role") == "train").select(*cols)
-        test = f.where(F.col("role") == "test").select(*cols)
-        coefs = linear.fit_linear(train, ["symbol", "fold", "alpha"], list(features), name, alpha_col="alpha")
-        pred = linear.predict_linear(test, coefs, ["symbol", "fold", "alpha"], list(features))
+        rows = sv.blocks(sup, k)
+        coefs = linear.fit_walk_forward(rows, ["symbol"], list(features), k, name, [float(a) for a in alphas])
+        test = rows.where(F.col("fold") > 0).select("symbol", "fold", "dt", *features, "label")
+        pred = linear.predict_linear(test, coefs, ["symbol", "fold"], list(features), extra=["alpha"])
         fm = met.regression_metrics(pred, ["symbol", "alpha", "fold"])
         scores = met.fold_means(fm, ["symbol", "alpha"])
         from pyspark.sql import Window

@@ -43,7 +43,7 @@ def _r2(src: str, keys: str, pred: str) -> str:
 @register("importance_linear", ONE + f""",
 reps AS (SELECT *, CAST(r AS INTEGER) AS rep FROM pred, range(0, 10) t(r)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol, rep ORDER BY
-  md5(concat_ws('|', '42', CAST(rep AS VARCHAR), 'price_change', symbol, CAST(dt AS VARCHAR))), dt) - 1 AS pr FROM reps),
+  md5(concat_ws('|', '42', CAST(rep AS VARCHAR), symbol, CAST(dt AS VARCHAR))), dt) - 1 AS pr FROM reps),
 perm AS (SELECT a.symbol, a.rep, a.label, a.bp + a.c * (d.v - a.v) AS pp
          FROM ranked a JOIN ranked d ON a.symbol = d.symbol AND a.rep = d.rep AND a.i = d.pr),
 pr2 AS ({_r2("perm", "symbol, rep", "pp")}),
@@ -73,7 +73,7 @@ base AS (SELECT te.rid, te.symbol, te.dt, te.i, te.label, te.f, te.v, p.pred AS
          JOIN coef ON coef.symbol = te.symbol AND coef.idx = te.idx),
 reps AS (SELECT *, CAST(r AS INTEGER) AS rep FROM base, range(0, 10) t(r)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol, f, rep ORDER BY
-  md5(concat_ws('|', '42', CAST(rep AS VARCHAR), f, symbol, CAST(dt AS VARCHAR))), dt) - 1 AS pr FROM reps),
+  md5(concat_ws('|', '42', CAST(rep AS VARCHAR), symbol, CAST(dt AS VARCHAR))), dt) - 1 AS pr FROM reps),
 perm AS (SELECT a.symbol, a.f, a.rep, a.label, a.bp + a.c * (d.v - a.v) AS pp
          FROM ranked a JOIN ranked d ON a.symbol = d.symbol AND a.f = d.f AND a.rep = d.rep AND a.i = d.pr),
 pr2 AS ({_r2("perm", "symbol, f, rep", "pp")}),

@@ -138,3 +138,41 @@ print("DONE")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert "DONE" in out.stdout, out.stderr[-2000:]
+
+
+def test_missing_volumes_are_imputed_or_left_out(spark, make_bars):
+    vol = [None if i % 45 == 44 else float(500 + i * 7 % 90) for i in range(140)]
+    bars = make_bars(walk(140), symbol="A", volumes=vol).unionByName(make_bars(walk(140, 2), symbol="NOVOL", volumes=[None] * 140))
+    sup = sv.supervised(indicator_table(bars, require_volume=False))
+    m = M.fit("ridge", sup, impute="median")
+    coefs = {r["symbol"]: r for r in m.coefs.collect()}
+    feats = M.FEATURES
+    x = sup.where("symbol = 'A'").toPandas()
+    v = x[feats].astype(float)
+    v = v.fillna(v.median()).fillna(0.0).to_numpy()
+    sd = v.std(axis=0)
+    sd[sd < 1e-12] = 1.0
+    z = (v - v.mean(axis=0)) / sd
+    want = np.linalg.solve(z.T @ z + np.eye(len(feats)), z.T @ (x.label - x.label.mean()).to_numpy())
+    assert np.allclose(coefs["A"]["w"], want, rtol=1e-6, atol=1e-8)
+    w = np.array(coefs["NOVOL"]["w"])
+    assert np.isfinite(w).all() and w[feats.index("volume")] == 0 and w[feats.index("volume_ma")] == 0
+    assert m.predict(sup).where("prediction IS NULL OR isnan(prediction)").count() == 0
+    plain = M.fit("ridge", sup).coefs.collect()  # rows with a gap are left out, so NOVOL has no model
+    assert [r["symbol"] for r in plain] == ["A"] and plain[0]["n"] == int(x[feats].notna().all(axis=1).sum())
+
+
+def test_walk_forward_statistics_equal_a_fit_per_fold(spark):
+    sup = sv.supervised(indicator_table(lineitem_bars(spark, SF)))
+    got = {(r["symbol"], r["fold"]): r for r in linear.fit_walk_forward(sv.blocks(sup, 3), ["symbol"], M.FEATURES, 3, "ridge", [1.0]).collect()}
+    f = sv.folds(sup, 3).where("role = 'train'")
+    want = {(r["symbol"], r["fold"]): r for r in linear.fit_linear(f, ["symbol", "fold"], M.FEATURES).collect()}
+    assert set(got) == set(want)
+    for k, r in want.items():
+        assert got[k]["n"] == r["n"] and np.allclose(got[k]["w"], r["w"], rtol=1e-9, atol=1e-10)
+
+
+def test_cross_validation_copies_no_rows(spark):
+    sup = sv.supervised(indicator_table(lineitem_bars(spark, SF)))
+    plan = M.cv_score("ridge", sup)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan

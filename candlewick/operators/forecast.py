@@ -3,21 +3,26 @@
 The iterative forecast keeps one state row per symbol -- the last 50 closes
 (two more for the reference's inference row) and 12 volumes of complete bars
 as arrays plus the last open/high/low -- and
-recomputes the 22 features from the arrays with Spark's higher-order
-functions.  One step is a narrow projection (plus ``model.transform`` for a
-panel model): no shuffle, and the lineage is cut with ``checkpoint()``
-every few steps.  Predictions accumulate in array columns of the state and
-are exploded once at the end.
+recomputes the 22 features from the arrays.  A linear model runs all steps in
+one vectorised pass over batches of state rows (a row is of fixed size, no
+shuffle, no checkpoint).  A panel model is scored by Spark ML step by step: the
+features come from Spark's higher-order functions, one step is a narrow
+projection plus ``model.transform``, and the lineage is cut with
+``checkpoint()`` every few steps.  Predictions accumulate in array columns of
+the state and are exploded once at the end.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.functions.calendar import business_days_after
 from candlewick.functions.grades import change_pct, price_from_return, signal
-from candlewick.operators.linear import linear_prediction
 from candlewick.operators.models import Fitted
 from candlewick.schema import FEATURES, LAGS, OHLCV
 from candlewick.session import ensure_checkpoint_dir
@@ -149,6 +154,58 @@ def initial_state(bars: DataFrame, size: int = STATE_CLOSES) -> DataFrame:
     )
 
 
+def _numpy_features(closes: np.ndarray, volumes: np.ndarray, bar: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The 22 features of the newest bar of each state row (rows x time arrays)."""
+    c = closes[:, ::-1]  # newest first
+    with np.errstate(all="ignore"):
+        logs = np.log(np.where(c > 0, c, np.nan))
+        returns = logs[:, :20] - logs[:, 1:21]
+        ratio = c[:, :-1] / np.where(c[:, 1:] != 0, c[:, 1:], np.nan) - 1.0
+        delta = c[:, :14] - c[:, 1:15]
+        gain, loss = np.where(delta > 0, delta, 0.0).mean(axis=1), np.where(delta < 0, -delta, 0.0).mean(axis=1)
+        ma20 = c[:, :20].mean(axis=1)
+        found = {
+            "open": bar[0], "high": bar[1], "low": bar[2], "volume": volumes[:, -1],
+            "ma_20": ma20, "ma_50": c[:, :50].mean(axis=1),
+            "rsi": 100.0 * gain / np.where(gain + loss != 0, gain + loss, np.nan),
+            "price_change": ratio[:, 0], "log_return": returns[:, 0],
+            "vol_5": returns[:, :5].std(axis=1, ddof=1), "vol_20": returns.std(axis=1, ddof=1),
+            "mom_5": c[:, 0] / np.where(c[:, 5] != 0, c[:, 5], np.nan) - 1.0,
+            "z_20": (c[:, 0] - ma20) / (c[:, :20].std(axis=1, ddof=1) + 1e-9),
+            "volume_ma": volumes[:, -10:].mean(axis=1),
+        }
+    for k in LAGS:
+        found[f"close_lag_{k}"], found[f"ret_lag_{k}"] = c[:, k], ratio[:, k]
+    return np.column_stack([found[f] for f in FEATURES])
+
+
+def _linear_paths(days: int, off: int, use: list[int], returns: bool):
+    """All steps of a linear model for batches of state rows."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            held = {k: np.stack(frame[k].to_list()).astype(float) for k in ("closes", "volumes", "opens", "highs", "lows", "mu", "sd", "w")}
+            ybar = frame["ybar"].to_numpy(dtype=float)
+            preds, prices = [], []
+            for _ in range(days):
+                end = -off or None
+                bar = tuple(held[k][:, -1 - off] for k in ("opens", "highs", "lows"))
+                x = _numpy_features(held["closes"][:, :end], held["volumes"][:, :end], bar)[:, use]
+                y = ybar + (held["w"] * (x - held["mu"]) / held["sd"]).sum(axis=1)
+                new = held["closes"][:, -1] * (1.0 + y / 100.0) if returns else y
+                preds.append(y)
+                prices.append(new)
+                for k, v in (("closes", new), ("volumes", held["volumes"][:, -1]), ("opens", new), ("highs", new * HIGH_FACTOR), ("lows", new * LOW_FACTOR)):
+                    held[k] = np.column_stack([held[k][:, 1:], v])
+            out = frame[["symbol", "last_dt"]].copy()
+            out["preds"] = [[None if np.isnan(v) else float(v) for v in row] for row in np.column_stack(preds)]
+            out["prices"] = [[None if np.isnan(v) else float(v) for v in row] for row in np.column_stack(prices)]
+            yield out
+
+    return run
+
+
 def _attach_linear(state: DataFrame, model: Fitted) -> DataFrame:
     return state.join(model.coefs.select("symbol", "mu", "sd", "ybar", "w"), "symbol", "inner")
 
@@ -172,13 +229,16 @@ def iterative_forecast(bars: DataFrame, model: Fitted, days: int = 7, target_typ
     linear_model = model.coefs is not None
     if linear_model:
         state = _attach_linear(state, model)
+        use = [FEATURES.index(f) for f in model.features]
+        paths = state.mapInPandas(_linear_paths(days, off, use, target_type == "return"),
+                                  f"symbol string, last_dt {dict(state.dtypes)['last_dt']}, preds array<double>, prices array<double>")
+        return _steps(paths, bars, model, days, inference_row)
     state = state.withColumn("preds", F.array().cast("array<double>")).withColumn(
         "prices", F.array().cast("array<double>"))
     keep = state.columns
     ensure_checkpoint_dir(bars.sparkSession)
     # Column objects depend on column names only: build them once, reuse each step.
     feat_cols = state_features(off)
-    yhat = linear_prediction(model.features) if linear_model else None
     last = F.element_at("closes", -1)
     new_close = price_from_return(last, F.col("_yhat")) if target_type == "return" else F.col("_yhat")
     carried = [c for c in keep if c not in ("closes", "volumes", "opens", "highs", "lows", "_o", "_h", "_l",
@@ -198,10 +258,15 @@ def iterative_forecast(bars: DataFrame, model: Fitted, days: int = 7, target_typ
     ]
     for step in range(1, days + 1):
         x = state.select("*", *feat_cols)
-        scored = x.withColumn("_yhat", yhat) if linear_model else model.predict(x, "_yhat")
+        scored = model.predict(x, "_yhat")
         state = scored.withColumn("_new", new_close).select(*next_cols).select(*keep)
         if step % checkpoint_every == 0 and step < days:
             state = state.checkpoint(eager=True)
+    return _steps(state, bars, model, days, inference_row)
+
+
+def _steps(state: DataFrame, bars: DataFrame, model: Fitted, days: int, inference_row: str) -> DataFrame:
+    """One row per symbol and step from the accumulated arrays, with the status."""
     out = state.select("symbol", "last_dt", F.posexplode(F.arrays_zip("preds", "prices")).alias("_p", "_v"))
     step_col = (F.col("_p") + 1).cast("int")
     steps = out.select("symbol", step_col.alias("step"), business_days_after(F.col("last_dt"), step_col).alias("dt"),

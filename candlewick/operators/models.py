@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -223,12 +224,16 @@ def cv_predictions(name: str, sup: DataFrame, k: int = 5, features: Sequence[str
     # read by every fold's fit and by the lazy result: kept as checkpoint files, which outlive executors
     ensure_checkpoint_dir(sup.sparkSession)
     f = f.select(*cols, "role").checkpoint(eager=True)
-    parts = []
-    for fold in range(1, k + 1):
+
+    def one(fold: int) -> DataFrame:
         train = f.where((F.col("fold") == fold) & (F.col("role") == "train"))
         test = f.where((F.col("fold") == fold) & (F.col("role") == "test"))
         m = fit(name, train, features, "panel", params=params)
-        parts.append(m.predict(test).select("symbol", "fold", "dt", "label", "prediction"))
+        return m.predict(test).select("symbol", "fold", "dt", "label", "prediction")
+
+    # the folds are independent: a few driver threads keep the cluster busy between a fit's short jobs
+    with ThreadPoolExecutor(min(k, 4)) as pool:
+        parts = list(pool.map(one, range(1, k + 1)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -176,3 +176,16 @@ def test_cross_validation_copies_no_rows(spark):
     sup = sv.supervised(indicator_table(lineitem_bars(spark, SF)))
     plan = M.cv_score("ridge", sup)[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_vectorised_path_features_equal_the_window_features(spark):
+    """Both inference rows, on the last bars of every symbol."""
+    bars = lineitem_bars(spark, SF)
+    for off in (0, 2):
+        st = fc.initial_state(bars, fc.STATE_CLOSES + off).select("*", *fc.state_features(off)).toPandas()
+        held = {k: np.stack(st[k].to_list()).astype(float) for k in ("closes", "volumes", "opens", "highs", "lows")}
+        end = -off or None
+        got = fc._numpy_features(held["closes"][:, :end], held["volumes"][:, :end], tuple(held[k][:, -1 - off] for k in ("opens", "highs", "lows")))
+        want = st[M.FEATURES].to_numpy(dtype=float)
+        assert np.array_equal(np.isnan(got), np.isnan(want))
+        assert np.allclose(got, want, rtol=1e-9, equal_nan=True)

@@ -8,40 +8,67 @@ from candlewick.operators import windows as win
 from candlewick.schema import INDICATORS, OHLCV
 
 
-def pandas_indicators(close, volume):
-    """The reference's formulas in pandas (no padding in pct_change)."""
-    df = pd.DataFrame({"close": close, "volume": volume})
-    c = df.close
-    delta = c.diff()
-    gain = delta.where(delta > 0, 0).rolling(14).mean()
-    loss = (-delta.where(delta < 0, 0)).rolling(14).mean()
-    out = pd.DataFrame(index=df.index)
-    out["ma_20"] = c.rolling(20).mean()
-    out["ma_50"] = c.rolling(50).mean()
-    out["rsi"] = 100 - 100 / (1 + gain / loss)
-    out["price_change"] = c.pct_change(fill_method=None)
-    out["log_return"] = np.log(c).diff()
-    out["vol_5"] = out.log_return.rolling(5).std()
-    out["vol_20"] = out.log_return.rolling(20).std()
-    out["mom_5"] = c.pct_change(5, fill_method=None)
-    out["z_20"] = (c - out.ma_20) / (c.rolling(20).std() + 1e-9)
-    out["volume_ma"] = df.volume.rolling(10).mean()
-    for i in (1, 2, 3, 5):
-        out[f"close_lag_{i}"] = c.shift(i)
-        out[f"ret_lag_{i}"] = out.price_change.shift(i)
-    out["fwd_return_1d"] = c.pct_change(fill_method=None).shift(-1) * 100
-    out["fwd_price_1d"] = c.shift(-1)
+def indicators_by_definition(close, volume):
+    """Every indicator of every row, written out from its definition: plain
+    loops over the rows of each window, nan where the window is not full."""
+    n = len(close)
+
+    def rows(size, t):
+        return range(t - size + 1, t + 1)
+
+    def change(t, lag=1):
+        return close[t] / close[t - lag] - 1 if t >= lag else math.nan
+
+    def log_step(t):
+        return math.log(close[t] / close[t - 1]) if t >= 1 else math.nan
+
+    def mean(values):
+        return math.fsum(values) / len(values)
+
+    def spread(values):
+        m = mean(values)
+        return math.sqrt(math.fsum((v - m) ** 2 for v in values) / (len(values) - 1))
+
+    def window(t, size, value, first=0):
+        """The values of a full window, or None; ``first`` is the first row that has a value."""
+        return [value(j) for j in rows(size, t)] if t - size + 1 >= first else None
+
+    def strength(t):
+        if t < 13:  # the first row has no move and counts as none
+            return math.nan
+        moves = [close[j] - close[j - 1] if j else 0.0 for j in rows(14, t)]
+        up, down = sum(m for m in moves if m > 0), sum(-m for m in moves if m < 0)
+        return 100 * up / (up + down) if up + down else math.nan
+
+    out = {name: np.full(n, math.nan) for name in INDICATORS}
+    for t in range(n):
+        for size in (20, 50):
+            if w := window(t, size, close.__getitem__):
+                out[f"ma_{size}"][t] = mean(w)
+                if size == 20:
+                    out["z_20"][t] = (close[t] - mean(w)) / (spread(w) + 1e-9)
+        for size in (5, 20):
+            if w := window(t, size, log_step, first=1):
+                out[f"vol_{size}"][t] = spread(w)
+        if w := window(t, 10, volume.__getitem__):
+            out["volume_ma"][t] = mean(w)
+        out["rsi"][t], out["price_change"][t], out["log_return"][t], out["mom_5"][t] = strength(t), change(t), log_step(t), change(t, 5)
+        for lag in (1, 2, 3, 5):
+            if t >= lag:
+                out[f"close_lag_{lag}"][t], out[f"ret_lag_{lag}"][t] = close[t - lag], change(t - lag)
+        if t + 1 < n:
+            out["fwd_return_1d"][t], out["fwd_price_1d"][t] = 100 * change(t + 1), close[t + 1]
     return out
 
 
-def test_indicators_match_pandas(spark, make_bars):
+def test_indicators_match_their_definitions(spark, make_bars):
     rng = np.random.default_rng(7)
     close = list(100 * np.exp(np.cumsum(rng.normal(0, 0.02, 150))))
     vol = list(rng.integers(100, 1000, 150).astype(float))
     got = win.indicator_columns(make_bars(close, volumes=vol).select("symbol", "dt", *OHLCV)).orderBy("dt").toPandas()
-    exp = pandas_indicators(close, vol)
+    exp = indicators_by_definition(close, vol)
     for c in INDICATORS:
-        a, b = got[c].to_numpy(dtype=float), exp[c].to_numpy(dtype=float)
+        a, b = got[c].to_numpy(dtype=float), np.asarray(exp[c], dtype=float)
         assert np.array_equal(np.isnan(a), np.isnan(b)), c
         assert np.allclose(a[~np.isnan(a)], b[~np.isnan(b)], rtol=1e-9, atol=1e-9), c
 

@@ -120,8 +120,10 @@ def sampled_shapley(model: Fitted, sup: DataFrame, orders: int = 8, background:
 
     Work per symbol is explained row x ``orders`` x background rows (at most
     ``background``) x (features+1) inputs, scored in one pass.  Returns
-    symbol, feature, phi, rank, plus ``base_value`` (mean prediction on the
-    background) and ``prediction`` (of the explained row).
+    symbol, feature, phi, phi_se (standard error over the sampled orders, NULL
+    for one), rank, plus ``base_value`` (mean prediction on the background) and
+    ``prediction`` (of the explained row).  ``orders`` is our own sampling
+    parameter: more orders cost in proportion and shrink phi_se.
     """
     feats = model.features
     p = len(feats)
@@ -145,10 +147,11 @@ def sampled_shapley(model: Fitted, sup: DataFrame, orders: int = 8, background:
         F.avg(F.when(F.col("t") == 0, F.col("prediction"))).alias("base_value"),
         F.avg(F.when(F.col("t") == p, F.col("prediction"))).alias("prediction"))
     contrib = marg.where(F.col("t") > 0).select(
-        "symbol", F.element_at("_order", F.col("t")).alias("j"), "_d").groupBy("symbol", "j").agg(
-        F.avg("_d").alias("phi"))
+        "symbol", "m", F.element_at("_order", F.col("t")).alias("j"), "_d").groupBy("symbol", "j", "m").agg(
+        F.avg("_d").alias("_phi")).groupBy("symbol", "j").agg(
+        F.avg("_phi").alias("phi"), (F.stddev_samp("_phi") / F.sqrt(F.count(F.lit(1)))).alias("phi_se"))
     names = F.array(*[F.lit(f) for f in feats])
-    long = contrib.select("symbol", F.element_at(names, F.col("j") + 1).alias("feature"), "phi")
+    long = contrib.select("symbol", F.element_at(names, F.col("j") + 1).alias("feature"), "phi", "phi_se")
     return rank_contributions(long).join(ends, "symbol")
 
 

@@ -39,10 +39,16 @@ def fold_means(fold_metrics: DataFrame, keys: Sequence[str] = ("symbol",)) -> Da
         F.avg("rmse").alias("cv_rmse"), F.avg("mae").alias("cv_mae"), F.avg("r2").alias("cv_r2"))
 
 
-def metric_record(cv: DataFrame | None, test: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """CV means (``cv_*``, NULL without CV) beside hold-out metrics and sizes."""
+def metric_record(cv: DataFrame | None, test: DataFrame, keys: Sequence[str] = ("symbol",),
+                  train_sizes: DataFrame | None = None, features: Sequence[str] = ()) -> DataFrame:
+    """CV means (``cv_*``, NULL without CV) beside hold-out metrics, the
+    sizes of both parts (``train_sizes``: keys, train_size) and the features."""
     t = test.select(*keys, F.col("rmse").alias("test_rmse"), F.col("mae").alias("test_mae"),
                     F.col("r2").alias("test_r2"), F.col("n").alias("test_size"))
+    if train_sizes is not None:
+        t = t.join(train_sizes.select(*keys, "train_size"), list(keys), "left")
+    if features:
+        t = t.withColumn("features", F.lit(", ".join(features)))
     if cv is None:
         return t.select("*", *[F.lit(None).cast("double").alias(c) for c in ("cv_rmse", "cv_mae", "cv_r2")])
     return t.join(cv.select(*keys, "cv_rmse", "cv_mae", "cv_r2"), list(keys), "left")

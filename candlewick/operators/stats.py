@@ -120,6 +120,16 @@ def table_stats(df: DataFrame, segment_rows: int | None = None) -> DataFrame:
     )
 
 
+# Fixed value: the text for a statistic without a value.
+NO_DATA = "Data not available"
+
+
+def table_text(table: DataFrame, columns: Sequence[str], digits: int = 2) -> DataFrame:
+    """The statistics as text with fixed decimals, or NO_DATA."""
+    return table.select("symbol", *[F.when(F.col(c).isNull(), F.lit(NO_DATA)).otherwise(F.format_string(f"%.{digits}f", F.round(c, digits))).alias(c)
+                                    for c in columns])
+
+
 def has_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per symbol, whether each column has at least one value."""
     return df.groupBy("symbol").agg(*[(F.count(c) > 0).alias(f"has_{c}") for c in columns])

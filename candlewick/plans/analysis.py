@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.functions.grades import r2_grade
+from candlewick.functions.money import display_currency
 from candlewick.operators import explain as X
 from candlewick.operators import forecast as fc
+from candlewick.operators import lookups
 from candlewick.operators import metrics as met
 from candlewick.operators import models as M
 from candlewick.operators import stats
@@ -49,16 +51,20 @@ def analyse(bars: DataFrame, model: str = "random_forest", target_type: str = "r
         out["cv_folds"], out["cv_means"] = fm, means
     bt, bt_metrics, fitted = M.backtest(model, sup, params=params)
     out["backtest"] = bt
-    rec = met.metric_record(means, bt_metrics)
+    sizes = sv.holdout(sup).where(F.col("role") == "train").groupBy("symbol").agg(F.count(F.lit(1)).alias("train_size"))
+    rec = met.metric_record(means, bt_metrics, train_sizes=sizes, features=fitted.features)
     out["metrics"] = rec.withColumn("grade", r2_grade(F.col("test_r2")))
     if refit:
         fitted = M.fit(model, sup, params=params)
-    out["one_step"] = fc.one_step(live, sup, fitted, target_type, inference_row)
+    out["one_step"] = fc.one_step(live, sup, fitted, target_type, inference_row, processed=ind)
     out["forecast"] = fc.iterative_forecast(bars, fitted, days, target_type, inference_row)
     if explain:
         out["importance"] = X.rank_importance(X.permutation_importance(fitted, sup))
         contrib = (X.linear_contributions(fitted, sup) if fitted.coefs is not None
                    else X.sampled_shapley(fitted, sup))
         out["contributions"] = contrib
-        out["narrative"] = X.narrative(contrib, target_type).join(X.net_effect(contrib), "symbol")
+        info = lookups.instrument_info(ind.sparkSession, ind.select("symbol").distinct(), "symbol")
+        money = info.select("symbol", display_currency(F.col("currency")).alias("_money"))
+        text = X.narrative(contrib.join(money, "symbol"), target_type, F.col("_money"))
+        out["narrative"] = text.join(X.net_effect(contrib), "symbol")
     return out

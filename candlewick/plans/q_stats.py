@@ -98,6 +98,14 @@ def q_table_stats(spark, sf):
     return rounded(stats.table_stats(_ind(spark, sf)))
 
 
+@register("table_text", f"""WITH bars AS ({GAPPY_SQL}),
+t AS (SELECT symbol, max(high) AS highest, min(low) AS lowest, max(volume) AS max_volume FROM bars GROUP BY symbol)
+SELECT symbol, {", ".join(f"CASE WHEN {c} IS NULL THEN 'Data not available' ELSE printf('%.8f', round({c}, 8)) END AS {c}" for c in ("highest", "lowest", "max_volume"))} FROM t""")
+def q_table_text(spark, sf):
+    """Data-table statistics as text; symbols without volumes say so."""
+    return stats.table_text(stats.table_stats(gappy_bars(spark, sf)), ["highest", "lowest", "max_volume"], digits=8)
+
+
 _SERIES = ["ma_20", "ma_50", "rsi", "volume_ma", "vol_20"]
 
 

@@ -123,18 +123,21 @@ def q_fold_means(spark, sf):
 
 
 @register("metric_record", f"""WITH {base_ctes()}, {sup_cte()}, {folds_cte()}, {FOLD_METRICS}, {TEST_METRICS},
-cv AS (SELECT symbol, avg(rmse) AS cv_rmse, avg(mae) AS cv_mae, avg(r2) AS cv_r2 FROM fm GROUP BY symbol)
-SELECT tm.symbol, round(rmse, 4) AS test_rmse, round(mae, 4) AS test_mae, round(r2, 4) AS test_r2, n AS test_size,
+cv AS (SELECT symbol, avg(rmse) AS cv_rmse, avg(mae) AS cv_mae, avg(r2) AS cv_r2 FROM fm GROUP BY symbol),
+ts AS (SELECT symbol, count(*) AS train_size FROM (SELECT *, {HOLD} AS role FROM sup) h WHERE role = 'train' GROUP BY symbol)
+SELECT tm.symbol, ts.train_size, '{", ".join(FEATURES)}' AS features, round(rmse, 4) AS test_rmse, round(mae, 4) AS test_mae, round(r2, 4) AS test_r2, n AS test_size,
   round(cv_rmse, 4) AS cv_rmse, round(cv_mae, 4) AS cv_mae, round(cv_r2, 4) AS cv_r2,
   CASE WHEN r2 > 0.8 THEN 'excellent' WHEN r2 > 0.6 THEN 'good' WHEN r2 > 0.4 THEN 'moderate' ELSE 'poor' END AS grade
-FROM tm LEFT JOIN cv USING (symbol)""")
+FROM tm LEFT JOIN cv USING (symbol) LEFT JOIN ts USING (symbol)""")
 def q_metric_record(spark, sf):
     """A12 + F11: CV means beside hold-out metrics, with the R^2 grade."""
     sup = _sup(spark, sf)
-    test = _naive(sv.holdout(sup)).where(F.col("role") == "test")
+    parts = sv.holdout(sup)
+    sizes = parts.where(F.col("role") == "train").groupBy("symbol").agg(F.count(F.lit(1)).alias("train_size"))
+    test = _naive(parts).where(F.col("role") == "test")
     tm = met.regression_metrics(test, ["symbol"])
     cv = met.fold_means(_fold_metrics(spark, sf))
-    rec = met.metric_record(cv, tm)
+    rec = met.metric_record(cv, tm, train_sizes=sizes, features=FEATURES)
     return rounded(rec.withColumn("grade", r2_grade(F.col("test_r2"))))
 
 

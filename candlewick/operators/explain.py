@@ -141,7 +141,7 @@ def sampled_shapley(model: Fitted, sup: DataFrame, orders: int = 8, background:
           for j, f in enumerate(feats)])
     scored = model.predict(inputs.withColumn("dt", F.col("_bdt")))
     w = Window.partitionBy("symbol", "m", "_bdt").orderBy("t")
-    marg = scored.select("symbol", "t", "_order", F.col("prediction"),
+    marg = scored.select("symbol", "m", "t", "_order", F.col("prediction"),
                          (F.col("prediction") - F.lag("prediction").over(w)).alias("_d"))
     ends = marg.groupBy("symbol").agg(
         F.avg(F.when(F.col("t") == 0, F.col("prediction"))).alias("base_value"),

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +30,32 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 8 MB unless the session names a size: rows can
+    """Arrow batches of at most 2 MB unless the session names a size: rows can
     be long, and a batch is held by the JVM and a Python worker at once."""
     if spark.conf.get(_BATCH, None) is None:
-        spark.conf.set(_BATCH, "8m")
+        spark.conf.set(_BATCH, "2m")
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker stays between
+    tasks, and what its allocators keep counts against the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library; the memory is reused by the next task
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function that releases memory at the end of its task."""
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
 
 
 def crc_fold(col) -> F.Column:

@@ -40,11 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm import words as W
+from candlewick.llm.common import bound_batches, released
 
 WINDOW = 20
-SLICE_BYTES = 4_000_000
-CHUNK = 2_500_000  # words a map task gathers before it sends them
-GROUP = 3_000_000  # suffixes of one group
+SLICE_BYTES = 1_000_000
+CHUNK = 1_000_000  # words a map task gathers before it sends them
+GROUP = 1_500_000  # suffixes of one group
 LEVELS = (1, 2, 4, 8)  # words of a prefix, before the whole window
 MAX_CELL_BITS = 18
 _NULL_ID = -(1 << 63)
@@ -100,7 +101,7 @@ def prefix_split(docs: DataFrame, window: int = WINDOW) -> Split:
     total = docs.agg(F.sum(F.regexp_count("text", F.lit(W.WORD)).cast("long"))).collect()[0][0] or 0
     groups = max(1, -(-total // GROUP))
     bits = min(MAX_CELL_BITS, max(8, (64 * groups).bit_length()))
-    counts = docs.select("text").mapInArrow(_prefix_counts(window, bits), "level int, cell int, n long")
+    counts = docs.select("text").mapInArrow(released(_prefix_counts(window, bits)), "level int, cell int, n long")
     over = counts.groupBy("level", "cell").agg(F.sum("n").alias("n")).where(F.col("n") > GROUP // 8)
     small = np.ones((len(LEVELS), 1 << bits), bool)
     for r in over.select("level", "cell").collect():  # at most the number of cells
@@ -236,9 +237,10 @@ def _subtree(frame: pd.DataFrame) -> pd.DataFrame:
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, starts (little-endian 32-bit word positions) of repeated windows,
     several rows a document."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).cast("long").alias("doc_id"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(prefix_split(docs, window))  # at most 4 * 2**18 flags
-    return docs.mapInArrow(_sent(shared, window), _SENT).groupBy("grp").applyInPandas(_subtree, "doc_id long, starts binary")
+    return docs.mapInArrow(released(_sent(shared, window)), _SENT).groupBy("grp").applyInPandas(_subtree, "doc_id long, starts binary")
 
 
 def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -279,4 +281,4 @@ def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     kind = dict(docs.dtypes)["doc_id"]
     return removed(docs.select("doc_id", "text"), window).select("doc_id", "text", "_starts").mapInArrow(
-        run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+        released(run), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import crc_fold
+from candlewick.llm.common import bound_batches, crc_fold, released
 
 SEGMENT = 2048
 LEVEL = 3
@@ -99,6 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 1500, sample_se
     brought to the driver for the dictionaries (at most
     2 * 3000 * 2 KB = 12 MB); calibration sizes are computed on executors.
     """
+    bound_batches(docs.sparkSession)
     lab = training_labels(labels)
     prior = {r["quality"]: r["n"] for r in lab.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     positive = prior.get(1, 0) / max(1, prior.get(0, 0) + prior.get(1, 0))
@@ -156,6 +157,7 @@ def _evidence(model: CompressionModel):
 
 def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id") -> DataFrame:
     """(id, score) of every row."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most 110 KB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,11 +166,12 @@ def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id") -> D
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(values, pa.float64())], names=[id_col, "score"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return docs.select(id_col, "text").mapInArrow(released(run), f"`{id_col}` {kind}, score double")
 
 
 def keep_good(docs: DataFrame, model: CompressionModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score reaches the threshold, all columns as they were."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -176,7 +179,7 @@ def keep_good(docs: DataFrame, model: CompressionModel, threshold: float = THRES
         for b in batches:
             yield b.filter(pa.array(shared.value.score(_bytes(b.column(at))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **sample) -> DataFrame:

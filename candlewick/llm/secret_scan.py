@@ -26,6 +26,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from candlewick.llm.common import bound_batches, released
+
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "entropy_hex", "entropy_base64")
 MASK = "<SECRET>"
@@ -146,6 +148,7 @@ def masked(text: str, found: list[tuple[int, str, int, int]]) -> str:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (all), n_entropy."""
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,12 +165,13 @@ def scan(docs: DataFrame) -> DataFrame:
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long")
+        released(run), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long")
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The same rows and columns; secrets in ``text`` are masked and, where the
     text changed, ``n_chars`` (if there) is its new length."""
+    bound_batches(docs.sparkSession)
     names = docs.columns
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
@@ -182,4 +186,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns[size] = pa.array([n if a == t else len(t) for n, a, t in zip(old, texts, new)], b.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -126,7 +126,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, most_unknown: float = 0.001) ->
     spark = docs.sparkSession
     known = {w for texts in TEMPLATES.values() for t in texts for w in _words(t)}
     # ordinary paragraphs: documents by hash order, then their paragraphs by hash order
-    some = docs.where("text IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "text")
+    # (ids first: the texts of the others never leave their partitions)
+    ids = docs.where("text IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
+    some = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     plain = paragraphs(some).orderBy(F.xxhash64("doc_id", "paragraph"), "doc_id", "paragraph").limit(sample)
     plain = plain.withColumn("pairs", F.array_distinct(_with_pairs()))
     templates = template_pairs(spark)

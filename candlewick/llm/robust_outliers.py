@@ -38,9 +38,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm import words as W
-from candlewick.llm.common import cut, stored
+from candlewick.llm.common import bound_batches, cut, released, stored
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 10
 MAX_REPEAT = 20  # per cent of the words
@@ -49,11 +49,13 @@ PRIOR = 30
 STEPS = 4
 SUPPORT = 0.75
 LEAST = 60
+MAX_UNITS = 20_000  # rows of about 0.5 KB: a broadcast of 10 MB at most
 #: upper 1e-6 point of chi-squared with six degrees of freedom, doubled for heavy tails
 CUTOFF = 2 * 38.26
 MEDIAN = 5.348  # median of the same distribution
-#: name, least standard deviation in transformed units
-SHARES = (("symbols", 0.06), ("capitals", 0.06), ("digits", 0.06), ("marks", 0.06), ("repeated", 0.08))
+#: name, least standard deviation in transformed units (wider for digits and marks, which a
+#: number, an address or a key brings into ordinary text)
+SHARES = (("symbols", 0.06), ("capitals", 0.06), ("digits", 0.12), ("marks", 0.12), ("repeated", 0.08))
 DIMS = ["x0", "x1", "x2", "x3", "x4", "x5"]
 FLOORS = [s[1] for s in SHARES] + [0.08]
 
@@ -128,6 +130,7 @@ def text_statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarr
 
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of every row."""
+    bound_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             _, reach = W.utf8(whole.column("text"))
@@ -139,7 +142,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     kinds = dict(docs.dtypes)
     head = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", "lang", "source"))
-    return docs.select("doc_id", "lang", "source", "text").mapInArrow(run, f"{head}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select("doc_id", "lang", "source", "text").mapInArrow(released(run), f"{head}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
@@ -169,7 +172,7 @@ def _units(rows: DataFrame) -> DataFrame:
     pools = small.groupBy("pool").agg(F.sum("n").alias("m"))
     named = counts.join(pools, "pool", "left").select("own", F.when(F.col("n") >= LEAST, F.col("own"))
                                                      .when(F.col("m") >= LEAST, F.col("pool")).otherwise(F.lit("rest")).alias("unit"))
-    return rows.join(named, "own").drop("own", "pool")
+    return rows.join(_sized(named, counts.count()), "own").drop("own", "pool")
 
 
 def _distance() -> Column:
@@ -200,13 +203,20 @@ def _solved(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["unit", "centre", "inverse"])
 
 
+def _sized(units: DataFrame, n: int) -> DataFrame:
+    """Broadcast one row a unit while there are few units; else a plain join,
+    whose hot units adaptive execution splits."""
+    return F.broadcast(units) if n <= MAX_UNITS else units
+
+
 def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """unit, centre, inverse, middle (median squared distance of the support
     scaled as a whole unit's) for units of LEAST rows or more."""
     p = len(DIMS)
+    units = rows.select("unit").distinct().count()
     big = rows.groupBy("unit").agg(F.count("*").alias("n"), *(F.percentile(d, F.lit(0.5)).alias(f"m{i}") for i, d in enumerate(DIMS)))
     big = big.where(F.col("n") >= LEAST).drop("n")
-    spread = rows.join(big, "unit").groupBy("unit").agg(
+    spread = rows.join(_sized(big, units), "unit").groupBy("unit").agg(
         *(F.first(f"m{i}").alias(f"m{i}") for i in range(p)),
         *(F.percentile(F.abs(F.col(d) - F.col(f"m{i}")), F.lit(0.5)).alias(f"s{i}") for i, d in enumerate(DIMS)))
     variance = [F.pow(1.4826 * F.col(f"s{i}") / SCALE, 2) + FLOORS[i] ** 2 for i in range(p)]
@@ -214,14 +224,14 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
                           F.array(*(1 / variance[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p))).alias("inverse"))
     now = cut(start)
     for _ in range(steps):
-        far = rows.join(now, "unit").withColumn("d", F.round(_distance() * 64).cast("long"))
+        far = rows.join(_sized(now, units), "unit").withColumn("d", F.round(_distance() * 64).cast("long"))
         edge = far.groupBy("unit").agg(F.percentile(F.least("d", F.lit(1 << 14)), F.lit(SUPPORT)).alias("edge"))
-        near = far.join(edge, "unit").where(F.col("d") <= F.col("edge"))
+        near = far.join(_sized(edge, units), "unit").where(F.col("d") <= F.col("edge"))
         sums = near.groupBy("unit").agg(
             F.count("*").alias("n"), F.array(*(F.sum(d) for d in DIMS)).alias("sums"),
             F.array(*(F.sum(F.col(DIMS[i]) * F.col(DIMS[j])) for i in range(p) for j in range(i, p))).alias("products"))
         now = cut(sums.mapInPandas(_solved, "unit string, centre array<double>, inverse array<double>"))
-    far = rows.join(now, "unit").withColumn("d", F.least(F.round(_distance() * 64).cast("long"), F.lit(1 << 14)))
+    far = rows.join(_sized(now, units), "unit").withColumn("d", F.least(F.round(_distance() * 64).cast("long"), F.lit(1 << 14)))
     return cut(now.join(far.groupBy("unit").agg((F.percentile("d", F.lit(0.5)) / 64).alias("middle")), "unit"))
 
 
@@ -232,7 +242,7 @@ def verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     rows = rows.withColumn("base_failed", failed)
     judged = stored(_units(_vectors(rows.where("NOT base_failed"))))
     found = estimates(judged)
-    far = judged.join(found, "unit", "left").withColumn("distance", _distance() / F.greatest(F.col("middle") / MEDIAN, F.lit(0.25)))
+    far = judged.join(_sized(found, found.count()), "unit", "left").withColumn("distance", _distance() / F.greatest(F.col("middle") / MEDIAN, F.lit(0.25)))
     names = ["doc_id", *COUNTS[:5]]
     return (far.select(*names, "base_failed", F.coalesce(F.col("distance") <= cutoff, F.lit(True)).alias("kept"), "distance")
             .union(rows.where("base_failed").select(*names, "base_failed", F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import bound_batches, cut
+from candlewick.llm.common import bound_batches, cut, released
 from candlewick.llm.words import WORD
 
 MAX_SOURCES = 100_000
@@ -288,4 +288,4 @@ def blocks_of(docs: DataFrame, **options) -> DataFrame:
                 columns[size] = pa.array(map(len, out), b.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([b.schema.field(i) for i in range(len(names))]))
 
-    return held.mapInArrow(run, docs.schema)
+    return held.mapInArrow(released(run), docs.schema)

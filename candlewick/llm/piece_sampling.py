@@ -37,11 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlewick.llm.common import bound_batches, released
 from candlewick.llm.words import mix64, slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 400_000
 BITS = 30
 _SPACE, _LITERAL, _NEWLINE = 0x2581, 0x110001, 0x0A
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -322,6 +323,7 @@ def encode(docs: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = (), pat
            seed: int = 11) -> DataFrame:
     """key, kept columns, token_ids (array<int>), n_tokens and lossless (the
     ids were decoded and compared with the text) of every row."""
+    bound_batches(docs.sparkSession)
     shared = vocabulary(docs.sparkSession, path, alpha)
     kinds = dict(docs.dtypes)
     names = [key, *(k for k in keep if k != key)]
@@ -346,11 +348,12 @@ def encode(docs: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = (), pat
 
     kept = ", ".join(f"`{n}` {kinds[n]}" for n in names)
     return docs.select(*names, F.col("text").alias("_text"), F.xxhash64(key).alias("_key")).mapInArrow(
-        run, f"{kept}, token_ids array<int>, n_tokens long, lossless boolean")
+        released(run), f"{kept}, token_ids array<int>, n_tokens long, lossless boolean")
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", path: str = MODEL) -> DataFrame:
     """key and text of rows of ``token_ids``; null ids give null text."""
+    bound_batches(encoded.sparkSession)
     shared = vocabulary(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

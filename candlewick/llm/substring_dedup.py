@@ -47,7 +47,7 @@ SLICE_BYTES = 1_000_000
 CHUNK = 1_000_000  # words a map task gathers before it sends them
 GROUP = 1_500_000  # suffixes of one group
 LEVELS = (1, 2, 4, 8)  # words of a prefix, before the whole window
-MAX_CELL_BITS = 18
+CELL_BITS = 11  # prefix cells of a level, at any size: a task counts at most 4 * 2**11 of them
 _NULL_ID = -(1 << 63)
 
 
@@ -100,7 +100,7 @@ def prefix_split(docs: DataFrame, window: int = WINDOW) -> Split:
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.regexp_count("text", F.lit(W.WORD)).cast("long"))).collect()[0][0] or 0
     groups = max(1, -(-total // GROUP))
-    bits = min(MAX_CELL_BITS, max(8, (64 * groups).bit_length()))
+    bits = CELL_BITS
     counts = docs.select("text").mapInArrow(released(_prefix_counts(window, bits)), "level int, cell int, n long")
     over = counts.groupBy("level", "cell").agg(F.sum("n").alias("n")).where(F.col("n") > GROUP // 8)
     small = np.ones((len(LEVELS), 1 << bits), bool)
@@ -239,7 +239,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     several rows a document."""
     bound_batches(docs.sparkSession)
     docs = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).cast("long").alias("doc_id"), "text")
-    shared = docs.sparkSession.sparkContext.broadcast(prefix_split(docs, window))  # at most 4 * 2**18 flags
+    shared = docs.sparkSession.sparkContext.broadcast(prefix_split(docs, window))  # 4 * 2**11 flags
     return docs.mapInArrow(released(_sent(shared, window)), _SENT).groupBy("grp").applyInPandas(_subtree, "doc_id long, starts binary")
 
 

@@ -22,9 +22,10 @@ threshold (100 * intersection >= 75 * union).
    Groups grow with the size of the set, so that the number of combinations
    stays in proportion to it; sets near a border of two size bands index under
    both.
-4. Nodes of one signature are compared and verified on whole sets: first with
-   a centre of the signature (rounds with changing centres), where each node
-   goes to the centre it shares most signatures with; components of what was
+4. Signatures held by the very same nodes count once.  Nodes of one signature
+   are compared and verified on whole sets: first with
+   a few centres of the signature (rounds with changing centres), where each
+   node goes to those it shares most signatures with; components of what was
    found make most other comparisons needless; every pair of different
    components that shares a signature is then verified.
 
@@ -48,17 +49,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.llm import words as W
-from candlewick.llm.common import cut, stored
+from candlewick.llm.common import bound_batches, cut, release, released, stored
 from candlewick.llm.components import components
 
 WIDTH, NUM, DEN = 5, 75, 100
-SLICE_BYTES = 4_000_000
-CHUNK = 3_000_000  # shingles a map task gathers before it sends them
-RANGE = 4_000_000  # shingles of one range owner
-MAX_BITS = 27  # the bitmap has at most 2**27 bits (16 MB)
-MAX_FREQUENT = 1_000_000  # shingles in the frequent table (9 MB)
+SLICE_BYTES = 1_000_000
+CHUNK = 500_000  # shingles a map task gathers before it sends them
+RANGE = 1_000_000  # shingles of one range owner
+MAX_BITS = 26  # the bitmap has at most 2**26 bits (8 MB)
+MAX_FREQUENT = 500_000  # shingles in the frequent table (8 MB)
 SHORT = 24  # bits dropped of a hash for counting
-CENTRE_ROUNDS = 3
+CENTRE_ROUNDS = 2
+CENTRES, TRIES = 4, 2  # centres of a signature in a round, and how many of all its centres a node is compared with
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +180,7 @@ def count_classes(docs: DataFrame, total: int, frequent: int) -> Classes:
     spark = docs.sparkSession
     ranges = 1 << max(0, (total // RANGE)).bit_length()
     bits = min(MAX_BITS, max((8 * total).bit_length(), ranges.bit_length() + 3))
-    sent = docs.select("text").mapInArrow(_counted(ranges), "range int, shingles binary, counts binary")
+    sent = docs.select("text").mapInArrow(released(_counted(ranges)), "range int, shingles binary, counts binary")
     added = stored(sent.groupBy("range").applyInPandas(_added(ranges, bits, frequent), "range int, level int, n long, body binary"))
     held, least = 0, None
     for r in added.where("level >= 0").groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():
@@ -198,6 +200,8 @@ def count_classes(docs: DataFrame, total: int, frequent: int) -> Classes:
             level.append(np.full(len(hot[-1]), r["level"]))
     hot, level = np.concatenate(hot), np.concatenate(level)
     order = np.argsort(hot)
+    del rows
+    release()
     return Classes(bits, bitmap, hot[order], level[order])
 
 
@@ -249,9 +253,12 @@ def _signed(shared):
             single, node = classes.single(hashes), fingerprints(hashes, ends)
             size = np.diff(ends)
             alone = _sums(single.astype(np.int64), ends)
-            level = np.where(single, 0, classes.levels(hashes))
+            short = (size > 1) & (alone < size - -(-NUM * size // DEN) + 1)  # too few shingles of its own
+            asked = np.flatnonzero(np.repeat(short, size) & ~single)
+            level = np.zeros(len(hashes), np.int64)
+            level[asked] = classes.levels(hashes[asked])
             rows, sigs = [], []
-            for i in np.flatnonzero((size > 1) & (alone < size - -(-NUM * size // DEN) + 1)):
+            for i in np.flatnonzero(short):
                 a, b = ends[i], ends[i + 1]
                 found = signatures(hashes[a:b], single[a:b], level[a:b])
                 rows.append(np.full(len(found), i))
@@ -291,19 +298,18 @@ def _opened(body: bytes) -> np.ndarray:
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         good = []
-        for x, y in zip(b.column("body_a").to_pylist(), b.column("body_b").to_pylist()):
-            x, y = _opened(x), _opened(y)
+        for x, y in zip(b.column("body_a"), b.column("body_b")):
+            x, y = _opened(x.as_py()), _opened(y.as_py())
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
             same = int((y[at] == x).sum())
             good.append(DEN * same >= NUM * (len(x) + len(y) - same))
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(good, pa.bool_())], names=["a", "b", "linked"])
 
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, linked for pairs of nodes, on whole sets."""
+def candidate_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, body of every node of ``nodes`` (one column, node)."""
     spark = docs.sparkSession
-    bits = 23  # a bitmap of asked nodes: 2**23 entries, whatever the number of pairs
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    bits = 23  # a bitmap of asked nodes: 2**23 entries, whatever their number
 
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << bits, bool)
@@ -317,30 +323,44 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         return pd.DataFrame({"part": frame["part"].iloc[:1], "body": [body.tobytes()]})
 
     asked = np.zeros((1 << bits >> 13, 1 << 13), bool)
-    for r in ends.mapInArrow(spots, "part int, body binary").groupBy("part").applyInPandas(merged, "part int, body binary").collect():
+    for r in nodes.mapInArrow(spots, "part int, body binary").groupBy("part").applyInPandas(merged, "part int, body binary").collect():
         asked[r["part"]] = np.unpackbits(np.frombuffer(r["body"], np.uint8)).astype(bool)
     shared = spark.sparkContext.broadcast((bits, asked.ravel()))
-    sets = docs.select("text").mapInArrow(_held(shared), "node long, body binary").groupBy("node").agg(F.first("body").alias("body"))
-    sets = stored(sets.join(ends, "node", "left_semi"))
+    sets = docs.select("text").mapInArrow(released(_held(shared)), "node long, body binary").groupBy("node").agg(F.first("body").alias("body"))
+    sets = stored(sets.join(nodes, "node", "left_semi"))
+    shared.destroy()
+    return sets
+
+
+def verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, linked for pairs of nodes, on whole sets."""
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b"))
-    return both.select("a", "b", "body_a", "body_b").mapInArrow(_linked, "a long, b long, linked boolean")
+    return both.select("a", "b", "body_a", "body_b").mapInArrow(released(_linked), "a long, b long, linked boolean")
 
 
 def _fits() -> F.Column:
     return F.greatest("na", "nb") * NUM <= F.least("na", "nb") * DEN
 
 
+def _telling(rows: DataFrame) -> DataFrame:
+    """Rows of signatures that two nodes or more have; of signatures with the
+    very same nodes, which ask for the same comparisons, one stays."""
+    held = rows.groupBy("sig").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    return rows.join(held.where("c > 1").groupBy("c", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "sig")
+
+
 def linked_components(docs: DataFrame, nodes: DataFrame, frequent: int = 16) -> DataFrame:
     """(node, component) of nodes that link with another; components are named
     by their smallest node."""
     spark = docs.sparkSession
     total = nodes.agg(F.sum("n_shingles")).collect()[0][0] or 0
     classes = spark.sparkContext.broadcast(count_classes(docs, total, frequent))
-    signed = docs.select("text").mapInArrow(_signed(classes), "sig long, node long, n long")
-    rows = signed.groupBy("sig", "node").agg(F.first("n").alias("n"))
-    shared = rows.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
-    rows = stored(rows.join(shared, "sig"))
+    signed = docs.select("text").mapInArrow(released(_signed(classes)), "sig long, node long, n long")
+    rows = stored(signed.groupBy("sig", "node").agg(F.first("n").alias("n")))
+    classes.destroy()
+    rows = stored(_telling(rows))
+    sets = candidate_sets(docs, rows.select("node").distinct())
 
     none = spark.createDataFrame([], "a long, b long, linked boolean")
     checked, found = none, spark.createDataFrame([], "node long, component long")
@@ -351,12 +371,13 @@ def linked_components(docs: DataFrame, nodes: DataFrame, frequent: int = 16) ->
             rows = open_ = stored(open_.join(mixed, "sig"))
             rows = rows.drop("component")
         if turn < CENTRE_ROUNDS:
-            centre = open_.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "component")).alias("c"))
-            centre = centre.select("sig", F.col("c.node").alias("b"), F.col("c.n").alias("nb"), F.col("c.component").alias("cb"))
+            picked = [F.min(F.struct(F.xxhash64("node", F.lit(turn * CENTRES + k)), "node", "n", "component")) for k in range(CENTRES)]
+            centre = open_.groupBy("sig").agg(F.array(*picked).alias("c")).select("sig", F.explode("c").alias("c"))
+            centre = centre.select("sig", F.col("c.node").alias("b"), F.col("c.n").alias("nb"), F.col("c.component").alias("cb")).distinct()
             near = open_.join(centre, "sig").where("component <> cb").select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb").where(_fits())
             near = near.groupBy("a", "b").agg(F.count("*").alias("c"))
             near = near.join(checked.select(F.col("a").alias("b"), F.col("b").alias("a")).union(checked.select("b", "a")), ["a", "b"], "left_anti")
-            best = near.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))).where("k = 1")
+            best = near.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))).where(F.col("k") <= TRIES)
             pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
             left = open_.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
@@ -368,16 +389,17 @@ def linked_components(docs: DataFrame, nodes: DataFrame, frequent: int = 16) ->
             if turn < CENTRE_ROUNDS:
                 continue
             break
-        checked = cut(checked.union(verify(docs, pairs)))
+        checked = cut(checked.union(verify(sets, pairs)))
         found = components(checked.where("linked").select("a", "b"))
     return found
 
 
 def component_table(docs: DataFrame, frequent: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id for every document row."""
+    bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
-    nodes = stored(docs.mapInArrow(_nodes, f"doc_id {kind}, n_shingles long, node long"))
+    nodes = stored(docs.mapInArrow(released(_nodes), f"doc_id {kind}, n_shingles long, node long"))
     found = linked_components(docs, nodes, frequent)
     whole = nodes.where("n_shingles > 0").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -387,12 +409,12 @@ def component_table(docs: DataFrame, frequent: int = 16) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of linked documents (its smallest doc_id), all
-    columns as they were; rows without words stay."""
-    table = component_table(docs)
-    kept = table.where("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
-    names = docs.columns
-    marked = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    columns as they were.  Rows without words stay; so do rows without an id,
+    which a group's smallest id cannot name.  Rows that share a doc_id are one
+    document: the first with words, in text order, stays."""
+    kept = component_table(docs).where("doc_id = component_id").select("doc_id").distinct()
+    marked = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")  # the window below has the same partitioning
     has_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(W.WORD)) > 0
-    same = Window.partitionBy("doc_id").orderBy(F.desc(has_words), "text")
-    return (marked.withColumn("_nth", F.row_number().over(same)).withColumn("_words", has_words)
-            .where("_nth = 1 OR NOT _words").select(*names))
+    same = Window.partitionBy("doc_id").orderBy(F.desc("_words"), "text")
+    return (marked.withColumn("_words", has_words).withColumn("_nth", F.row_number().over(same))
+            .where("_nth = 1 OR NOT _words").select(*docs.columns).union(docs.where("doc_id IS NULL")))

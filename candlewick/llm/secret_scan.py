@@ -5,7 +5,10 @@ candidate strings (runs of key characters holding a digit).  Inside each, for
 every character class, a window slides over the class's runs; the Shannon
 entropy of the window comes from counts that change by one character going in
 and one going out.  Windows that reach the class's threshold are merged into a
-span.  Allow-listed strings (UUIDs, published example keys and empty-input
+span.  What an earlier class has taken is cut out of a span; the parts before,
+between and after it that hold what the class needs are spans of their own, so
+a key joined to an id or digest is found on either side of it.  Single-case
+keys of letters and digits beyond f are in no class.  Allow-listed strings (UUIDs, published example keys and empty-input
 digests, integrity attributes, alphabets) and spans inside a base span are
 suppressed.  The allow list never removes a base span.
 
@@ -81,29 +84,50 @@ def entropy_spans(text: str) -> list[tuple[int, str, int]]:
         whole = candidate.group()
         if not _DIGIT.search(whole) or ALLOWED.fullmatch(whole):
             continue
-        done = -1  # end of what an earlier class has taken in this candidate
+        taken: list[tuple[int, int]] = []  # what earlier classes have taken in this candidate, in order
         for kind, chars, least, cases in CLASSES:
+            own = []
             for run in chars.finditer(whole):
                 body = run.group()
                 if ALLOWED.fullmatch(body):
                     continue
-                lo = hi = None
-                for i, bits in enumerate(window_entropies(body)):
-                    if bits < least:
-                        continue
-                    if hi is not None and i <= hi:
-                        hi = i + WINDOW
-                        continue
-                    if hi is not None and _mixed(body[lo:hi], cases) and run.start() + lo >= done:
-                        found.append((candidate.start() + run.start() + lo, kind, candidate.start() + run.start() + hi))
-                        done = run.start() + hi
-                    lo, hi = i, i + WINDOW
-                if hi is not None and _mixed(body[lo:hi], cases) and run.start() + lo >= done:
-                    found.append((candidate.start() + run.start() + lo, kind, candidate.start() + run.start() + hi))
-                    done = run.start() + hi
+                for lo, hi in _merged(body, least):
+                    for s, e in _outside(run.start() + lo, run.start() + hi, taken):
+                        if _mixed(whole[s:e], cases):
+                            own.append((s, e))
+            found += [(candidate.start() + s, kind, candidate.start() + e) for s, e in own]
+            taken = sorted(taken + own)
     return found
 
 
+def _merged(body: str, least: float) -> Iterator[tuple[int, int]]:
+    """Windows of at least so many bits a character, merged where they meet."""
+    lo = hi = None
+    for i, bits in enumerate(window_entropies(body)):
+        if bits < least:
+            continue
+        if hi is not None and i <= hi:
+            hi = i + WINDOW
+            continue
+        if hi is not None:
+            yield lo, hi
+        lo, hi = i, i + WINDOW
+    if hi is not None:
+        yield lo, hi
+
+
+def _outside(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a span that none of these sorted, disjoint spans covers."""
+    for s, e in taken:
+        if e <= start or s >= end:
+            continue
+        if start < s:
+            yield start, s
+        start = e
+    if start < end:
+        yield start, end
+
+
 def _mixed(body: str, cases: bool) -> bool:
     digit = _DIGIT.search(body) is not None
     letters = body.upper() != body.lower()

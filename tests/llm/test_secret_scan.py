@@ -45,6 +45,30 @@ def test_entropy_finds_random_strings_and_allows_public_ones():
     assert S.joined(S.base_spans("d41d8cd98f00b204e9800998ecf8427e")) == "hex:0:32"
 
 
+HEX_IDS = ["9f3c1e7ab04d5826c9e1f70b3a6d8452", "24be64439e3e49cf46b2d7c90f3602a3", "7A0C5E19B3D24F868E6D1C0B9A37F524"]
+
+
+@pytest.mark.parametrize("join", ["_", "-", "/", "="])
+@pytest.mark.parametrize("ident", HEX_IDS)
+def test_a_key_joined_to_a_hex_id_is_found_on_either_side(ident, join):
+    key = "q7Zp2LxV9sKd4RtY8wBn3MfC"
+    for text in (f"id {ident}{join}{key} end", f"id {key}{join}{ident} end", f"id {ident}{join}{key}{join}{ident} end",
+                 f"id {key}{join}{ident}{join}{key} end"):
+        found = S.spans(text)[1]
+        covered = {i for s, _, e, _ in found for i in range(s, e)}
+        at = -1
+        while (at := text.find(key, at + 1)) >= 0:
+            assert set(range(at, at + len(key))) <= covered, (text, found)
+        assert covered <= set(range(3, len(text) - 4)) and key not in S.masked(text, found)
+        ends = sorted((s, e) for s, k, e, _ in found if k.startswith("entropy"))
+        assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_what_is_left_beside_a_hex_id_must_look_like_a_key():
+    for text in (f"{HEX_IDS[0]}-Readme", f"{HEX_IDS[2]}_chapter", f"{HEX_IDS[0]}_{HEX_IDS[2]}"):
+        assert all(k != "entropy_base64" for _, k, _ in S.entropy_spans(text))
+
+
 def test_scan_and_redact_frames(spark):
     rows = [(i, t, "x", "y", 1, "clash") for i, t in enumerate(TEXTS)] + [(77, None, None, None, None, None), (0, TEXTS[0], "x", "y", 1, "clash")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, spans string")

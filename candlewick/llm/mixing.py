@@ -18,7 +18,8 @@ Per-source figures (one row a source) are the only thing brought to the
 driver; more than ``MAX_SOURCES`` of them is an error, not a cut.
 
 Defined cases: null or empty text has size 0 and is never taken; a null source
-is a source of its own, last in order; repeated rows are packed one by one;
+is a source of its own, last in order; rows with a null doc_id are told apart by
+their text like any others; repeated rows are packed one by one;
 an empty table gives an empty mix.
 """
 
@@ -198,6 +199,13 @@ def _keyed(docs: DataFrame, *more) -> DataFrame:
     return keyed.select(*docs.columns, "_print", *more).withColumn("_copy", F.row_number().over(same))
 
 
+def _with(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Both joined by KEY, where a null doc_id equals a null doc_id."""
+    right = right.withColumnsRenamed({k: f"_its{k}" for k in KEY})
+    same = [left[k].eqNullSafe(right[f"_its{k}"]) if k == "doc_id" else left[k] == right[f"_its{k}"] for k in KEY]
+    return left.join(right, same, how).drop(*(f"_its{k}" for k in KEY))
+
+
 def mix(docs: DataFrame, weights=(1, 2, 3), max_repeat: float = 3, block_words: int = BLOCK_WORDS,
         shard_slots_: int = SHARD_SLOTS, seed: int = 17) -> Mix:
     """Plan and slots of the mix; ``weights`` go round the sources in code
@@ -223,7 +231,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_repeat: float = 3, block_words:
 
     # first word of each document in its source: sums within bounded chunks, then over chunks
     rows = sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["_source"])).drop("_source")
-    rows = rows.withColumn("_chunk", F.pmod(F.xxhash64("doc_id"), "_chunks"))
+    rows = rows.withColumn("_chunk", F.pmod(F.xxhash64(*KEY), "_chunks"))  # rows without an id spread too
     here = Window.partitionBy("source_no", "_chunk")
     chunks = rows.groupBy("source_no", "_chunk").agg(F.sum("size").alias("_held"))
     before = chunks.select("source_no", "_chunk", (F.sum("_held").over(Window.partitionBy("source_no").orderBy("_chunk")) - F.col("_held")).alias("_before"))
@@ -259,7 +267,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document row."""
     m = mix(docs, **options)
     taken = m.takes.groupBy(*KEY).agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
-    return (m.rows.join(taken, KEY, "left")
+    return (_with(m.rows, taken, "left")
             .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
 
 
@@ -270,7 +278,7 @@ def blocks_of(docs: DataFrame, **options) -> DataFrame:
     m = mix(docs, **options)
     ranges = m.takes.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("shard", "slot", "word_from", "word_to"))).alias("_takes"))
     names = docs.columns
-    held = _keyed(docs).join(ranges, KEY).select(*names, "_takes")
+    held = _with(_keyed(docs), ranges).select(*names, "_takes")
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
     word = re.compile(WORD)
 

@@ -90,6 +90,37 @@ def test_blocks_hold_what_the_report_counts(docs):
     assert got == {k: v for k, v in taken.items() if v}
 
 
+def test_rows_without_an_id_are_taken_like_others(spark):
+    rng = np.random.default_rng(11)
+    rows = [(None if i % 3 == 0 else i, " ".join(f"w{i}_{j}" for j in range(int(rng.integers(40, 200)))), "en", "ab"[i % 2], 1, "x", "y")
+            for i in range(90)]
+    rows += [rows[0], rows[0]]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = M.report(docs, block_words=8, shard_slots_=16).collect()
+    assert len(got) == len(rows)
+    whole = sum(r["taken"] for r in got)
+    assert abs(whole - sum({r["source_size"]: r["target"] for r in got}.values())) <= 2
+    nulls = sum(r["taken"] for r in got if r["doc_id"] is None)
+    assert nulls > whole / 5
+    out = M.blocks_of(docs, block_words=8, shard_slots_=16).collect()
+    assert sum(count(r["text"]) for r in out) == whole
+    assert sum(count(r["text"]) for r in out if r["doc_id"] is None) == nulls
+    texts = {r[1].split()[0]: r for r in rows}
+    owner = {w: r for r in texts.values() for w in r[1].split()}
+    for r in out:
+        own = owner[r["text"].split()[0]]
+        assert r["text"] in own[1] and (r["doc_id"], r["source"]) == (own[0], own[3])
+
+
+def test_packing_of_many_rows_without_an_id_has_no_gaps(spark, monkeypatch):
+    monkeypatch.setattr(M, "CHUNK_ROWS", 10)
+    docs = spark.createDataFrame([(None, f"u{i} v w", "en", "a", 1, "x", "y") for i in range(200)] + [(None, "same words", "en", "a", 1, "x", "y")] * 100, SCHEMA)
+    m = M.mix(docs, block_words=8, shard_slots_=16)
+    rows = sorted((r["_first"], r["size"]) for r in m.rows.collect())
+    assert [a for a, _ in rows] == [sum(s for _, s in rows[:i]) for i in range(len(rows))]
+    assert sum(r["taken"] for r in M.report(docs, block_words=8, shard_slots_=16).collect()) == 800
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert M.report(empty).count() == 0 and M.blocks_of(empty).count() == 0

@@ -22,9 +22,11 @@ Labels are 64-bit hashes; among n windows a false repeat is expected with
 probability about n * n / 2**65.
 
 Defined cases: null text has no words; documents of fewer words than the
-window keep all of them; rows that share a doc_id are versions of one document
-(a window is earlier only by a smaller id or start), so equal rows get equal
-results; a null doc_id counts as the smallest; other columns are not read.
+window keep all of them; equal rows (doc_id and text) count as one document and
+get equal results; rows with one doc_id and different texts, or with different
+texts and a null doc_id, are documents of their own, ordered by the hash of the
+text; a null doc_id counts as the smallest; other columns are not read.  The
+hash is sent only for ids in cells where some id has several texts.
 """
 
 from __future__ import annotations
@@ -48,6 +50,7 @@ CHUNK = 1_000_000  # words a map task gathers before it sends them
 GROUP = 1_500_000  # suffixes of one group
 LEVELS = (1, 2, 4, 8)  # words of a prefix, before the whole window
 CELL_BITS = 11  # prefix cells of a level, at any size: a task counts at most 4 * 2**11 of them
+ID_CELLS = 1 << 16  # cells of ids; a bound for what is known about ids with several texts
 _NULL_ID = -(1 << 63)
 
 
@@ -131,26 +134,40 @@ def _by_document(ids: np.ndarray, starts: np.ndarray) -> tuple[list[int], list[b
         return [], []
     order = np.lexsort((starts, ids))
     ids, starts = ids[order], starts[order].astype("<u4")
+    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (starts[1:] != starts[:-1])])  # equal rows say the same
+    ids, starts = ids[new], starts[new]
     cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     return ids[cuts].tolist(), [p.tobytes() for p in np.split(starts, cuts[1:])]
 
 
-_SENT = "grp int, doc_id long, starts binary, labels binary, places binary, ids binary, firsts binary"
+def _ranks(ids: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each row among the distinct (id, print), and a row of each rank."""
+    order = np.lexsort((prints, ids))
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[order][1:] != ids[order][:-1]) | (prints[order][1:] != prints[order][:-1])
+    ranks = np.empty(len(ids), np.int64)
+    ranks[order] = np.cumsum(new) - 1
+    return ranks, order[new]
+
+
+_SENT = "grp int, doc_id long, print long, starts binary, labels binary, places binary, ids binary, prints binary, firsts binary"
 
 
 def _sent(shared, window: int):
     """Map side: leaves by group, and what repeats inside the chunk."""
     def send(split: Split, parts: list) -> pa.RecordBatch:
         ids = np.concatenate([p[0] for p in parts])
-        counts = np.concatenate([p[1] for p in parts])
-        hashes = np.concatenate([p[2] for p in parts])
+        prints = np.concatenate([p[1] for p in parts])
+        counts = np.concatenate([p[2] for p in parts])
+        hashes = np.concatenate([p[3] for p in parts])
         firsts = np.cumsum(counts) - counts
         row = np.repeat(np.arange(len(ids)), counts)
         at = np.flatnonzero(row[:-window + 1] == row[window - 1:]) if len(row) >= window else np.zeros(0, np.int64)
         labels = W.gram_hashes(hashes, window)[at] if len(at) else np.zeros(0, np.uint64)
         order = np.argsort(labels, kind="stable")
         at, labels = at[order], labels[order]
-        own, starts = ids[row[at]], at - firsts[row[at]]
+        ranks, named = _ranks(ids, prints)
+        own, starts = ranks[row[at]], at - firsts[row[at]]
         if len(at):
             first, later = _runs(labels, own, starts)
         else:
@@ -162,15 +179,17 @@ def _sent(shared, window: int):
         cuts = np.searchsorted(group[order], np.arange(split.groups + 1))
         used = np.flatnonzero(np.diff(cuts))
         pick = [order[cuts[g]:cuts[g + 1]] for g in used]
-        table = (ids.astype("<i8").tobytes(), firsts.astype("<i8").tobytes())
-        table = tuple(_press(t) for t in table)
+        rows = [np.unique(row[at[p]]) for p in pick]  # a group gets the rows that its leaves are in
+        table = [[_press(t[r].astype("<i8").tobytes()) for r in rows] for t in (ids, prints, firsts)]
         none = [None] * len(docs)
+        docs = named[np.array(docs, np.int64)]
         return pa.RecordBatch.from_arrays([
             pa.array([i % split.groups for i in range(len(docs))] + used.tolist(), pa.int32()),
-            pa.array(docs + [None] * len(used), pa.int64()), pa.array(bodies + [None] * len(used), pa.binary()),
+            # no nulls in these two: pandas would hold them as floats, which round large ids
+            *(pa.array(x[docs].tolist() + [0] * len(used), pa.int64()) for x in (ids, prints)), pa.array(bodies + [None] * len(used), pa.binary()),
             pa.array(none + [W.pack_sorted(labels[p]) for p in pick], pa.binary()),
             pa.array(none + [W.pack_counts(at[p]) for p in pick], pa.binary()),
-            pa.array(none + [table[0]] * len(used), pa.binary()), pa.array(none + [table[1]] * len(used), pa.binary())],
+            *(pa.array(none + t, pa.binary()) for t in table)],
             names=[c.split()[0] for c in _SENT.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +197,7 @@ def _sent(shared, window: int):
         for b, w, hashes in _texts(batches):
             long = w.counts >= window
             keep = np.repeat(long, w.counts)
-            parts.append((b.column("doc_id").to_numpy(zero_copy_only=False)[long], w.counts[long], hashes[keep]))
+            parts.append((*(b.column(c).to_numpy(zero_copy_only=False)[long] for c in ("doc_id", "print")), w.counts[long], hashes[keep]))
             held += int(keep.sum())
             if held >= CHUNK:
                 yield send(shared.value, parts)
@@ -205,7 +224,8 @@ def _unpress(body: bytes) -> np.ndarray:
 def _subtree(frame: pd.DataFrame) -> pd.DataFrame:
     """One group: runs of equal labels are the deep nodes; all leaves but the first repeat."""
     known = frame["starts"].notna()
-    out_ids, out = frame.loc[known, "doc_id"].astype("int64").tolist(), frame.loc[known, "starts"].tolist()
+    out_ids, out_prints = (frame.loc[known, c].tolist() for c in ("doc_id", "print"))
+    out = frame.loc[known, "starts"].tolist()
     sent = frame.loc[~known].reset_index(drop=True)
     if len(sent):
         parts = [W.unpack_sorted(b) for b in sent["labels"]]
@@ -219,35 +239,60 @@ def _subtree(frame: pd.DataFrame) -> pd.DataFrame:
         order, labels = order[many], labels[many]
         ends = np.cumsum(size)
         chunk = np.searchsorted(ends, order, "right")
-        ids, starts = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        ids, prints, starts = (np.zeros(len(order), np.int64) for _ in range(3))
         for c in np.unique(chunk):
             mine = np.flatnonzero(chunk == c)
             at = W.unpack_counts(sent["places"][c])[order[mine] - (ends[c] - size[c])].astype(np.int64)
             firsts = _unpress(sent["firsts"][c])
             row = np.searchsorted(firsts, at, "right") - 1
-            ids[mine], starts[mine] = _unpress(sent["ids"][c])[row], at - firsts[row]
+            ids[mine], prints[mine], starts[mine] = _unpress(sent["ids"][c])[row], _unpress(sent["prints"][c])[row], at - firsts[row]
         if len(order):
-            _, later = _runs(labels, ids, starts)
-            more_ids, more = _by_document(ids[later], starts[later])
-            out_ids += more_ids
+            ranks, named = _ranks(ids, prints)
+            _, later = _runs(labels, ranks, starts)
+            docs, more = _by_document(ranks[later], starts[later])
+            docs = named[np.array(docs, np.int64)]
+            out_ids += ids[docs].tolist()
+            out_prints += prints[docs].tolist()
             out += more
-    return pd.DataFrame({"doc_id": np.array(out_ids, np.int64), "starts": out})
+    return pd.DataFrame({"doc_id": np.array(out_ids, np.int64), "print": np.array(out_prints, np.int64), "starts": out})
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """The documents with ``_id`` (null as the smallest) and ``_print``: the hash
+    of the text where the id may not tell texts apart, else 0."""
+    own = F.xxhash64("text", F.col("doc_id").isNull())
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(ID_CELLS)).cast("int")
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a != b")
+    cells = several.select(cell.alias("_cell")).distinct().collect()  # at most ID_CELLS
+    needed = F.col("doc_id").isNull()
+    if cells:
+        found = docs.sparkSession.createDataFrame(cells, "_cell int").withColumn("_several", F.lit(True))
+        docs = docs.withColumn("_cell", cell).join(F.broadcast(found), "_cell", "left").drop("_cell")
+        needed |= F.col("_several").isNotNull()
+    return (docs.withColumn("_id", F.coalesce("doc_id", F.lit(_NULL_ID)).cast("long"))
+            .withColumn("_print", F.when(needed, own).otherwise(F.lit(0)).cast("long")).drop("_several"))
+
+
+def _repeated(named: DataFrame, window: int) -> DataFrame:
+    docs = named.select(F.col("_id").alias("doc_id"), F.col("_print").alias("print"), "text")
+    shared = docs.sparkSession.sparkContext.broadcast(prefix_split(docs, window))  # 4 * 2**11 flags
+    return docs.mapInArrow(released(_sent(shared, window)), _SENT).groupBy("grp").applyInPandas(_subtree, "doc_id long, print long, starts binary")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, starts (little-endian 32-bit word positions) of repeated windows,
-    several rows a document."""
+    """doc_id, print, starts (little-endian 32-bit word positions) of repeated
+    windows, several rows a document."""
     bound_batches(docs.sparkSession)
-    docs = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).cast("long").alias("doc_id"), "text")
-    shared = docs.sparkSession.sparkContext.broadcast(prefix_split(docs, window))  # 4 * 2**11 flags
-    return docs.mapInArrow(released(_sent(shared, window)), _SENT).groupBy("grp").applyInPandas(_subtree, "doc_id long, starts binary")
+    return _repeated(_named(docs), window)
 
 
 def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with ``_starts``: all repeated windows of each."""
-    found = repeated_windows(docs, window).groupBy("doc_id").agg(F.collect_list("starts").alias("_starts"))
-    found = found.withColumnRenamed("doc_id", "_id")
-    return docs.join(found, F.coalesce(docs["doc_id"], F.lit(_NULL_ID)) == F.col("_id"), "left").drop("_id")
+    bound_batches(docs.sparkSession)
+    named = _named(docs)
+    found = _repeated(named, window).groupBy("doc_id", "print").agg(F.collect_set("starts").alias("_starts"))
+    found = found.withColumnsRenamed({"doc_id": "_its", "print": "_own"})
+    return named.join(found, (F.col("_id") == F.col("_its")) & (F.col("_print") == F.col("_own")), "left").drop("_id", "_print", "_its", "_own")
 
 
 def _kept_mask(count: int, starts: list[bytes] | None, window: int) -> np.ndarray:

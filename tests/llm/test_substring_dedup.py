@@ -59,6 +59,35 @@ def test_repeated_rows_get_equal_results(spark):
     assert got == [(False, None, 0), (True, 1, 40), (True, 1, 40), (True, 2, 40)]
 
 
+@pytest.mark.parametrize("group", [1_500_000, 60])
+@pytest.mark.parametrize("ident", [None, 9])
+def test_different_texts_with_no_id_or_one_id_are_documents_of_their_own(spark, monkeypatch, ident, group):
+    monkeypatch.setattr(S, "GROUP", group)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = {k: " ".join(f"{k}{i}" for i in range(70)) for k in "abcd"}
+    texts["c"] = " ".join(f"c{i}" for i in range(20)) + " " + passage + " c_end"
+    texts["e"] = " ".join(f"e{i}" for i in range(20)) + " " + passage + " e_end"  # at the same start as in c
+    texts["f"] = passage + " " + " ".join(f"f{i}" for i in range(40))
+    texts["s"] = " ".join([f"s{i}" for i in range(25)] * 2)  # repeats itself
+    docs = spark.createDataFrame([(ident, t, "x", "y", 1) for t in texts.values()] + [(20, passage, "x", "y", 1)], SCHEMA).repartition(3)
+    got = sorted((r["n_words"], r["n_removed"], r["kept_sha256"], r["doc_id"]) for r in S.report(docs).collect() if r["doc_id"] == ident)
+    kept = {hashlib.sha256(t.replace(passage, "").strip().replace("  ", " ").encode()).hexdigest() for t in texts.values()}
+    assert sorted(r[1] for r in got if r[0] in (51, 70)) == [0, 0, 0, 0, 30, 30]
+    assert [r[1] for r in got if r[0] == 50] == [25]
+    held = [r for r in got if r[1] == 30]
+    assert all(r[2] in kept for r in held)  # the passage went, not other words
+    assert [r["n_removed"] for r in S.report(docs).collect() if r["doc_id"] == 20] == [30]
+
+
+def test_equal_rows_without_an_id_and_the_smallest_id(spark):
+    text = " ".join(f"a{i}" for i in range(40))
+    rows = [(None, text, "", "", 0)] * 3 + [(S._NULL_ID, text, "", "", 0), (None, text + " b", "", "", 0)]
+    got = S.report(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    same = [r["n_removed"] for r in got if r["doc_id"] is None and r["n_words"] == 40]
+    assert len(same) == 3 and len(set(same)) == 1
+    assert sorted([same[0], *(r["n_removed"] for r in got if r["doc_id"] is not None or r["n_words"] == 41)]) == [0, 40, 40]
+
+
 def test_empty_table(spark):
     assert S.report(spark.createDataFrame([], SCHEMA)).count() == 0
 

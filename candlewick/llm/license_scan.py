@@ -133,12 +133,13 @@ def train(docs: DataFrame, sample: int = SAMPLE, most_unknown: float = 0.001) ->
     plain = plain.withColumn("pairs", F.array_distinct(_with_pairs()))
     templates = template_pairs(spark)
     every = sorted({p for texts in TEMPLATES.values() for t in texts for p in _pairs(_words(t))})
-    plain = plain.where(F.size(F.array_intersect("pairs", _literal(every))) < 2).select("words")
-    rows = [r["words"] for r in plain.collect()]  # at most ``sample`` paragraphs
-    rows.sort()
+    plain = plain.withColumn("pairs", F.array_intersect("pairs", _literal(every))).where(F.size("pairs") < 2)
+    plain = plain.select(F.array_intersect("words", _literal(sorted(known))).alias("words"), "pairs")
+    # at most ``sample`` paragraphs, each whole, as those of its grams that templates hold (no other is a feature)
+    rows = sorted((r["words"], r["pairs"]) for r in plain.collect())
     seen: dict[str, int] = {}
-    for words in rows:
-        for w in set(words) & known:
+    for words, _ in rows:
+        for w in words:
             seen[w] = seen.get(w, 0) + 1
     telling = sorted(w for w in known if len(w) > 1 and not w.isdigit() and seen.get(w, 0) <= COMMON * max(len(rows), 1))
     keep = set(telling)
@@ -148,11 +149,14 @@ def train(docs: DataFrame, sample: int = SAMPLE, most_unknown: float = 0.001) ->
 
     data, held = [], []
     for k, family in enumerate(FAMILIES):
-        made = [_words(v) for t in TEMPLATES.get(family, ()) for v in variants(t)] if k else [w[:400] for w in rows]
-        for i, words in enumerate(made):
+        if k:
+            made = [[*words, *_pairs(words)] for t in TEMPLATES.get(family, ()) for words in map(_words, variants(t))]
+        else:
+            made = [[*words, *two] for words, two in rows]
+        for i, grams in enumerate(made):
             # none rows weigh as much as all families together
             weight = len(TEMPLATES) / max(1, len(made)) if k == 0 else 1.0 / len(made)
-            (held if i % 5 == 4 else data).append((k, weight * 100, [*words, *_pairs(words)]))
+            (held if i % 5 == 4 else data).append((k, weight * 100, grams))
     data.append((0, 100.0, []))  # no feature: none
     frame = spark.createDataFrame(data, "label int, weight double, grams array<string>").coalesce(1)
     regression = LogisticRegression(featuresCol="features", weightCol="weight", family="multinomial", regParam=1e-3, maxIter=60,

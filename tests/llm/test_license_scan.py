@@ -55,3 +55,19 @@ def test_empty_table(spark):
 def test_main_path_has_no_python(spark, model):
     plan = L.classify(spark.createDataFrame([(1, "a", "b", "c", "d")], SCHEMA), model)._jdf.queryExecution().executedPlan().toString()
     assert not any(k in plan for k in ("Python", "Pandas", "Arrow"))
+
+
+def test_long_lines_are_learnt_whole(spark, monkeypatch):
+    fitted, make = [], type(spark).createDataFrame
+
+    def seen(self, data, schema=None, *more, **options):
+        if isinstance(schema, str) and "grams" in schema:
+            fitted.extend(data)
+        return make(self, data, schema, *more, **options)
+
+    monkeypatch.setattr(type(spark), "createDataFrame", seen)
+    late = "apache permission"  # two words of the templates, after 600 others
+    rows = [(i, PLAIN[i % len(PLAIN)]) for i in range(600)] + [(700, " ".join(f"plain{i}" for i in range(600)) + f" {late} end")]
+    L.train(make(spark, rows, "doc_id long, text string"))
+    assert any(set(late.split()) <= set(grams) for label, _, grams in fitted if label == 0)
+    assert max(len(grams) for label, _, grams in fitted if label == 0) < 100  # only grams that templates hold are sent

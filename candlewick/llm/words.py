@@ -98,9 +98,10 @@ class Words:
     first: np.ndarray  # index of each row's first word, one entry more than rows
 
 
-def split(data: np.ndarray, offsets: np.ndarray) -> Words:
+def split(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> Words:
+    """The words of each row; ``between`` flags the bytes that are of no word."""
     rows = len(offsets) - 1
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     before = np.empty_like(inside)
     after = np.empty_like(inside)
     if len(data):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm import compression_quality, decontaminate, embedding_dedup, jaccard_join, license_scan, mixing, piece_sampling, robust_outliers, secret_scan, substring_dedup, warc_fixity
+from candlewick.llm import compression_quality, decontaminate, embedding_dedup, jaccard_join, license_scan, mixing, periodic_runs, piece_sampling, robust_outliers, secret_scan, substring_dedup, warc_fixity
 from candlewick.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(table(spark, sf_dir, "documents"))
+
+
 @query("op13_decontaminate")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm import compression_quality, decontaminate, embedding_dedup, hard_negatives, jaccard_join, license_scan, mixing, periodic_runs, piece_sampling, robust_outliers, secret_scan, substring_dedup, warc_fixity
+from candlewick.llm import compression_quality, decontaminate, embedding_dedup, hard_negatives, jaccard_join, license_scan, mixing, oracles, periodic_runs, piece_sampling, robust_outliers, secret_scan, substring_dedup, warc_fixity
 from candlewick.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,16 +73,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op11_periodic_runs")
+@query("op11_periodic_runs", oracles.PERIODIC_RUNS)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.report(table(spark, sf_dir, "documents"))
 
 
-@query("op12_hard_negatives")
+@query("op12_hard_negatives", oracles.HARD_NEGATIVES)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(hard_negatives.shifted(table(spark, sf_dir, "embeddings")))
 
 
-@query("op13_decontaminate")
+@query("op13_decontaminate", oracles.DECONTAMINATE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -25,17 +25,43 @@ def _bars_as(src: str) -> str:
     return f"SELECT {sql_round(BAR_COLUMNS, doubles=OHLCV)} FROM (SELECT * EXCLUDE (source), '{src}' AS source FROM ({BARS}) b) x"
 
 
+# header forms of the landed files, and the bar column (or a filler) under each name
+LANDED = [
+    [("Symbol", "symbol"), ("Date", "dt"), ("Open", "open"), ("High", "high"), ("Low", "low"), ("Close", "close"), ("Volume", "volume")],
+    [("Date", "dt"), ("Open", "open"), ("High", "high"), ("Low", "low"), ("Adj Close", "close"), ("Volume", "volume"), ("Symbol", "symbol")],
+    [("Volume", "volume"), ("Close", "close"), ("Adj Close", "-1"), ("Dividends", "0"), ("Low", "low"), ("High", "high"), ("Open", "open"), ("Symbol", "symbol"), ("Date", "dt")],
+    [("Symbol", "symbol"), ("Date", "dt"), ("Close", "close"), ("Close", "-2"), ("Open", "open"), ("Open", "-3"), ("High", "high"), ("Low", "low"), ("Volume", "volume")],
+]
+
+
+def _land(bars, path: str, form: int) -> None:
+    """The bars as CSV files, each with its header line first."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    header = ",".join(n for n, _ in LANDED[form])
+    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) if c in bars.columns else F.lit(c) for _, c in LANDED[form]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([header])], names=["value"])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string())], names=["value"])
+
+    bars.select(line.alias("value")).mapInArrow(run, "value string").write.mode("append").text(path)
+
+
 @register("bars_wide", _bars_as("provider_a"))
 def q_bars_wide(spark, sf):
-    """S1 + N1-N3: bars landed as wide CSV files (``Adj Close`` only), read and normalised."""
+    """S1 + N1-N3: bars landed as CSV files of four header forms (``Close``;
+    ``Adj Close``; both, permuted, with another column; repeated names), dealt
+    by the day of the month, read under their own headers and normalised."""
     import uuid
 
     b = lineitem_bars(spark, sf)
-    raw = b.select(F.col("symbol").alias("Symbol"), F.date_format("dt", "yyyy-MM-dd").alias("Date"),
-                   *[F.col(c).cast("string").alias(n) for c, n in
-                     (("open", "Open"), ("high", "High"), ("low", "Low"), ("close", "Adj Close"), ("volume", "Volume"))])
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/wide_{uuid.uuid4().hex}"
-    raw.write.option("header", True).csv(path)
+    for form in range(len(LANDED)):
+        _land(b.where(F.dayofmonth("dt") % len(LANDED) == form), path, form)
     return rounded(wide.read_wide(spark, path))
 
 

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["bars", "indicator_table", "rsi", "diagnostics", "supervised_return", "folds",
-         "metric_record", "price_path", "importance_linear", "source_fallback", "instrument_info"]
+         "metric_record", "price_path", "importance_linear", "source_fallback", "instrument_info", "bars_wide"]
 
 
 def _norm(cols, rows):
@@ -18,7 +18,7 @@ def _norm(cols, rows):
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("lineitem", "orders", "events"):
+    for t in ("lineitem", "orders", "events", "customer"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return c
 

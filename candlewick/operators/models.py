@@ -6,7 +6,9 @@ Two scopes (see README):
 * ``scope="symbol"`` (ridge, lasso): one model per symbol, as in the
   reference, fitted for every symbol, fold and alpha in one Spark plan by
   :mod:`candlewick.operators.linear`.
-* ``scope="panel"`` (every model, the only scope for trees): one Spark ML
+  Forests and boosting have it too, grown by :mod:`candlewick.operators.trees`
+  with the reference's full presets and grids (penalties, column share).
+* ``scope="panel"`` (every model, the default for trees): one Spark ML
   pipeline over all symbols; folds are still positions *within* each
   symbol, so fold ``f`` trains on every symbol's first rows.
 """
@@ -17,18 +19,19 @@ import hashlib
 import itertools
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.operators import linear
 from candlewick.operators import metrics as met
 from candlewick.operators import supervised as sv
+from candlewick.operators import trees as tr
 from candlewick.schema import FEATURES
 from candlewick.session import ensure_checkpoint_dir
 
@@ -94,6 +97,27 @@ MODELS: dict[str, ModelSpec] = {
 }
 
 
+# The reference's tree presets and search grids per symbol.
+TREE_PRESETS: dict[str, tr.TreeParams] = {
+    "random_forest": tr.TreeParams(boost=False, trees=100, depth=6, min_weight=5, bootstrap=True, seed=SEED),
+    "gbt": tr.TreeParams(boost=True, trees=200, rate=0.05, depth=3, min_weight=10, rows=0.8, seed=SEED),
+    "gbt_large": tr.TreeParams(boost=True, trees=300, rate=0.05, depth=3, rows=0.8, tree_features=0.8, l2=1.0, l1=0.1, min_weight=5, seed=SEED),
+}
+TREE_GRIDS: dict[str, dict[str, list]] = {
+    "random_forest": {"trees": [100, 200, 300], "depth": [3, 5, 6], "split_weight": [2, 5, 10], "min_weight": [1, 5, 10],
+                      "node_features": ["sqrt", 0.8], "bootstrap": [True, False]},
+    "gbt": {"trees": [100, 200, 300], "rate": [0.01, 0.05, 0.1], "depth": [2, 3, 4], "split_weight": [2, 5, 10], "min_weight": [5, 10, 20],
+            "rows": [0.7, 0.8, 0.9]},
+    "gbt_large": {"trees": [200, 300, 400], "rate": [0.01, 0.05, 0.1], "depth": [2, 3, 4], "rows": [0.7, 0.8, 0.9], "tree_features": [0.7, 0.8, 0.9],
+                  "l2": [0.5, 1.0, 2.0], "l1": [0.0, 0.1, 0.5], "min_weight": [1, 3, 5]},
+}
+
+
+def tree_params(name: str, params: dict | None = None) -> tr.TreeParams:
+    """The preset of a tree model with some parameters replaced."""
+    return replace(TREE_PRESETS[name], **(params or {}))
+
+
 def select_model(name: str) -> ModelSpec:
     """M7: the model spec by name; an unknown name lists the choices."""
     if name not in MODELS:
@@ -157,8 +181,11 @@ class Fitted:
     keys: list[str] = field(default_factory=lambda: ["symbol"])
     model: PipelineModel | None = None   # panel scope
     fills: DataFrame | None = None       # symbol scope with imputation: keys, _fill_<feature>
+    trees: DataFrame | None = None       # symbol scope, tree models: keys, flat node arrays
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        if self.trees is not None:
+            return tr.predict_trees(df, self.trees, self.keys, self.features, out)
         if self.coefs is not None:
             if self.fills is not None:
                 df = linear.fill_missing(df, self.fills, self.keys, self.features)
@@ -177,7 +204,8 @@ def fit(name: str, train: DataFrame, features: Sequence[str] = FEATURES, scope:
     params = dict(params or {})
     if scope == "symbol":
         if not spec.linear:
-            raise ValueError(f"{name} has no per-symbol fit; use scope='panel'")
+            data = tr.packed(train, keys, features)
+            return Fitted(name, scope, list(features), keys=list(keys), trees=tr.fit_trees(data, keys, [tr.Job(0, 0, tree_params(name, params))]))
         if "alpha_by_symbol" in params:  # (symbol, alpha): the penalty is one more group column
             tuned = train.join(params["alpha_by_symbol"].select("symbol", "alpha"), "symbol")
             coefs = linear.fit_linear(tuned, [*keys, "alpha"], list(features), name, alpha_col="alpha")
@@ -209,6 +237,8 @@ def cv_predictions(name: str, sup: DataFrame, k: int = 5, features: Sequence[str
     spec = select_model(name)
     scope = scope or ("symbol" if spec.linear else "panel")
     cols = ["symbol", "fold", "dt", "i", *features, "label"]
+    if scope == "symbol" and not spec.linear:
+        return tree_cv_predictions(sup, k, features, [tree_params(name, params)]).drop("point")
     if scope == "symbol":
         params = dict(params or {})
         rows = sv.blocks(sup, k)
@@ -240,6 +270,15 @@ def cv_predictions(name: str, sup: DataFrame, k: int = 5, features: Sequence[str
     return out
 
 
+def tree_cv_predictions(sup: DataFrame, k: int, features: Sequence[str], points: Sequence[tr.TreeParams]) -> DataFrame:
+    """V4 for tree models per symbol: test-block predictions of every (point,
+    fold), all fitted over one packed table (symbol, point, fold, dt, label, prediction)."""
+    ensure_checkpoint_dir(sup.sparkSession)
+    data = tr.packed(sv.blocks(sup, k), ["symbol"], features, block="fold").checkpoint(eager=True)
+    jobs = [tr.Job(p, f, params) for p, params in enumerate(points) for f in range(1, k + 1)]
+    return tr.score_blocks(data, tr.fit_trees(data, ["symbol"], jobs), ["symbol"])
+
+
 def cv_score(name: str, sup: DataFrame, k: int = 5, **kw) -> tuple[DataFrame, DataFrame]:
     """V4: fold metrics per (symbol, fold) and their means per symbol."""
     pred = cv_predictions(name, sup, k, **kw)
@@ -296,10 +335,14 @@ def random_search(name: str, sup: DataFrame, k: int = 5, n_iter: int = 10, featu
 
     Linear models in symbol scope score every alpha of the grid for every
     symbol and fold in one plan (the statistics of a fold serve all alphas)
-    and pick the best alpha per symbol.  Panel models loop over the sampled points.
+    and pick the best alpha per symbol.  Tree models in symbol scope fit every
+    (symbol, point, fold) over one binned table, in one plan.  Panel models loop
+    over the sampled points.
     """
     spec = select_model(name)
     scope = scope or ("symbol" if spec.linear else "panel")
+    if scope == "symbol" and not spec.linear:
+        return _search_trees(name, sup, k, n_iter, features)
     pts = grid_points(spec.grid, n_iter)
     if scope == "symbol":
         alphas = [p["alpha"] for p in pts]
@@ -309,7 +352,6 @@ def random_search(name: str, sup: DataFrame, k: int = 5, n_iter: int = 10, featu
         pred = linear.predict_linear(test, coefs, ["symbol", "fold"], list(features), extra=["alpha"])
         fm = met.regression_metrics(pred, ["symbol", "alpha", "fold"])
         scores = met.fold_means(fm, ["symbol", "alpha"])
-        from pyspark.sql import Window
         w = Window.partitionBy("symbol").orderBy(F.col("cv_rmse").asc(), F.col("alpha").asc())
         best = scores.withColumn("_rk", F.row_number().over(w)).withColumn("best", F.col("_rk") == 1).drop("_rk")
         return {"alpha": "per symbol"}, best
@@ -323,3 +365,12 @@ def random_search(name: str, sup: DataFrame, k: int = 5, n_iter: int = 10, featu
     table = spark.createDataFrame([(s, v, i == best_i) for i, (s, v) in enumerate(rows)],
                                   "params string, cv_rmse double, best boolean")
     return pts[best_i], table
+
+
+def _search_trees(name: str, sup: DataFrame, k: int, n_iter: int, features: Sequence[str]) -> tuple[dict, DataFrame]:
+    pts = grid_points(TREE_GRIDS[name], n_iter)
+    pred = tree_cv_predictions(sup, k, features, [tree_params(name, p) for p in pts])
+    scores = met.fold_means(met.regression_metrics(pred, ["symbol", "point", "fold"]), ["symbol", "point"])
+    w = Window.partitionBy("symbol").orderBy(F.col("cv_rmse").asc(), F.col("point").asc())
+    text = F.element_at(F.array(*[F.lit(str(sorted(p.items()))) for p in pts]), F.col("point") + 1)
+    return {"point": "per symbol"}, scores.withColumn("best", F.row_number().over(w) == 1).withColumn("params", text)

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from candlewick.operators import models as M
 from candlewick.operators import supervised as sv
+from candlewick.operators import trees as tr
 from candlewick.operators.windows import indicator_table
 from candlewick.plans.present import rounded
 from candlewick.plans.q_supervised import HOLD, folds_cte, sup_cte
 from candlewick.plans.registry import register
 from candlewick.plans.ridge_sql import predicted, ridge_ctes, scores
 from candlewick.plans.sqlkit import base_ctes
+from candlewick.schema import FEATURES
 from candlewick.sources.trades import lineitem_bars
 
 
@@ -46,9 +48,9 @@ register("cv_forest")(_cv("random_forest"))
 register("cv_gbt")(_cv("gbt"))
 
 
-def _bt(name):
+def _bt(name, scope=None):
     def q(spark, sf):
-        bt, _, _ = M.backtest(name, _sup(spark, sf))
+        bt, _, _ = M.backtest(name, _sup(spark, sf), scope=scope)
         return rounded(bt)
 
     q.__doc__ = f"V5: hold-out back-test of {name}: actual and predicted for the last 20 % per symbol."
@@ -126,3 +128,66 @@ def q_ridge_one_feature(spark, sf):
     """M4 on one standardised feature (price_change): w = Sxy / (n + alpha)."""
     m = M.fit("ridge", _sup(spark, sf), features=["price_change"])
     return rounded(m.coefs.select("symbol", "n", "ybar", F.element_at("w", 1).alias("w")))
+
+
+# --- tree models per symbol -----------------------------------------------------
+
+def _cv_symbol(name):
+    def q(spark, sf):
+        fm, _ = M.cv_score(name, _sup(spark, sf), 5, scope="symbol")
+        return rounded(fm)
+
+    q.__doc__ = f"V4: 5-fold walk-forward metrics of one {name} per symbol, all folds over one binned table."
+    return q
+
+
+for _name, _model in (("forest", "random_forest"), ("gbt", "gbt"), ("gbt_large", "gbt_large")):
+    register(f"cv_{_name}_symbol")(_cv_symbol(_model))
+    register(f"backtest_{_name}_symbol")(_bt(_model, "symbol"))
+
+
+def _search_trees(name):
+    def q(spark, sf):
+        _, table = M.random_search(name, _sup(spark, sf), 5, 20, scope="symbol")
+        return rounded(table)
+
+    q.__doc__ = f"V7: 20 draws of the reference's full {name} grid, scored by walk-forward RMSE per symbol; best flagged."
+    return q
+
+
+register("search_forest")(_search_trees("random_forest"))
+register("search_gbt")(_search_trees("gbt"))
+register("search_gbt_large")(_search_trees("gbt_large"))
+
+
+@register("tree_fold_facts", f"""{FOLD_SETS},
+r AS (SELECT symbol, fold, count(*) AS train_rows, min(label) AS lo, max(label) AS hi FROM trn GROUP BY symbol, fold)
+SELECT symbol, fold, train_rows, count(*) AS test_rows, round(avg(label), 4) AS mean_label, true AS in_range, true AS tells_apart
+FROM tst JOIN r USING (symbol, fold) GROUP BY symbol, fold, train_rows""")
+def q_tree_fold_facts(spark, sf):
+    """M2 + V4: what must hold of the forests of every (symbol, fold): rows of
+    both parts, predictions inside the training labels' range, not constant."""
+    sup = _sup(spark, sf)
+    data = tr.packed(sv.blocks(sup, 5), ["symbol"], FEATURES, block="fold").checkpoint(eager=True)
+    models = tr.fit_trees(data, ["symbol"], [tr.Job(0, f, M.tree_params("random_forest")) for f in range(1, 6)])
+    pred = tr.score_blocks(data, models, ["symbol"])
+    b = sv.blocks(sup, 5).select("symbol", F.col("fold").alias("block"), "label")
+    ranges = b.join(b.select("symbol", F.col("block").alias("fold")).where("fold > 0").distinct(), "symbol").where("block < fold").groupBy("symbol", "fold").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"))
+    facts = pred.groupBy("symbol", "fold").agg(F.count("*").alias("test_rows"), F.avg("label").alias("mean_label"), F.min("prediction").alias("least"),
+                                               F.max("prediction").alias("most"))
+    return rounded(facts.join(ranges, ["symbol", "fold"]).join(models.select("symbol", "fold", "train_rows"), ["symbol", "fold"]).select(
+        "symbol", "fold", "train_rows", "test_rows", "mean_label", ((F.col("least") >= F.col("lo")) & (F.col("most") <= F.col("hi"))).alias("in_range"),
+        (F.col("most") > F.col("least")).alias("tells_apart")))
+
+
+@register("tree_leaf_sums", f"""WITH {base_ctes()}, {sup_cte()}
+SELECT symbol, count(*) AS rows, round(avg(label), 4) AS mean_label, round(avg(label), 4) AS root_value FROM sup GROUP BY symbol""")
+def q_tree_leaf_sums(spark, sf):
+    """M2: the leaves of one unsampled tree per symbol hold all its rows, and
+    their values average to the label's mean, as the root's does."""
+    data = tr.packed(_sup(spark, sf), ["symbol"], FEATURES)
+    models = tr.fit_trees(data, ["symbol"], [tr.Job(0, 0, tr.TreeParams(boost=False, trees=1, depth=6, min_weight=5))])
+    nodes = models.select("symbol", F.explode(F.arrays_zip("feature", "value", "weight")).alias("n"), F.element_at("value", 1).alias("root_value")).where("n.feature < 0")
+    return rounded(nodes.groupBy("symbol", "root_value").agg(F.sum("n.weight").cast("long").alias("rows"),
+                                                             (F.sum(F.col("n.weight") * F.col("n.value")) / F.sum("n.weight")).alias("mean_label")))

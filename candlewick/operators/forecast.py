@@ -5,7 +5,8 @@ The iterative forecast keeps one state row per symbol -- the last 50 closes
 as arrays plus the last open/high/low -- and
 recomputes the 22 features from the arrays.  A linear model runs all steps in
 one vectorised pass over batches of state rows (a row is of fixed size, no
-shuffle, no checkpoint).  A panel model is scored by Spark ML step by step: the
+shuffle, no checkpoint); so do trees per symbol, each state row with its model's
+node arrays.  A panel model is scored by Spark ML step by step: the
 features come from Spark's higher-order functions, one step is a narrow
 projection plus ``model.transform``, and the lineage is cut with
 ``checkpoint()`` every few steps.  Predictions accumulate in array columns of
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from candlewick.functions.calendar import business_days_after
 from candlewick.functions.grades import change_pct, price_from_return, signal
+from candlewick.operators import trees
 from candlewick.operators.models import Fitted
 from candlewick.schema import FEATURES, LAGS, OHLCV
 from candlewick.session import ensure_checkpoint_dir
@@ -116,8 +118,9 @@ def forecast_status(bars: DataFrame, model: Fitted | None = None, inference_row:
     need = STATE_CLOSES + (0 if inference_row == "latest" else 2)
     held = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.count(F.when(complete_bar(), 1)).alias("complete_bars"))
     fitted = F.lit(True)
-    if model is not None and model.coefs is not None:
-        held = held.join(model.coefs.select("symbol", F.lit(True).alias("_fit")), "symbol", "left")
+    own = None if model is None else model.coefs if model.coefs is not None else model.trees
+    if own is not None:
+        held = held.join(own.select("symbol", F.lit(True).alias("_fit")), "symbol", "left")
         fitted = F.col("_fit").isNotNull()
     status = F.when(F.col("complete_bars") < need, "insufficient history").when(~fitted, "no model").otherwise("ok")
     return held.select("symbol", "bars", "complete_bars", status.alias("status"))
@@ -179,29 +182,44 @@ def _numpy_features(closes: np.ndarray, volumes: np.ndarray, bar: tuple[np.ndarr
     return np.column_stack([found[f] for f in FEATURES])
 
 
+def _linear_scores(frame: pd.DataFrame, use: list[int]):
+    """Predictions of each state row's own linear model from its features."""
+    mu, sd, w = (np.stack(frame[k].to_list()).astype(float) for k in ("mu", "sd", "w"))
+    ybar = frame["ybar"].to_numpy(dtype=float)
+    return lambda x: ybar + (w * (x[:, use] - mu) / sd).sum(axis=1)
+
+
+def _tree_scores(frame: pd.DataFrame, use: list[int]):
+    """Predictions of each state row's own trees, all trees of a row at once."""
+    models = [trees.Flat(r) for r in frame.to_dict("records")]
+    return lambda x: np.array([m.predict(x[i:i + 1, use])[0] for i, m in enumerate(models)])
+
+
+def _walked(frame: pd.DataFrame, days: int, off: int, returns: bool, score) -> pd.DataFrame:
+    """All steps of a batch of state rows."""
+    held = {k: np.stack(frame[k].to_list()).astype(float) for k in ("closes", "volumes", "opens", "highs", "lows")}
+    preds, prices = [], []
+    for _ in range(days):
+        end = -off or None
+        bar = tuple(held[k][:, -1 - off] for k in ("opens", "highs", "lows"))
+        y = score(_numpy_features(held["closes"][:, :end], held["volumes"][:, :end], bar))
+        new = held["closes"][:, -1] * (1.0 + y / 100.0) if returns else y
+        preds.append(y)
+        prices.append(new)
+        for k, v in (("closes", new), ("volumes", held["volumes"][:, -1]), ("opens", new), ("highs", new * HIGH_FACTOR), ("lows", new * LOW_FACTOR)):
+            held[k] = np.column_stack([held[k][:, 1:], v])
+    out = frame[["symbol", "last_dt"]].copy()
+    out["preds"] = [[None if np.isnan(v) else float(v) for v in row] for row in np.column_stack(preds)]
+    out["prices"] = [[None if np.isnan(v) else float(v) for v in row] for row in np.column_stack(prices)]
+    return out
+
+
 def _linear_paths(days: int, off: int, use: list[int], returns: bool):
     """All steps of a linear model for batches of state rows."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if not len(frame):
-                continue
-            held = {k: np.stack(frame[k].to_list()).astype(float) for k in ("closes", "volumes", "opens", "highs", "lows", "mu", "sd", "w")}
-            ybar = frame["ybar"].to_numpy(dtype=float)
-            preds, prices = [], []
-            for _ in range(days):
-                end = -off or None
-                bar = tuple(held[k][:, -1 - off] for k in ("opens", "highs", "lows"))
-                x = _numpy_features(held["closes"][:, :end], held["volumes"][:, :end], bar)[:, use]
-                y = ybar + (held["w"] * (x - held["mu"]) / held["sd"]).sum(axis=1)
-                new = held["closes"][:, -1] * (1.0 + y / 100.0) if returns else y
-                preds.append(y)
-                prices.append(new)
-                for k, v in (("closes", new), ("volumes", held["volumes"][:, -1]), ("opens", new), ("highs", new * HIGH_FACTOR), ("lows", new * LOW_FACTOR)):
-                    held[k] = np.column_stack([held[k][:, 1:], v])
-            out = frame[["symbol", "last_dt"]].copy()
-            out["preds"] = [[None if np.isnan(v) else float(v) for v in row] for row in np.column_stack(preds)]
-            out["prices"] = [[None if np.isnan(v) else float(v) for v in row] for row in np.column_stack(prices)]
-            yield out
+            if len(frame):
+                yield _walked(frame, days, off, returns, _linear_scores(frame, use))
 
     return run
 
@@ -233,6 +251,14 @@ def iterative_forecast(bars: DataFrame, model: Fitted, days: int = 7, target_typ
         paths = state.mapInPandas(_linear_paths(days, off, use, target_type == "return"),
                                   f"symbol string, last_dt {dict(state.dtypes)['last_dt']}, preds array<double>, prices array<double>")
         return _steps(paths, bars, model, days, inference_row)
+    if model.trees is not None:
+        use = [FEATURES.index(f) for f in model.features]
+        returns = target_type == "return"
+        # a symbol's state is one row, and so is its model: a group is those two
+        paths = state.join(model.trees, "symbol").groupBy("symbol").applyInPandas(
+            lambda frame: _walked(frame, days, off, returns, _tree_scores(frame, use)),
+            f"symbol string, last_dt {dict(state.dtypes)['last_dt']}, preds array<double>, prices array<double>")
+        return _steps(paths, bars, model, days, inference_row)
     state = state.withColumn("preds", F.array().cast("array<double>")).withColumn(
         "prices", F.array().cast("array<double>"))
     keep = state.columns

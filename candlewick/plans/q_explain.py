@@ -9,6 +9,8 @@ against additivity.
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from candlewick.operators import explain as X
 from candlewick.operators import models as M
 from candlewick.operators import supervised as sv
@@ -121,6 +123,24 @@ def q_shapley_forest(spark, sf):
     return rounded(X.sampled_shapley(M.fit("random_forest", sup), sup, orders=8))
 
 
+@register("contributions_forest")
+def q_contributions_forest(spark, sf):
+    """X3 + W13: exact contributions of one forest per symbol for its latest row, ranked by |phi|."""
+    sup = _sup(spark, sf)
+    return rounded(X.exact_tree_contributions(M.fit("random_forest", sup, scope="symbol"), sup))
+
+
+@register("contributions_forest_facts", f"""WITH {base_ctes()}, {sup_cte()}
+SELECT symbol, CAST(22 AS BIGINT) AS features, true AS adds_up, true AS ranks_agree FROM sup GROUP BY symbol""")
+def q_contributions_forest_facts(spark, sf):
+    """Per symbol, every feature has a contribution, and base value plus
+    contributions give the prediction to 1e-9."""
+    sup = _sup(spark, sf)
+    c = X.exact_tree_contributions(M.fit("gbt_large", sup, scope="symbol"), sup)
+    return c.groupBy("symbol").agg(F.count("feature").alias("features"), (F.abs(F.max("base_value") + F.sum("phi") - F.max("prediction")) < 1e-9).alias("adds_up"),
+                                   (F.max_by(F.abs("phi"), -F.col("rank")) == F.max(F.abs("phi"))).alias("ranks_agree"))
+
+
 NARR = ONE + """,
 bg AS (SELECT symbol, avg(v) AS bgv FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY
          md5(concat_ws('|', '42', symbol, CAST(dt AS VARCHAR))), dt) AS rn FROM pred) a WHERE rn <= 200 GROUP BY symbol),

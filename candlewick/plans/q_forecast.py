@@ -64,10 +64,18 @@ def q_forecast_status(spark, sf):
 
 @register("iterative_forest")
 def q_iterative_forest(spark, sf):
-    """P2 with the pooled random forest (panel scope), 5 days."""
+    """P2 with one random forest per symbol, 30 days, all steps in one pass."""
     bars, ind, sup = _setup(spark, sf)
-    model = M.fit("random_forest", sup)
-    return rounded(fc.iterative_forecast(bars, model, 5))
+    model = M.fit("random_forest", sup, scope="symbol")
+    return rounded(fc.iterative_forecast(bars, model, 30))
+
+
+@register("iterative_gbt_large")
+def q_iterative_gbt_large(spark, sf):
+    """P2 with one regularised boosting model per symbol, 30 days."""
+    bars, ind, sup = _setup(spark, sf)
+    model = M.fit("gbt_large", sup, scope="symbol")
+    return rounded(fc.iterative_forecast(bars, model, 30))
 
 
 @register("price_path", f"""WITH {base_ctes()}, {sup_cte()},

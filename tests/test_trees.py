@@ -175,3 +175,65 @@ def test_search_scores_every_point(spark):
     for s in ("S", "Q"):
         mine = [r for r in rows if r["symbol"] == s]
         assert min(mine, key=lambda r: (r["cv_rmse"], r["point"]))["best"]
+
+
+def subset_values(predict, x, background):
+    """Shapley values by all subsets."""
+    from itertools import combinations
+    from math import factorial
+
+    p = len(x)
+
+    def worth(keep):
+        rows = background.copy()
+        rows[:, list(keep)] = x[list(keep)]
+        return predict(rows).mean()
+
+    out = np.zeros(p)
+    for j in range(p):
+        rest = [k for k in range(p) if k != j]
+        for size in range(p):
+            for s in combinations(rest, size):
+                out[j] += factorial(size) * factorial(p - size - 1) / factorial(p) * (worth((*s, j)) - worth(s))
+    return out
+
+
+@pytest.mark.parametrize("params", [tr.TreeParams(boost=False, trees=6, depth=4, bootstrap=True, min_weight=2),
+                                    tr.TreeParams(boost=True, trees=8, depth=3, rate=0.2, l2=1.0)])
+def test_tree_contributions_equal_all_subsets(params):
+    rng = np.random.default_rng(1)
+    n, p = 150, 6
+    bins = rng.integers(0, 12, (n, p)).astype(np.uint8)
+    y = bins[:, 0] * 0.5 + (bins[:, 1] > 5) * bins[:, 2] + rng.standard_normal(n)
+    rows = tr.Rows(np.arange(n), np.zeros(n, int), y, bins, n, float(abs(y).max()), np.full(p, 12))
+    edges = [list(np.arange(12.0))] * p
+    names = tr._fields([]).names
+    model = tr.Flat(dict(zip(names, tr._model_row((), tr.Job(0, 0, params), tr.grown(rows, tr.Job(0, 0, params)), edges, n))))
+    x, back = bins[0].astype(float), bins[20:50].astype(float)
+    from candlewick.operators.explain import tree_contributions
+
+    phi = tree_contributions(model, x, back)
+    assert np.allclose(phi, subset_values(model.predict, x, back), atol=1e-9)
+    assert phi.sum() + model.predict(back).mean() == pytest.approx(model.predict(x[None])[0], abs=1e-9)
+
+
+def test_tree_forecast_equals_step_by_step(spark, make_bars):
+    from candlewick.operators import forecast as fc
+    from candlewick.operators import supervised as sv
+    from candlewick.operators.windows import indicator_table
+
+    rng = np.random.default_rng(2)
+    closes = (100 * np.exp(np.cumsum(rng.standard_normal(140) / 50))).tolist()
+    bars = make_bars(closes, volumes=rng.uniform(1, 9, 140).tolist()).unionByName(make_bars(closes[:20], symbol="short"))
+    model = M.fit("random_forest", sv.supervised(indicator_table(bars)), scope="symbol", params={"trees": 5})
+    got = fc.iterative_forecast(bars, model, 4).orderBy("symbol", "step").toPandas()
+    assert got[got["symbol"] == "short"]["y_hat"].isna().all() and (got[got["symbol"] == "short"]["status"] == "insufficient history").all()
+    held = bars.where("symbol = 'S'")
+    for step in range(1, 5):
+        last = indicator_table(held, drop_incomplete=False).orderBy(F.col("dt").desc()).limit(1)
+        row = model.predict(last.select("symbol", "dt", "close", "volume", *[c for c in M.FEATURES if c not in ("volume",)])).first()
+        mine = got[(got["symbol"] == "S") & (got["step"] == step)].iloc[0]
+        assert mine["y_hat"] == pytest.approx(row["prediction"], abs=1e-9)
+        new = row["close"] * (1 + row["prediction"] / 100)
+        assert mine["price"] == pytest.approx(new, rel=1e-12)
+        held = held.unionByName(spark.createDataFrame([("S", row["dt"] + dt.timedelta(days=1), new, new * 1.01, new * 0.99, new, row["volume"], "test")], held.schema))

@@ -16,9 +16,19 @@ Walk-forward folds reuse the parts: the training set of fold f is the running
 merge of the blocks before it, so no row is copied per fold, and the penalty
 enters on the merged rows only.
 
+The metrics of a fold come from the same parts: the squared error of its test
+block is a quadratic form of that block's products and the coefficients, so RMSE
+and R^2 need no second pass (the mean absolute error does).
+
+Imputation inside folds works on the parts too.  A row enters as (values with
+missing ones as 0, flags of missing ones, label); a fold's filled features are a
+linear map of these, so its products follow from the merged parts and the fold's
+fill values.  Those come from quantile sketches (or sums) per block, merged like
+the parts.
+
 No group's rows are ever collected: a symbol with a third of all rows ships one
-partial row per batch.  Rows with a missing feature or label are left out, so
-that every sum is over the same rows (see ``fill_missing`` for imputation).
+partial row per batch.  Without imputation, rows with a missing feature or label
+are left out, so that every sum is over the same rows.
 """
 
 from __future__ import annotations
@@ -45,8 +55,11 @@ def merge_parts(x: Part, y: Part) -> Part:
     return n, x[1] + d * (y[0] / n), x[2] + y[2] + np.outer(d, d) * (x[0] * y[0] / n)
 
 
-def partial_stats(train: DataFrame, keys: Sequence[str], features: Sequence[str], label: str = "label") -> DataFrame:
-    """keys, n, mean[], products[] (square, features then label) per group and batch."""
+def partial_stats(train: DataFrame, keys: Sequence[str], features: Sequence[str], label: str = "label", flags: bool = False) -> DataFrame:
+    """keys, n, mean[], products[] (square, features then label) per group and batch.
+
+    With ``flags`` missing features count as 0 and a flag per feature follows
+    the features; only rows without a label are left out."""
     keys = list(keys)
     columns = [*features, label]
     t = train.select(*keys, *[F.col(c).cast("double").alias(f"_v{j}") for j, c in enumerate(columns)])
@@ -54,6 +67,9 @@ def partial_stats(train: DataFrame, keys: Sequence[str], features: Sequence[str]
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = pdf[[f"_v{j}" for j in range(len(columns))]].to_numpy(dtype=float)
+            if flags:
+                gone = np.isnan(x[:, :-1])
+                x = np.column_stack([np.where(gone, 0.0, x[:, :-1]), gone, x[:, -1]])
             pdf, x = pdf.loc[good := ~np.isnan(x).any(axis=1), keys].reset_index(drop=True), x[good]
             if not len(pdf):
                 continue
@@ -77,14 +93,15 @@ def partial_stats(train: DataFrame, keys: Sequence[str], features: Sequence[str]
 
 def _merged_groups(frames: Iterator[pd.DataFrame], keys: list[str], block: str | None, folds: int) -> Iterator[pd.DataFrame]:
     """Merged statistics of the groups of a partition sorted by key (and
-    block); with ``block``, one row per fold: the merge of the blocks before it."""
+    block); with ``block``, one row per fold: the merge of the blocks before it,
+    and the fold's own block as its test part."""
     last, state, rows = None, None, []
 
     def close() -> None:
         if last is None:
             return
         if block is None:
-            rows.append((*last, state))
+            rows.append((*last, state, None))
         else:
             for fold in range(1, folds + 1):
                 have = [state[b] for b in range(fold) if b in state]
@@ -92,12 +109,12 @@ def _merged_groups(frames: Iterator[pd.DataFrame], keys: list[str], block: str |
                     total = have[0]
                     for part in have[1:]:
                         total = merge_parts(total, part)
-                    rows.append((*last, fold, total))
+                    rows.append((*last, fold, total, state.get(fold)))
 
     def flush() -> pd.DataFrame:
         names = [*keys, block] if block else keys
-        out = pd.DataFrame([r[:-1] for r in rows], columns=names)
-        parts = [r[-1] for r in rows]
+        out = pd.DataFrame([r[:-2] for r in rows], columns=names)
+        parts = [r[-2] for r in rows]
         p = len(parts[0][1]) - 1
         upper = tuple(np.array(_pairs(p)).T)
         out["n"] = [int(x[0]) for x in parts]
@@ -105,6 +122,12 @@ def _merged_groups(frames: Iterator[pd.DataFrame], keys: list[str], block: str |
         out["ybar"] = [x[1][p] for x in parts]
         out["sxx"] = [x[2][:p, :p][upper] for x in parts]
         out["sxy"] = [x[2][:p, p] for x in parts]
+        if block:
+            none = (0.0, np.zeros(p + 1), np.zeros((p + 1, p + 1)))
+            tests = [r[-1] or none for r in rows]
+            out["test_n"] = [int(x[0]) for x in tests]
+            out["test_mean"] = [x[1] for x in tests]
+            out["test_products"] = [x[2].ravel() for x in tests]
         rows.clear()
         return out
 
@@ -127,6 +150,71 @@ def _merged_groups(frames: Iterator[pd.DataFrame], keys: list[str], block: str |
         yield flush()
 
 
+SKETCH = 8192  # values that a sketch holds exactly; beyond, ranks are off by about n / 5000
+
+
+def fold_fills(blocks: DataFrame, keys: Sequence[str], features: Sequence[str], folds: int, strategy: str = "median") -> DataFrame:
+    """keys, fold, fill[]: the median or mean of each feature over the blocks
+    before the fold, NULL for a feature that they never have.
+
+    One sketch (or count and sum) per (group, block, feature), merged per fold:
+    no value travels twice."""
+    if strategy not in ("median", "mean"):
+        raise ValueError("strategy must be 'median' or 'mean'")
+    keys = list(keys)
+    own = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in features]
+    later = F.explode(F.sequence(F.col("fold") + 1, F.lit(folds))).alias("_f")
+    by_block = blocks.groupBy(*keys, "fold")
+    if strategy == "mean":
+        parts = by_block.agg(*[F.sum(c).alias(f"_s{j}") for j, c in enumerate(own)], *[F.count(c).alias(f"_n{j}") for j, c in enumerate(own)])
+        merged = parts.where(F.col("fold") < folds).select(*keys, *[c for c in parts.columns if c[:2] in ("_s", "_n")], later).groupBy(*keys, "_f").agg(
+            *[F.try_divide(F.sum(f"_s{j}"), F.sum(f"_n{j}")).alias(f"_q{j}") for j in range(len(features))])
+        fill = [F.col(f"_q{j}") for j in range(len(features))]
+    else:
+        parts = by_block.agg(*[F.kll_sketch_agg_double(c, F.lit(SKETCH)).alias(f"_s{j}") for j, c in enumerate(own)])
+        merged = parts.where(F.col("fold") < folds).select(*keys, *[f"_s{j}" for j in range(len(features))], later).groupBy(*keys, "_f").agg(
+            *[F.kll_merge_agg_double(f"_s{j}", F.lit(SKETCH)).alias(f"_q{j}") for j in range(len(features))])
+        fill = [_sketch_median(F.col(f"_q{j}")) for j in range(len(features))]
+    return merged.select(*keys, F.col("_f").alias("fold"), F.array(*fill).alias("fill"))
+
+
+def _sketch_median(sketch: Column) -> Column:
+    """The middle value, or the mean of the two middle ones: the ranks at and
+    just above one half."""
+    at, above = (F.kll_sketch_get_quantile_double(sketch, F.lit(r)) for r in (0.5, 0.5 + 1e-7))
+    return F.when(F.kll_sketch_get_n_double(sketch) > 0, (at + above) / 2)
+
+
+def fill_folds(rows: DataFrame, fills: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """The rows with missing features filled by the values of their (keys, fold)."""
+    j = rows.join(fills, [*keys, "fold"], "left")
+    filled = {c: F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.col("fill")[i], F.lit(0.0)) for i, c in enumerate(features)}
+    return j.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in rows.columns])
+
+
+def _filled(pdf: pd.DataFrame, p: int) -> pd.DataFrame:
+    """Statistics of (values, flags, label) and fill values -> of filled features."""
+    m = len(pdf)
+    fill = np.array([[0.0 if v is None or np.isnan(v) else v for v in row] for row in pdf["fill"]]).reshape(m, p)
+    move = np.zeros((m, p + 1, 2 * p + 1))
+    j = np.arange(p)
+    move[:, j, j], move[:, j, p + j], move[:, p, 2 * p] = 1.0, fill, 1.0
+    upper, own = np.array(_pairs(2 * p)).T, np.array(_pairs(p)).T
+    C = np.zeros((m, 2 * p + 1, 2 * p + 1))
+    sxx, sxy = np.stack(pdf["sxx"].to_numpy()), np.stack(pdf["sxy"].to_numpy())
+    C[:, upper[0], upper[1]] = C[:, upper[1], upper[0]] = sxx
+    C[:, :-1, -1] = C[:, -1, :-1] = sxy
+    C = move @ C @ move.transpose(0, 2, 1)
+    T_ = move @ np.stack(pdf["test_products"].to_numpy()).reshape(m, 2 * p + 1, 2 * p + 1) @ move.transpose(0, 2, 1)
+    mean = np.column_stack([np.stack(pdf["mu"].to_numpy()), pdf["ybar"].to_numpy(float)])
+    out = pdf.drop(columns=["fill"])
+    out["mu"] = list((move @ mean[:, :, None])[:, :p, 0])
+    out["sxx"], out["sxy"] = list(C[:, own[0], own[1]]), list(C[:, :p, p])
+    out["test_mean"] = list((move @ np.stack(pdf["test_mean"].to_numpy())[:, :, None])[:, :, 0])
+    out["test_products"] = list(T_.reshape(m, -1))
+    return out
+
+
 def fill_missing(rows: DataFrame, fills: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
     """Missing features take their group's fill value; a feature that its group
     never has becomes 0 everywhere, so its coefficient is 0."""
@@ -188,7 +276,15 @@ def _solve_rows(pdf: pd.DataFrame, p: int, model: str, alpha_col: str | None, al
             w[idx] = wa
             steps[idx] += 1
             active[idx] = delta > tol * np.maximum(1.0, np.abs(wa).max(axis=1))
-    res = pdf.drop(columns=["sxx", "sxy"]).copy()
+    res = pdf.drop(columns=["sxx", "sxy", "test_mean", "test_products"], errors="ignore").copy()
+    if "test_products" in pdf:
+        beta = w / sd
+        mean = np.stack(pdf["test_mean"].to_numpy()).astype(float)
+        S = np.stack(pdf["test_products"].to_numpy()).astype(float).reshape(m, p + 1, p + 1)
+        form = np.column_stack([-beta, np.ones(m)])  # error = form . (x, y), up to a constant
+        off = mean[:, p] - pdf["ybar"].to_numpy(float) - (beta * (mean[:, :p] - mu)).sum(axis=1)
+        res["test_sse"] = np.maximum(np.einsum("ri,rij,rj->r", form, S, form), 0.0) + pdf["test_n"].to_numpy(float) * off**2
+        res["test_sst"] = S[:, p, p]
     res["sd"] = list(sd)
     res["w"] = list(w)
     res["iterations"] = steps
@@ -214,37 +310,95 @@ def fit_linear(train: DataFrame, keys: Sequence[str], features: Sequence[str], m
 
 def fit_walk_forward(blocks: DataFrame, keys: Sequence[str], features: Sequence[str], folds: int, model: str = "ridge",
                      alphas: Sequence[float] | None = None, alpha_col: str | None = None, label: str = "label",
-                     max_iter: int = 1000, tol: float = 1e-10) -> DataFrame:
+                     max_iter: int = 1000, tol: float = 1e-10, fills: DataFrame | None = None) -> DataFrame:
     """Coefficients of every (keys, fold[, alpha]): fold f is trained on the
-    rows of blocks 0 to f - 1 (column ``fold`` of ``blocks`` is the block)."""
+    rows of blocks 0 to f - 1 (column ``fold`` of ``blocks`` is the block), with
+    the rows, squared error and total sum of squares of its test block
+    (test_n, test_sse, test_sst).  ``fills`` (see :func:`fold_fills`) imputes."""
     default = 1.0 if model == "ridge" else 0.001
-    return _solved(partial_stats(blocks, [*keys, "fold"], features, label), list(keys), len(features), model, default, alpha_col, "fold", folds,
-                   list(alphas) if alphas else None, max_iter, tol)
+    return _solved(partial_stats(blocks, [*keys, "fold"], features, label, fills is not None), list(keys), len(features), model, default, alpha_col, "fold",
+                   folds, list(alphas) if alphas else None, max_iter, tol, fills)
 
 
 def _solved(parts: DataFrame, keys: list[str], p: int, model: str, alpha: float, alpha_col: str | None, block: str | None, folds: int,
-            alphas: list[float] | None, max_iter: int, tol: float) -> DataFrame:
+            alphas: list[float] | None, max_iter: int, tol: float, fills: DataFrame | None = None) -> DataFrame:
     """Merge the parts of each group and solve; ``alphas`` fans out after the merge."""
-    fields = [f for f in parts.schema.fields if f.name in keys or f.name == block]
-    if alphas:
-        fields = fields + [T.StructField("alpha", T.DoubleType())]
-    schema = T.StructType(fields + [
-        T.StructField("n", T.LongType()), T.StructField("mu", T.ArrayType(T.DoubleType())),
-        T.StructField("ybar", T.DoubleType()), T.StructField("sd", T.ArrayType(T.DoubleType())),
-        T.StructField("w", T.ArrayType(T.DoubleType())),
-        T.StructField("iterations", T.LongType()), T.StructField("converged", T.BooleanType()),
-    ])
-    names = [f.name for f in schema.fields]
+    def doubles(*names: str) -> list[T.StructField]:
+        return [T.StructField(c, T.ArrayType(T.DoubleType())) for c in names]
+
+    own = [f for f in parts.schema.fields if f.name in keys or f.name == block]
+    tests = [T.StructField("test_n", T.LongType())] if block else []
+    scores = [T.StructField("test_sse", T.DoubleType()), T.StructField("test_sst", T.DoubleType())] if block else []
+    schema = T.StructType([*own, *([T.StructField("alpha", T.DoubleType())] if alphas else []), T.StructField("n", T.LongType()), *doubles("mu"),
+                           T.StructField("ybar", T.DoubleType()), *doubles("sd", "w"), T.StructField("iterations", T.LongType()),
+                           T.StructField("converged", T.BooleanType()), *tests, *scores])
+    names = schema.fieldNames()
+
+    def solve_merged(stats: pd.DataFrame) -> pd.DataFrame:
+        if alphas:
+            stats = stats.loc[np.repeat(np.arange(len(stats)), len(alphas))].reset_index(drop=True)
+            stats["alpha"] = np.tile(alphas, len(stats) // len(alphas))
+        return _solve_rows(stats, p, model, "alpha" if alphas else alpha_col, alpha, max_iter, tol)[names]
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for stats in _merged_groups(frames, keys, block, folds):
-            if alphas:
-                stats = stats.loc[np.repeat(np.arange(len(stats)), len(alphas))].reset_index(drop=True)
-                stats["alpha"] = np.tile(alphas, len(stats) // len(alphas))
-            yield _solve_rows(stats, p, model, "alpha" if alphas else alpha_col, alpha, max_iter, tol)[names]
+            yield solve_merged(stats)
 
     order = [*keys, block] if block else keys
-    return parts.repartition(*keys).sortWithinPartitions(*order).mapInPandas(solve, schema)
+    dealt = parts.repartition(*keys).sortWithinPartitions(*order)
+    if fills is None:
+        return dealt.mapInPandas(solve, schema)
+    merged = T.StructType([*own, T.StructField("n", T.LongType()), *doubles("mu"), T.StructField("ybar", T.DoubleType()), *doubles("sxx", "sxy"),
+                           *tests, *doubles("test_mean", "test_products")])
+    columns = merged.fieldNames()
+
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for stats in _merged_groups(frames, keys, block, folds):
+            yield stats[columns]
+
+    def solve_filled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for stats in frames:
+            for lo in range(0, len(stats), 500):
+                yield solve_merged(_filled(stats.iloc[lo:lo + 500].reset_index(drop=True), p))
+
+    return dealt.mapInPandas(merge, merged).join(fills, order).mapInPandas(solve_filled, schema)
+
+
+HELD_NUMBERS = 8_000_000  # coefficients that may go to every task (64 MB)
+
+
+def absolute_errors(rows: DataFrame, coefs: DataFrame, keys: Sequence[str], features: Sequence[str], extra: Sequence[str] = (),
+                    label: str = "label") -> DataFrame:
+    """keys, extra, mae of the rows under their group's coefficients.
+
+    Coefficients go to every task if they are few (counted first): a batch is
+    scored by one product per group and sends on one sum.  Else rows and
+    coefficients are joined."""
+    keys, extra, p = list(keys), list(extra), len(features)
+    count = coefs.count()
+    if count * (p + 1) > HELD_NUMBERS:
+        e = predict_linear(rows.select(*keys, *features, label), coefs, keys, features, extra=extra)
+        return e.where(F.col("prediction").isNotNull() & F.col(label).isNotNull()).groupBy(*keys, *extra).agg(F.avg(F.abs(F.col(label) - F.col("prediction"))).alias("mae"))
+    held: dict[tuple, list] = {}
+    for r in coefs.select(*keys, *extra, "mu", "sd", "ybar", "w").collect():
+        beta = np.array(r["w"]) / np.array(r["sd"])
+        held.setdefault(tuple(r[k] for k in keys), []).append((tuple(r[k] for k in extra), r["ybar"] - beta @ np.array(r["mu"]), beta))
+    shared = rows.sparkSession.sparkContext.broadcast(held)
+    few = rows.select(*keys, *[F.col(c).cast("double").alias(f"_v{j}") for j, c in enumerate([*features, label])])
+    schema = T.StructType([*[few.schema[k] for k in keys], *[coefs.schema[c] for c in extra], T.StructField("s", T.DoubleType()), T.StructField("c", T.LongType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            x = frame[[f"_v{j}" for j in range(p + 1)]].to_numpy(dtype=float)
+            x, frame = x[good := ~np.isnan(x).any(axis=1)], frame.loc[good, keys].reset_index(drop=True)
+            out = []
+            for key, at in frame.groupby(keys, sort=False).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
+                for more, constant, beta in shared.value.get(key, []):
+                    out.append((*key, *more, float(np.abs(x[at, p] - constant - x[at, :p] @ beta).sum()), len(at)))
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return few.mapInPandas(run, schema).groupBy(*keys, *extra).agg((F.sum("s") / F.sum("c")).alias("mae"))
 
 
 def linear_prediction(features: Sequence[str]) -> Column:

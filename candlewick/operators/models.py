@@ -185,6 +185,8 @@ class Fitted:
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         if self.trees is not None:
+            if self.fills is not None:
+                df = linear.fill_missing(df, self.fills, self.keys, self.features)
             return tr.predict_trees(df, self.trees, self.keys, self.features, out)
         if self.coefs is not None:
             if self.fills is not None:
@@ -196,6 +198,13 @@ class Fitted:
         return scored if out == "prediction" else scored.withColumnRenamed("prediction", out)
 
 
+def _filled(train: DataFrame, keys: Sequence[str], features: Sequence[str], impute: str | None) -> tuple[DataFrame | None, DataFrame]:
+    if not impute:
+        return None, train
+    fills = linear.fill_values(train, list(keys), list(features), impute)
+    return fills, linear.fill_missing(train, fills, list(keys), list(features))
+
+
 def fit(name: str, train: DataFrame, features: Sequence[str] = FEATURES, scope: str | None = None,
         keys: Sequence[str] = ("symbol",), params: dict | None = None, impute: str | None = None) -> Fitted:
     """Fit one model per ``keys`` group (symbol scope) or one over all rows (panel)."""
@@ -204,17 +213,16 @@ def fit(name: str, train: DataFrame, features: Sequence[str] = FEATURES, scope:
     params = dict(params or {})
     if scope == "symbol":
         if not spec.linear:
+            fills, train = _filled(train, keys, features, impute)
             data = tr.packed(train, keys, features)
-            return Fitted(name, scope, list(features), keys=list(keys), trees=tr.fit_trees(data, keys, [tr.Job(0, 0, tree_params(name, params))]))
+            return Fitted(name, scope, list(features), keys=list(keys), fills=fills, trees=tr.fit_trees(data, keys, [tr.Job(0, 0, tree_params(name, params))]))
         if "alpha_by_symbol" in params:  # (symbol, alpha): the penalty is one more group column
+            fills, train = _filled(train, keys, features, impute)
             tuned = train.join(params["alpha_by_symbol"].select("symbol", "alpha"), "symbol")
             coefs = linear.fit_linear(tuned, [*keys, "alpha"], list(features), name, alpha_col="alpha")
-            return Fitted(name, scope, list(features), coefs=coefs, keys=list(keys))
+            return Fitted(name, scope, list(features), coefs=coefs, keys=list(keys), fills=fills)
         alpha = params.get("alpha", spec.default_alpha)
-        fills = None
-        if impute:
-            fills = linear.fill_values(train, list(keys), list(features), impute)
-            train = linear.fill_missing(train, fills, list(keys), list(features))
+        fills, train = _filled(train, keys, features, impute)
         coefs = linear.fit_linear(train, list(keys), list(features), name, alpha=alpha)
         return Fitted(name, scope, list(features), coefs=coefs, keys=list(keys), fills=fills)
     if spec.linear:
@@ -232,8 +240,11 @@ def fit(name: str, train: DataFrame, features: Sequence[str] = FEATURES, scope:
 # --- walk-forward CV, hold-out, training (V4-V6) --------------------------------
 
 def cv_predictions(name: str, sup: DataFrame, k: int = 5, features: Sequence[str] = FEATURES,
-                   scope: str | None = None, params: dict | None = None) -> DataFrame:
-    """V4: test-block predictions of every fold (symbol, fold, dt, label, prediction)."""
+                   scope: str | None = None, params: dict | None = None, impute: str | None = None) -> DataFrame:
+    """V4: test-block predictions of every fold (symbol, fold, dt, label, prediction).
+
+    ``impute`` (linear models per symbol) fills missing features with the
+    median or mean of the fold's training rows."""
     spec = select_model(name)
     scope = scope or ("symbol" if spec.linear else "panel")
     cols = ["symbol", "fold", "dt", "i", *features, "label"]
@@ -247,9 +258,13 @@ def cv_predictions(name: str, sup: DataFrame, k: int = 5, features: Sequence[str
             rows = rows.join(params["alpha_by_symbol"].select("symbol", "alpha"), "symbol")
             keys, alpha_col = ["symbol", "alpha"], "alpha"
         alphas = None if alpha_col else [float(params.get("alpha", spec.default_alpha))]
-        coefs = linear.fit_walk_forward(rows, keys, list(features), k, name, alphas, alpha_col).drop("alpha")
+        fills = _fills(rows, features, k, impute)
+        coefs = linear.fit_walk_forward(rows, keys, list(features), k, name, alphas, alpha_col, fills=fills).drop("alpha")
         test = rows.where(F.col("fold") > 0).select(*cols)
+        if fills is not None:
+            test = linear.fill_folds(test, fills, ["symbol"], list(features))
         return linear.predict_linear(test, coefs, ["symbol", "fold"], list(features)).select("symbol", "fold", "dt", "label", "prediction")
+    _no_fills(impute)
     f = sv.folds(sup, k)
     # read by every fold's fit and by the lazy result: kept as checkpoint files, which outlive executors
     ensure_checkpoint_dir(sup.sparkSession)
@@ -279,15 +294,53 @@ def tree_cv_predictions(sup: DataFrame, k: int, features: Sequence[str], points:
     return tr.score_blocks(data, tr.fit_trees(data, ["symbol"], jobs), ["symbol"])
 
 
-def cv_score(name: str, sup: DataFrame, k: int = 5, **kw) -> tuple[DataFrame, DataFrame]:
+def _fills(rows: DataFrame, features: Sequence[str], k: int, impute: str | None) -> DataFrame | None:
+    """The fill values of every (symbol, fold), as checkpoint files: the fit and the scores read them."""
+    if not impute:
+        return None
+    ensure_checkpoint_dir(rows.sparkSession)
+    return linear.fold_fills(rows, ["symbol"], list(features), k, impute).checkpoint(eager=True)
+
+
+def _no_fills(impute: str | None) -> None:
+    if impute:
+        raise ValueError("imputation inside folds is for linear models per symbol")
+
+
+def linear_cv(name: str, sup: DataFrame, k: int, alphas: Sequence[float], features: Sequence[str] = FEATURES, impute: str | None = None) -> DataFrame:
+    """V4 of linear models per symbol: symbol, alpha, fold, n, rmse, mae, r2.
+
+    RMSE and R^2 come from the test block's own products; one more pass over
+    the rows adds the absolute errors."""
+    rows = sv.blocks(sup, k)
+    features = list(features)
+    fills = _fills(rows, features, k, impute)
+    ensure_checkpoint_dir(sup.sparkSession)
+    coefs = linear.fit_walk_forward(rows, ["symbol"], features, k, name, [float(a) for a in alphas], fills=fills).where("test_n > 0").checkpoint(eager=True)
+    test = rows.where(F.col("fold") > 0).select("symbol", "fold", *features, "label")
+    if fills is not None:
+        test = linear.fill_folds(test, fills, ["symbol"], features)
+    mae = linear.absolute_errors(test, coefs, ["symbol", "fold"], features, ["alpha"])
+    r2 = (F.when(F.col("test_n") < 2, F.lit(None).cast("double"))
+          .when(F.col("test_sst") == 0, F.when(F.col("test_sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+          .otherwise(1.0 - F.try_divide(F.col("test_sse"), F.col("test_sst"))))
+    return coefs.join(mae, ["symbol", "fold", "alpha"]).select(
+        "symbol", "alpha", "fold", F.col("test_n").alias("n"), F.sqrt(F.col("test_sse") / F.col("test_n")).alias("rmse"), "mae", r2.alias("r2"))
+
+
+def cv_score(name: str, sup: DataFrame, k: int = 5, features: Sequence[str] = FEATURES, scope: str | None = None, params: dict | None = None,
+             impute: str | None = None) -> tuple[DataFrame, DataFrame]:
     """V4: fold metrics per (symbol, fold) and their means per symbol."""
-    pred = cv_predictions(name, sup, k, **kw)
-    fm = met.regression_metrics(pred, ["symbol", "fold"])
+    spec = select_model(name)
+    if spec.linear and scope in (None, "symbol") and "alpha_by_symbol" not in (params or {}):
+        fm = linear_cv(name, sup, k, [float((params or {}).get("alpha", spec.default_alpha))], features, impute).drop("alpha")
+    else:
+        fm = met.regression_metrics(cv_predictions(name, sup, k, features, scope, params, impute), ["symbol", "fold"])
     return fm, met.fold_means(fm)
 
 
 def backtest(name: str, sup: DataFrame, test_size: float = 0.2, features: Sequence[str] = FEATURES,
-             scope: str | None = None, params: dict | None = None) -> tuple[DataFrame, DataFrame, Fitted]:
+             scope: str | None = None, params: dict | None = None, impute: str | None = None) -> tuple[DataFrame, DataFrame, Fitted]:
     """V5: fit on the first 80 % of each symbol, score the rest.
 
     Returns (symbol, dt, actual, predicted), metrics per symbol, the model.
@@ -295,14 +348,14 @@ def backtest(name: str, sup: DataFrame, test_size: float = 0.2, features: Sequen
     h = sv.holdout(sup, test_size)
     train = h.where(F.col("role") == "train")
     test = h.where(F.col("role") == "test")
-    m = fit(name, train, features, scope, params=params)
+    m = fit(name, train, features, scope, params=params, impute=impute)
     pred = m.predict(test)
     bt = pred.select("symbol", "dt", F.col("label").alias("actual"), F.col("prediction").alias("predicted"))
     return bt, met.regression_metrics(pred, ["symbol"]), m
 
 
 def train_model(name: str, sup: DataFrame, k: int = 5, tune: bool = False, tune_iter: int = 10,
-                features: Sequence[str] = FEATURES, scope: str | None = None) -> tuple[Fitted, DataFrame, DataFrame]:
+                features: Sequence[str] = FEATURES, scope: str | None = None, impute: str | None = None) -> tuple[Fitted, DataFrame, DataFrame]:
     """V6: CV table (per symbol and fold), means, then a fit on all rows.
 
     With ``tune`` the final model uses the best parameters of
@@ -310,14 +363,14 @@ def train_model(name: str, sup: DataFrame, k: int = 5, tune: bool = False, tune_
     """
     params = None
     if tune:
-        params, table = random_search(name, sup, k, tune_iter, features=features, scope=scope)
-        if (scope or ("symbol" if select_model(name).linear else "panel")) == "symbol":
+        params, table = random_search(name, sup, k, tune_iter, features=features, scope=scope, impute=impute)
+        if select_model(name).linear and scope in (None, "symbol"):
             best = table.where("best").select("symbol", "alpha")
-            pred = cv_predictions(name, sup, k, features, "symbol", {"alpha_by_symbol": best})
+            pred = cv_predictions(name, sup, k, features, "symbol", {"alpha_by_symbol": best}, impute)
             fm = met.regression_metrics(pred, ["symbol", "fold"])
-            return fit(name, sup, features, "symbol", params={"alpha_by_symbol": best}), fm, met.fold_means(fm)
-    fm, means = cv_score(name, sup, k, features=features, scope=scope, params=params)
-    return fit(name, sup, features, scope, params=params), fm, means
+            return fit(name, sup, features, "symbol", params={"alpha_by_symbol": best}, impute=impute), fm, met.fold_means(fm)
+    fm, means = cv_score(name, sup, k, features=features, scope=scope, params=params, impute=impute)
+    return fit(name, sup, features, scope, params=params, impute=impute), fm, means
 
 
 def grid_points(grid: dict[str, list], n_iter: int, seed: int = SEED) -> list[dict]:
@@ -330,7 +383,7 @@ def grid_points(grid: dict[str, list], n_iter: int, seed: int = SEED) -> list[di
 
 
 def random_search(name: str, sup: DataFrame, k: int = 5, n_iter: int = 10, features: Sequence[str] = FEATURES,
-                  scope: str | None = None) -> tuple[dict, DataFrame]:
+                  scope: str | None = None, impute: str | None = None) -> tuple[dict, DataFrame]:
     """V7: score grid points by mean walk-forward RMSE; return the best point and the score table.
 
     Linear models in symbol scope score every alpha of the grid for every
@@ -341,16 +394,13 @@ def random_search(name: str, sup: DataFrame, k: int = 5, n_iter: int = 10, featu
     """
     spec = select_model(name)
     scope = scope or ("symbol" if spec.linear else "panel")
+    if not spec.linear:
+        _no_fills(impute)
     if scope == "symbol" and not spec.linear:
         return _search_trees(name, sup, k, n_iter, features)
     pts = grid_points(spec.grid, n_iter)
     if scope == "symbol":
-        alphas = [p["alpha"] for p in pts]
-        rows = sv.blocks(sup, k)
-        coefs = linear.fit_walk_forward(rows, ["symbol"], list(features), k, name, [float(a) for a in alphas])
-        test = rows.where(F.col("fold") > 0).select("symbol", "fold", "dt", *features, "label")
-        pred = linear.predict_linear(test, coefs, ["symbol", "fold"], list(features), extra=["alpha"])
-        fm = met.regression_metrics(pred, ["symbol", "alpha", "fold"])
+        fm = linear_cv(name, sup, k, [p["alpha"] for p in pts], features, impute)
         scores = met.fold_means(fm, ["symbol", "alpha"])
         w = Window.partitionBy("symbol").orderBy(F.col("cv_rmse").asc(), F.col("alpha").asc())
         best = scores.withColumn("_rk", F.row_number().over(w)).withColumn("best", F.col("_rk") == 1).drop("_rk")

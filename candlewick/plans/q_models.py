@@ -1,8 +1,9 @@
 """Model queries (M1-M7, V4-V7): walk-forward CV, back-tests, training, search.
 
 Models are fitted with the reference's presets.  The ridge queries are checked
-against normal equations solved in DuckDB (``ridge_sql``); lasso and trees by
-row count here and against numpy and their optimality conditions in tests.
+against normal equations solved in DuckDB (``ridge_sql``), the lasso queries
+against coordinate descent there; trees by row count and stated facts here and
+against plain numpy trees in tests.
 """
 
 from __future__ import annotations
@@ -12,12 +13,12 @@ from pyspark.sql import functions as F
 from candlewick.operators import models as M
 from candlewick.operators import supervised as sv
 from candlewick.operators import trees as tr
-from candlewick.operators.windows import indicator_table
+from candlewick.operators.windows import indicator_columns, indicator_table
 from candlewick.plans.present import rounded
 from candlewick.plans.q_supervised import HOLD, folds_cte, sup_cte
 from candlewick.plans.registry import register
-from candlewick.plans.ridge_sql import predicted, ridge_ctes, scores
-from candlewick.plans.sqlkit import base_ctes
+from candlewick.plans.ridge_sql import lasso_ctes, predicted, ridge_ctes, scores
+from candlewick.plans.sqlkit import BARS, COMPLETE, base_ctes
 from candlewick.schema import FEATURES
 from candlewick.sources.trades import lineitem_bars
 
@@ -43,7 +44,8 @@ HOLD_SETS = f"""WITH RECURSIVE {base_ctes()}, {sup_cte()}, hold AS (SELECT *, {H
 trn AS (SELECT * FROM hold WHERE role = 'train'), tst AS (SELECT * FROM hold WHERE role = 'test')"""
 
 register("cv_ridge", f"{FOLD_SCORES} SELECT symbol, fold, n, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(r2, 4) AS r2 FROM fm")(_cv("ridge"))
-register("cv_lasso")(_cv("lasso"))
+register("cv_lasso", f"""{FOLD_SETS}, {lasso_ctes("trn", "symbol, fold")}, {predicted("tst", "symbol, fold, label", "symbol, fold")},
+fm AS ({scores("pred", "symbol, fold")}) SELECT symbol, fold, n, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(r2, 4) AS r2 FROM fm""")(_cv("lasso"))
 register("cv_forest")(_cv("random_forest"))
 register("cv_gbt")(_cv("gbt"))
 
@@ -64,7 +66,10 @@ register("backtest_gbt")(_bt("gbt"))
 register("gbt_large")(_bt("gbt_large"))
 
 
-@register("backtest_metrics_lasso")
+@register("backtest_metrics_lasso", f"""{HOLD_SETS}, {lasso_ctes("trn")}, {predicted("tst", "symbol, dt, label")},
+fm AS ({scores("pred", "symbol")})
+SELECT symbol, n, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(r2, 4) AS r2,
+  CASE WHEN r2 > 0.8 THEN 'excellent' WHEN r2 > 0.6 THEN 'good' WHEN r2 > 0.4 THEN 'moderate' ELSE 'poor' END AS grade FROM fm""")
 def q_backtest_metrics_lasso(spark, sf):
     """V5: hold-out metrics of per-symbol lasso with the R^2 grade."""
     from candlewick.functions.grades import r2_grade
@@ -111,7 +116,38 @@ def q_train_model_tuned(spark, sf):
     return rounded(fm.join(final, "symbol"))
 
 
-@register("search_lasso")
+# bars with holes: opens of every seventh day and volumes of every 13th are missing
+HOLEY = f"""SELECT symbol, dt, CASE WHEN day(dt) % 7 <> 0 THEN open END AS open, high, low, close, CASE WHEN day(dt) <> 13 THEN volume END AS volume, source FROM ({BARS}) b"""
+
+
+def _holey_sup(spark, sf):
+    """V1 over all rows that have a close of their own and of the next row; other columns may be missing."""
+    bars = lineitem_bars(spark, sf)
+    bars = bars.withColumn("open", F.when(F.dayofmonth("dt") % 7 != 0, F.col("open"))).withColumn("volume", F.when(F.dayofmonth("dt") != 13, F.col("volume")))
+    return sv.supervised(indicator_columns(bars).where(F.col("ma_50").isNotNull()))
+
+
+HOLEY_FOLDS = f"""WITH RECURSIVE {base_ctes(HOLEY).replace(f"WHERE {COMPLETE})", "WHERE ma_50 IS NOT NULL)", 1)}, {sup_cte()}, {folds_cte()},
+med AS (SELECT symbol, fold, {", ".join(f"median({f}) AS m_{f}" for f in FEATURES)} FROM folds WHERE role = 'train' GROUP BY symbol, fold),
+filled AS (SELECT symbol, fold, role, label, {", ".join(f"coalesce({f}, m_{f}) AS {f}" for f in FEATURES)} FROM folds JOIN med USING (symbol, fold)),
+trn AS (SELECT * FROM filled WHERE role = 'train'), tst AS (SELECT * FROM filled WHERE role = 'test')"""
+
+
+@register("cv_ridge_imputed", f"""{HOLEY_FOLDS}, {ridge_ctes("trn", "symbol, fold")}, {predicted("tst", "symbol, fold, label", "symbol, fold")},
+fm AS ({scores("pred", "symbol, fold")})
+SELECT symbol, fold, n, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(r2, 4) AS r2 FROM fm""")
+def q_cv_ridge_imputed(spark, sf):
+    """M1 + V4: ridge over bars with holes; missing features take the median of the fold's training rows."""
+    fm, _ = M.cv_score("ridge", _holey_sup(spark, sf), 5, impute="median")
+    return rounded(fm)
+
+
+@register("search_lasso", f"""{FOLD_SETS}, {lasso_ctes("trn", "symbol, fold", "(VALUES (0.0001), (0.001), (0.01))")},
+{predicted("tst", "symbol, fold, label", "symbol, fold")},
+fm AS ({scores("pred", "symbol, alpha, fold")}),
+sm AS (SELECT symbol, alpha, count(*) AS folds, avg(rmse) AS cv_rmse, avg(mae) AS cv_mae, avg(r2) AS cv_r2 FROM fm GROUP BY symbol, alpha)
+SELECT symbol, round(alpha, 4) AS alpha, folds, round(cv_rmse, 4) AS cv_rmse, round(cv_mae, 4) AS cv_mae, round(cv_r2, 4) AS cv_r2,
+  row_number() OVER (PARTITION BY symbol ORDER BY cv_rmse, alpha) = 1 AS best FROM sm""")
 def q_search_lasso(spark, sf):
     """V7: every alpha of the lasso grid scored by walk-forward RMSE per symbol; best flagged."""
     _, table = M.random_search("lasso", _sup(spark, sf), 5, 20)

@@ -361,7 +361,7 @@ def _solved(parts: DataFrame, keys: list[str], p: int, model: str, alpha: float,
             for lo in range(0, len(stats), 500):
                 yield solve_merged(_filled(stats.iloc[lo:lo + 500].reset_index(drop=True), p))
 
-    return dealt.mapInPandas(merge, merged).join(fills, order).mapInPandas(solve_filled, schema)
+    return dealt.mapInPandas(merge, merged).join(fills, [c for c in order if c in fills.columns]).mapInPandas(solve_filled, schema)
 
 
 HELD_NUMBERS = 8_000_000  # coefficients that may go to every task (64 MB)

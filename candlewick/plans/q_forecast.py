@@ -14,6 +14,7 @@ from candlewick.plans.q_supervised import HOLD, sup_cte
 from candlewick.plans.registry import register
 from candlewick.plans.ridge_sql import predicted, ridge_ctes
 from candlewick.plans.sqlkit import base_ctes
+from candlewick.schema import FEATURES, LAGS
 from candlewick.sources.trades import lineitem_bars
 
 
@@ -42,12 +43,44 @@ def q_one_step(spark, sf):
     return rounded(fc.one_step(live, sup, model))
 
 
-@register("iterative")
+def _state_features() -> str:
+    """The 22 features of the newest bar as SQL over a state row: c (50 closes),
+    v (12 volumes), o, h, l."""
+    def mean(x):
+        return f"list_avg({x})"
+
+    def delta(first, body):
+        return f"list_transform(range({first}, 51), lambda i: {body})"
+
+    gain, loss = (mean(delta(37, f"greatest({s}(c[i] - c[i - 1]), 0.0)")) for s in ("", "-"))
+    logs = "ln(c[i]) - ln(c[i - 1])"
+    found = {"open": "o", "high": "h", "low": "l", "volume": "v[12]", "ma_20": mean("c[31:50]"), "ma_50": mean("c"),
+             "rsi": f"100.0 * {gain} / ({gain} + {loss})", "price_change": "c[50] / c[49] - 1.0", "log_return": "ln(c[50]) - ln(c[49])",
+             "vol_5": f"list_stddev_samp({delta(46, logs)})", "vol_20": f"list_stddev_samp({delta(31, logs)})", "mom_5": "c[50] / c[45] - 1.0",
+             "z_20": f"(c[50] - {mean('c[31:50]')}) / (list_stddev_samp(c[31:50]) + 1e-9)", "volume_ma": mean("v[3:12]")}
+    for k in LAGS:
+        found |= {f"close_lag_{k}": f"c[{50 - k}]", f"ret_lag_{k}": f"c[{50 - k}] / c[{49 - k}] - 1.0"}
+    return "[" + ", ".join(found[f] for f in FEATURES) + "]"
+
+
+@register("iterative", f"""WITH RECURSIVE {base_ctes()}, {sup_cte()}, {ridge_ctes("sup")},
+model AS MATERIALIZED (SELECT symbol, any_value(ybar) AS ybar, list(w ORDER BY idx) AS w, list(mu ORDER BY idx) AS mu, list(sd ORDER BY idx) AS sd FROM coef GROUP BY symbol),
+tail AS (SELECT * FROM bars WHERE open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL AND volume IS NOT NULL
+         QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) <= 50),
+st AS (
+  SELECT 0 AS step, symbol, max(dt) AS dt, list(close ORDER BY dt) AS c, (list(CAST(volume AS DOUBLE) ORDER BY dt))[39:50] AS v,
+    arg_max(open, dt) AS o, arg_max(high, dt) AS h, arg_max(low, dt) AS l, CAST(NULL AS DOUBLE) AS y FROM tail GROUP BY symbol HAVING count(*) = 50
+  UNION ALL
+  SELECT step + 1, symbol, CAST(dt + CASE dayofweek(dt) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END AS DATE), c[2:50] || [p], v[2:12] || [v[12]], p, p * 1.01, p * 0.99, y
+  FROM (SELECT *, c[50] * (1.0 + y / 100.0) AS p FROM (
+    SELECT step, symbol, dt, c, v, ybar + list_sum(list_transform(range(1, {len(FEATURES) + 1}), lambda i: w[i] * (x[i] - mu[i]) / sd[i])) AS y
+    FROM (SELECT *, {_state_features()} AS x FROM st WHERE step < 30) a JOIN model USING (symbol)) b) d)
+SELECT symbol, CAST(step AS INTEGER) AS step, dt, round(y, 4) AS y_hat, round(c[50], 4) AS price, 'ok' AS status FROM st WHERE step > 0""")
 def q_iterative(spark, sf):
     """P2 + P3: 30-day iterative forecast of per-symbol ridge from the raw bars."""
     bars, ind, sup = _setup(spark, sf)
     model = M.fit("ridge", sup)
-    return rounded(fc.iterative_forecast(bars, model, 30))
+    return rounded(fc.iterative_forecast(bars, model, 30), exact=())
 
 
 @register("forecast_status", f"""WITH {base_ctes(GAPPY_SQL)}, {sup_cte()},

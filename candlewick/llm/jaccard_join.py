@@ -24,10 +24,14 @@ threshold (100 * intersection >= 75 * union).
    both.
 4. Signatures held by the very same nodes count once.  Nodes of one signature
    are compared and verified on whole sets: first with
-   a few centres of the signature (rounds with changing centres), where each
-   node goes to those it shares most signatures with; components of what was
-   found make most other comparisons needless; every pair of different
-   components that shares a signature is then verified.
+   a few centres of the signature (rounds with changing centres, the first of
+   them with the smallest share of shingles of its own, as the original of near
+   copies has), where each node goes to those it shares most signatures with;
+   components of what was found make most other comparisons needless.  Then
+   every pair of different components that shares a signature is verified: pairs
+   of signatures with at most ``HOT`` nodes one by one, the others in tiles of
+   bounded size, one task a tile, by products of their shingle matrices.  A tile
+   hands on a spanning forest of its links, never its pairs.
 
 Components are exact; links inside a component beyond a spanning set are not
 expanded.
@@ -45,8 +49,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candlewick.llm import words as W
 from candlewick.llm.common import bound_batches, cut, release, released, stored
@@ -60,6 +66,9 @@ MAX_BITS = 26  # the bitmap has at most 2**26 bits (8 MB)
 MAX_FREQUENT = 500_000  # shingles in the frequent table (8 MB)
 SHORT = 24  # bits dropped of a hash for counting
 CENTRE_ROUNDS = 2
+HOT = 48  # nodes of a signature that is compared in tiles
+PART, PART_SHINGLES = 1024, 400_000  # nodes and shingles of a tile's side
+SLICE = 4096  # shingles of a matrix product
 CENTRES, TRIES = 4, 2  # centres of a signature in a round, and how many of all its centres a node is compared with
 
 
@@ -257,7 +266,7 @@ def _signed(shared):
             asked = np.flatnonzero(np.repeat(short, size) & ~single)
             level = np.zeros(len(hashes), np.int64)
             level[asked] = classes.levels(hashes[asked])
-            rows, sigs = [], []
+            rows, sigs = [], []  # a node's own share: shingles that no other document has, in thousandths
             for i in np.flatnonzero(short):
                 a, b = ends[i], ends[i + 1]
                 found = signatures(hashes[a:b], single[a:b], level[a:b])
@@ -265,8 +274,9 @@ def _signed(shared):
                 sigs.append(found)
             at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
             sig = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(node[at], pa.int64()), pa.array(size[at], pa.int64())],
-                                             names=["sig", "node", "n"])
+            own = 1000 * alone // np.maximum(size, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(node[at], pa.int64()), pa.array(size[at], pa.int64()), pa.array(own[at], pa.int64())],
+                                             names=["sig", "node", "n", "own"])
 
     return run
 
@@ -306,6 +316,57 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(good, pa.bool_())], names=["a", "b", "linked"])
 
 
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric boolean matrix."""
+    left, edges = linked.any(axis=1), []
+    while left.any():
+        front = [int(np.flatnonzero(left)[0])]
+        left[front[0]] = False
+        while front:
+            here = front.pop()
+            new = np.flatnonzero(linked[here] & left)
+            left[new] = False
+            edges += [(here, int(j)) for j in new]
+            front += new.tolist()
+    return edges
+
+
+def _tile(frame: pd.DataFrame) -> pd.DataFrame:
+    """Links of a tile between different components, as a spanning forest."""
+    sets = [_opened(b) for b in frame["body"]]
+    size = np.array([len(x) for x in sets])
+    code, known = pd.factorize(np.concatenate(sets))
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = np.bincount(code, minlength=len(known)) > 1
+    code, row = (np.cumsum(shared) - 1)[code[shared[code]]], row[shared[code]]
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    same = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(shared.sum()), SLICE):
+        a, b = np.searchsorted(code, [lo, lo + SLICE])
+        has = np.zeros((len(sets), SLICE), np.float32)
+        has[row[a:b], code[a:b] - lo] = 1.0
+        same += has @ has.T
+    linked = DEN * same >= NUM * (size[:, None] + size[None] - same)  # exact: whole numbers below 2**24
+    component, part = frame["component"].to_numpy(), frame["part"].to_numpy()
+    linked &= component[:, None] != component[None]
+    if frame["lo"].iloc[0] != frame["hi"].iloc[0]:
+        linked &= part[:, None] != part[None]
+    edges = np.array(_forest(linked), np.int64).reshape(-1, 2)
+    node = frame["node"].to_numpy()
+    return pd.DataFrame({"a": node[edges[:, 0]], "b": node[edges[:, 1]]})
+
+
+def tile_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links that join the components of every signature's nodes, for
+    signatures (sig, c nodes, total shingles) too large to list their pairs."""
+    parts = F.greatest(F.ceil(F.col("c") / PART), F.ceil(F.col("total") / PART_SHINGLES)).cast("int")
+    dealt = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("sig", "node", "component", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    return dealt.join(sets, "node").groupBy("sig", "lo", "hi").applyInPandas(_tile, "a long, b long")
+
+
 def candidate_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, body of every node of ``nodes`` (one column, node)."""
     spark = docs.sparkSession
@@ -356,42 +417,48 @@ def linked_components(docs: DataFrame, nodes: DataFrame, frequent: int = 16) ->
     spark = docs.sparkSession
     total = nodes.agg(F.sum("n_shingles")).collect()[0][0] or 0
     classes = spark.sparkContext.broadcast(count_classes(docs, total, frequent))
-    signed = docs.select("text").mapInArrow(released(_signed(classes)), "sig long, node long, n long")
-    rows = stored(signed.groupBy("sig", "node").agg(F.first("n").alias("n")))
+    signed = docs.select("text").mapInArrow(released(_signed(classes)), "sig long, node long, n long, own long")
+    rows = stored(signed.groupBy("sig", "node").agg(F.first("n").alias("n"), F.first("own").alias("own")))
     classes.destroy()
     rows = stored(_telling(rows))
     sets = candidate_sets(docs, rows.select("node").distinct())
 
     none = spark.createDataFrame([], "a long, b long, linked boolean")
     checked, found = none, spark.createDataFrame([], "node long, component long")
-    for turn in range(CENTRE_ROUNDS + 1):
-        open_ = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if turn:
-            mixed = open_.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-            rows = open_ = stored(open_.join(mixed, "sig"))
-            rows = rows.drop("component")
-        if turn < CENTRE_ROUNDS:
-            picked = [F.min(F.struct(F.xxhash64("node", F.lit(turn * CENTRES + k)), "node", "n", "component")) for k in range(CENTRES)]
-            centre = open_.groupBy("sig").agg(F.array(*picked).alias("c")).select("sig", F.explode("c").alias("c"))
-            centre = centre.select("sig", F.col("c.node").alias("b"), F.col("c.n").alias("nb"), F.col("c.component").alias("cb")).distinct()
-            near = open_.join(centre, "sig").where("component <> cb").select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb").where(_fits())
-            near = near.groupBy("a", "b").agg(F.count("*").alias("c"))
-            near = near.join(checked.select(F.col("a").alias("b"), F.col("b").alias("a")).union(checked.select("b", "a")), ["a", "b"], "left_anti")
-            best = near.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))).where(F.col("k") <= TRIES)
-            pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            left = open_.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            right = open_.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            pairs = left.join(right, "sig").where("a < b AND ca <> cb").where(_fits()).select("a", "b").distinct()
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            if turn < CENTRE_ROUNDS:
-                continue
-            break
-        checked = cut(checked.union(verify(sets, pairs)))
-        found = components(checked.where("linked").select("a", "b"))
-    return found
+    for turn in range(CENTRE_ROUNDS):
+        open_ = _open(rows, found)
+        rows = open_.drop("component")
+        picked = [F.min(F.struct(F.col("own") if turn + k == 0 else F.lit(0), F.xxhash64("node", F.lit(turn * CENTRES + k)), "node", "n", "component"))
+                  for k in range(CENTRES)]
+        centre = open_.groupBy("sig").agg(F.array(*[F.struct(p["node"].alias("node"), p["n"].alias("n"), p["component"].alias("component")) for p in picked]).alias("c"))
+        centre = centre.select("sig", F.explode("c").alias("c"))
+        centre = centre.select("sig", F.col("c.node").alias("b"), F.col("c.n").alias("nb"), F.col("c.component").alias("cb")).distinct()
+        near = open_.join(centre, "sig").where("component <> cb").select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb").where(_fits())
+        near = near.groupBy("a", "b").agg(F.count("*").alias("c"))
+        near = near.join(checked.select(F.col("a").alias("b"), F.col("b").alias("a")).union(checked.select("b", "a")), ["a", "b"], "left_anti")
+        best = near.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))).where(F.col("k") <= TRIES)
+        pairs = cut(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if not pairs.isEmpty():
+            checked = cut(checked.union(verify(sets, pairs)))
+            found = components(checked.where("linked").select("a", "b"))
+
+    open_ = _open(rows, found)
+    sized = open_.groupBy("sig").agg(F.count("*").alias("c"), F.sum("n").alias("total"))
+    open_ = stored(open_.join(sized, "sig"))
+    forest = cut(tile_links(open_.where(F.col("c") > HOT), sets))
+    cold = open_.where(F.col("c") <= HOT)
+    left = cold.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    right = cold.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    pairs = left.join(right, "sig").where("a < b AND ca <> cb").where(_fits()).select("a", "b").distinct()
+    last = verify(sets, cut(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")))
+    return components(cut(checked.union(last).where("linked").select("a", "b").union(forest)))
+
+
+def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows with their components, of signatures whose nodes are of several."""
+    open_ = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = open_.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
+    return stored(open_.join(mixed, "sig"))
 
 
 def component_table(docs: DataFrame, frequent: int = 16) -> DataFrame:
@@ -407,14 +474,30 @@ def component_table(docs: DataFrame, frequent: int = 16) -> DataFrame:
             .union(nodes.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))
 
 
+def _marked(columns: list[str]):
+    """The rows with the size and the fingerprint of their sets, and a number."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        for b, hashes, ends in _sets(batches):
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(np.diff(ends), pa.int64()), pa.array(fingerprints(hashes, ends)),
+                                              pa.array(np.arange(number, number + b.num_rows))], names=[*columns, "__n", "__node", "__row"])
+            number += b.num_rows
+
+    return run
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group of linked documents (its smallest doc_id), all
-    columns as they were.  Rows without words stay; so do rows without an id,
-    which a group's smallest id cannot name.  Rows that share a doc_id are one
-    document: the first with words, in text order, stays."""
-    kept = component_table(docs).where("doc_id = component_id").select("doc_id").distinct()
-    marked = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")  # the window below has the same partitioning
-    has_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(W.WORD)) > 0
-    same = Window.partitionBy("doc_id").orderBy(F.desc("_words"), "text")
-    return (marked.withColumn("_words", has_words).withColumn("_nth", F.row_number().over(same))
-            .where("_nth = 1 OR NOT _words").select(*docs.columns).union(docs.where("doc_id IS NULL")))
+    """One row of each group of linked documents, all columns as they were: the
+    one with the smallest doc_id (null last), of several such one.  Rows without
+    words stay.  Rows that share a doc_id but hold different texts are judged
+    each for itself."""
+    bound_batches(docs.sparkSession)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("__n", "__node", "__row"))])
+    rows = stored(docs.mapInArrow(released(_marked(docs.columns)), schema))
+    nodes = rows.select("doc_id", F.col("__n").alias("n_shingles"), F.col("__node").alias("node"))
+    found = linked_components(rows.select("doc_id", "text"), nodes)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    first = rows.where("__n > 0").groupBy(F.col("__node").alias("node")).agg(F.min(place).alias("place"))
+    first = first.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("place").alias("place"))
+    stay = first.select(F.col("place.row").alias("__row"))
+    return rows.join(stay, "__row", "left_semi").select(*docs.columns).union(rows.where("__n = 0").select(*docs.columns))

@@ -81,6 +81,66 @@ def test_edges_of_the_contract(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 6, 7, 8, 9, 20, 21, 30]
 
 
+def near_copies(n, seed, edits):
+    """Near copies of one text that lie about the threshold, with and without the text itself."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(1, " ".join(base))] if seed % 2 else []
+    for i in range(n):
+        w = list(base)
+        for at in rng.integers(0, 120, int(rng.integers(1, edits))):
+            w[at] = f"e{rng.integers(0, 40)}"
+        rows.append((10 + i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("seed,part", [(1, 1024), (2, 16), (3, 7)])
+def test_a_hot_group_about_the_threshold(spark, monkeypatch, seed, part):
+    monkeypatch.setattr(J, "HOT", 4)
+    monkeypatch.setattr(J, "PART", part)
+    monkeypatch.setattr(J, "SLICE", 64)
+    rows = near_copies(90, seed, 7)
+    docs = spark.createDataFrame([(k, t, "x", "y", "z") for k, t in rows], SCHEMA)
+    got = sorted(map(tuple, J.component_table(docs, frequent=3).collect()))
+    want = brute(rows)
+    assert got == want and 3 < len({r[2] for r in want}) < 88
+
+
+def test_a_tile_gives_the_links_between_components():
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**47, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, int(rng.integers(45, 60)), replace=False), rng.integers(0, 2**47, 4).astype(np.uint64)])) for _ in range(50)]
+    component, part = rng.integers(0, 5, 50), rng.integers(0, 2, 50)
+
+    def body(x):
+        return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+    for lo, hi in ((0, 0), (0, 1)):
+        out = J._tile(pd.DataFrame({"node": np.arange(50), "component": component, "part": part, "lo": lo, "hi": hi, "body": [body(x) for x in sets]}))
+        links = {(i, j) for i in range(50) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))
+                 and component[i] != component[j] and (lo == hi or part[i] != part[j])}
+        got = {(max(a, b), min(a, b)) for a, b in zip(out["a"], out["b"])}
+        assert got <= links
+
+        def reach(edges):
+            name = list(range(50))
+            for a, b in sorted(edges) * 50:
+                name[a] = name[b] = min(name[a], name[b])
+            return name
+
+        assert reach(got) == reach(links)
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    a, b, c = "a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z 1 2 3 4"
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, b), (4, c), (None, c), (None, "own text without an id here"), (None, None), (5, None), (5, None)]
+    docs = spark.createDataFrame([(k, t, "x", "y", "z") for k, t in rows], SCHEMA)
+    assert sorted(((r["doc_id"], r["text"]) for r in J.keep_first(docs).collect()), key=str) == sorted(
+        [(1, a), (1, b), (4, c), (None, "own text without an id here"), (None, None), (5, None), (5, None)], key=str)
+
+
 def test_empty_table(spark):
     assert J.component_table(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -67,8 +67,8 @@ MAX_FREQUENT = 500_000  # shingles in the frequent table (8 MB)
 SHORT = 24  # bits dropped of a hash for counting
 CENTRE_ROUNDS = 2
 HOT = 48  # nodes of a signature that is compared in tiles
-PART, PART_SHINGLES = 1024, 400_000  # nodes and shingles of a tile's side
-SLICE = 4096  # shingles of a matrix product
+PART, PART_SHINGLES = 3072, 1_200_000  # nodes and shingles of a side of a tile: a node goes to as many tiles as its signature has sides
+SLICE = 2048  # shingles of a matrix product
 CENTRES, TRIES = 4, 2  # centres of a signature in a round, and how many of all its centres a node is compared with
 
 

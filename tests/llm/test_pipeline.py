@@ -61,4 +61,4 @@ def test_entry_module_lists_the_queries():
     import __spark_entry__ as e
 
     names = [n for n in e.queries() if n == "pipeline" or re.match(r"op\d+_", n)]
-    assert len(names) == 11 and {int(n[2:].split("_")[0]) for n in names if n != "pipeline"} == set(range(1, 11))
+    assert len(names) == 14 and {int(n[2:].split("_")[0]) for n in names if n != "pipeline"} == set(range(1, 14))

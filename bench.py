@@ -36,19 +36,22 @@ def sink(df) -> None:
 
 
 def shuffled(log_dir: str, spans: dict[str, tuple[float, float]]) -> dict[str, float]:
-    """MB of shuffle written during each job, from Spark's event log."""
-    out = dict.fromkeys(spans, 0.0)
+    """MB of shuffle written during each job, from Spark's event log (uncompressed)."""
+    out, tasks = dict.fromkeys(spans, 0.0), 0
     for folder, _, files in os.walk(log_dir):
         for name in files:
             for line in open(os.path.join(folder, name), errors="replace"):
                 if '"SparkListenerTaskEnd"' not in line:
                     continue
                 e = json.loads(line)
+                tasks += 1
                 at = e["Task Info"]["Launch Time"] / 1000
                 mb = (e.get("Task Metrics") or {}).get("Shuffle Write Metrics", {}).get("Shuffle Bytes Written", 0) / 1e6
                 for k, (a, b) in spans.items():
                     if a <= at <= b:
                         out[k] += mb
+    if not tasks:
+        raise RuntimeError(f"no task in the event log at {log_dir}")
     return {k: round(v, 1) for k, v in out.items()}
 
 
@@ -56,7 +59,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     log_dir = tempfile.mkdtemp(prefix="candlewick-bench-events-")
-    os.environ["PYSPARK_SUBMIT_ARGS"] = f"--conf spark.eventLog.enabled=true --conf spark.eventLog.dir=file://{log_dir} pyspark-shell"
+    os.environ["PYSPARK_SUBMIT_ARGS"] = f"--conf spark.eventLog.enabled=true --conf spark.eventLog.compress=false --conf spark.eventLog.rolling.enabled=false --conf spark.eventLog.dir=file://{log_dir} pyspark-shell"
     spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, app="candlewick-bench")
     spans: dict[str, tuple[float, float]] = {}
     times: dict[str, float] = {}
@@ -100,16 +103,21 @@ def main() -> None:
     timed("cv_ridge_per_symbol", lambda: sink(M.cv_score("ridge", sup)[0]))
     timed("cv_lasso_per_symbol", lambda: sink(M.cv_score("lasso", sup)[0]))
     timed("random_search_ridge", lambda: sink(M.random_search("ridge", sup, 5, 20)[1]))
-    timed("cv_forest_5_folds", lambda: sink(M.cv_score("random_forest", sup)[0]))
+    timed("cv_forest_5_folds", lambda: sink(M.cv_score("random_forest", sup, scope="symbol")[0]))
     times["forest_per_fold"] = round(times["cv_forest_5_folds"] / 5, 3)
+    timed("cv_gbt_5_folds", lambda: sink(M.cv_score("gbt", sup, scope="symbol")[0]))
     ridge = M.fit("ridge", sup)
     ridge.coefs = ridge.coefs.persist(MEM)
     timed("forecast_30_ridge", lambda: sink(fc.iterative_forecast(bars, ridge, 30)))
     timed("importance_ridge_22x10", lambda: sink(X.permutation_importance(ridge, sup)))
     forest = M.fit("random_forest", sup)
     timed("importance_forest_22x10", lambda: sink(X.permutation_importance(forest, sup)))
-    timed("backtest_gbt_50_rounds", lambda: sink(M.backtest("gbt", sup, params={"maxIter": 50})[0]))
+    timed("backtest_gbt_200_rounds", lambda: sink(M.backtest("gbt", sup, scope="symbol")[0]))
     timed("shapley_forest", lambda: sink(X.sampled_shapley(forest, sup, orders=8)))
+    own_forest = M.fit("random_forest", sup, scope="symbol")
+    own_forest.trees = own_forest.trees.persist(MEM)
+    timed("forecast_30_forest", lambda: sink(fc.iterative_forecast(bars, own_forest, 30)))
+    timed("contributions_forest", lambda: sink(X.exact_tree_contributions(own_forest, sup)))
 
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     total = round(sum(v for k, v in times.items() if not k.endswith("per_step") and not k.endswith("per_fold")), 3)

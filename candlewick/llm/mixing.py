@@ -192,9 +192,14 @@ class Mix:
 KEY = ["doc_id", "_print", "_copy"]
 
 
+def _print() -> F.Column:
+    """Hash of what a row adds to the mix; a hash skips nulls, so flags tell which value is one."""
+    return F.xxhash64("text", "source", F.col("text").isNull(), F.col("source").isNull())
+
+
 def _keyed(docs: DataFrame, *more) -> DataFrame:
     """Rows under a key that tells repeated rows apart."""
-    keyed = docs.withColumn("_print", F.xxhash64("text", "source"))
+    keyed = docs.withColumn("_print", _print())
     same = Window.partitionBy("doc_id", "_print").orderBy(F.lit(0))
     return keyed.select(*docs.columns, "_print", *more).withColumn("_copy", F.row_number().over(same))
 
@@ -213,7 +218,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_repeat: float = 3, block_words:
     spark = docs.sparkSession
     bound_batches(spark)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text", "source").alias("_print"))
+    sized = docs.select("doc_id", "source", size.alias("size"), _print().alias("_print"))
     same = Window.partitionBy("doc_id", "_print").orderBy(F.lit(0))
     sized = cut(sized.withColumn("_copy", F.row_number().over(same)))
 

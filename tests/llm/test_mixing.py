@@ -121,6 +121,15 @@ def test_packing_of_many_rows_without_an_id_has_no_gaps(spark, monkeypatch):
     assert sum(r["taken"] for r in M.report(docs, block_words=8, shard_slots_=16).collect()) == 800
 
 
+def test_a_null_text_and_a_null_source_are_told_apart(spark):
+    docs = spark.createDataFrame([(7, None, "en", "x y z", 1, "x", "y"), (7, "x y z", "en", None, 1, "x", "y")], SCHEMA)
+    keys = M._keyed(docs).collect()
+    assert len({r["_print"] for r in keys}) == 2
+    out = M.report(docs, block_words=8, shard_slots_=16).collect()
+    assert sorted((r["size"], r["taken"]) for r in out) == [(0, 0), (3, 3)]
+    assert [(r["text"], r["source"]) for r in M.blocks_of(docs, block_words=8, shard_slots_=16).collect()] == [("x y z", None)]
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert M.report(empty).count() == 0 and M.blocks_of(empty).count() == 0

@@ -47,6 +47,12 @@ def sizes(classes: int, threshold: float, recall: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
+def _scaled(vectors: list) -> np.ndarray:
+    """The vectors over their largest component, so that no norm overflows or vanishes."""
+    v = np.stack(vectors).astype(float)
+    return v / np.abs(v).max(axis=1, keepdims=True)
+
+
 def _codes(bits: int, tables: int, seed: int):
     planes: dict[int, np.ndarray] = {}
 
@@ -58,7 +64,7 @@ def _codes(bits: int, tables: int, seed: int):
                 if d not in planes:
                     planes[d] = np.random.default_rng([seed, int(d)]).standard_normal((int(d), tables * bits))
                 at = np.flatnonzero(size == d)
-                signs = np.stack(frame["embedding"].iloc[at].to_list()).astype(float) @ planes[d] > 0
+                signs = _scaled(frame["embedding"].iloc[at].to_list()) @ planes[d] > 0
                 out[at] = signs.reshape(len(at), tables, bits) @ (1 << np.arange(bits))
             yield pd.DataFrame({"rep": frame["rep"], "codes": list(out)})
 
@@ -82,7 +88,7 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
 
 def _compared(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links of one bucket (or two of its parts): counts and a forest."""
-    v = np.stack(rows["embedding"].to_list()).astype(float)
+    v = _scaled(rows["embedding"].to_list())
     v /= np.linalg.norm(v, axis=1)[:, None]
     codes = np.stack(rows["codes"].to_list())
     part, lo, hi = rows["part"].to_numpy(), rows["lo"].iloc[0], rows["hi"].iloc[0]

@@ -59,5 +59,12 @@ def test_tables_follow_the_wanted_recall():
     assert 1 - (1 - meet) ** tables >= 0.9999
 
 
+def test_very_large_and_very_small_components(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1.0001e200, 1e200]), (3, [1e200, -1e200]), (4, [1e-200, 1.0001e-200]), (5, [1e308, 1.7e308])]
+    docs = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_duplicates(docs).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1), 5: (0, 5)}
+
+
 def test_empty_table(spark):
     assert E.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0

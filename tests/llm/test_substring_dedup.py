@@ -92,6 +92,39 @@ def test_empty_table(spark):
     assert S.report(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_prefixes_are_extended_on_demand(spark, monkeypatch):
+    monkeypatch.setattr(S, "GROUP", 80)
+    rows = [(i, " ".join(["a b c d"] * 3 + [f"w{i % 9}_{j}" for j in range(25)] + [f"u{i}"])) for i in range(60)]
+    docs = spark.createDataFrame([(k, t, "x", "y", 1) for k, t in rows], SCHEMA).repartition(3)
+    split = S.prefix_split(S._named(docs).select("text"))
+    sizes = [level.size for level in split.levels]
+    assert sizes[:3] == [1, 2, 4] and all(level.flags.any() for level in split.levels[:3])
+    assert split.words == sum(len(t.split()) - 19 for _, t in rows) and split.groups == -(-split.words // 80)
+    assert sorted(map(tuple, S.report(docs).collect())) == brute(rows)
+
+
+def test_cells_follow_what_is_open_and_counts_merge_in_bounded_steps(spark, monkeypatch):
+    rows = corpus(4)
+    docs = spark.createDataFrame([(k, t, "x", "y", 1) for k, t in rows], SCHEMA).repartition(9)
+    monkeypatch.setattr(S, "GROUP", 200)
+    want = S.prefix_split(docs.select("text"))
+    monkeypatch.setattr(S, "MERGED", 2)
+    got = S.prefix_split(docs.select("text"))
+    assert [(x.size, x.bits, x.flags.tobytes()) for x in got.levels] == [(x.size, x.bits, x.flags.tobytes()) for x in want.levels]
+    assert len(want.levels) > 1 and len(S.prefix_split(docs.select("text"), 2).levels) == 1
+
+
+def test_results_are_packed_by_range_and_merged_to_spans():
+    ids, starts = np.array([7, 7, 8, 7, 7, 9]), np.array([5, 6, 0, 40, 5, 3])
+    rng, rows = S._packed(ids, np.zeros(6, np.int64), starts, 2)
+    assert len(rng) == len(rows) <= 2
+    import pandas as pd
+
+    out = [S._spans(20)(pd.DataFrame([r], columns=list(S._RESULTS))) for r in rows]
+    spans = {int(r.doc_id): np.frombuffer(r.spans, "<u4").tolist() for o in out for r in o.itertuples()}
+    assert spans == {7: [5, 26, 40, 60], 8: [0, 20], 9: [3, 23]}
+
+
 def test_map_side_resolution_and_group_resolution_agree():
     labels = np.array([1, 1, 1, 2, 3, 3], np.uint64)
     ids = np.array([5, 4, 5, 1, 2, 2])

@@ -7,15 +7,19 @@ so equal roots prove equal files.  Two replicas are compared root by root, then
 only the children of mismatching nodes are compared, level by level, down to
 the records of mismatching leaves, whose differences are the result.
 
-All steps are DataFrame expressions.  A leaf holds what starts in ``leaf_bytes``
-of a file; no group is larger than that or the fanout.
+All steps are DataFrame expressions.  A leaf holds the distinct records that
+start in ``leaf_bytes`` of a file; equal rows are counted before they are
+gathered, and records without an offset are dealt to leaves of their own by the
+hash of their id, about ``SPREAD`` a leaf.  A group holds a leaf or ``fanout``
+nodes; it can only be larger where different records share one offset, or
+neither offset nor id.
 
 Input rows: file, offset, record_id, payload (binary).  Output: file, offset,
 record_id, length_a, length_b, status (changed, missing: only in a, extra: only
 in b), leaf.
 
 Defined cases: a null payload hashes as a value of its own; null files form one
-file; null offsets count as offset -1 and so share a leaf; repeated rows are
+file; null offsets count as offset -1 (and leaf -1 in the result); repeated rows are
 numbered in order of their hash, so a lost copy shows as missing; a file that
 only one replica has is all missing or extra; empty tables give no rows; other
 columns are not read.
@@ -30,14 +34,16 @@ from candlewick.llm.common import stored, table
 
 LEAF_BYTES = 1 << 16
 FANOUT = 16
+SPREAD = 1024  # records without an offset in a leaf
 
 
-def record_hashes(records: DataFrame, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
-    """file, leaf, offset, record_id, length, digest of every record."""
+def record_hashes(records: DataFrame, leaf_bytes: int = LEAF_BYTES, spread: int = 1) -> DataFrame:
+    """file, leaf, offset, record_id, length, digest of every record; those
+    without an offset are in the leaves -1 to -``spread``."""
     at = F.coalesce("offset", F.lit(-1)).cast("long")
     digest = F.sha2(F.concat_ws("|", at, F.coalesce(F.col("record_id").cast("string"), F.lit("-")),
                                 F.coalesce(F.sha2("payload", 256), F.lit("null"))), 256)
-    return records.select("file", F.floor(at / leaf_bytes).alias("leaf"), at.alias("offset"), "record_id",
+    return records.select("file", F.when(at >= 0, F.floor(at / leaf_bytes)).otherwise(-1 - F.pmod(F.xxhash64("record_id"), F.lit(spread))).alias("leaf"), at.alias("offset"), "record_id",
                           F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long").alias("length"), digest.alias("digest"))
 
 
@@ -47,7 +53,10 @@ def _node(order: str) -> F.Column:
 
 
 def leaves(hashed: DataFrame) -> DataFrame:
-    return hashed.groupBy("file", F.col("leaf").alias("node")).agg(_node("offset"))
+    """Equal records are one child with their number, if there are several."""
+    counted = hashed.groupBy("file", F.col("leaf").alias("node"), "offset", "digest").agg(F.count(F.lit(1)).alias("_n"))
+    named = counted.withColumn("digest", F.when(F.col("_n") > 1, F.concat_ws("*", "digest", "_n")).otherwise(F.col("digest")))
+    return named.groupBy("file", "node").agg(_node("offset"))
 
 
 def parents(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
@@ -80,8 +89,9 @@ def _below(nodes: DataFrame, bad: DataFrame, fanout: int) -> DataFrame:
 
 def audit(a: DataFrame, b: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT) -> DataFrame:
     """The records in which replica ``b`` differs from ``a``."""
-    hashed = [stored(record_hashes(x, leaf_bytes)) for x in (a, b)]
-    top = max([r or 0 for x in hashed for r in x.agg(F.max("leaf")).collect()[0]])
+    spread = max(-(-x.where(F.coalesce("offset", F.lit(-1)) < 0).count() // SPREAD) for x in (a, b)) or 1
+    hashed = [stored(record_hashes(x, leaf_bytes, spread)) for x in (a, b)]
+    top = max([spread, *(r or 0 for x in hashed for r in x.agg(F.max("leaf")).collect()[0])])
     trees = [[leaves(x)] for x in hashed]
     height = 0
     while fanout ** height <= max(top, 1) + 1:  # node -1 (no offset) ends beside node 0, under one more level
@@ -109,7 +119,8 @@ def audit(a: DataFrame, b: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout: int
     status = F.when(F.col("y.nth").isNull(), "missing").when(~left, "extra").otherwise("changed")
     return met.where(~F.col("x.digest").eqNullSafe(F.col("y.digest"))).select(
         either("file"), either("offset"), either("record_id"), F.col("x.length").alias("length_a"), F.col("y.length").alias("length_b"),
-        status.alias("status"), either("leaf"))
+        status.alias("status"),
+        F.greatest(either("leaf"), F.lit(-1)).alias("leaf"))
 
 
 # -- stand-in input: the driver's pages as WARC records of two replicas --------
@@ -118,7 +129,8 @@ PAGES_A_FILE = 500
 
 def page_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Replica a holds every page; in replica b some records are damaged, cut
-    short or lost.  Rows are in the schema of ``audit``."""
+    short, lost, or there a second time under another id.  Some have no offset
+    in either.  Rows are in the schema of ``audit``."""
     pages = table(spark, sf_dir, "pages")
     files = max(1, -(-pages.count() // PAGES_A_FILE))
     body = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")),
@@ -128,7 +140,9 @@ def page_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     rows = rows.withColumn("offset", F.coalesce(F.sum(F.octet_length("payload")).over(before), F.lit(0)).cast("long"))
     damaged = (F.when(F.col("record_id") % 101 == 7, F.concat(F.expr("left(payload, length(payload) - 1)"), F.lit("X")))
                .when(F.col("record_id") % 211 == 11, F.expr("left(payload, length(payload) div 2)")).otherwise(F.col("payload")))
-    other = rows.where("record_id % 307 <> 13").withColumn("payload", damaged)
+    rows = rows.withColumn("offset", F.when(F.col("record_id") % 53 != 3, F.col("offset")))
+    more = rows.where("record_id % 89 = 5").withColumn("record_id", -F.col("record_id"))
+    other = rows.where("record_id % 307 <> 13").withColumn("payload", damaged).unionByName(more)
     return tuple(x.select("file", "offset", "record_id", F.encode("payload", "utf-8").alias("payload")) for x in (rows, other))
 
 
@@ -139,14 +153,17 @@ body AS (
          'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
          || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS payload
   FROM pages, n),
-a AS (SELECT *, CAST(coalesce(sum(strlen(payload)) OVER (PARTITION BY file ORDER BY record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM body),
+placed AS (SELECT *, CAST(coalesce(sum(strlen(payload)) OVER (PARTITION BY file ORDER BY record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_byte FROM body),
+a AS (SELECT file, record_id, payload, CASE WHEN record_id % 53 <> 3 THEN start_byte ELSE -1 END AS "offset" FROM placed),
 b AS (
   SELECT file, record_id, "offset",
          CASE WHEN record_id % 101 = 7 THEN left(payload, length(payload) - 1) || 'X'
               WHEN record_id % 211 = 11 THEN left(payload, length(payload) // 2) ELSE payload END AS payload
-  FROM a WHERE record_id % 307 <> 13)
-SELECT a.file, a."offset", a.record_id, CAST(strlen(a.payload) AS BIGINT) AS length_a, CAST(strlen(b.payload) AS BIGINT) AS length_b,
-       CASE WHEN b.record_id IS NULL THEN 'missing' ELSE 'changed' END AS status, a."offset" // {LEAF_BYTES} AS leaf
-FROM a LEFT JOIN b USING (file, record_id, "offset")
-WHERE b.record_id IS NULL OR a.payload <> b.payload
+  FROM a WHERE record_id % 307 <> 13
+  UNION ALL SELECT file, -record_id, "offset", payload FROM a WHERE record_id % 89 = 5)
+SELECT file, "offset", record_id, CAST(strlen(a.payload) AS BIGINT) AS length_a, CAST(strlen(b.payload) AS BIGINT) AS length_b,
+       CASE WHEN b.payload IS NULL THEN 'missing' WHEN a.payload IS NULL THEN 'extra' ELSE 'changed' END AS status,
+       CASE WHEN "offset" < 0 THEN -1 ELSE "offset" // {LEAF_BYTES} END AS leaf
+FROM a FULL JOIN b USING (file, record_id, "offset")
+WHERE a.payload IS DISTINCT FROM b.payload
 """

@@ -68,6 +68,20 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert len(audited(spark, a, [])) == len(a) and audited(spark, [], []) == []
 
 
+def test_records_without_offset_are_spread_and_equal_rows_counted(spark, monkeypatch):
+    monkeypatch.setattr(X, "SPREAD", 8)
+    a = [("f", None, i, bytes([i])) for i in range(100)] + [("f", 3, 7, b"same")] * 50 + [("g", 0, i, b"z") for i in range(5)]
+    b = [r for r in a if r != ("f", None, 40, bytes([40]))]
+    b[10] = ("f", None, 10, b"other")
+    b.remove(("f", 3, 7, b"same"))
+    b.append(("f", None, 500, b"new"))
+    assert audited(spark, a, b, fanout=4) == plain(a, b) and len(plain(a, b)) == 4
+    assert audited(spark, a, a, fanout=4) == []
+    hashed = X.record_hashes(frame(spark, a), spread=13)
+    sizes = {r["leaf"]: r["count"] for r in hashed.where("file = 'f' and offset < 0").groupBy("leaf").count().collect()}
+    assert min(sizes) >= -13 and len(sizes) > 8 and max(sizes.values()) < 25
+
+
 def test_a_node_is_the_hash_of_its_children_in_order(spark):
     rows = records(1, 6)
     hashed = X.record_hashes(frame(spark, rows), 1 << 20)

@@ -21,11 +21,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candlewick.functions.calendar import business_days_after
 from candlewick.functions.grades import change_pct, price_from_return, signal
 from candlewick.operators import trees
 from candlewick.operators.models import Fitted
+from candlewick.operators.segments import with_positions
 from candlewick.schema import FEATURES, LAGS, OHLCV
 from candlewick.session import ensure_checkpoint_dir
 
@@ -327,17 +329,40 @@ def one_step(ind_live: DataFrame, sup: DataFrame, model: Fitted, target_type: st
     ).withColumn("signal", signal(F.col("pct")))
 
 
-def price_path(preds: DataFrame, base: DataFrame, ret_col: str = "y_hat", order: str = "step") -> DataFrame:
+def price_path(preds: DataFrame, base: DataFrame, ret_col: str = "y_hat", order: str = "step",
+               segment_rows: int | None = None, bucket: Column | None = None) -> DataFrame:
     """Compound percent returns onto a base price per symbol.
 
     ``price_k = base * prod_{j<=k} (1 + r_j/100)`` as ``exp`` of a running
     sum of logs (requires r > -100, else NULL).  The logs are summed as
     DECIMAL(38,12): decimal addition is exact, so the path does not depend
     on the order in which an engine or a partitioning adds the terms.
+
+    With ``segment_rows`` the sums are a prefix scan: each symbol is cut into
+    segments of that many rows, the segments' totals are summed over the small
+    table of segments, and a running sum inside each segment starts from there;
+    no task holds a whole symbol.  ``bucket`` is a coarse column that rises with
+    ``order`` (see ``segments.with_positions``; by default the time bucket, or
+    blocks of steps for a numeric order).
     """
     w = Window.partitionBy("symbol").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     g = F.when(F.col(ret_col) > -100, F.ln(F.lit(1.0) + F.col(ret_col) / F.lit(100.0))).cast("decimal(38,12)")
     p = preds.join(base.select("symbol", "base_price"), "symbol")
-    bad = F.sum(F.when(g.isNull(), 1).otherwise(0)).over(w)
-    logsum = F.sum(g).over(w).cast("double")
+    broken = F.when(g.isNull(), 1).otherwise(0)
+    bad, logsum = F.sum(broken).over(w), F.sum(g).over(w).cast("double")
+    if segment_rows is not None:
+        if bucket is None and isinstance(p.schema[order].dataType, T.NumericType):
+            bucket = F.floor(F.col(order) / F.lit(segment_rows))
+        p = with_positions(p, order=order, bucket=bucket).withColumn("_seg", F.floor(F.col("_pos") / F.lit(segment_rows)))
+        p = p.withColumns({"_g": F.coalesce(g, F.lit(0).cast("decimal(38,12)")), "_bad": broken})
+        exact = "decimal(36,12)"  # so that a sum of two keeps all twelve digits
+        before = Window.partitionBy("symbol").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+        totals = p.groupBy("symbol", "_seg").agg(F.sum("_g").alias("_sum"), F.sum("_bad").alias("_bads"))
+        totals = totals.select("symbol", "_seg", F.coalesce(F.sum("_sum").over(before), F.lit(0)).cast(exact).alias("_sum0"),
+                               F.coalesce(F.sum("_bads").over(before), F.lit(0)).alias("_bad0"))
+        inside = Window.partitionBy("symbol", "_seg").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        p = p.join(totals, ["symbol", "_seg"])
+        bad, logsum = F.col("_bad0") + F.sum("_bad").over(inside), (F.col("_sum0") + F.sum("_g").over(inside).cast(exact)).cast("double")
+        path = F.when(bad == 0, F.col("base_price") * F.exp(logsum))
+        return p.withColumn("path_price", path).drop("_seg", "_pos", "_n", "_g", "_bad", "_sum0", "_bad0")
     return p.withColumn("path_price", F.when(bad == 0, F.col("base_price") * F.exp(logsum)))

@@ -111,17 +111,30 @@ def q_iterative_gbt_large(spark, sf):
     return rounded(fc.iterative_forecast(bars, model, 30))
 
 
-@register("price_path", f"""WITH {base_ctes()}, {sup_cte()},
+PRICE_PATH = f"""WITH {base_ctes()}, {sup_cte()},
 t AS (SELECT * FROM (SELECT *, {HOLD} AS role FROM sup) h WHERE role = 'test'),
 b AS (SELECT symbol, arg_min(close, dt) AS base_price FROM t GROUP BY symbol)
 SELECT symbol, dt, round(CASE WHEN sum(CASE WHEN label > -100 THEN 0 ELSE 1 END) OVER w = 0
   THEN base_price * exp(CAST(sum(CAST(CASE WHEN label > -100 THEN ln(1.0 + label / 100.0) END AS DECIMAL(38, 12))) OVER w AS DOUBLE)) END, 4) AS path_price
 FROM t JOIN b USING (symbol)
-WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
-def q_price_path(spark, sf):
-    """Compounding each hold-out row's next return onto the first hold-out close."""
+WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+def _holdout_path(spark, sf, **options):
     _, _, sup = _setup(spark, sf)
     t = sv.holdout(sup).where(F.col("role") == "test")
     base = t.groupBy("symbol").agg(F.min_by("close", "dt").alias("base_price"))
-    p = fc.price_path(t.select("symbol", "dt", "label"), base, ret_col="label", order="dt")
+    p = fc.price_path(t.select("symbol", "dt", "label"), base, ret_col="label", order="dt", **options)
     return rounded(p.select("symbol", "dt", "path_price"))
+
+
+@register("price_path", PRICE_PATH)
+def q_price_path(spark, sf):
+    """Compounding each hold-out row's next return onto the first hold-out close."""
+    return _holdout_path(spark, sf)
+
+
+@register("price_path_segmented", PRICE_PATH)
+def q_price_path_segmented(spark, sf):
+    """P4 as a prefix scan over segments of 64 rows."""
+    return _holdout_path(spark, sf, segment_rows=64)

@@ -144,14 +144,10 @@ SELECT period, {sql_round(BAR_COLUMNS, doubles=OHLCV)} FROM bars, p WHERE dt >=
 def q_lookback(spark, sf):
     """S6 + S7: the bars of every period code (and an unknown one) before the
     latest trade date.  That date is one aggregate value, used as a literal, so
-    each range reaches the trade scan as a pushed filter."""
+    the longest range reaches the one scan of the trades as a pushed filter."""
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     as_of = str(li.agg(F.max(F.col("l_shipdate").cast("date"))).first()[0])
-    out = None
-    for period in PERIODS:
-        one = lookback.lookback(lineitem_bars(spark, sf), period, as_of).select(F.lit(period).alias("period"), *BAR_COLUMNS)
-        out = one if out is None else out.unionByName(one)
-    return rounded(out)
+    return rounded(lookback.lookbacks(lineitem_bars(spark, sf), PERIODS, as_of).select("period", *BAR_COLUMNS))
 
 
 @register("csv_export", f"WITH {base_ctes()} SELECT {sql_round(IND_COLUMNS, doubles=IND_DOUBLES)} FROM ind")

@@ -163,6 +163,19 @@ def test_price_path_compounds(spark):
     assert np.allclose(got, [110.0, 55.0, 110.0])
 
 
+def test_segmented_price_path_equals_the_plain_one(spark):
+    rows = [(s, k, float((k * 37 + len(s)) % 11 - 5) if (s, k) != ("B", 70) else -100.0) for s in ("A", "B", "CC") for k in range(1, 101)]
+    rows += [("A", 101, None), ("A", 102, 1.0), ("one", 1, 2.0), ("no base", 1, 2.0)]
+    preds = spark.createDataFrame(rows, "symbol string, step int, y_hat double").repartition(5)
+    base = spark.createDataFrame([("A", 100.0), ("B", 10.0), ("CC", None), ("one", 1.0)], "symbol string, base_price double")
+    plain = fc.price_path(preds, base).orderBy("symbol", "step")
+    for size in (1, 7, 1000):
+        cut = fc.price_path(preds, base, segment_rows=size)
+        assert set(cut.columns) == set(plain.columns)
+        assert cut.select(*plain.columns).orderBy("symbol", "step").collect() == plain.collect()
+    assert fc.price_path(preds.limit(0), base, segment_rows=7).count() == 0
+
+
 def test_shapley_linear_equals_exact_and_additive(spark, sup):
     m = M.fit("ridge", sup)
     lc = X.linear_contributions(m, sup).toPandas().set_index(["symbol", "feature"]).phi

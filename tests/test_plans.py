@@ -27,6 +27,20 @@ def test_trade_aggregation_combines_before_shuffle(spark):
     assert any("partial_min_by" in line for line in lines[ex:]), p
 
 
+def test_all_periods_share_one_scan_with_the_longest_range_pushed(spark):
+    p = plan(lookback.lookbacks(lineitem_bars(spark, SF), ["1mo", "5y", "1y", "max"], "1998-12-01"))
+    assert p.count("FileScan") == 1
+    assert re.search(r"l_shipdate#\d+ >= 1993-12-0", p), p
+
+
+def test_segmented_price_path_sums_no_whole_symbol(spark):
+    preds = spark.range(1000).selectExpr("'S' AS symbol", "CAST(id AS INT) AS step", "1.0D AS y_hat")
+    base = spark.createDataFrame([("S", 1.0)], "symbol string, base_price double")
+    p = plan(fc.price_path(preds, base, segment_rows=50))
+    over_rows = [w for w in re.findall(r"Window \[.*", p) if "_sum0" not in w and "_bad0" not in w and "_off" not in w and "_n#" not in w and "_w0" not in w]
+    assert all("_seg" in w or "_bucket" in w for w in over_rows), over_rows
+
+
 def test_trades_to_folds_in_two_exchanges(spark):
     spark.catalog.clearCache()  # a cached frame from another test would replace part of the plan
     df = sv.folds(sv.supervised(indicator_table(lineitem_bars(spark, SF))), 5)

@@ -232,9 +232,8 @@ def fill_values(rows: DataFrame, keys: Sequence[str], features: Sequence[str], s
     return rows.groupBy(*keys).agg(*[fn(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))).alias(f"_fill_{c}") for c in features])
 
 
-def _solve_rows(pdf: pd.DataFrame, p: int, model: str, alpha_col: str | None, alpha: float,
-                max_iter: int, tol: float) -> pd.DataFrame:
-    """Solve every statistics row of the batch at once (numpy, vectorised over rows)."""
+def _standardised(pdf: pd.DataFrame, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """n, means, scales, Gram matrices and label products of standardised features."""
     m = len(pdf)
     a_idx, b_idx = np.array(_pairs(p)).T
     n = pdf["n"].to_numpy(dtype=float)
@@ -249,6 +248,14 @@ def _solve_rows(pdf: pd.DataFrame, p: int, model: str, alpha_col: str | None, al
     sd = np.where(sd < 10 * np.finfo(float).eps * np.maximum(1.0, np.abs(mu)), 1.0, sd)
     G = C / (sd[:, :, None] * sd[:, None, :])
     b = sxy / sd
+    return n, mu, sd, G, b
+
+
+def _solve_rows(pdf: pd.DataFrame, p: int, model: str, alpha_col: str | None, alpha: float,
+                max_iter: int, tol: float) -> pd.DataFrame:
+    """Solve every statistics row of the batch at once (numpy, vectorised over rows)."""
+    m = len(pdf)
+    n, mu, sd, G, b = _standardised(pdf, p)
     a = pdf[alpha_col].to_numpy(dtype=float) if alpha_col else np.full(m, alpha)
     steps = np.zeros(m, dtype=np.int64)
     if model == "ridge":
@@ -364,6 +371,95 @@ def _solved(parts: DataFrame, keys: list[str], p: int, model: str, alpha: float,
     return dealt.mapInPandas(merge, merged).join(fills, [c for c in order if c in fills.columns]).mapInPandas(solve_filled, schema)
 
 
+def _knots(G: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Penalties (falling) and coefficients at the corners of one lasso path,
+    from where the first coefficient leaves zero down to ``least``.
+
+    Between corners the active coefficients are linear in the penalty.  A corner
+    is where a feature's correlation with the residual reaches the penalty (it
+    joins) or an active coefficient reaches zero (it leaves)."""
+    w, at = np.zeros(len(b)), float(np.abs(b).max(initial=0.0))
+    alphas, coefs = [at], [w.copy()]
+    if at <= least:
+        return np.array(alphas), np.array(coefs)
+    first = int(np.abs(b).argmax())
+    active, sign, left = [first], {first: float(np.sign(b[first]))}, -1
+    tiny = 1e-12 * at
+    for _ in range(50 * len(b) + 50):
+        A = np.array(active, dtype=int)
+        s = np.array([sign[j] for j in active])
+        move = np.linalg.lstsq(G[np.ix_(A, A)], s, rcond=1e-14)[0]  # d w / d (-penalty)
+        c, slope = b - G @ w, G[:, A] @ move
+        step, event = at - least, None
+        for k, j in enumerate(active):
+            if w[j] * move[k] < 0 and (t := -w[j] / move[k]) < step:
+                step, event = t, (j, 0.0)
+        for j in np.setdiff1d(np.arange(len(b)), A):
+            for side in (1.0, -1.0):
+                pace = 1.0 - side * slope[j]
+                if pace <= 1e-12 or (j == left and side == sign[j]):
+                    continue  # it never catches up, or has just left on this side
+                t = max((at - side * c[j]) / pace, 0.0)
+                if t < step:
+                    step, event = t, (int(j), side)
+        w[A] += step * move
+        at -= step
+        if step > tiny or event is None:
+            alphas.append(at)
+            coefs.append(w.copy())
+        if event is None:
+            break
+        j, side = event
+        if side:
+            active.append(j)
+            sign[j], left = side, -1
+        else:
+            active.remove(j)
+            w[j], left = 0.0, j
+            if not active:
+                break
+    return np.array(alphas), np.array(coefs)
+
+
+def lasso_path(train: DataFrame, keys: Sequence[str], features: Sequence[str], alphas: Sequence[float] | None = None, label: str = "label",
+               least: float = 1e-4) -> DataFrame:
+    """The lasso of every group at all ``alphas``, from one homotopy path over
+    its merged statistics; without ``alphas`` a row per corner of the path down
+    to ``least``.
+
+    keys, alpha, n, mu[], ybar, sd[], w[] as :func:`fit_linear` returns them,
+    ``alpha_max`` (from there on all coefficients are zero), ``objective``
+    (half the mean squared error plus the penalty, less half the label's
+    variance), ``gap`` (duality gap where no correlation exceeds the penalty) and
+    ``excess`` (by how much the largest correlation does).  Constant features
+    and empty correlations keep zero coefficients."""
+    keys, p = list(keys), len(features)
+    wanted = None if alphas is None else sorted({float(a) for a in alphas}, reverse=True)
+    parts = partial_stats(train, keys, features, label)
+    arrays = T.ArrayType(T.DoubleType())
+    fields = [("alpha", T.DoubleType()), ("n", T.LongType()), ("mu", arrays), ("ybar", T.DoubleType()), ("sd", arrays), ("w", arrays),
+              *((c, T.DoubleType()) for c in ("alpha_max", "objective", "gap", "excess"))]
+    schema = T.StructType([*(parts.schema[k] for k in keys), *(T.StructField(c, kind) for c, kind in fields)])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for stats in _merged_groups(frames, keys, None, 0):
+            n, mu, sd, G, b = _standardised(stats, p)
+            out = []
+            for i, (key, ybar) in enumerate(zip(stats[keys].itertuples(index=False, name=None), stats["ybar"])):
+                Gi, bi = G[i] / n[i], b[i] / n[i]
+                corners, held = _knots(Gi, bi, wanted[-1] if wanted else least)
+                rows = zip(corners, held) if wanted is None else [
+                    (a, np.array([np.interp(-a, -corners, held[:, j]) for j in range(p)])) for a in wanted]
+                for a, w in rows:
+                    c = bi - Gi @ w
+                    size = float(np.abs(w).sum())
+                    out.append((*key, float(a), int(n[i]), mu[i].tolist(), float(ybar), sd[i].tolist(), w.tolist(), float(corners[0]),
+                                float(0.5 * w @ Gi @ w - bi @ w + a * size), float(a * size - w @ c), float(max(np.abs(c).max(initial=0.0) - a, 0.0))))
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
 HELD_NUMBERS = 8_000_000  # coefficients that may go to every task (64 MB)
 
 

@@ -18,22 +18,27 @@ from candlewick.schema import FEATURES, LAGS
 from candlewick.sources.trades import lineitem_bars
 
 
-def _setup(spark, sf):
+def _setup(spark, sf, target="return"):
     bars = lineitem_bars(spark, sf)
     ind = indicator_table(bars)
-    sup = sv.supervised(ind)
+    sup = sv.supervised(ind, 1, target)
     return bars, ind, sup
 
 
-@register("one_step", f"""WITH RECURSIVE {base_ctes()}, {sup_cte()}, trn AS (SELECT * FROM (SELECT *, {HOLD} AS role FROM sup) h WHERE role = 'train'),
+def _one_step_sql(target):
+    price = "pred" if target == "price" else "current_price * (1.0 + pred / 100.0)"
+    return f"""WITH RECURSIVE {base_ctes()}, {sup_cte(1, target)}, trn AS (SELECT * FROM (SELECT *, {HOLD} AS role FROM sup) h WHERE role = 'train'),
 newest AS (SELECT * FROM (SELECT *, close AS current_price, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS rn FROM ind_live) a WHERE rn = 1),
 {ridge_ctes("trn")}, {predicted("newest", "symbol, dt, current_price")},
-nxt AS (SELECT symbol, dt, current_price, pred AS y_hat, current_price * (1.0 + pred / 100.0) AS next_price FROM pred),
+nxt AS (SELECT symbol, dt, current_price, pred AS y_hat, {price} AS next_price FROM pred),
 chg AS (SELECT *, next_price - current_price AS delta, CASE WHEN current_price = 0 THEN 0.0 ELSE (next_price - current_price) / current_price * 100.0 END AS pct FROM nxt)
 SELECT symbol, dt, round(current_price, 4) AS current_price, round(y_hat, 4) AS y_hat, round(next_price, 4) AS next_price,
   round(delta, 4) AS delta, round(pct, 4) AS pct,
   CASE WHEN pct > 2 THEN 'strong bullish' WHEN pct > 0 THEN 'mild bullish' WHEN pct > -2 THEN 'neutral' WHEN pct IS NOT NULL THEN 'bearish' END AS signal
-FROM chg""")
+FROM chg"""
+
+
+@register("one_step", _one_step_sql("return"))
 def q_one_step(spark, sf):
     """P1 + P5: per-symbol ridge (fitted on the first 80 %, as the reference)
     predicts the next return from the newest bar; price, change and signal."""
@@ -43,6 +48,15 @@ def q_one_step(spark, sf):
     return rounded(fc.one_step(live, sup, model))
 
 
+@register("one_step_price", _one_step_sql("price"))
+def q_one_step_price(spark, sf):
+    """P1 + P5 with the price target: the ridge predicts the next close itself."""
+    bars, ind, sup = _setup(spark, sf, "price")
+    _, _, model = M.backtest("ridge", sup)
+    live = indicator_table(bars, drop_incomplete=False)
+    return rounded(fc.one_step(live, sup, model, "price"))
+
+
 def _state_features() -> str:
     """The 22 features of the newest bar as SQL over a state row: c (50 closes),
     v (12 volumes), o, h, l."""
@@ -63,7 +77,9 @@ def _state_features() -> str:
     return "[" + ", ".join(found[f] for f in FEATURES) + "]"
 
 
-@register("iterative", f"""WITH RECURSIVE {base_ctes()}, {sup_cte()}, {ridge_ctes("sup")},
+def _iterative_sql(target):
+    price = "y" if target == "price" else "c[50] * (1.0 + y / 100.0)"
+    return f"""WITH RECURSIVE {base_ctes()}, {sup_cte(1, target)}, {ridge_ctes("sup")},
 model AS MATERIALIZED (SELECT symbol, any_value(ybar) AS ybar, list(w ORDER BY idx) AS w, list(mu ORDER BY idx) AS mu, list(sd ORDER BY idx) AS sd FROM coef GROUP BY symbol),
 tail AS (SELECT * FROM bars WHERE open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL AND volume IS NOT NULL
          QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) <= 50),
@@ -72,10 +88,13 @@ st AS (
     arg_max(open, dt) AS o, arg_max(high, dt) AS h, arg_max(low, dt) AS l, CAST(NULL AS DOUBLE) AS y FROM tail GROUP BY symbol HAVING count(*) = 50
   UNION ALL
   SELECT step + 1, symbol, CAST(dt + CASE dayofweek(dt) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END AS DATE), c[2:50] || [p], v[2:12] || [v[12]], p, p * 1.01, p * 0.99, y
-  FROM (SELECT *, c[50] * (1.0 + y / 100.0) AS p FROM (
+  FROM (SELECT *, {price} AS p FROM (
     SELECT step, symbol, dt, c, v, ybar + list_sum(list_transform(range(1, {len(FEATURES) + 1}), lambda i: w[i] * (x[i] - mu[i]) / sd[i])) AS y
     FROM (SELECT *, {_state_features()} AS x FROM st WHERE step < 30) a JOIN model USING (symbol)) b) d)
-SELECT symbol, CAST(step AS INTEGER) AS step, dt, round(y, 4) AS y_hat, round(c[50], 4) AS price, 'ok' AS status FROM st WHERE step > 0""")
+SELECT symbol, CAST(step AS INTEGER) AS step, dt, round(y, 4) AS y_hat, round(c[50], 4) AS price, 'ok' AS status FROM st WHERE step > 0"""
+
+
+@register("iterative", _iterative_sql("return"))
 def q_iterative(spark, sf):
     """P2 + P3: 30-day iterative forecast of per-symbol ridge from the raw bars."""
     bars, ind, sup = _setup(spark, sf)
@@ -83,6 +102,14 @@ def q_iterative(spark, sf):
     return rounded(fc.iterative_forecast(bars, model, 30), exact=())
 
 
+@register("iterative_price", _iterative_sql("price"))
+def q_iterative_price(spark, sf):
+    """P2 + P3 with the price target: every predicted close is the next state's close."""
+    bars, ind, sup = _setup(spark, sf, "price")
+    model = M.fit("ridge", sup)
+    return rounded(fc.iterative_forecast(bars, model, 30, "price"), exact=())
+
+
 @register("forecast_status", f"""WITH {base_ctes(GAPPY_SQL)}, {sup_cte()},
 held AS (SELECT symbol, count(*) AS bars, count(CASE WHEN open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL AND volume IS NOT NULL THEN 1 END) AS complete_bars
          FROM bars GROUP BY symbol)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from candlewick.operators import linear
 from candlewick.operators import models as M
 from candlewick.operators import supervised as sv
 from candlewick.operators import trees as tr
@@ -27,33 +28,44 @@ def _sup(spark, sf, target="return"):
     return sv.supervised(indicator_table(lineitem_bars(spark, sf)), 1, target)
 
 
-def _cv(name):
+def _cv(name, target="return"):
     def q(spark, sf):
-        fm, _ = M.cv_score(name, _sup(spark, sf), 5)
+        fm, _ = M.cv_score(name, _sup(spark, sf, target), 5)
         return rounded(fm)
 
-    q.__doc__ = f"V4: 5-fold walk-forward metrics of {name} per (symbol, fold)."
+    q.__doc__ = f"V4: 5-fold walk-forward metrics of {name} per (symbol, fold), {target} target."
     return q
 
 
-FOLD_SETS = f"""WITH RECURSIVE {base_ctes()}, {sup_cte()}, {folds_cte()},
+def _fold_sets(target="return"):
+    return f"""WITH RECURSIVE {base_ctes()}, {sup_cte(1, target)}, {folds_cte()},
 trn AS (SELECT * FROM folds WHERE role = 'train'), tst AS (SELECT * FROM folds WHERE role = 'test')"""
-FOLD_SCORES = f"""{FOLD_SETS}, {ridge_ctes("trn", "symbol, fold")}, {predicted("tst", "symbol, fold, label", "symbol, fold")},
+
+
+def _fold_scores(target="return"):
+    return f"""{_fold_sets(target)}, {ridge_ctes("trn", "symbol, fold")}, {predicted("tst", "symbol, fold, label", "symbol, fold")},
 fm AS ({scores("pred", "symbol, fold")})"""
-HOLD_SETS = f"""WITH RECURSIVE {base_ctes()}, {sup_cte()}, hold AS (SELECT *, {HOLD} AS role FROM sup),
+
+
+def _hold_sets(target="return"):
+    return f"""WITH RECURSIVE {base_ctes()}, {sup_cte(1, target)}, hold AS (SELECT *, {HOLD} AS role FROM sup),
 trn AS (SELECT * FROM hold WHERE role = 'train'), tst AS (SELECT * FROM hold WHERE role = 'test')"""
 
+
+FOLD_SETS, FOLD_SCORES, HOLD_SETS = _fold_sets(), _fold_scores(), _hold_sets()
+
 register("cv_ridge", f"{FOLD_SCORES} SELECT symbol, fold, n, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(r2, 4) AS r2 FROM fm")(_cv("ridge"))
 register("cv_lasso", f"""{FOLD_SETS}, {lasso_ctes("trn", "symbol, fold")}, {predicted("tst", "symbol, fold, label", "symbol, fold")},
 fm AS ({scores("pred", "symbol, fold")}) SELECT symbol, fold, n, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(r2, 4) AS r2 FROM fm""")(_cv("lasso"))
+register("cv_ridge_price", f"{_fold_scores('price')} SELECT symbol, fold, n, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(r2, 4) AS r2 FROM fm")(_cv("ridge", "price"))
 register("cv_forest")(_cv("random_forest"))
 register("cv_gbt")(_cv("gbt"))
 
 
-def _bt(name, scope=None):
+def _bt(name, scope=None, target="return"):
     def q(spark, sf):
-        bt, _, _ = M.backtest(name, _sup(spark, sf), scope=scope)
-        return rounded(bt)
+        bt, _, _ = M.backtest(name, _sup(spark, sf, target), scope=scope)
+        return rounded(bt, exact=("actual",) if target == "price" else ())
 
     q.__doc__ = f"V5: hold-out back-test of {name}: actual and predicted for the last 20 % per symbol."
     return q
@@ -61,6 +73,8 @@ def _bt(name, scope=None):
 
 register("backtest", f"""{HOLD_SETS}, {ridge_ctes("trn")}, {predicted("tst", "symbol, dt, label")}
 SELECT symbol, dt, round(label, 4) AS actual, round(pred, 4) AS predicted FROM pred""")(_bt("ridge"))
+register("backtest_price", f"""{_hold_sets("price")}, {ridge_ctes("trn")}, {predicted("tst", "symbol, dt, label")}
+SELECT symbol, dt, round(label, 8) AS actual, round(pred, 4) AS predicted FROM pred""")(_bt("ridge", target="price"))
 register("backtest_forest")(_bt("random_forest"))
 register("backtest_gbt")(_bt("gbt"))
 register("gbt_large")(_bt("gbt_large"))
@@ -154,6 +168,28 @@ def q_search_lasso(spark, sf):
     return rounded(table)
 
 
+PATH_ALPHAS = [0.0001, 0.001, 0.01, 0.1, 1.0]
+_PENALTIES = "(VALUES " + ", ".join(f"({a})" for a in PATH_ALPHAS) + ")"
+
+
+@register("lasso_path", f"""WITH RECURSIVE {base_ctes()}, {sup_cte()}, {lasso_ctes("sup", "symbol", _PENALTIES)},
+top AS (SELECT symbol, max(abs(v) / cnt) AS alpha_max FROM gram JOIN cnt USING (symbol) WHERE j = {len(FEATURES)} GROUP BY symbol),
+quad AS (SELECT a.symbol, a.alpha, sum(0.5 * a.w * b.w * v / cnt) AS s FROM coef a JOIN coef b ON a.symbol = b.symbol AND a.alpha = b.alpha
+         JOIN gram ON gram.symbol = a.symbol AND gram.i = a.idx AND gram.j = b.idx JOIN cnt ON cnt.symbol = a.symbol GROUP BY a.symbol, a.alpha),
+lin AS (SELECT coef.symbol, coef.alpha, sum(alpha * abs(w) - w * v / cnt) AS s FROM coef JOIN gram ON gram.symbol = coef.symbol AND gram.i = coef.idx AND gram.j = {len(FEATURES)}
+        JOIN cnt ON cnt.symbol = coef.symbol GROUP BY coef.symbol, coef.alpha)
+SELECT symbol, alpha, round(alpha_max, 4) AS alpha_max, round(quad.s + lin.s, 4) AS objective, true AS optimal
+FROM quad JOIN lin USING (symbol, alpha) JOIN top USING (symbol)""")
+def q_lasso_path(spark, sf):
+    """M5: the lasso's homotopy path of every symbol at five penalties: the
+    penalty from which on all coefficients are zero, the objective (up to the
+    label's variance) and the optimality conditions.  The oracle minimises the
+    same objective by coordinate descent."""
+    path = linear.lasso_path(_sup(spark, sf), ["symbol"], FEATURES, PATH_ALPHAS)
+    fine = (F.col("gap") <= 1e-8 * (1 + F.abs("objective"))) & (F.col("excess") <= 1e-8 * (1 + F.col("alpha_max")))
+    return rounded(path.select("symbol", "alpha", "alpha_max", "objective", fine.alias("optimal")))
+
+
 @register("ridge_one_feature", f"""WITH {base_ctes()}, {sup_cte()},
 st AS (SELECT symbol, count(*) AS cnt, avg(price_change) AS mu, stddev_pop(price_change) AS sd, avg(label) AS ybar
        FROM sup GROUP BY symbol)

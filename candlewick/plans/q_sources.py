@@ -164,6 +164,24 @@ def q_csv_export(spark, sf):
     return rounded(spark.read.schema(written).option("header", True).csv(path).select(*IND_COLUMNS))
 
 
+@register("csv_export_named", f"""WITH {base_ctes()}, day AS (SELECT max(dt) AS as_of FROM bars)
+SELECT symbol || '_stock_data_' || strftime(as_of, '%Y%m%d') AS export, symbol, count(*) AS rows, min(dt) AS first_dt, max(dt) AS last_dt, round(sum(close), 4) AS close_sum
+FROM ind, day GROUP BY symbol, as_of""")
+def q_csv_export_named(spark, sf):
+    """Exports named by ticker and date, read back: the name of each, its rows, range and sum of closes."""
+    import uuid
+
+    bars = lineitem_bars(spark, sf)
+    as_of = bars.agg(F.max("dt")).collect()[0][0]
+    ind = indicator_table(bars).select(*IND_COLUMNS)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv_export_{uuid.uuid4().hex}"
+    export.write_csv(ind, path, as_of=as_of)
+    written = T.StructType([*ind.schema.fields, T.StructField("export", T.StringType())])
+    back = spark.read.schema(written).option("header", True).csv(path)
+    return rounded(back.groupBy("export", "symbol").agg(F.count("*").alias("rows"), F.min("dt").alias("first_dt"), F.max("dt").alias("last_dt"),
+                                                        F.sum("close").alias("close_sum")))
+
+
 # --- look-ups and symbol functions ---------------------------------------------
 
 # requests: listed labels and unlisted ones, dealt to the customers by key

@@ -166,3 +166,19 @@ def test_csv_export_partitioned_with_header(spark, make_bars):
     assert sorted(x for x in os.listdir(d) if x.startswith("symbol=")) == ["symbol=A", "symbol=B"]
     back = spark.read.option("header", True).csv(d)
     assert back.count() == 3 and "close" in back.columns
+
+
+def test_csv_export_named_by_day(spark, make_bars, tmp_path):
+    import os
+
+    from candlewick.sources import export
+
+    d = str(tmp_path / "out")
+    for day in (dt.date(2024, 3, 1), dt.date(2024, 3, 2)):
+        export.write_csv(make_bars([1.0, 2.0], "A").unionByName(make_bars([3.0], "B")), d, as_of=day)
+    export.write_csv(make_bars([5.0], "A"), d, as_of=dt.date(2024, 3, 2))  # the same day again
+    assert {x for x in os.listdir(d) if x.startswith("export=")} == {f"export={s}_stock_data_2024030{k}" for s in "AB" for k in (1, 2)}
+    back = spark.read.option("header", True).csv(d)
+    assert {(r["export"], r["close"]) for r in back.collect()} == {
+        ("A_stock_data_20240301", "1.0"), ("A_stock_data_20240301", "2.0"), ("A_stock_data_20240302", "5.0"),
+        ("B_stock_data_20240301", "3.0"), ("B_stock_data_20240302", "3.0")}

@@ -7,7 +7,8 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["bars", "indicator_table", "rsi", "diagnostics", "supervised_return", "folds",
-         "metric_record", "price_path", "importance_linear", "source_fallback", "instrument_info", "bars_wide"]
+         "metric_record", "price_path", "importance_linear", "source_fallback", "instrument_info", "bars_wide",
+         "lasso_path", "backtest_price", "one_step_price", "csv_export_named"]
 
 
 def _norm(cols, rows):

@@ -9,18 +9,23 @@ feature at all, is *none* for certain and is left out before scoring.
 
 Training rows are the templates, cut and thinned in fixed ways, and a bounded
 sample of the corpus's own paragraphs for *none* (``sample`` rows by hash
-order; paragraphs that resemble a template are not taken).  A held-out part of
-both calibrates the least probability at which a family is believed; what is
-licence-like but below it is the *unknown* class.  A prediction is confirmed
-when its paragraph shares enough word pairs with a template of that family.
+order; paragraphs that resemble a template are not taken).  Three folds
+calibrate the least probability at which a family is believed: each leaves out
+a third of the families whole, whose notices must come out as *unknown*, and one
+whole notice of every other family, which must keep its name.  The threshold is
+the one with the best mean of both shares.  What is licence-like but below
+it, or holds no word or pair that only its family's templates have, is the
+*unknown* class.  A prediction is confirmed when its paragraph also shares
+enough word pairs with a template of that family.
 
 Scoring runs over every paragraph, as DataFrame expressions and Spark ML
 transformers only.
 
 Defined cases: null and empty texts have no paragraphs; very long lines are one
 paragraph; repeated rows are classified one by one; a null doc_id stays null;
-an empty table trains on templates alone and gives no rows; other columns are
-not read.
+an empty table trains on templates alone and gives no rows; where ordinary
+paragraphs hold every word of the templates nothing tells a licence and no row
+is returned; other columns are not read.
 """
 
 from __future__ import annotations
@@ -66,6 +71,7 @@ FAMILIES = [NONE, *TEMPLATES]
 WORDS = r"[^\p{L}\p{N}]+"
 SAMPLE = 4000
 CONFIRM = 0.5
+FOLDS = 3
 COMMON = 0.005  # a word in more than this share of sampled paragraphs tells nothing
 
 
@@ -107,10 +113,13 @@ def _with_pairs(words: str = "words") -> Column:
 @dataclass
 class LicenseModel:
     telling: list[str]  # vocabulary words
-    features: CountVectorizerModel
-    regression: LogisticRegressionModel
+    features: CountVectorizerModel | None
+    regression: LogisticRegressionModel | None
     believed: float  # least probability of a family
-    templates: DataFrame  # family, pairs
+    templates: DataFrame  # family, template_pairs
+    own: dict[str, list[str]]  # vocabulary grams that one family's templates alone hold
+    known_kept: float  # share of left-out notices that keep their family at that probability
+    unknown_found: float  # share of left-out families' notices that come out as unknown
 
 
 def _literal(words: list[str]) -> Column:
@@ -122,7 +131,7 @@ def template_pairs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, template_pairs array<string>")
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, most_unknown: float = 0.001) -> LicenseModel:
+def train(docs: DataFrame, sample: int = SAMPLE) -> LicenseModel:
     spark = docs.sparkSession
     known = {w for texts in TEMPLATES.values() for t in texts for w in _words(t)}
     # ordinary paragraphs: documents by hash order, then their paragraphs by hash order
@@ -131,7 +140,6 @@ def train(docs: DataFrame, sample: int = SAMPLE, most_unknown: float = 0.001) ->
     some = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     plain = paragraphs(some).orderBy(F.xxhash64("doc_id", "paragraph"), "doc_id", "paragraph").limit(sample)
     plain = plain.withColumn("pairs", F.array_distinct(_with_pairs()))
-    templates = template_pairs(spark)
     every = sorted({p for texts in TEMPLATES.values() for t in texts for p in _pairs(_words(t))})
     plain = plain.withColumn("pairs", F.array_intersect("pairs", _literal(every))).where(F.size("pairs") < 2)
     plain = plain.select(F.array_intersect("words", _literal(sorted(known))).alias("words"), "pairs")
@@ -144,32 +152,61 @@ def train(docs: DataFrame, sample: int = SAMPLE, most_unknown: float = 0.001) ->
     telling = sorted(w for w in known if len(w) > 1 and not w.isdigit() and seen.get(w, 0) <= COMMON * max(len(rows), 1))
     keep = set(telling)
     pairs = sorted({p for texts in TEMPLATES.values() for t in texts for p in _pairs(_words(t)) if keep & set(p.split(" "))})
-    features = CountVectorizerModel.from_vocabulary(telling + pairs, inputCol="grams", outputCol="features") if telling else None
+    templates = template_pairs(spark)
+    if not telling:
+        return LicenseModel([], None, None, 1.0, templates, {}, 0.0, 0.0)
+    features = CountVectorizerModel.from_vocabulary(telling + pairs, inputCol="grams", outputCol="features")
     features.setBinary(True)
-
-    data, held = [], []
-    for k, family in enumerate(FAMILIES):
-        if k:
-            made = [[*words, *_pairs(words)] for t in TEMPLATES.get(family, ()) for words in map(_words, variants(t))]
-        else:
-            made = [[*words, *two] for words, two in rows]
-        for i, grams in enumerate(made):
+    vocabulary = {*telling, *pairs}
+    notices = {family: [[[*words, *_pairs(words)] for words in map(_words, variants(t))] for t in texts] for family, texts in TEMPLATES.items()}
+    plain_grams = [[*words, *two] for words, two in rows]
+
+    def fitted(kept: dict[str, list]) -> LogisticRegressionModel:
+        data = [(0, 100.0, [])]  # no feature: none
+        for k, family in enumerate(FAMILIES):
+            made = plain_grams if k == 0 else [grams for forms in kept.get(family, ()) for grams in forms]
             # none rows weigh as much as all families together
-            weight = len(TEMPLATES) / max(1, len(made)) if k == 0 else 1.0 / len(made)
-            (held if i % 5 == 4 else data).append((k, weight * 100, grams))
-    data.append((0, 100.0, []))  # no feature: none
-    frame = spark.createDataFrame(data, "label int, weight double, grams array<string>").coalesce(1)
-    regression = LogisticRegression(featuresCol="features", weightCol="weight", family="multinomial", regParam=1e-3, maxIter=60,
-                                    standardization=False).fit(features.transform(frame))
-    scored = regression.transform(features.transform(spark.createDataFrame(held, "label int, weight double, grams array<string>").coalesce(1)))
-    likely = F.array_max(F.slice(vector_to_array("probability"), 2, len(FAMILIES) - 1))
-    worst = scored.where("label = 0").agg(F.percentile(likely, F.lit(1 - most_unknown)).alias("p")).collect()[0]["p"] or 0.0
-    return LicenseModel(telling, features, regression, min(max(0.5, worst), 0.9), templates)
+            weight = (len(kept) if k == 0 else 1.0) / max(1, len(made))
+            data += [(k, weight * 100, grams) for grams in made]
+        frame = spark.createDataFrame(data, "label int, weight double, grams array<string>").coalesce(1)
+        return LogisticRegression(featuresCol="features", weightCol="weight", family="multinomial", regParam=1e-3, maxIter=60,
+                                  standardization=False).fit(features.transform(frame))
+
+    judged = []  # (held-out row's family is known, its probability where the guess is right or its family unknown)
+    for fold in range(FOLDS):
+        kept = {f: [x for i, x in enumerate(forms) if len(forms) == 1 or i != fold % len(forms)] for j, (f, forms) in enumerate(notices.items()) if j % FOLDS != fold}
+        held = [(f if f in kept else None, grams) for f, forms in notices.items() for i, x in enumerate(forms)
+                if f not in kept or (len(forms) > 1 and i == fold % len(forms)) for grams in x]
+        own = own_grams(kept, vocabulary)
+        frame = spark.createDataFrame([(i, 0.0, grams) for i, (_, grams) in enumerate(held, 1)], "label int, weight double, grams array<string>").coalesce(1)
+        scored = fitted(kept).transform(features.transform(frame)).select("label", vector_to_array("probability").alias("p"))
+        for i, p in scored.collect():  # forms of the templates: a fixed number of rows
+            family, grams = held[i - 1]
+            best = max(range(1, len(p)), key=p.__getitem__)
+            told = p[0] < 0.5 and bool(set(own.get(FAMILIES[best], ())) & set(grams))
+            judged.append((family is not None, p[best] if told and family in (None, FAMILIES[best]) else 0.0))
+    known, unknown = ([p for is_known, p in judged if is_known == kind] for kind in (True, False))
+
+    def shares(least: float) -> tuple[float, float]:
+        return sum(p >= least for p in known) / len(known), sum(p < least for p in unknown) / len(unknown)
+
+    believed = max(sorted({p for _, p in judged if p > 0} | {0.5}), key=lambda t: sum(shares(t)))
+    return LicenseModel(telling, features, fitted(notices), believed, templates, own_grams(notices, vocabulary), *shares(believed))
+
+
+def own_grams(notices: dict[str, list], vocabulary: set[str]) -> dict[str, list[str]]:
+    """The vocabulary grams that the notices of one family alone hold."""
+    # the first form of a notice is its text; thinned forms join words that do not stand together
+    held = {f: {g for forms in texts for g in forms[0]} & vocabulary for f, texts in notices.items()}
+    return {f: sorted(g for g in grams if not any(g in other for name, other in held.items() if name != f)) for f, grams in held.items()}
 
 
 def classify(docs: DataFrame, model: LicenseModel) -> DataFrame:
     """doc_id, paragraph, family (or unknown), probability, similarity and
     confirmed of every licence-like paragraph."""
+    if model.features is None:
+        return docs.where(F.lit(False)).select("doc_id", F.lit(0).alias("paragraph"), F.lit("").alias("family"), F.lit("").alias("guess"),
+                                               F.lit(0.0).alias("probability"), F.lit(0.0).alias("similarity"), F.lit(False).alias("confirmed"))
     lines = paragraphs(docs).where(F.arrays_overlap("words", _literal(model.telling)))
     lines = lines.withColumn("pairs", _with_pairs()).withColumn("grams", F.concat("words", "pairs"))
     scored = model.regression.transform(model.features.transform(lines)).withColumn("p", vector_to_array("probability"))
@@ -178,10 +215,12 @@ def classify(docs: DataFrame, model: LicenseModel) -> DataFrame:
     scored = scored.withColumn("probability", F.array_max(families))
     scored = scored.withColumn("guess", F.element_at(_literal(FAMILIES[1:]), F.array_position(families, F.col("probability")).cast("int")))
     held = model.templates.groupBy("family").agg(F.collect_list("template_pairs").alias("held"))  # a row per family, at most five templates each
+    own = docs.sparkSession.createDataFrame(sorted(model.own.items()), "family string, own array<string>")
+    held = held.join(F.broadcast(own), "family")
     scored = scored.join(F.broadcast(held), scored["guess"] == held["family"], "left").drop("family")
     distinct = F.size(F.array_distinct("pairs"))
     best = F.array_max(F.transform("held", lambda t: F.size(F.array_intersect("pairs", t)) / F.greatest(F.lit(1), F.least(distinct, F.size(t)))))
-    believed = F.col("probability") >= model.believed
+    believed = (F.col("probability") >= model.believed) & F.arrays_overlap("grams", "own")
     return scored.select("doc_id", "paragraph", F.when(believed, F.col("guess")).otherwise("unknown").alias("family"), "guess",
                          F.round("probability", 4).alias("probability"), F.round(best, 4).alias("similarity"),
                          (believed & (best >= CONFIRM)).alias("confirmed"))

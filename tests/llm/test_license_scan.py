@@ -71,3 +71,39 @@ def test_long_lines_are_learnt_whole(spark, monkeypatch):
     L.train(make(spark, rows, "doc_id long, text string"))
     assert any(set(late.split()) <= set(grams) for label, _, grams in fitted if label == 0)
     assert max(len(grams) for label, _, grams in fitted if label == 0) < 100  # only grams that templates hold are sent
+
+
+# notices of licences that no template has
+UNSEEN = ["Licensed under the Eclipse Public License, version 2.0.", "Licensed under the European Union Public Licence, version 1.2.",
+          "This program is released under the Artistic License, version 2.0.", "Licensed under the Academic Free License version 3.0"]
+
+
+def test_unseen_licences_are_unknown(spark, model):
+    got = found(spark, model, UNSEEN)
+    assert (0, 0) in got and all(r["family"] == "unknown" and not r["confirmed"] for r in got.values())
+
+
+def test_calibration_holds_out_whole_notices_and_families(model):
+    """The threshold comes from rows that no fold's model saw, and is not clamped."""
+    assert 0 < model.believed < 1
+    assert 0 < model.known_kept < 1 and model.unknown_found >= 0.8
+    assert {"mozilla", "the mozilla"} <= set(model.own["mpl"]) and "public license" not in {g for own in model.own.values() for g in own}
+
+
+def test_left_out_family_is_unknown(spark, monkeypatch):
+    """A family that training does not know at all, in its own notices."""
+    notices = L.TEMPLATES["mpl"]
+    monkeypatch.setattr(L, "TEMPLATES", {f: t for f, t in L.TEMPLATES.items() if f != "mpl"})
+    monkeypatch.setattr(L, "FAMILIES", [L.NONE, *L.TEMPLATES])
+    rows = [(i, PLAIN[i % len(PLAIN)] + f" n{i}") for i in range(300)]
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = found(spark, model, notices)
+    assert not any(r["confirmed"] for r in got.values())
+
+
+def test_no_telling_word(spark):
+    """Where every word of the templates is an ordinary one, no paragraph is a licence."""
+    words = sorted({w for texts in L.TEMPLATES.values() for t in texts for w in L._words(t)})
+    docs = spark.createDataFrame([(i, "\n".join(words), "en", "f", "w") for i in range(20)], SCHEMA)
+    out = L.scan(docs)
+    assert out.count() == 0 and {"doc_id", "family", "confirmed"} <= set(out.columns)

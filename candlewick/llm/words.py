@@ -121,7 +121,7 @@ def word_hashes(data: np.ndarray, words: Words, lower: bool = False) -> np.ndarr
     """One 64-bit hash per word; ``lower`` folds A-Z."""
     if not len(words.starts):
         return np.zeros(0, np.uint64)
-    up, down = _POWERS.get(len(data))
+    up, down = _POWERS.get(len(data) + 1)  # an empty line may start behind the last byte
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
     np.cumsum((_LOWER if lower else _BYTE)[data] * up[:len(data)], out=total[1:])

@@ -72,3 +72,10 @@ def test_components_match_union_find(spark, seed):
 
 def test_components_of_no_edges(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_an_empty_word_behind_the_last_byte_has_a_hash(monkeypatch):
+    monkeypatch.setattr(W, "_POWERS", W._Powers())
+    data = np.frombuffer(b"a" * 15 + b"\n", np.uint8)
+    found = W.word_hashes(data, W.Words(np.array([0, 16]), np.array([15, 16]), np.array([0, 0]), np.array([2]), np.array([0, 2])))
+    assert len(found) == 2 and found[0] != found[1]

@@ -36,6 +36,8 @@ from candlewick.schema import FEATURES
 from candlewick.session import ensure_checkpoint_dir
 
 SEED = 42
+PANEL_PARTITIONS = 8  # of the rows of a pooled boosting fit, or
+PANEL_ROWS = 50_000  # rows each (22 features: 9 MB), if those are more
 
 
 # --- registry (M7) ---------------------------------------------------------------
@@ -229,14 +231,42 @@ def fit(name: str, train: DataFrame, features: Sequence[str] = FEATURES, scope:
         params = panel_linear_params(name, params.get("alpha", spec.default_alpha), train)
     # Boosting re-reads its input every round: cache only the columns the fit
     # uses for the duration of the fit (lost blocks are recomputed from lineage).
-    cached = train.select(*features, "label").persist(StorageLevel.MEMORY_AND_DISK)
+    of = [c for c in (*keys, "dt") if c in train.columns]
+    cached = train.select(*dict.fromkeys([*of, *features, "label"])).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = make_pipeline(spec.factory(**params), features, impute).fit(cached)
+        pipeline = make_pipeline(spec.factory(**params), features, impute)
+        model = _boosted(pipeline, cached, keys) if isinstance(pipeline.getStages()[-1], GBTRegressor) else pipeline.fit(cached)
     finally:
         cached.unpersist()
     return Fitted(name, "panel", list(features), model=model)
 
 
+def _boosted(pipeline: Pipeline, rows: DataFrame, keys: Sequence[str]) -> PipelineModel:
+    """The pipeline with its boosting fitted on stored vectors.
+
+    Boosting runs ``depth`` jobs a round, one after the other, so a round costs
+    what its tasks cost to start: their number follows the rows, and each task
+    carries the plan of a stored table instead of that of the feature table."""
+    *steps, estimator = pipeline.getStages()
+    ensure_checkpoint_dir(rows.sparkSession)
+    prepared = Pipeline(stages=steps).fit(rows)
+    vectors = prepared.transform(_dealt(rows, keys)).select("features", estimator.getLabelCol()).checkpoint(eager=True)
+    return PipelineModel([*prepared.stages, estimator.fit(vectors)])
+
+
+def _dealt(rows: DataFrame, keys: Sequence[str], always: bool = False) -> DataFrame:
+    """``rows`` in no more partitions than their number asks for, whatever the
+    session's shuffle partitions; fewer ones stay as they are, if not ``always``.
+
+    Few rows are dealt by series, many row by row, however long a series is."""
+    most = max(PANEL_PARTITIONS, -(-rows.count() // PANEL_ROWS))
+    if not always and rows.rdd.getNumPartitions() <= most:
+        return rows
+    own = [c for c in keys if c in rows.columns]
+    order = dict.fromkeys([*own, *[c for c in rows.columns if c == "dt"], *rows.columns])
+    return rows.repartition(most, *(own if own and most == PANEL_PARTITIONS else rows.columns)).sortWithinPartitions(*order)
+
+
 # --- walk-forward CV, hold-out, training (V4-V6) --------------------------------
 
 def cv_predictions(name: str, sup: DataFrame, k: int = 5, features: Sequence[str] = FEATURES,
@@ -346,8 +376,14 @@ def backtest(name: str, sup: DataFrame, test_size: float = 0.2, features: Sequen
     Returns (symbol, dt, actual, predicted), metrics per symbol, the model.
     """
     h = sv.holdout(sup, test_size)
+    pooled_boosting = scope in (None, "panel") and isinstance(select_model(name).factory(), GBTRegressor)
+    if pooled_boosting:  # read by the fit and by the lazy scores
+        ensure_checkpoint_dir(sup.sparkSession)
+        h = h.checkpoint(eager=True)
     train = h.where(F.col("role") == "train")
     test = h.where(F.col("role") == "test")
+    if pooled_boosting:
+        train = _dealt(train, ["symbol"], always=True)
     m = fit(name, train, features, scope, params=params, impute=impute)
     pred = m.predict(test)
     bt = pred.select("symbol", "dt", F.col("label").alias("actual"), F.col("prediction").alias("predicted"))

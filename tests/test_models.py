@@ -234,3 +234,37 @@ def test_analyse_end_to_end(spark):
     b = seg["diagnostics"].orderBy("symbol").toPandas()
     assert np.allclose(a.predictability_score.to_numpy(dtype=float), b.predictability_score.to_numpy(dtype=float))
     assert seg["forecast"].count() == 2 * n_sym
+
+
+def _several_series(make_bars):
+    rng = np.random.default_rng(5)
+    parts = [make_bars((100 * np.exp(np.cumsum(rng.normal(0, 0.02, 120)))).tolist(), symbol=s) for s in "ABCDEF"]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def test_pooled_boosting_does_not_follow_the_shuffle_partitions(spark, make_bars):
+    bars, found, was = _several_series(make_bars), [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (8, 30):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            bt, _, _ = M.backtest("gbt", sv.supervised(indicator_table(bars)), params={"maxIter": 4})
+            found.append(sorted(map(tuple, bt.collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert len(found[0]) > 50 and found[0] == found[1]
+
+
+def test_rows_of_a_boosting_fit_are_dealt_by_their_number(spark, monkeypatch):
+    rows = spark.range(0, 1000, 1, 40).selectExpr("'S' AS symbol", "id AS dt", "cast(id AS double) AS x").persist()
+    few = M._dealt(rows, ["symbol"])
+    assert few.rdd.getNumPartitions() == M.PANEL_PARTITIONS
+    assert M._dealt(rows.coalesce(3), ["symbol"]).rdd.getNumPartitions() == 3
+    monkeypatch.setattr(M, "PANEL_ROWS", 50)  # one long series is spread over all partitions
+    many = M._dealt(rows, ["symbol"])
+    sizes = many.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    assert len(sizes) == 20 and max(sizes) < 200
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect())) == sorted(map(tuple, rows.collect()))
+    rows.unpersist()

@@ -8,19 +8,21 @@ threshold (100 * intersection >= 75 * union).
 1. Sets are fingerprinted; documents of equal sets are one node from here on.
 2. Shingles are counted over all documents.  Map tasks send sorted, compressed
    shingle ranges (40 bits of each hash) with counts; range owners add them
-   up.  Classes: *single* (seen once), *rare*, and *frequent* (seen
-   ``frequent`` times or more) in levels of a power of two.  A bitmap of what
-   is not single and a table of frequent shingles, both of bounded size, go to
-   the tasks.  A class only steers the order below: whatever the bounds leave
-   out costs time, never a link.
-3. All sets are ordered alike: single, rare, then frequent by level, ties by
-   hash.  A prefix takes shingles until the mismatches a linked partner may
-   have cannot break every signature: a single or rare shingle is a
+   up.  A chunk's ranges also name the document of each shingle that the chunk
+   has once, and the owners hand back, by chunk, the documents of shingles
+   seen once in all.  A document with more of these than a linked one may have
+   for itself can link with nothing and goes no further.  No task and not the
+   driver holds anything of the size of all shingles.  *Frequent* shingles (seen
+   ``frequent`` times or more) come in levels of a power of two, in a table of
+   bounded size; beyond it a shingle counts as rare, which costs time only.
+3. All sets are ordered alike: rare, then frequent by level, ties by hash.  A
+   prefix takes shingles until the mismatches a linked partner may
+   have cannot break every signature: a rare shingle is a
    signature by itself; frequent shingles are dealt to hash groups, and each
    two of one group are a signature, so a group counts its shingles less one.
    The prefix is extended accordingly.  Any two linked sets share a signature.
    Groups grow with the size of the set, so that the number of combinations
-   stays in proportion to it; sets near a border of two size bands index under
+   stays in proportion to it; sets near a border of two size bands combine under
    both.
 4. Signatures held by the very same nodes count once.  Nodes of one signature
    are compared and verified on whole sets: first with
@@ -60,12 +62,13 @@ from candlewick.llm.components import components
 
 WIDTH, NUM, DEN = 5, 75, 100
 SLICE_BYTES = 1_000_000
-CHUNK = 500_000  # shingles a map task gathers before it sends them
+CHUNK, CHUNK_RANGE = 500_000, 500  # shingles a map task gathers before it sends them: in all, and a range
 RANGE = 1_000_000  # shingles of one range owner
-MAX_BITS = 26  # the bitmap has at most 2**26 bits (8 MB)
+MAX_BITS = 26  # the bitmap of asked nodes has at most 2**26 bits (8 MB)
 MAX_FREQUENT = 500_000  # shingles in the frequent table (8 MB)
 SHORT = 24  # bits dropped of a hash for counting
 CENTRE_ROUNDS = 2
+MERGE_ROUNDS = 2
 HOT = 48  # nodes of a signature that is compared in tiles
 PART, PART_SHINGLES = 3072, 1_200_000  # nodes and shingles of a side of a tile: a node goes to as many tiles as its signature has sides
 SLICE = 2048  # shingles of a matrix product
@@ -81,7 +84,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> t
     for i, n in enumerate(w.counts.tolist()):
         a = int(w.first[i])
         if n >= width:
-            out.append(np.unique(grams[a:a + n - width + 1]))
+            own = np.sort(grams[a:a + n - width + 1])
+            out.append(own[np.append(True, own[1:] != own[:-1])])
         elif n:
             out.append(W.mix64(W.gram_hashes(hashes[a:a + n], n) + np.uint64(n)))
         ends[i + 1] = ends[i] + (len(out[-1]) if n else 0)
@@ -114,68 +118,95 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 # -- counting -----------------------------------------------------------------
-def _counted(ranges: int):
-    """Map side: compressed (range, shingles, counts) of the task's shingles."""
+def _counted(ranges: int, chunk: int):
+    """Map side, by chunks of documents: compressed (range, shingles, counts,
+    documents of shingles that the chunk has once) of a chunk; the nodes and
+    sizes of its documents as a negative range."""
     shift = np.uint64(64 - SHORT - max(0, ranges.bit_length() - 1))
 
-    def send(parts: list[np.ndarray]) -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(parts) >> np.uint64(SHORT), return_counts=True)
+    def send(name: int, parts: list[np.ndarray], ends: list[np.ndarray]) -> pa.RecordBatch:
+        hashes = np.concatenate(parts)
+        size = np.concatenate([np.diff(e) for e in ends])
+        short = hashes >> np.uint64(SHORT)
+        order = np.argsort(short)
+        values = short[order]
+        heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        values, counts = values[heads], np.diff(np.append(heads, len(values)))
+        place = np.where(counts == 1, np.repeat(np.arange(len(size)), size)[order[heads]], 0)
         cut_at = np.searchsorted(values >> shift, np.arange(ranges + 1)) if ranges > 1 else np.array([0, len(values)])
         used = np.flatnonzero(np.diff(cut_at))
+        spans = [slice(cut_at[r], cut_at[r + 1]) for r in used]
+        node = np.concatenate([fingerprints(h, e) for h, e in zip(parts, ends)])
         return pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int32()),
-             pa.array([W.pack_sorted(values[cut_at[r]:cut_at[r + 1]]) for r in used], pa.binary()),
-             pa.array([W.pack_counts(counts[cut_at[r]:cut_at[r + 1]]) for r in used], pa.binary())], names=["range", "shingles", "counts"])
+            [pa.array([*used.tolist(), -1 - name % ranges], pa.int32()), pa.array([name] * (len(used) + 1), pa.int64()),
+             pa.array([*(W.pack_sorted(values[x]) for x in spans), node.tobytes()], pa.binary()),
+             pa.array([*(W.pack_counts(counts[x]) for x in spans), W.pack_counts(size)], pa.binary()),
+             pa.array([*(W.pack_counts(place[x]) for x in spans), None], pa.binary())], names=["range", "chunk", "shingles", "counts", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for _, hashes, _ in _sets(batches):
+        parts, reach, held, name = [], [], 0, TaskContext.get().partitionId() << 32
+        for _, hashes, ends in _sets(batches):
             parts.append(hashes)
+            reach.append(ends)
             held += len(hashes)
-            if held >= CHUNK:
-                yield send(parts)
-                parts, held = [], 0
+            if held >= chunk:
+                yield send(name, parts, reach)
+                parts, reach, held, name = [], [], 0, name + 1
         if held:
-            yield send(parts)
+            yield send(name, parts, reach)
 
     return run
 
 
-def _added(ranges: int, bits: int, frequent: int):
-    """Range owner: its part of the bitmap, and its frequent shingles by level."""
-    own = max(0, bits - max(0, ranges.bit_length() - 1))  # bits of the bitmap inside one range
+def _added(frequent: int):
+    """Range owner: by chunk, the documents of single shingles (level -1), and
+    its frequent shingles by level; the nodes of a chunk pass (level -2)."""
+    columns = ["range", "level", "n", "chunk", "body", "sizes"]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        values = np.concatenate([W.unpack_sorted(b) for b in frame["shingles"]])
+        own = int(frame["range"].iloc[0])
+        if own < 0:
+            return pd.DataFrame([(own, -2, 0, *r) for r in zip(frame["chunk"], frame["shingles"], frame["counts"])], columns=columns)
+        values = [W.unpack_sorted(b) for b in frame["shingles"]]
+        chunk = np.repeat(np.arange(len(values)), [len(v) for v in values])
+        values = np.concatenate(values)
         counts = np.concatenate([W.unpack_counts(b) for b in frame["counts"]]).astype(np.int64)
+        place = np.concatenate([W.unpack_counts(b) for b in frame["places"]]).astype(np.int64)
         order = np.argsort(values, kind="stable")
         values = values[order]
         heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-        counts, values = np.add.reduceat(counts[order], heads), values[heads]
-        spots = (values[counts > 1] >> np.uint64(64 - SHORT - bits)).astype(np.int64) & ((1 << own) - 1)
-        bitmap = np.zeros(1 << own, np.uint8)
-        bitmap[spots] = 1
-        hot = counts >= frequent
-        level = np.floor(np.log2(counts[hot])).astype(np.int64)
-        rows = [(int(frame["range"].iloc[0]), -1, len(values), np.packbits(bitmap).tobytes())]
-        rows += [(int(frame["range"].iloc[0]), int(k), int((level == k).sum()), W.pack_sorted(values[hot][level == k])) for k in np.unique(level)]
-        return pd.DataFrame(rows, columns=["range", "level", "n", "body"])
+        total, values = np.add.reduceat(counts[order], heads), values[heads]
+        once = order[heads[total == 1]]
+        once = np.sort(chunk[once] << 32 | place[once])
+        ends = np.searchsorted(once, np.arange(len(frame) + 1) << 32)
+        once = (once & 0xFFFFFFFF).astype(np.uint64)
+        rows = [(own, -1, int(b - a), int(c), W.pack_sorted(once[a:b]), None) for a, b, c in zip(ends[:-1], ends[1:], frame["chunk"]) if b > a]
+        hot = total >= frequent
+        values, level = values[hot], np.floor(np.log2(total[hot])).astype(np.int64)
+        rows += [(own, int(k), int((level == k).sum()), -1, W.pack_sorted(values[level == k]), None) for k in np.unique(level)]
+        return pd.DataFrame(rows, columns=columns)
 
     return run
 
 
+def _openable(frame: pd.DataFrame) -> pd.DataFrame:
+    """Nodes of a chunk with too few single shingles to stand alone, and the
+    share of these among their shingles, in thousandths."""
+    whole = frame["level"] == -2
+    node, size = np.frombuffer(frame["body"][whole].iloc[0], np.int64), W.unpack_counts(frame["sizes"][whole].iloc[0]).astype(np.int64)
+    alone = np.zeros(len(node), np.int64)
+    for body in frame["body"][~whole]:
+        alone += np.bincount(W.unpack_sorted(body).astype(np.int64), minlength=len(node))
+    some = (size > 1) & (alone < size - -(-NUM * size // DEN) + 1)
+    return pd.DataFrame({"node": node[some], "own": 1000 * alone[some] // size[some]})
+
+
 @dataclass
 class Classes:
     """What a task needs to order shingles; bounded by the constants above."""
-    bits: int
-    bitmap: np.ndarray
     hot: np.ndarray  # sorted short hashes of frequent shingles
     level: np.ndarray
 
-    def single(self, hashes: np.ndarray) -> np.ndarray:
-        spot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        return (self.bitmap[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1 == 0
-
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """0 for shingles that are not frequent."""
         if not len(self.hot):
@@ -185,33 +216,27 @@ class Classes:
         return np.where(self.hot[at] == short, self.level[at], 0)
 
 
-def count_classes(docs: DataFrame, total: int, frequent: int) -> Classes:
-    spark = docs.sparkSession
+def count_classes(docs: DataFrame, total: int, frequent: int) -> tuple[Classes, DataFrame]:
+    """The frequent shingles, and (node, own) of the nodes that may link."""
     ranges = 1 << max(0, (total // RANGE)).bit_length()
-    bits = min(MAX_BITS, max((8 * total).bit_length(), ranges.bit_length() + 3))
-    sent = docs.select("text").mapInArrow(released(_counted(ranges)), "range int, shingles binary, counts binary")
-    added = stored(sent.groupBy("range").applyInPandas(_added(ranges, bits, frequent), "range int, level int, n long, body binary"))
+    sent = docs.select("text").mapInArrow(released(_counted(ranges, max(CHUNK, ranges * CHUNK_RANGE))),
+                                          "range int, chunk long, shingles binary, counts binary, places binary")
+    added = stored(sent.groupBy("range").applyInPandas(_added(frequent), "range int, level int, n long, chunk long, body binary, sizes binary"))
     held, least = 0, None
     for r in added.where("level >= 0").groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():
         held += r["n"]
         if held > MAX_FREQUENT:
             break
         least = r["level"]
-    rows = added.where((F.col("level") == -1) | (F.col("level") >= (least if least is not None else 99))).collect()
-    own = 1 << max(0, bits - (ranges.bit_length() - 1))
-    bitmap = np.zeros(1 << bits >> 3, np.uint8)
     hot, level = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for r in rows:
-        if r["level"] < 0:
-            bitmap[r["range"] * own >> 3:(r["range"] + 1) * own >> 3] = np.frombuffer(r["body"], np.uint8)
-        else:
-            hot.append(W.unpack_sorted(r["body"]))
-            level.append(np.full(len(hot[-1]), r["level"]))
+    for r in added.where(F.col("level") >= (least if least is not None else 99)).select("level", "body").collect():
+        hot.append(W.unpack_sorted(r["body"]))
+        level.append(np.full(len(hot[-1]), r["level"]))
     hot, level = np.concatenate(hot), np.concatenate(level)
     order = np.argsort(hot)
-    del rows
     release()
-    return Classes(bits, bitmap, hot[order], level[order])
+    some = added.where("level < 0").select("level", "chunk", "body", "sizes").groupBy("chunk").applyInPandas(_openable, "node long, own long")
+    return Classes(hot[order], level[order]), stored(some.groupBy("node").agg(F.min("own").alias("own")))
 
 
 # -- signatures ---------------------------------------------------------------
@@ -225,7 +250,8 @@ def band_groups(n: int) -> list[tuple[int, int]]:
 
 
 def signatures(tokens: np.ndarray, single: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Signature hashes of one sorted set."""
+    """Signature hashes of one sorted set; ``single`` flags shingles known to
+    be of no other set."""
     n = len(tokens)
     if n < 2:
         return np.zeros(0, np.uint64)  # only equal sets can link, and they are one node
@@ -233,50 +259,73 @@ def signatures(tokens: np.ndarray, single: np.ndarray, level: np.ndarray) -> np.
     if need <= 0:
         return np.zeros(0, np.uint64)  # enough shingles that no other document has
     rare = tokens[~single & (level == 0)]
-    hot = np.flatnonzero(level > 0)
-    hot = tokens[hot[np.lexsort((tokens[hot], level[hot]))]]
-    out = []
-    for band, groups in band_groups(n):
-        salt = np.uint64(0x632BE59BD9B4E019 * (band + 1) & 0xFFFFFFFFFFFFFFFF)
-        out.append(rare[:need] ^ salt)
-        left = need - len(rare)
-        if left <= 0:
-            continue
-        group = (hot >> np.uint64(7)) % np.uint64(groups)
-        counts = np.ones(len(hot), np.int64)
-        counts[np.unique(group, return_index=True)[1]] = 0  # a group's first shingle makes no pair
-        size = int(np.searchsorted(np.cumsum(counts), left)) + 1
-        part, group = hot[:size], group[:size]
-        order = np.argsort(group, kind="stable")
-        part, group = part[order], group[order]
-        for mine in np.split(part, np.flatnonzero(group[1:] != group[:-1]) + 1):
-            i, j = np.triu_indices(len(mine), 1)
-            out.append(W.mix64(W.mix64(mine[i] ^ salt) + W.mix64(mine[j])))
+    out, left = [rare[:need]], need - len(rare)
+    if left > 0:
+        hot = np.flatnonzero(level > 0)
+        hot = tokens[hot[np.lexsort((tokens[hot], level[hot]))]]
+        for band, groups in band_groups(n):
+            salt = np.uint64(0x632BE59BD9B4E019 * (band + 1) & 0xFFFFFFFFFFFFFFFF)
+            group = (hot >> np.uint64(7)) % np.uint64(groups)
+            counts = np.ones(len(hot), np.int64)
+            counts[np.unique(group, return_index=True)[1]] = 0  # a group's first shingle makes no pair
+            size = int(np.searchsorted(np.cumsum(counts), left)) + 1
+            part, group = hot[:size], group[:size]
+            order = np.argsort(group, kind="stable")
+            part, group = part[order], group[order]
+            for mine in np.split(part, np.flatnonzero(group[1:] != group[:-1]) + 1):
+                i, j = np.triu_indices(len(mine), 1)
+                out.append(W.mix64(W.mix64(mine[i] ^ salt) + W.mix64(mine[j])))
     return np.unique(np.concatenate(out))
 
 
+def asked_bits(nodes: DataFrame, many: int) -> tuple[int, np.ndarray]:
+    """A bitmap of nodes (one column, node; ``many`` or fewer), and its bits as
+    a power of two."""
+    bits = min(MAX_BITS, max(16, (16 * many).bit_length()))
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(_spots(b.column("node").to_numpy(), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 16, pa.int32()), pa.array(at & 0xFFFF, pa.int32())], names=["part", "at"])
+
+    def merged(frame: pd.DataFrame) -> pd.DataFrame:
+        body = np.zeros(1 << 16, bool)
+        body[frame["at"].to_numpy()] = True
+        return pd.DataFrame({"part": frame["part"].iloc[:1], "body": [np.packbits(body).tobytes()]})
+
+    asked = np.zeros((1 << bits >> 16, 1 << 13), np.uint8)
+    for r in nodes.mapInArrow(spots, "part int, at int").groupBy("part").applyInPandas(merged, "part int, body binary").collect():
+        asked[r["part"]] = np.frombuffer(r["body"], np.uint8)
+    return bits, asked.ravel()
+
+
+def _spots(node: np.ndarray, bits: int) -> np.ndarray:
+    return (W.mix64(node.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _asked(node: np.ndarray, asked: tuple[int, np.ndarray]) -> np.ndarray:
+    """Whether the bitmap has the nodes (some others as well)."""
+    spot = _spots(node, asked[0])
+    return (asked[1][spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1 == 1
+
+
 def _signed(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = shared.value
+        classes, asked = shared.value
         for _, hashes, ends in _sets(batches):
-            single, node = classes.single(hashes), fingerprints(hashes, ends)
-            size = np.diff(ends)
-            alone = _sums(single.astype(np.int64), ends)
-            short = (size > 1) & (alone < size - -(-NUM * size // DEN) + 1)  # too few shingles of its own
-            asked = np.flatnonzero(np.repeat(short, size) & ~single)
-            level = np.zeros(len(hashes), np.int64)
-            level[asked] = classes.levels(hashes[asked])
-            rows, sigs = [], []  # a node's own share: shingles that no other document has, in thousandths
-            for i in np.flatnonzero(short):
+            node, size = fingerprints(hashes, ends), np.diff(ends)
+            some = (size > 1) & _asked(node, asked)
+            at = np.flatnonzero(np.repeat(some, size))
+            level, single = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+            level[at] = classes.levels(hashes[at])
+            rows, sigs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for i in np.flatnonzero(some):
                 a, b = ends[i], ends[i + 1]
                 found = signatures(hashes[a:b], single[a:b], level[a:b])
                 rows.append(np.full(len(found), i))
                 sigs.append(found)
-            at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-            sig = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
-            own = 1000 * alone // np.maximum(size, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(node[at], pa.int64()), pa.array(size[at], pa.int64()), pa.array(own[at], pa.int64())],
-                                             names=["sig", "node", "n", "own"])
+            at, sig = np.concatenate(rows), np.concatenate(sigs).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(node[at], pa.int64()), pa.array(size[at], pa.int64())], names=["sig", "node", "n"])
 
     return run
 
@@ -288,8 +337,7 @@ def _held(shared):
         asked = shared.value
         for _, hashes, ends in _sets(batches):
             node = fingerprints(hashes, ends)
-            spot = W.mix64(node.view(np.uint64)) >> np.uint64(64 - asked[0])
-            wanted = np.flatnonzero(asked[1][spot.astype(np.int64)] & (np.diff(ends) > 0))
+            wanted = np.flatnonzero(_asked(node, asked) & (np.diff(ends) > 0))
             _, once = np.unique(node[wanted], return_index=True)
             wanted = wanted[once]
             short = (hashes >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
@@ -357,6 +405,21 @@ def _tile(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": node[edges[:, 0]], "b": node[edges[:, 1]]})
 
 
+def merged(rows: DataFrame, turn: int) -> DataFrame:
+    """Signatures (sig, node, n, component, c nodes, total shingles) of much the
+    same nodes as one: those with the same smallest node by a hash, where the
+    pairs of all their nodes are no more than their own pairs one by one."""
+    columns = ["sig", "node", "n", "component", "c", "total"]
+    lead = rows.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("lead"), F.count("*").alias("held"))
+    lead = lead.select("sig", F.col("lead.node").alias("lead"), (F.col("held") * F.col("held")).alias("pairs"))
+    led = rows.join(lead, "sig")
+    nodes = led.groupBy("lead", "node").agg(F.first("n").alias("n"), F.first("component").alias("component"))
+    fits = (nodes.groupBy("lead").agg(F.count("*").alias("c"), F.sum("n").alias("total")).join(lead.groupBy("lead").agg(F.sum("pairs").alias("pairs")), "lead")
+            .where(F.col("c") * F.col("c") <= F.col("pairs")).select("lead", "c", "total"))
+    one = nodes.join(fits, "lead").withColumn("sig", F.xxhash64("lead", F.lit(turn))).select(*columns)
+    return one.union(led.join(fits, "lead", "left_anti").select(*columns))
+
+
 def tile_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: links that join the components of every signature's nodes, for
     signatures (sig, c nodes, total shingles) too large to list their pairs."""
@@ -367,26 +430,9 @@ def tile_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.join(sets, "node").groupBy("sig", "lo", "hi").applyInPandas(_tile, "a long, b long")
 
 
-def candidate_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, body of every node of ``nodes`` (one column, node)."""
-    spark = docs.sparkSession
-    bits = 23  # a bitmap of asked nodes: 2**23 entries, whatever their number
-
-    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, bool)
-        for b in batches:
-            seen[(W.mix64(b.column("node").to_numpy().view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)] = True
-        used = np.flatnonzero(seen.reshape(-1, 1 << 13).any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([np.packbits(r).tobytes() for r in seen.reshape(-1, 1 << 13)[used]], pa.binary())], names=["part", "body"])
-
-    def merged(frame: pd.DataFrame) -> pd.DataFrame:
-        body = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in frame["body"]])
-        return pd.DataFrame({"part": frame["part"].iloc[:1], "body": [body.tobytes()]})
-
-    asked = np.zeros((1 << bits >> 13, 1 << 13), bool)
-    for r in nodes.mapInArrow(spots, "part int, body binary").groupBy("part").applyInPandas(merged, "part int, body binary").collect():
-        asked[r["part"]] = np.unpackbits(np.frombuffer(r["body"], np.uint8)).astype(bool)
-    shared = spark.sparkContext.broadcast((bits, asked.ravel()))
+def candidate_sets(docs: DataFrame, nodes: DataFrame, many: int) -> DataFrame:
+    """node, body of every node of ``nodes`` (one column, node; ``many`` or fewer)."""
+    shared = docs.sparkSession.sparkContext.broadcast(asked_bits(nodes, many))
     sets = docs.select("text").mapInArrow(released(_held(shared)), "node long, body binary").groupBy("node").agg(F.first("body").alias("body"))
     sets = stored(sets.join(nodes, "node", "left_semi"))
     shared.destroy()
@@ -416,12 +462,14 @@ def linked_components(docs: DataFrame, nodes: DataFrame, frequent: int = 16) ->
     by their smallest node."""
     spark = docs.sparkSession
     total = nodes.agg(F.sum("n_shingles")).collect()[0][0] or 0
-    classes = spark.sparkContext.broadcast(count_classes(docs, total, frequent))
-    signed = docs.select("text").mapInArrow(released(_signed(classes)), "sig long, node long, n long, own long")
-    rows = stored(signed.groupBy("sig", "node").agg(F.first("n").alias("n"), F.first("own").alias("own")))
-    classes.destroy()
-    rows = stored(_telling(rows))
-    sets = candidate_sets(docs, rows.select("node").distinct())
+    classes, some = count_classes(docs, total, frequent)
+    many = some.count()
+    shared = spark.sparkContext.broadcast((classes, asked_bits(some.select("node"), many)))
+    signed = docs.select("text").mapInArrow(released(_signed(shared)), "sig long, node long, n long")
+    rows = stored(signed.groupBy("sig", "node").agg(F.first("n").alias("n")))
+    shared.destroy()
+    rows = stored(_telling(rows).join(some, "node"))
+    sets = candidate_sets(docs, rows.select("node").distinct(), many)
 
     none = spark.createDataFrame([], "a long, b long, linked boolean")
     checked, found = none, spark.createDataFrame([], "node long, component long")
@@ -445,7 +493,10 @@ def linked_components(docs: DataFrame, nodes: DataFrame, frequent: int = 16) ->
     open_ = _open(rows, found)
     sized = open_.groupBy("sig").agg(F.count("*").alias("c"), F.sum("n").alias("total"))
     open_ = stored(open_.join(sized, "sig"))
-    forest = cut(tile_links(open_.where(F.col("c") > HOT), sets))
+    hot = open_.where(F.col("c") > HOT)
+    for turn in range(MERGE_ROUNDS):
+        hot = stored(merged(hot, turn))
+    forest = cut(tile_links(hot, sets))
     cold = open_.where(F.col("c") <= HOT)
     left = cold.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     right = cold.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))

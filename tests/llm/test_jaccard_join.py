@@ -106,6 +106,39 @@ def test_a_hot_group_about_the_threshold(spark, monkeypatch, seed, part):
     assert got == want and 3 < len({r[2] for r in want}) < 88
 
 
+def test_signatures_of_much_the_same_nodes_share_their_tiles(spark, monkeypatch):
+    """Near copies share a hundred signatures; a node's set goes out a few times, not once for each."""
+    seen, tiles = [], J.tile_links
+
+    def watched(rows, sets):
+        seen.append((rows.count(), rows.select("node").distinct().count()))
+        return tiles(rows, sets)
+
+    monkeypatch.setattr(J, "HOT", 4)
+    monkeypatch.setattr(J, "tile_links", watched)
+    rows = near_copies(90, 2, 7)
+    docs = spark.createDataFrame([(k, t, "x", "y", "z") for k, t in rows], SCHEMA)
+    assert sorted(map(tuple, J.component_table(docs, frequent=3).collect())) == brute(rows)
+    assert seen[0][1] > 20 and seen[0][0] <= 4 * seen[0][1]
+
+
+def test_merged_signatures_hold_every_pair(spark):
+    rng = np.random.default_rng(5)
+    held = {sig: sorted({int(x) for x in rng.choice(np.arange(40 * (sig % 3), 40 * (sig % 3) + 60), int(rng.integers(2, 40)))}) for sig in range(30)}
+    rows = [(sig, node, 5, node % 4, len(nodes), 5 * len(nodes)) for sig, nodes in held.items() for node in nodes]
+    frame = spark.createDataFrame(rows, "sig long, node long, n long, component long, c long, total long")
+    for turn in range(2):
+        frame = J.merged(frame, turn)
+    out = {}
+    for r in frame.collect():
+        assert r["n"] == 5 and r["component"] == r["node"] % 4
+        out.setdefault((r["sig"], r["c"], r["total"]), []).append(r["node"])
+    assert all(len(nodes) == len(set(nodes)) == c and total == 5 * c for (_, c, total), nodes in out.items())
+    pairs = {(a, b) for nodes in out.values() for a in nodes for b in nodes}
+    assert {(a, b) for nodes in held.values() for a in nodes for b in nodes} <= pairs
+    assert sum(len(x) ** 2 for x in out.values()) < sum(len(x) ** 2 for x in held.values())
+
+
 def test_a_tile_gives_the_links_between_components():
     import pandas as pd
 
@@ -145,6 +178,48 @@ def test_empty_table(spark):
     assert J.component_table(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_documents_that_link_with_nothing_are_not_indexed(spark, monkeypatch):
+    """However many shingles the table repeats: 150,000 here, more than any bounded bitmap of 2**16 bits tells apart."""
+    monkeypatch.setattr(J, "MAX_BITS", 16)
+    indexed, stored = [], J.stored
+
+    def watched(df):
+        out = stored(df)
+        if "sig" in out.columns:
+            indexed.append({r["node"] for r in out.select("node").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(J, "stored", watched)
+    twice = [" ".join(f"t{g}w{j}" for j in range(500)) for g in range(300)]
+    near = [twice[0].replace("t0w7 ", "other "), twice[1].replace("t1w400 ", "")]
+    alone = [" ".join(f"a{g}w{j}" for j in range(120)) for g in range(200)]
+    rows = [(i, t) for i, t in enumerate([*twice, *twice, *near, *alone])]
+    docs = spark.createDataFrame([(k, t, "x", "y", "z") for k, t in rows], SCHEMA)
+    own = {r["node"] for r in docs.where("doc_id >= 602").mapInArrow(J._nodes, "doc_id long, n_shingles long, node long").collect()}
+    got = {r["doc_id"]: r["component_id"] for r in J.component_table(docs).collect()}
+    assert got == {i: i if i < 300 or i >= 602 else i % 300 for i in range(802)}
+    assert indexed and len(own) == 200 and all(len(own & nodes) <= 10 for nodes in indexed)
+
+
+def test_chunks_name_the_documents_that_may_link(spark, monkeypatch):
+    """Small chunks and many ranges: a node may link unless more than a quarter of its shingles are nobody else's."""
+    monkeypatch.setattr(J, "CHUNK", 200)
+    monkeypatch.setattr(J, "CHUNK_RANGE", 1)
+    monkeypatch.setattr(J, "RANGE", 300)
+    rows = corpus(5, 60)
+    docs = spark.createDataFrame([(k, t, "x", "y", "z") for k, t in rows], SCHEMA).repartition(3)
+    nodes = J.stored(docs.mapInArrow(J._nodes, "doc_id long, n_shingles long, node long"))
+    _, some = J.count_classes(docs, nodes.agg({"n_shingles": "sum"}).collect()[0][0], 3)
+    texts = [J.W.utf8(J.pa.array([t])) for _, t in rows]
+    sets = [J.shingle_sets(*t)[0] for t in texts]
+    node = [int(J.fingerprints(h, np.array([0, len(h)]))[0]) for h in sets]
+    seen = np.unique(np.concatenate(sets) >> np.uint64(J.SHORT), return_counts=True)
+    once = {int(v) for v, c in zip(*seen) if c == 1}
+    alone = [sum(int(h) >> J.SHORT in once for h in s) for s in sets]
+    want = {k: 1000 * a // len(s) for k, s, a in zip(node, sets, alone) if len(s) > 1 and a <= len(s) - -(-75 * len(s) // 100)}
+    assert {r["node"]: r["own"] for r in some.collect()} == want and 0 < len(want) < len(set(node))
+
+
 def test_any_two_linked_sets_share_a_signature():
     rng = np.random.default_rng(7)
     for _ in range(400):

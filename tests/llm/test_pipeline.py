@@ -57,6 +57,26 @@ def test_run_gives_the_last_stage(spark, steps):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_near_dups_indexes_only_what_may_link(spark, monkeypatch):
+    """More repeated shingles than a bitmap of 2**16 bits tells apart do not bring unrelated documents into the index."""
+    monkeypatch.setattr(jaccard_join, "MAX_BITS", 16)
+    indexed, stored = [], jaccard_join.stored
+
+    def watched(df):
+        out = stored(df)
+        if "sig" in out.columns:
+            indexed.append(out.select("node").distinct().count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", watched)
+    twice = [" ".join(f"t{g}w{j}" for j in range(500)) for g in range(300)]
+    alone = [" ".join(f"a{g}w{j}" for j in range(120)) for g in range(400)]
+    rows = [(i, t, "en", "web", len(t)) for i, t in enumerate([*twice, *twice, twice[0].replace("t0w7 ", "other "), *alone])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in P.near_dups(spark, docs, SF).collect()} == {*range(300), *range(601, 1001)}
+    assert indexed and max(indexed) <= 320
+
+
 def test_entry_module_lists_the_queries():
     import __spark_entry__ as e
 
